@@ -192,8 +192,9 @@ def days_between(later, earlier) -> Column:
 
 
 def minutes_between(later, earlier) -> Column:
-    """Whole minutes between two timestamps."""
-    return F.floor((F.unix_timestamp(_c(later)) - F.unix_timestamp(_c(earlier))) / 60).cast("long")
+    """Whole minutes elapsed between two timestamps (floor, microsecond exact)."""
+    later, earlier = _c(later).cast("timestamp"), _c(earlier).cast("timestamp")
+    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / 60_000_000).cast("long")
 
 
 def week_start(c, first_day: int = 1) -> Column:
@@ -225,7 +226,7 @@ def still_open(now, tz_offset_hours, close_time, latest: str = "21:00:00") -> Co
 
 def valid_date(c, fmt: str = "yyyyMMdd") -> Column:
     """Number or text like 20260231 → date, or null when it is not a real date."""
-    return F.try_to_date(_c(c).cast("string"), F.lit(fmt))
+    return F.try_to_date(_c(c).cast("string"), fmt)
 
 
 def elapsed_text(hsecs) -> Column:
