@@ -89,7 +89,8 @@ def from_long(long_df: DataFrame, keys: Sequence[str], slot_col: str, value_col:
     Values of the same slot are summed first; each key then gathers at most ``n``
     entries, a bounded group whatever the data size.
     """
-    per_slot = long_df.groupBy(*keys, slot_col).agg(F.sum(value_col).alias("_v"))
+    per_slot = (long_df.where(F.col(slot_col).between(1, n))
+                       .groupBy(*keys, slot_col).agg(F.sum(value_col).alias("_v")))
     grouped = per_slot.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(slot_col, "_v"))).alias("_m"))
     arr = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
     return grouped.select(*keys, arr.alias(name))
@@ -98,27 +99,37 @@ def from_long(long_df: DataFrame, keys: Sequence[str], slot_col: str, value_col:
 # --- history jobs ---------------------------------------------------------------
 
 def roll_history(df: DataFrame, measures: Mapping[str, tuple[str, bool]],
-                 prune_also: Sequence[str] = ()) -> DataFrame:
-    """Every measure moves one week older; all-zero rows are dropped.
-
-    ``measures`` maps history array → (current column, reset_current). The current
-    value becomes slot 1, slot 104 falls off; ``reset_current`` sets the current
-    column to 0 (week-to-date sales) or keeps it (on hand). The prune test reads the
-    values *before* the shift: every slot of every array, every current column and
+                 prune_also: Sequence[str] = (), weeks: int = 1, n: int = WEEKS) -> DataFrame:
+    """Every measure moves ``weeks`` weeks older; all-zero rows are dropped.
+
+    ``measures`` maps history array → (current column, reset_current). At each
+    weekly step the current value becomes slot 1 and slot 104 falls off;
+    ``reset_current`` sets the current column to 0 (week-to-date sales), otherwise
+    it is kept (on hand) and repeats into every new slot. The prune test reads the
+    values *before* each shift: every slot of every array, every current column and
     ``prune_also`` (in transit, on order ...), so a row whose only value is in week
-    104 survives this roll and goes at the next.
+    104 survives a one-week roll and goes at the next.
+
+    Several weeks are rolled in one projection (a row that would be pruned at any
+    step is exactly one with no non-zero value in the slots that are still inside
+    the window at the last step), so the plan does not grow with ``weeks``.
     """
+    if not 1 <= weeks <= n:
+        raise ValueError("weeks must be between 1 and the history length")
     alive = None
     for h, (cur, _) in measures.items():
-        t = F.exists(F.col(h), lambda x: F.coalesce(x, F.lit(0)) != 0) | (F.coalesce(F.col(cur), F.lit(0)) != 0)
+        t = F.exists(F.slice(F.col(h), 1, n - weeks + 1), lambda x: F.coalesce(x, F.lit(0)) != 0) \
+            | (F.coalesce(F.col(cur), F.lit(0)) != 0)
         alive = t if alive is None else alive | t
     for c in prune_also:
         alive = alive | (F.coalesce(F.col(c), F.lit(0)) != 0)
     out = df.where(alive)
     for h, (cur, reset) in measures.items():
-        n = F.size(F.col(h))
-        out = out.withColumn(h, F.concat(F.array(F.col(cur).cast("double")),
-                                         F.slice(F.col(h), 1, n - 1)))
+        c = F.coalesce(F.col(cur), F.lit(0)).cast("double")
+        # after k weekly steps the old current sits in slot k; with a reset the k-1
+        # newer slots hold the zeroed currents of the steps in between
+        head = F.concat(F.array_repeat(F.lit(0.0), weeks - 1), F.array(c)) if reset else F.array_repeat(c, weeks)
+        out = out.withColumn(h, F.concat(head, F.slice(F.col(h), 1, n - weeks)) if weeks < n else F.slice(head, 1, n))
         if reset:
             out = out.withColumn(cur, F.lit(0).cast(df.schema[cur].dataType))
     return out
@@ -133,16 +144,23 @@ def widen_history(df: DataFrame, arrays: Sequence[str], n: int = WEEKS) -> DataF
     return out
 
 
-def weeks_ago(changes: DataFrame, cal: DataFrame, period_cols: Sequence[str], current_order: Column | int,
+def weeks_ago(changes: DataFrame, cal: DataFrame, period_cols: Sequence[str], current: Mapping[str, object],
               order_col: str = "week_order") -> DataFrame:
-    """Slot of each change = current period order - the change's period order.
+    """Slot of each change = current period's order - the change's period order.
 
-    Periods missing from the calendar give no slot: the inner join drops them and
-    ``unknown_periods`` returns them for a reject table.
+    ``current`` names the current period (e.g. ``{"yr": 2001, "wk": 31}``); its
+    order is a one-row lookup broadcast to the changes. Periods missing from the
+    calendar give no slot: the inner join drops them and ``unknown_periods``
+    returns them for a reject table.
     """
-    cur = F.lit(current_order) if isinstance(current_order, int) else current_order
+    cond = None
+    for k, v in current.items():
+        t = F.col(k) == F.lit(v)
+        cond = t if cond is None else cond & t
+    cur = F.broadcast(cal.where(cond).select(F.max(order_col).alias("_cur")))
     c = cal.select(*period_cols, order_col)
-    return changes.join(c, list(period_cols), "inner").withColumn("week_ago", cur - F.col(order_col)).drop(order_col)
+    return (changes.join(c, list(period_cols), "inner").crossJoin(cur)
+                   .withColumn("week_ago", F.col("_cur") - F.col(order_col)).drop(order_col, "_cur"))
 
 
 def unknown_periods(changes: DataFrame, cal: DataFrame, period_cols: Sequence[str]) -> DataFrame:
