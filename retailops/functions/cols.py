@@ -178,12 +178,12 @@ def safe_next_day(c, sentinel: str = "9999-12-31") -> Column:
     """Day after, except the open-end sentinel stays itself (year 10000 is not a date
     any client can receive)."""
     c = _c(c)
-    return F.when(c >= F.lit(_dt.date.fromisoformat(sentinel)), c).otherwise(F.date_add(c, 1))
+    return F.when(c >= F.lit(sentinel).cast("date"), c).otherwise(F.date_add(c, 1))
 
 
 def safe_prev_day(c, sentinel: str = "0001-01-01") -> Column:
     c = _c(c)
-    return F.when(c <= F.lit(_dt.date.fromisoformat(sentinel)), c).otherwise(F.date_sub(c, 1))
+    return F.when(c <= F.lit(sentinel).cast("date"), c).otherwise(F.date_sub(c, 1))
 
 
 def days_between(later, earlier) -> Column:
