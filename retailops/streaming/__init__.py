@@ -1,0 +1,3 @@
+from .ingest import ingest_changes, write_change_files
+
+__all__ = ["ingest_changes", "write_change_files"]
