@@ -15,9 +15,15 @@ from ..functions.cols import older_than
 from ..plans import changes as X
 from .registry import AS_OF, query, tables
 
-_OP = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 3).otherwise(2)
+def _op():
+    return F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 3).otherwise(2)
+
+
 _OP_SQL = "CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 3 ELSE 2 END"
-_STATUS = F.when(F.col("o_orderstatus") == "F", 30).when(F.col("o_orderstatus") == "O", 10).otherwise(50)
+def _status():
+    return F.when(F.col("o_orderstatus") == "F", 30).when(F.col("o_orderstatus") == "O", 10).otherwise(50)
+
+
 _STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 30 WHEN 'O' THEN 10 ELSE 50 END"
 
 
@@ -25,7 +31,7 @@ def _user_state(spark, d):
     cust, ev = tables(spark, d, "customer", "events")
     target = cust.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("balance"),
                          F.lit("none").alias("last_type"))
-    changes = ev.select("user_id", _OP.alias("op"), F.col("event_id").alias("seq"),
+    changes = ev.select("user_id", _op().alias("op"), F.col("event_id").alias("seq"),
                         F.col("value").alias("balance"), F.col("event_type").alias("last_type"))
     return target, changes
 
@@ -230,7 +236,7 @@ def _headers(orders, li, old_cut=None):
     ``old_cut`` when given, i.e. the total as last summed)."""
     src = li if old_cut is None else li.where(F.col("l_shipdate") < F.lit(old_cut))
     tot = src.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("qty"))
-    return (orders.select("o_orderkey", "o_custkey", _STATUS.alias("status_code"))
+    return (orders.select("o_orderkey", "o_custkey", _status().alias("status_code"))
                   .join(tot, "o_orderkey", "left").withColumn("qty", F.coalesce("qty", F.lit(0.0))))
 
 
@@ -331,7 +337,7 @@ def i39(spark, d):
     orders, li = tables(spark, d, "orders", "lineitem")
     lines = orders.select("o_orderkey", F.to_date("o_orderdate").alias("stamp"),
                           F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW"), X.STUCK)
-                           .otherwise(_STATUS).alias("status_code"))
+                           .otherwise(_status()).alias("status_code"))
     res = li.where(F.col("l_linestatus") == "F").select(F.col("l_orderkey").alias("o_orderkey"))
     return X.repair_status(lines, res, "o_orderkey", "stamp", AS_OF).select("o_orderkey", "status_code")
 
@@ -428,6 +434,6 @@ WHERE o_orderstatus = 'O' AND o_orderkey IN (SELECT l_orderkey FROM r WHERE n =
 def i53(spark, d):
     orders, li = tables(spark, d, "orders", "lineitem")
     receipts = li.where(F.col("l_shipdate") <= F.lit(AS_OF)).withColumnRenamed("l_orderkey", "o_orderkey")
-    lines = orders.select("o_orderkey", "o_custkey", _STATUS.alias("status_code"))
+    lines = orders.select("o_orderkey", "o_custkey", _status().alias("status_code"))
     new_flag = F.col("l_shipdate") >= F.date_sub(F.lit(AS_OF), 30)
     return X.first_receipts(receipts, lines, "o_orderkey", new_flag).select("o_orderkey", "o_custkey")

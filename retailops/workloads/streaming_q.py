@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming.ingest import ingest_changes, write_change_files
-from .changes_q import _OP
+from .changes_q import _op
 from .registry import query, tables
 
 SETTLE_SECONDS = 10  # line changes settle for 10 s before they are taken (notes: 4 s)
 
 
 def _to_changes(raw):
-    return raw.select("user_id", _OP.alias("op"), F.col("event_id").alias("seq"), "ts",
+    return raw.select("user_id", _op().alias("op"), F.col("event_id").alias("seq"), "ts",
                       F.col("value").alias("balance"), F.col("event_type").alias("last_type"))
 
 
