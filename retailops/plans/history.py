@@ -46,10 +46,25 @@ def calendar_from_range(df: DataFrame, date_col: str, fy_start_month: int = 2) -
         F.dayofweek("date").alias("day_of_week"))
 
 
+def month_calendar(spark, lo, hi) -> DataFrame:
+    """Every (yr, mo) period from the month of ``lo`` to the month of ``hi``,
+    generated with ``spark.range`` (no scan of any fact table)."""
+    start = lo.year * 12 + lo.month - 1
+    n = hi.year * 12 + hi.month - 1 - start + 1
+    m = spark.range(n).select((F.col("id") + F.lit(start)).alias("_m"))
+    return m.select(F.floor(F.col("_m") / 12).cast("int").alias("yr"), (F.col("_m") % 12 + 1).cast("int").alias("mo"))
+
+
 def order_weeks(cal: DataFrame, period_cols: Sequence[str], name: str = "week_order") -> DataFrame:
-    """Number the distinct periods (year, week) in time order, starting at 1."""
+    """Number the distinct periods (year, week) in time order, starting at 1.
+
+    A calendar is a bounded dimension (one row per period: 53 a year), so the
+    distinct periods are numbered with one un-partitioned window; for unbounded
+    inputs use ``number_rows``, which spreads the numbering over tasks.
+    """
+    from pyspark.sql import Window
     periods = cal.select(*period_cols).distinct()
-    return number_rows(periods, list(period_cols), name=name)
+    return periods.withColumn(name, F.row_number().over(Window.orderBy(*period_cols)).cast("long"))
 
 
 def advance_week(cal: DataFrame, order_col: str = "week_order", flag_col: str = "current_week") -> DataFrame:
@@ -82,18 +97,33 @@ def to_long(df: DataFrame, keys: Sequence[str], measures: Sequence[str], drop_ze
     return out.where(F.col("value") != 0) if drop_zero else out
 
 
-def from_long(long_df: DataFrame, keys: Sequence[str], slot_col: str, value_col: str,
-              name: str, n: int = WEEKS) -> DataFrame:
-    """Long ``(keys, slot, value)`` → one array of ``n`` slots per key (slot 1 first).
+def _slot_array(long_df: DataFrame, keys: Sequence[str], slot_col: str, value_col: str,
+                lo: int, hi: int, name: str) -> DataFrame:
+    """Per key, an array of slots ``lo..hi`` (null where the key has no value).
 
-    Values of the same slot are summed first; each key then gathers at most ``n``
-    entries, a bounded group whatever the data size.
+    Built with ``pivot`` on the listed slot values: Spark first sums per
+    (key, slot) with map-side partial aggregation, then places each slot's value
+    by position (no per-key list is gathered, no map lookups).
     """
-    per_slot = (long_df.where(F.col(slot_col).between(1, n))
-                       .groupBy(*keys, slot_col).agg(F.sum(value_col).alias("_v")))
-    grouped = per_slot.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(slot_col, "_v"))).alias("_m"))
-    arr = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    return grouped.select(*keys, arr.alias(name))
+    return _pivot_slots(long_df, keys, slot_col, value_col, lo, hi, name, None)
+
+
+def _pivot_slots(long_df: DataFrame, keys: Sequence[str], slot_col: str, value_col: str,
+                 lo: int, hi: int, name: str, fill) -> DataFrame:
+    slots = list(range(lo, hi + 1))
+    p = (long_df.where(F.col(slot_col).between(lo, hi))
+                .groupBy(*keys).pivot(slot_col, slots).agg(F.sum(value_col)))
+    cell = (lambda i: F.col(str(i)).cast("double")) if fill is None else \
+        (lambda i: F.coalesce(F.col(str(i)).cast("double"), F.lit(fill)))
+    return p.select(*keys, F.array(*[cell(i) for i in slots]).alias(name))
+
+
+def from_long(long_df: DataFrame, keys: Sequence[str], slot_col: str, value_col: str,
+              name: str, n: int = WEEKS) -> DataFrame:
+    """Long ``(keys, slot, value)`` → one array of ``n`` slots per key (slot 1 first),
+    zero where a slot has no value; values of the same slot are summed."""
+    arr = _pivot_slots(long_df, keys, slot_col, value_col, 1, n, "_a", None)
+    return arr.select(*keys, F.transform("_a", lambda x: F.coalesce(x, F.lit(0.0))).alias(name))
 
 
 # --- history jobs ---------------------------------------------------------------
@@ -118,7 +148,10 @@ def roll_history(df: DataFrame, measures: Mapping[str, tuple[str, bool]],
         raise ValueError("weeks must be between 1 and the history length")
     alive = None
     for h, (cur, _) in measures.items():
-        t = F.exists(F.slice(F.col(h), 1, n - weeks + 1), lambda x: F.coalesce(x, F.lit(0)) != 0) \
+        window = F.slice(F.col(h), 1, n - weeks + 1)
+        # any non-zero slot <=> max or min differs from 0 (nulls count as zero);
+        # array_max/array_min are generated code, unlike a lambda test
+        t = (F.coalesce(F.array_max(window), F.lit(0.0)) != 0) | (F.coalesce(F.array_min(window), F.lit(0.0)) != 0) \
             | (F.coalesce(F.col(cur), F.lit(0)) != 0)
         alive = t if alive is None else alive | t
     for c in prune_also:
@@ -171,21 +204,20 @@ def load_history(hist: DataFrame, changes: DataFrame, keys: Sequence[str], slot_
                  value_col: str, measure: str, current_col: str | None = None, n: int = WEEKS) -> DataFrame:
     """Put each change value into its slot of the key's history.
 
-    Changes are first reduced to one map ``slot → value`` per key (a bounded group),
-    then full-outer joined to the history on the key: one shuffle. Slot 0 goes to
-    ``current_col`` when given; slots beyond ``n`` are ignored (see
-    ``weeks_ago``/``unknown_periods`` for rejects). A later load for the same slot
-    replaces the value, as the reference's UPDATE does.
+    Changes are first pivoted to one array of slots 0..n per key (a bounded row
+    per key, map-side partial aggregation), then full-outer joined to the history
+    on the key: one shuffle. Slot 0 goes to ``current_col`` when given; slots
+    outside 0..n are ignored (see ``weeks_ago``/``unknown_periods`` for rejects).
+    A load replaces the slot's value, as the reference's UPDATE does.
     """
-    ch = changes.where((F.col(slot_col) >= 0) & (F.col(slot_col) <= n))
-    m = ch.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(slot_col, value_col))).alias("_m"))
-    j = hist.join(m, list(keys), "full_outer")
+    ch = _slot_array(changes, keys, slot_col, value_col, 0, n, "_c")
+    j = hist.join(ch, list(keys), "full_outer")
     base = F.coalesce(F.col(measure), zeros(n))
-    new = F.transform(base, lambda x, i: F.coalesce(F.col("_m")[i + 1], x))
-    out = j.withColumn(measure, F.when(F.col("_m").isNull(), base).otherwise(new))
+    new = F.transform(base, lambda x, i: F.coalesce(F.col("_c")[i + 1], x))
+    out = j.withColumn(measure, F.when(F.col("_c").isNull(), base).otherwise(new))
     if current_col:
-        out = out.withColumn(current_col, F.coalesce(F.col("_m")[0], F.col(current_col), F.lit(0.0)))
-    return out.drop("_m")
+        out = out.withColumn(current_col, F.coalesce(F.col("_c")[0], F.col(current_col), F.lit(0.0)))
+    return out.drop("_c")
 
 
 def sum_arrays(col: str, n: int = WEEKS) -> Column:

@@ -27,8 +27,9 @@ s AS (SELECT ch.l_partkey, ch.l_suppkey, cur.cur - cal.week_order AS week_ago, c
 
 
 def _calendar(li):
-    months = li.select(F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"))
-    return H.order_weeks(months, ["yr", "mo"])
+    """Month periods between the first and last ship date, in order."""
+    b = li.agg(F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi")).first()
+    return H.order_weeks(H.month_calendar(li.sparkSession, b["lo"], b["hi"]), ["yr", "mo"])
 
 
 def loaded_history(spark, d):
@@ -36,12 +37,15 @@ def loaded_history(spark, d):
     loaded into their slots by calendar distance."""
     (li,) = tables(spark, d, "lineitem")
     cal = _calendar(li)
-    monthly = (li.groupBy(*KEYS, F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"),
-                          (F.col("l_shipdate") < F.lit(SPLIT)).alias("old"))
+    monthly = (li.groupBy(*KEYS, F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"))
                  .agg(F.sum("l_quantity").alias("qty")))
     slotted = H.weeks_ago(monthly, cal, ["yr", "mo"], CURRENT)
-    hist0 = H.from_long(slotted.where("old"), KEYS, "week_ago", "qty", "qty_hist").withColumn("qty_cur", F.lit(0.0))
-    return H.load_history(hist0, slotted.where(~F.col("old")), KEYS, "week_ago", "qty", "qty_hist", current_col="qty_cur")
+    # months before SPLIT form the existing history, later months are the load;
+    # splitting on the slot (not the date) keeps one shared aggregate in the plan
+    split_slot = (CURRENT["yr"] * 12 + CURRENT["mo"]) - (SPLIT.year * 12 + SPLIT.month)
+    old = F.col("week_ago") > split_slot
+    hist0 = H.from_long(slotted.where(old), KEYS, "week_ago", "qty", "qty_hist").withColumn("qty_cur", F.lit(0.0))
+    return H.load_history(hist0, slotted.where(~old), KEYS, "week_ago", "qty", "qty_hist", current_col="qty_cur")
 
 
 def _long(hist, keys=KEYS):
