@@ -154,7 +154,7 @@ def delete_matching(df: DataFrame, patterns: DataFrame, keys: Sequence[str]) ->
         if not fixed:  # a pattern of all nulls deletes everything
             return df.limit(0)
         out = out.join(p, fixed, "left_anti")
-    return out
+    return out.select(*df.columns)
 
 
 def grain(style, color, size, dim) -> Column:
