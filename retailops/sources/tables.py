@@ -1,8 +1,12 @@
 """Sources and sinks.
 
 Tables live as parquet under an environment root (``prd``, ``accp``, a test folder).
-Every read right-trims text so fixed-width CHAR values compare the way the source
-databases compare them, and every write goes to a path that is not being read.
+Fixed-width CHAR text from a source system is right-trimmed once, when it enters
+(``read_remote``, ``refresh``, ``stage`` with ``trim=True``), so values compare the
+way the source databases compare them; tables already in canonical form are read
+as they are (``read_table``), which keeps string predicates pushed down to the
+parquet scan (a filter on ``rtrim(col)`` cannot be pushed). Every write goes to a
+path that is not being read.
 """
 
 from __future__ import annotations
@@ -31,12 +35,12 @@ def rtrim_strings(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, root: str, name: str,
-               columns: Sequence[str] | None = None, trim: bool = True) -> DataFrame:
+               columns: Sequence[str] | None = None, trim: bool = False) -> DataFrame:
     """A1: read ``name`` from the environment at ``root``.
 
-    Selecting ``columns`` here keeps the parquet ReadSchema narrow even before
-    Catalyst prunes; the right-trim is a projection and does not block filter
-    pushdown on non-string columns.
+    ``trim=True`` right-trims every string column (for blank-padded CHAR data that
+    was not normalised on the way in); it costs parquet pushdown of predicates on
+    those columns, so canonical tables are read untrimmed.
     """
     df = spark.read.parquet(table_path(root, name))
     if columns:
@@ -82,16 +86,18 @@ def stage(frames: Mapping[str, DataFrame], root: str | None = None) -> dict[str,
 
 
 def refresh(spark: SparkSession, src_root: str, dst_root: str, names: Iterable[str],
-            keep: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None) -> dict[str, int]:
+            keep: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None,
+            trim: bool = True) -> dict[str, int]:
     """Full refresh of a list of tables from one environment into another.
 
+    Text is right-trimmed on the way in (``trim``), so the copies are canonical.
     ``keep`` limits a table to keys present in another table (left semi join). Returns
     the row count written per table, the load report the reference logs.
     """
     counts = {}
     keep = keep or {}
     for name in names:
-        df = read_table(spark, src_root, name)
+        df = read_table(spark, src_root, name, trim=trim)
         if name in keep:
             keys_df, on = keep[name]
             df = df.join(keys_df.select(*on).distinct(), list(on), "left_semi")
