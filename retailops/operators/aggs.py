@@ -168,31 +168,36 @@ def top_rank(df: DataFrame, part, order: str, descending: bool = True) -> DataFr
 
 def number_rows(df: DataFrame, order: Sequence, name: str = "rn",
                 partition_by: Sequence[str] | None = None, start: int = 1) -> DataFrame:
-    """Consecutive row numbers over an order.
-
-    With ``partition_by`` this is ``row_number()`` over a window. Without it, a
-    window would pull every row into one task; instead the rows are range
-    partitioned by the order, each task numbers its own slice, and a small table of
-    per-slice counts (one row per task) gives each slice its offset. ``order`` must
-    be a total order (tie-break on unique columns) for the numbers to repeat.
+    """Consecutive row numbers over an order (``row_number()``), optionally
+    restarting per group of ``partition_by``.
+
+    A window would sort a whole group (or, without groups, the whole table) in one
+    task. Instead the rows are range partitioned by (groups, order), so a large
+    group spans many tasks; each task numbers its own slice, and a small table of
+    per-(group, slice) counts gives every slice its offset within its group. The
+    input is read twice (count pass, numbering pass). ``order`` must be a total
+    order (tie-break on unique columns) for the numbers to repeat.
     """
+    from pyspark.sql import Window
+    groups = [F.col(g) for g in (partition_by or [])]
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    if partition_by:
-        from pyspark.sql import Window
-        w = Window.partitionBy(*partition_by).orderBy(*order_cols)
-        return df.withColumn(name, F.row_number().over(w) + F.lit(start - 1))
-    ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    ranged = (df.repartitionByRange(*groups, *order_cols).sortWithinPartitions(*groups, *order_cols)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id()))
     # monotonically_increasing_id = (partition id << 33) + position in partition
     ranged = ranged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    from pyspark.sql import Window
-    # one row per task: a window without partition over it is tiny
-    offs = counts.withColumn("_off", F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt"))
-    out = ranged.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-    return (out.withColumn(name, F.col("_off") + F.col("_pos") + F.lit(start))
-               .drop("_pid", "_mid", "_pos", "_off"))
+    gnames = list(partition_by or [])
+    counts = ranged.groupBy(*gnames, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
+    # a group spans few slices, so this window over the counts table is small per group
+    w = Window.partitionBy(*gnames).orderBy("_pid") if gnames else Window.orderBy("_pid")
+    offs = counts.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt")).select(*gnames, "_pid", "_off", "_first")
+    if gnames:
+        cond = reduce(lambda x, y: x & y, [ranged[g].eqNullSafe(offs[g]) for g in gnames]) & (ranged["_pid"] == offs["_pid"])
+        out = ranged.join(offs, cond).drop(*[offs[g] for g in gnames]).drop(offs["_pid"])
+    else:
+        out = ranged.join(F.broadcast(offs), "_pid")
+    return (out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_first") + F.lit(start)).cast("long"))
+               .drop("_pid", "_mid", "_pos", "_off", "_first"))
 
 
 def with_count(df: DataFrame, keys, name: str = "n") -> DataFrame:

@@ -38,3 +38,26 @@ def test_minus_and_union_distinct(spark):
     b = spark.createDataFrame([(2,)], "k int")
     assert [r.k for r in A.minus(a, b).collect()] == [1]
     assert A.union_distinct(a, b).count() == 2
+
+
+def test_number_rows_per_group_with_a_hot_group(spark):
+    # one group holds a third of the rows; numbering must restart per group and be consecutive
+    df = spark.range(0, 6000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
+        (F.col("id") * 7919 % 6007).alias("v"), "id")
+    got = A.number_rows(df, ["v", "id"], partition_by=["g"]).select("g", "v", "id", "rn")
+    want = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
+    j = got.join(want, ["g", "v", "id"])
+    assert j.count() == 6000
+    assert j.where(F.col("rn") != F.col("rn2")).count() == 0
+
+
+def test_hot_key_aggregate_join_back_operators(spark):
+    df = spark.range(0, 3000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 100).alias("k"), "id")
+    n_hot = df.where("k = 7").count()
+    wc = {r.k: r.n for r in A.with_count(df, "k").where("k = 7").select("k", "n").distinct().collect()}
+    assert wc == {7: n_hot}
+    top = A.top_rank(df, "k", "id").where("k = 7").collect()
+    assert [r.id for r in top] == [df.where("k = 7").agg(F.max("id")).first()[0]]
+    assert A.dup_rows(df, "k").where("k = 7").count() == n_hot
