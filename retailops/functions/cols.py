@@ -174,6 +174,15 @@ def shift(c, n: int, unit: str = "days") -> Column:
     raise ValueError(f"unknown unit {unit}")
 
 
+def ts_literal(value, ntz: bool = True) -> Column:
+    """A timestamp literal; wall-clock (``timestamp_ntz``) by default, to compare with
+    NTZ columns without any session time-zone conversion."""
+    if isinstance(value, Column):
+        return value
+    txt = value.isoformat(sep=" ") if isinstance(value, _dt.datetime) else str(value)
+    return F.lit(txt).cast("timestamp_ntz" if ntz else "timestamp")
+
+
 def safe_next_day(c, sentinel: str = "9999-12-31") -> Column:
     """Day after, except the open-end sentinel stays itself (year 10000 is not a date
     any client can receive)."""
@@ -193,8 +202,9 @@ def days_between(later, earlier) -> Column:
 
 def minutes_between(later, earlier) -> Column:
     """Whole minutes elapsed between two timestamps (floor, microsecond exact)."""
-    later, earlier = _c(later).cast("timestamp"), _c(earlier).cast("timestamp")
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / 60_000_000).cast("long")
+    # timestamp_diff works on wall-clock (NTZ) timestamps as they are; converting
+    # through the session time zone would bend differences across DST changes
+    return F.floor(F.timestamp_diff("MICROSECOND", _c(earlier), _c(later)) / 60_000_000).cast("long")
 
 
 def week_start(c, first_day: int = 1) -> Column:

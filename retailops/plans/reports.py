@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import safe_next_day, safe_prev_day
+from ..functions.cols import safe_next_day, safe_prev_day, ts_literal
 from ..operators.aggs import number_rows, top_rank, with_count
 from ..sources.tables import format_fixed
 
@@ -151,7 +151,8 @@ def release_feed(pack_rows: DataFrame, detail_rows: DataFrame, order: Sequence[s
     formatted as a fixed-width record."""
     u = pack_rows.unionByName(detail_rows).distinct()
     n = number_rows(u, list(order), name="_rn")
-    stamped = n.withColumn("release_ts", F.lit(base_ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("_rn").cast("decimal(18,6)")))
+    stamped = n.withColumn("release_ts", ts_literal(base_ts)
+                           + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("_rn").cast("decimal(18,6)")))
     rec = F.concat(format_fixed(layout), F.date_format("release_ts", "yyyyMMddHHmmss"))
     return stamped.drop("_rn").withColumn("record", rec)
 

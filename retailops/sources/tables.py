@@ -140,7 +140,8 @@ def archive(df: DataFrame, root: str, stamp: _dt.date, keep_days: int = 45) -> D
     """
     spark = df.sparkSession
     (df.withColumn("snapshot", F.lit(stamp.isoformat()))
-       .write.mode("overwrite").partitionBy("snapshot").parquet(root))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("snapshot").parquet(root))
     cut = stamp - _dt.timedelta(days=keep_days)
     for v in _list_partition_values(spark, root, "snapshot"):
         if _dt.date.fromisoformat(v) < cut:
@@ -158,7 +159,8 @@ def backup_generations(df: DataFrame, root: str, n: int = 7) -> DataFrame:
     spark = df.sparkSession
     gens = sorted(int(v) for v in _list_partition_values(spark, root, "gen"))
     new = (gens[-1] + 1) if gens else 1
-    df.withColumn("gen", F.lit(new)).write.mode("overwrite").partitionBy("gen").parquet(root)
+    (df.withColumn("gen", F.lit(new)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("gen").parquet(root))
     for g in (gens + [new])[:-n]:
         _delete_partition(spark, root, "gen", str(g))
     return spark.read.parquet(root)

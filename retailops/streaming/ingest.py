@@ -26,7 +26,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.cols import ts_literal
 from ..plans.changes import apply_changes, split_deferred
 
 
@@ -66,6 +68,7 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
     (target.withColumn("_last_seq", F.lit(None).cast("long"))
            .write.mode("overwrite").parquet(f"{state_root}/batch=-1"))
     busy_keys = busy.select(*keys).distinct() if busy is not None else None
+    ntz = isinstance(schema[ts_col].dataType, T.TimestampNTZType)
 
     def process(batch_df: DataFrame, batch_id: int) -> None:
         changes = to_changes(batch_df) if to_changes else batch_df
@@ -78,8 +81,9 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
         if newest is None:
             return
         cutoff = newest - _dt.timedelta(seconds=settle_seconds)
-        ready = incoming.where(F.col(ts_col) <= F.lit(cutoff))
-        young = incoming.where(F.col(ts_col) > F.lit(cutoff))
+        cut = ts_literal(cutoff, ntz=ntz)
+        ready = incoming.where(F.col(ts_col) <= cut)
+        young = incoming.where(F.col(ts_col) > cut)
         if busy_keys is not None:
             ready, deferred = split_deferred(ready, busy_keys.withColumn("status_code", F.lit(20)), keys)
             young = young.unionByName(deferred)
@@ -108,10 +112,10 @@ def write_change_files(df: DataFrame, dest: str, ts_col: str, n_files: int) -> N
     (so file modification order follows time, as an upstream feed would deliver)."""
     bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
+    ntz = isinstance(df.schema[ts_col].dataType, T.TimestampNTZType)
     step = (hi - lo) / n_files
     for i in range(n_files):
-        a = lo + step * i
-        cond = F.col(ts_col) >= F.lit(a)
+        cond = F.col(ts_col) >= ts_literal(lo + step * i, ntz)
         if i < n_files - 1:
-            cond = cond & (F.col(ts_col) < F.lit(lo + step * (i + 1)))
+            cond = cond & (F.col(ts_col) < ts_literal(lo + step * (i + 1), ntz))
         df.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{dest}/slice={i:04d}")

@@ -312,7 +312,7 @@ SELECT e.event_id,
 FROM events e""")
 def h11(spark, d):
     (ev,) = tables(spark, d, "events")
-    asof_ts = F.lit(_dt.datetime(2024, 1, 31))
+    asof_ts = C.ts_literal(_dt.datetime(2024, 1, 31))
     return ev.select("event_id", C.days_between(F.lit(EVENTS_AS_OF), F.to_date("ts")).alias("days_to_asof"),
                      C.minutes_between(asof_ts, "ts").alias("minutes_to_asof"))
 
