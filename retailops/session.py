@@ -52,6 +52,37 @@ def get_spark(master: str | None = None, app: str = "retailops",
     return spark
 
 
+def cluster_conf(input_bytes: float, partition_bytes: int = 256 << 20, executors: int = 1000,
+                 cores_per_executor: int = 8, broadcast_bytes: int = 64 << 20) -> dict[str, str]:
+    """Settings sized for a cluster run over ``input_bytes`` of parquet.
+
+    * splits and shuffle partitions of about ``partition_bytes`` so each task's
+      slice fits in executor memory with room to sort/aggregate without spilling;
+    * the initial shuffle partition count covers the largest input (AQE coalesces
+      small stages back down to the advisory size, so small queries do not pay for it)
+      and is at least a few waves of the cluster's cores;
+    * AQE splits skewed join partitions above 4x the median (and above
+      ``partition_bytes``), and converts joins to broadcast at run time only below
+      ``broadcast_bytes`` of measured shuffle output.
+
+    Example: 100 TB on 1000 executors x 8 cores -> about 409,600 initial partitions of
+    256 MB, coalesced per stage by AQE.
+    """
+    cores = executors * cores_per_executor
+    parts = max(int(input_bytes // partition_bytes) + 1, 3 * cores)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -85,6 +85,20 @@ def stage(frames: Mapping[str, DataFrame], root: str | None = None) -> dict[str,
     return out
 
 
+def bucket_table(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str) -> DataFrame:
+    """Write ``df`` as an external table bucketed and sorted on ``keys``.
+
+    Two tables bucketed the same way on their join key (same bucket count) join
+    without a shuffle on either side: tables joined again and again on one key
+    (orders and line items on the order key) pay the shuffle once, at write time.
+    Returns the table as read back through the catalog (where the bucketing is
+    known to the planner).
+    """
+    (df.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys)
+       .format("parquet").saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def refresh(spark: SparkSession, src_root: str, dst_root: str, names: Iterable[str],
             keep: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None,
             trim: bool = True) -> dict[str, int]:
