@@ -230,17 +230,25 @@ def sum_arrays(col: str, n: int = WEEKS) -> Column:
 
 
 def rollup_levels(df: DataFrame, levels: Sequence[tuple[str, Sequence[str]]], arrays: Sequence[str],
-                  scalars: Sequence[str] = (), n: int = WEEKS) -> dict[str, DataFrame]:
+                  scalars: Sequence[str] = (), n: int = WEEKS,
+                  root: str | None = None) -> dict[str, DataFrame]:
     """The same measures rolled to every hierarchy level.
 
     ``levels`` runs from finest to coarsest as ``(name, key columns)``; each level
-    is computed from the previous (finer) level's table, as the reference does,
-    so each step reads the smallest available input.
+    is computed from the previous (finer) level's table, so each step reads the
+    smallest available input. With ``root`` every level is written as a table
+    (``root/name``) and the next level reads that table: each level is computed
+    once, lineage stays short, and a lost executor re-reads a level instead of
+    recomputing the chain.
     """
     out = {}
     cur = df
     for name, keys in levels:
         cur = cur.groupBy(*keys).agg(*[sum_arrays(a, n).alias(a) for a in arrays],
                                      *[F.sum(s).alias(s) for s in scalars])
+        if root is not None:
+            path = f"{root.rstrip('/')}/{name}"
+            cur.write.mode("overwrite").parquet(path)
+            cur = df.sparkSession.read.parquet(path)
         out[name] = cur
     return out

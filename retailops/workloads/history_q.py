@@ -12,6 +12,7 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from ..plans import history as H
+from ..session import scratch_path
 from .registry import query, tables
 
 KEYS = ["l_partkey", "l_suppkey"]
@@ -45,6 +46,8 @@ def loaded_history(spark, d):
     split_slot = (CURRENT["yr"] * 12 + CURRENT["mo"]) - (SPLIT.year * 12 + SPLIT.month)
     old = F.col("week_ago") > split_slot
     hist0 = H.from_long(slotted.where(old), KEYS, "week_ago", "qty", "qty_hist").withColumn("qty_cur", F.lit(0.0))
+    # one plan: the shared subtrees (monthly aggregate, calendar) are identical, and
+    # AQE reuses their query stages at run time instead of recomputing them
     return H.load_history(hist0, slotted.where(~old), KEYS, "week_ago", "qty", "qty_hist", current_col="qty_cur")
 
 
@@ -115,7 +118,8 @@ def d12(spark, d):
          .join(nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
     levels = H.rollup_levels(h, [("supplier", ["l_suppkey", "s_nationkey", "n_regionkey"]),
                                  ("nation", ["s_nationkey", "n_regionkey"]),
-                                 ("region", ["n_regionkey"])], ["qty_hist"], ["qty_cur"])
+                                 ("region", ["n_regionkey"])], ["qty_hist"], ["qty_cur"],
+                               root=scratch_path(spark, "levels"))
     key_of = {"supplier": "l_suppkey", "nation": "s_nationkey", "region": "n_regionkey"}
     out = None
     for name, df in levels.items():
