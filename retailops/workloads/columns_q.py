@@ -204,7 +204,7 @@ def h3(spark, d):
         "p_partkey", F.upper("p_name").alias("up"), F.lower("p_brand").alias("low"),
         F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("B")).alias("short_brand"),
         F.lpad(F.col("p_size").cast("string"), 3, "0").alias("size3"),
-        F.rpad("p_type", 10, ".").alias("type10"), F.length("p_name").alias("name_len"),
+        F.rpad("p_type", 10, ".").alias("type10"), F.length("p_name").cast("long").alias("name_len"),
         F.trim(F.concat(F.lit("  "), "p_type", F.lit("  "))).alias("trimmed"),
         F.concat(F.repeat(F.lit(" "), 3), "p_type").alias("spaced"))
 
@@ -313,7 +313,7 @@ FROM events e""")
 def h11(spark, d):
     (ev,) = tables(spark, d, "events")
     asof_ts = C.ts_literal(_dt.datetime(2024, 1, 31))
-    return ev.select("event_id", C.days_between(F.lit(EVENTS_AS_OF), F.to_date("ts")).alias("days_to_asof"),
+    return ev.select("event_id", C.days_between(F.lit(EVENTS_AS_OF), F.to_date("ts")).cast("long").alias("days_to_asof"),
                      C.minutes_between(asof_ts, "ts").alias("minutes_to_asof"))
 
 
@@ -324,8 +324,8 @@ FROM events""")
 def h12(spark, d):
     (ev,) = tables(spark, d, "events")
     day = F.to_date("ts")
-    return ev.select(day.alias("day"), F.dayofweek(day).alias("dow"), F.dayofmonth(day).alias("dom"),
-                     F.dayofyear(day).alias("doy"), C.week_start(day).alias("sunday_on_or_before")).distinct()
+    return ev.select(day.alias("day"), F.dayofweek(day).cast("long").alias("dow"), F.dayofmonth(day).cast("long").alias("dom"),
+                     F.dayofyear(day).cast("long").alias("doy"), C.week_start(day).alias("sunday_on_or_before")).distinct()
 
 
 @query("h13_nth_weekday", """

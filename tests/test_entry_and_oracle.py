@@ -10,6 +10,9 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -62,3 +65,8 @@ def test_query_matches_duckdb(spark, duck, name):
     want = _canon([d[0] for d in cur.description], cur.fetchall())
     assert got[0] == want[0]
     assert got[1] == want[1]
+    # column types agree too (Spark simple type -> DuckDB type name)
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    for f in df.schema.fields:
+        st = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(st, st.upper()) == duck_types[f.name], (f.name, st, duck_types[f.name])
