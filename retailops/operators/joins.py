@@ -79,35 +79,57 @@ def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str | None = No
 
     Empty subquery: every row. Subquery holding a null: no row. Otherwise rows whose
     ``col`` is not null and not in the set. Built as an ordinary (shuffleable) anti
-    join plus a one-row summary of ``other``, instead of the null-aware anti join,
-    which Spark can only run with the whole subquery broadcast.
+    join plus a one-row summary, both from one distinct aggregate of ``other``,
+    instead of the null-aware anti join, which Spark can only run with the whole
+    subquery broadcast.
     """
     oc = other_col or col
-    o = other.select(F.col(oc).alias("_ni_k"))
-    stats = one_row(o.agg(F.count(F.lit(1)).alias("_ni_n"),
-                          F.max(F.col("_ni_k").isNull().cast("int")).alias("_ni_null")))
-    kept = df.join(o.where(F.col("_ni_k").isNotNull()).distinct(),
-                   F.col(col) == F.col("_ni_k"), "left_anti")
+    keys = other.select(F.col(oc).alias("_ni_k")).distinct()
+    stats = one_row(keys.agg(F.count(F.lit(1)).alias("_ni_n"),
+                             F.max(F.col("_ni_k").isNull().cast("int")).alias("_ni_null")))
+    kept = df.join(keys.where(F.col("_ni_k").isNotNull()), F.col(col) == F.col("_ni_k"), "left_anti")
     return (kept.crossJoin(stats)
                 .where((F.col("_ni_n") == 0) | ((F.col("_ni_null") == 0) & F.col(col).isNotNull()))
                 .drop("_ni_n", "_ni_null"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys, at, from_col: str, to_col: str,
-              end: str = "exclusive", how: str = "inner") -> DataFrame:
-    """Join each left row to the right row of the same key in effect at ``at``.
-
-    The equality keys drive a hash/sort-merge join; the interval test is a residual
-    condition on the matched key group, so no nested-loop join is planned.
+              end: str = "exclusive", how: str = "inner", bucket_days: int | None = 31) -> DataFrame:
+    """Join each left row to the right rows of the same key in effect at ``at``.
+
+    With ``bucket_days`` (the default) the time axis is cut into buckets: each
+    right interval is expanded to the buckets it overlaps (clamped to the range of
+    ``at`` values on the left, so open-ended rows such as 9999-12-31 do not
+    explode), each left row falls in one bucket, and the join is on
+    (keys, bucket) with the exact interval test as a residual condition. A key
+    with many intervals and many rows then only pairs rows with the few intervals
+    of their own bucket, instead of every interval of the key. ``bucket_days=None``
+    joins on the keys alone.
     """
     keys = _keys(keys)
-    at = F.col(at) if isinstance(at, str) else at
-    r = right.alias("_r")
-    cond = [left[k] == r[k] for k in keys]
-    cond.append(r[from_col] <= at)
-    cond.append(r[to_col] > at if end == "exclusive" else r[to_col] >= at)
-    out = left.join(r, reduce(lambda x, y: x & y, cond), how)
-    return out.drop(*[r[k] for k in keys])
+    at_col = F.col(at) if isinstance(at, str) else at
+    r = right
+    l = left.withColumn("_at", at_col)
+    cond = [l[k] == F.col(f"_r_{k}") for k in keys]
+    rsel = [F.col(k).alias(f"_r_{k}") for k in keys] + [F.col(c) for c in right.columns if c not in keys]
+    if bucket_days:
+        day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
+        rng = left.select(F.min(F.to_date(at_col)).alias("lo"), F.max(F.to_date(at_col)).alias("hi")).first()
+        if rng["lo"] is None:
+            return l.join(r.select(*rsel), F.lit(False), how).drop("_at", *[f"_r_{k}" for k in keys])
+        lo_d, hi_d = F.lit(rng["lo"]), F.lit(rng["hi"])
+        f_day = day(F.greatest(F.to_date(F.col(from_col)), lo_d))
+        t_day = day(F.least(F.to_date(F.col(to_col)), hi_d))
+        r = (r.where((F.to_date(F.col(to_col)) >= lo_d) & (F.to_date(F.col(from_col)) <= hi_d))
+              .withColumn("_b", F.explode(F.sequence(F.floor(f_day / bucket_days), F.floor(t_day / bucket_days)))))
+        rsel.append(F.col("_b").alias("_r_b"))
+        l = l.withColumn("_b", F.floor(day(F.col("_at")) / bucket_days))
+        cond.append(l["_b"] == F.col("_r_b"))
+    rr = r.select(*rsel)
+    cond.append(rr[from_col] <= l["_at"])
+    cond.append(rr[to_col] > l["_at"] if end == "exclusive" else rr[to_col] >= l["_at"])
+    out = l.join(rr, reduce(lambda x, y: x & y, cond), how)
+    return out.drop("_at", "_b", "_r_b", *[f"_r_{k}" for k in keys])
 
 
 def fiscal(df: DataFrame, date_col: str, cal: DataFrame, cal_date_col: str = "date",

@@ -60,3 +60,25 @@ def test_cross_param_requires_one_row(spark):
     with pytest.raises(ValueError):
         J.cross_param(spark.range(3), spark.range(2))
     assert J.cross_param(spark.range(3), spark.range(1).select(F.lit(7).alias("p"))).count() == 3
+
+
+def test_bucketed_asof_equals_plain_asof(spark):
+    import random
+    rnd = random.Random(3)
+    base = dt.date(2020, 1, 1)
+    iv = []
+    for k in range(5):
+        start = base - dt.timedelta(days=400)
+        while start < base + dt.timedelta(days=900):
+            length = rnd.randint(1, 120)
+            iv.append((k, start, start + dt.timedelta(days=length), float(rnd.randint(1, 99))))
+            start += dt.timedelta(days=length)
+        iv.append((k, start, dt.date(9999, 12, 31), 0.5))   # open-ended last row
+    pts = [(rnd.randint(0, 5), base + dt.timedelta(days=rnd.randint(-30, 1000))) for _ in range(800)]
+    right = spark.createDataFrame(iv, "k int, f date, t date, p double")
+    left = spark.createDataFrame(pts, "k int, d date")
+    for end in ("exclusive", "inclusive"):
+        for how in ("inner", "left"):
+            a = J.asof_join(left, right, ["k"], "d", "f", "t", end=end, how=how, bucket_days=31)
+            b = J.asof_join(left, right, ["k"], "d", "f", "t", end=end, how=how, bucket_days=None)
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())), (end, how)
