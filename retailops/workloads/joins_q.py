@@ -48,17 +48,20 @@ def c3(spark, d):
 
 
 @query("c4_coalesced_key_outer_join", """
-WITH l AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END AS k FROM customer),
-     r AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_nationkey END AS k FROM supplier)
-SELECT l.c_custkey, CAST(COUNT(r.s_suppkey) AS BIGINT) AS n_suppliers
-FROM l LEFT JOIN r ON coalesce(l.k, -1) = coalesce(r.k, -1)
-GROUP BY l.c_custkey""")
+WITH r AS (SELECT s_suppkey AS k, s_acctbal AS bal FROM supplier UNION ALL SELECT NULL, avg(s_acctbal) FROM supplier),
+l AS (SELECT CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_suppkey END AS k FROM lineitem)
+SELECT l.k IS NULL AS uses_default, CAST(COUNT(*) AS BIGINT) AS n_lines, round(SUM(r.bal), 2) AS total_bal
+FROM l LEFT JOIN r ON coalesce(l.k, -1) = coalesce(r.k, -1) GROUP BY 1""")
 def c4(spark, d):
-    cust, supp = tables(spark, d, "customer", "supplier")
-    l = cust.select("c_custkey", F.when(F.col("c_acctbal") < 0, None).otherwise(F.col("c_nationkey")).alias("lk"))
-    r = supp.select("s_suppkey", F.when(F.col("s_acctbal") < 0, None).otherwise(F.col("s_nationkey")).alias("rk"))
-    j = J.coalesced_key_join(l, r, [("lk", "rk", -1)], "left")
-    return j.groupBy("c_custkey").agg(F.count("s_suppkey").alias("n_suppliers"))
+    """Line -> supplier settings, where a line without a supplier key and the
+    settings row without a key (the default row) both default to -1 and match."""
+    li, supp = tables(spark, d, "lineitem", "supplier")
+    settings = supp.select(F.col("s_suppkey").alias("rk"), F.col("s_acctbal").alias("bal")).unionByName(
+        supp.agg(F.lit(None).cast("long").alias("rk"), F.avg("s_acctbal").alias("bal")))
+    lines = li.select(F.when(F.col("l_returnflag") == "N", None).otherwise(F.col("l_suppkey")).alias("lk"))
+    j = J.coalesced_key_join(lines, settings, [("lk", "rk", -1)], "left")
+    return j.groupBy(F.col("lk").isNull().alias("uses_default")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("bal"), 2).alias("total_bal"))
 
 
 @query("c5_one_row_parameter_table", """
@@ -74,13 +77,34 @@ def c5(spark, d):
 
 
 @query("c6_self_join_two_roles", """
-SELECT a.n_name AS nation_a, b.n_name AS nation_b, a.n_regionkey AS region
-FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""")
+SELECT a.l_orderkey, a.l_linenumber, a.l_partkey AS part_a, b.l_partkey AS part_b
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""")
 def c6(spark, d):
-    (nation,) = tables(spark, d, "nation")
-    j = J.self_join(nation, [("n_regionkey", "n_regionkey")], extra=F.col("a.n_nationkey") < F.col("b.n_nationkey"))
-    return j.select(F.col("a.n_name").alias("nation_a"), F.col("b.n_name").alias("nation_b"),
-                    F.col("a.n_regionkey").alias("region"))
+    """Each line with the next line of the same order (one table, two roles)."""
+    (li,) = tables(spark, d, "lineitem")
+    j = J.self_join(li.select("l_orderkey", "l_linenumber", "l_partkey"), [("l_orderkey", "l_orderkey")],
+                    extra=F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)
+    return j.select(F.col("a.l_orderkey").alias("l_orderkey"), F.col("a.l_linenumber").alias("l_linenumber"),
+                    F.col("a.l_partkey").alias("part_a"), F.col("b.l_partkey").alias("part_b"))
+
+
+@query("c6b_dimension_in_two_roles", """
+SELECT cn.n_name AS customer_nation, sn.n_name AS supplier_nation, CAST(COUNT(*) AS BIGINT) AS n_lines
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN supplier s ON l.l_suppkey = s.s_suppkey
+JOIN nation cn ON c.c_nationkey = cn.n_nationkey JOIN nation sn ON s.s_nationkey = sn.n_nationkey
+GROUP BY 1, 2""")
+def c6b(spark, d):
+    """The nation table in two roles: the customer's nation and the supplier's nation of each line."""
+    li, orders, cust, supp, nation = tables(spark, d, "lineitem", "orders", "customer", "supplier", "nation")
+    cn = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_nation"))
+    sn = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("supplier_nation"))
+    j = J.star_join(li.select("l_orderkey", "l_suppkey"), [
+        (orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")),
+        (cust.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")),
+        (supp.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")),
+        (cn, "c_nationkey"), (sn, "s_nationkey")])
+    return j.groupBy("customer_nation", "supplier_nation").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("c7_semi_join_exists", """
