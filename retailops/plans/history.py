@@ -15,7 +15,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggs import number_rows
 
 WEEKS = 104
 

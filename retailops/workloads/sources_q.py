@@ -9,9 +9,7 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..operators.joins import has
 from ..session import scratch_path
 from ..sources import tables as S
 from .registry import query, tables
