@@ -32,8 +32,22 @@ def _and(conds):
     return reduce(lambda x, y: x & y, conds)
 
 
+def split_by_keys(target: DataFrame, keys: Sequence[str], change_keys: DataFrame,
+                  small_rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """Split ``target`` into (untouched, touched) rows by a key set of at most
+    ``small_rows`` rows, or return None when the key set is larger.
+
+    The key set is broadcast (its size just checked), so both sides are plain
+    map-side hash joins: the target is streamed through, never shuffled.
+    """
+    if change_keys.limit(small_rows + 1).count() > small_rows:
+        return None
+    k = F.broadcast(change_keys.select(*keys))
+    return target.join(k, list(keys), "left_anti"), target.join(k, list(keys), "left_semi")
+
+
 def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op", seq_col: str = "seq",
-                  mode: str = "last") -> DataFrame:
+                  mode: str = "last", small_changes_rows: int = 2_000_000) -> DataFrame:
     """Apply a change set with op codes 1/2 = upsert, 3 = delete.
 
     ``changes`` holds the key, ``op_col``, ``seq_col`` and the target's value
@@ -45,7 +59,11 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op
     * ``"delete_last"``: all upserts, then all deletes (the key ends deleted).
 
     Upserts of one key always take the values of the last upsert by sequence.
-    One aggregate on the change key, one full outer join with the target.
+    Changes are first reduced to one row per key (partial aggregation). When that
+    set has at most ``small_changes_rows`` keys (a nightly feed against a large
+    table), the untouched target rows pass through a broadcast anti join and only
+    the touched rows meet the changes, so the target is never shuffled; a larger
+    change set is merged with one full outer join on the key.
     """
     keys = _keys(keys)
     vals = [c for c in target.columns if c not in keys]
@@ -55,7 +73,9 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op
         F.max(ups).alias("_up"),
         F.max(is_del.cast("int")).alias("_has_del"),
         F.max(F.struct(F.col(seq_col).alias("_s"), is_del.alias("_d"))).alias("_last"))
-    j = target.withColumn("_in_t", F.lit(True)).join(red, keys, "full_outer")
+    split = split_by_keys(target, keys, red, small_changes_rows) if small_changes_rows else None
+    base, untouched = (target, None) if split is None else (split[1], split[0])
+    j = base.withColumn("_in_t", F.lit(True)).join(red, keys, "full_outer")
     if mode == "last":
         keep = F.when(F.col("_last").isNull(), F.lit(True)).otherwise(~F.col("_last._d"))
     elif mode == "delete_first":
@@ -68,7 +88,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op
     sel = [F.col(k) for k in keys]
     for v in vals:
         sel.append(F.when(F.col("_up").isNotNull(), F.col(f"_up.{v}")).otherwise(F.col(v)).alias(v))
-    return out.select(*sel)
+    merged = out.select(*sel)
+    return merged if untouched is None else untouched.select(*target.columns).unionByName(merged.select(*target.columns))
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys) -> DataFrame:

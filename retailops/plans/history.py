@@ -200,23 +200,31 @@ def unknown_periods(changes: DataFrame, cal: DataFrame, period_cols: Sequence[st
 
 
 def load_history(hist: DataFrame, changes: DataFrame, keys: Sequence[str], slot_col: str,
-                 value_col: str, measure: str, current_col: str | None = None, n: int = WEEKS) -> DataFrame:
+                 value_col: str, measure: str, current_col: str | None = None, n: int = WEEKS,
+                 small_changes_rows: int = 2_000_000) -> DataFrame:
     """Put each change value into its slot of the key's history.
 
     Changes are first pivoted to one array of slots 0..n per key (a bounded row
-    per key, map-side partial aggregation), then full-outer joined to the history
-    on the key: one shuffle. Slot 0 goes to ``current_col`` when given; slots
-    outside 0..n are ignored (see ``weeks_ago``/``unknown_periods`` for rejects).
-    A load replaces the slot's value, as the reference's UPDATE does.
+    per key, map-side partial aggregation). When at most ``small_changes_rows``
+    keys are loaded (a daily load against the full history) the untouched history
+    rows pass through a broadcast anti join and only touched rows are merged, so
+    the history is never shuffled; otherwise one full outer join on the key.
+    Slot 0 goes to ``current_col`` when given; slots outside 0..n are ignored (see
+    ``weeks_ago``/``unknown_periods`` for rejects). A load replaces the slot's
+    value, as an UPDATE of that slot would.
     """
+    from .changes import split_by_keys
     ch = _slot_array(changes, keys, slot_col, value_col, 0, n, "_c")
-    j = hist.join(ch, list(keys), "full_outer")
-    base = F.coalesce(F.col(measure), zeros(n))
-    new = F.transform(base, lambda x, i: F.coalesce(F.col("_c")[i + 1], x))
-    out = j.withColumn(measure, F.when(F.col("_c").isNull(), base).otherwise(new))
+    split = split_by_keys(hist, keys, ch, small_changes_rows) if small_changes_rows else None
+    base = hist if split is None else split[1]
+    j = base.join(ch, list(keys), "full_outer")
+    cur = F.coalesce(F.col(measure), zeros(n))
+    new = F.transform(cur, lambda x, i: F.coalesce(F.col("_c")[i + 1], x))
+    out = j.withColumn(measure, F.when(F.col("_c").isNull(), cur).otherwise(new))
     if current_col:
         out = out.withColumn(current_col, F.coalesce(F.col("_c")[0], F.col(current_col), F.lit(0.0)))
-    return out.drop("_c")
+    out = out.drop("_c")
+    return out if split is None else split[0].select(*out.columns).unionByName(out)
 
 
 def sum_arrays(col: str, n: int = WEEKS) -> Column:

@@ -60,3 +60,12 @@ def test_level_sum_equals_finer_sum(spark):
     assert a["a"].h[0] == 4.0 and a["a"].h[1] == 2.0 and a["b"].h[103] == 5.0
     tot = lv["all"].first()
     assert sum(tot.h) == 11.0 and tot.cur == 3.0
+
+
+def test_load_history_small_and_large_paths_agree(spark):
+    hist = _hist(spark, [(k, {(k % 104) + 1: float(k)}, 0.0) for k in range(50)]).withColumnRenamed("cur", "c")
+    ch = spark.createDataFrame([(k, k % 7, float(k) + 0.5) for k in range(40, 60)], "k int, week_ago int, qty double")
+    a = H.load_history(hist, ch, ["k"], "week_ago", "qty", "h", current_col="c", small_changes_rows=1000)
+    b = H.load_history(hist, ch, ["k"], "week_ago", "qty", "h", current_col="c", small_changes_rows=0)
+    key = lambda r: (r.k, tuple(r.h), r.c)
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
