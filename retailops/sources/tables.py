@@ -96,9 +96,43 @@ def bucket_table(df: DataFrame, name: str, keys: Sequence[str], buckets: int, pa
     """
     (df.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys)
        .format("parquet").saveAsTable(name))
+    # statistics after a bulk load: row count and size for the cost-based planner
+    df.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
     return df.sparkSession.table(name)
 
 
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> DataFrame:
+    """Write ``df`` as the new content of ``path`` without ever exposing a half table.
+
+    The new version is written beside the old one; only after that write has
+    succeeded is the old folder renamed away and the new one renamed into place
+    (then the old one is deleted). A failure while writing leaves the old table as
+    it was, and ``df`` may be computed from the very table it replaces, since the
+    old files are still there while it is written.
+    """
+    import uuid
+    spark = df.sparkSession
+    fs, target = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    tag = uuid.uuid4().hex[:12]
+    staging = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__new-{tag}")
+    backup = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old-{tag}")
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(staging.toString())
+    had_old = fs.exists(target)
+    if had_old and not fs.rename(target, backup):
+        raise IOError(f"could not move {path} aside")
+    if not fs.rename(staging, target):
+        if had_old:
+            fs.rename(backup, target)
+        raise IOError(f"could not move the new version into {path}")
+    if had_old:
+        fs.delete(backup, True)
+    return spark.read.parquet(path)
+
+
 def refresh(spark: SparkSession, src_root: str, dst_root: str, names: Iterable[str],
             keep: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None,
             trim: bool = True) -> dict[str, int]:

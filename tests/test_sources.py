@@ -68,3 +68,12 @@ def test_cluster_conf_sizes_partitions():
     c = cluster_conf(100 * 2**40)
     assert int(c["spark.sql.shuffle.partitions"]) == 409601
     assert c["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+
+
+def test_replace_table_swaps_after_write(spark):
+    path = scratch_path(spark, "swap")
+    S.replace_table(spark.range(5), path)
+    cur = spark.read.parquet(path)
+    # the new version is computed from the table it replaces
+    new = S.replace_table(cur.select((F.col("id") + 100).alias("id")), path)
+    assert sorted(r.id for r in new.collect()) == [100, 101, 102, 103, 104]
