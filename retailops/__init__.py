@@ -33,6 +33,6 @@ from .session import cluster_conf, cut_lineage, ensure_checkpoint_dir, get_spark
 from .sources.tables import (archive, backup_generations, bucket_table, format_fixed, keys_in, parse_fixed,
                              read_remote, read_table, refresh, replace_table, rows, rtrim_strings, sample_rows, snapshot, stage,
                              write_csv)
-from .streaming.ingest import ingest_changes, write_change_files
+from .streaming.ingest import ingest_changes, read_state, write_change_files
 
 __all__ = [n for n in dir() if not n.startswith("_")]

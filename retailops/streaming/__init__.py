@@ -1,3 +1,3 @@
-from .ingest import ingest_changes, write_change_files
+from .ingest import ingest_changes, read_state, write_change_files
 
-__all__ = ["ingest_changes", "write_change_files"]
+__all__ = ["ingest_changes", "read_state", "write_change_files"]

@@ -41,10 +41,10 @@ def _batches(spark: SparkSession, root: str) -> list[int]:
     out = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("batch="):
-            fs_ok = fs.exists(jvm.org.apache.hadoop.fs.Path(f"{st.getPath().toString()}/_SUCCESS"))
-            if fs_ok:
-                out.append(int(name.split("=", 1)[1]))
+        val = name.split("=", 1)[1] if name.startswith("batch=") else ""
+        if st.isDirectory() and val.lstrip("-").isdigit():  # skips batch=N.tmp staging folders
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{st.getPath().toString()}/_SUCCESS")):
+                out.append(int(val))
     return sorted(out)
 
 
@@ -53,15 +53,34 @@ def _latest(spark: SparkSession, root: str, below: int | None = None) -> str | N
     return f"{root}/batch={ids[-1]}" if ids else None
 
 
+def read_state(spark: SparkSession, work_dir: str, schema=None) -> tuple[DataFrame, DataFrame | None]:
+    """The latest committed ``(state, pending)`` of an ingest folder."""
+    state = spark.read.parquet(_latest(spark, f"{work_dir}/state")).drop("_last_seq")
+    pend = _latest(spark, f"{work_dir}/pending")
+    if pend:
+        return state, spark.read.parquet(pend)
+    return state, (spark.createDataFrame([], schema) if schema is not None else None)
+
+
 def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFrame, keys: Sequence[str],
                    work_dir: str, ts_col: str, settle_seconds: float, op_col: str = "op",
                    seq_col: str = "seq", busy: DataFrame | None = None, max_files_per_trigger: int = 1,
-                   mode: str = "last", to_changes=None) -> tuple[DataFrame, DataFrame]:
+                   mode: str = "last", to_changes=None, processing_time: str | None = None,
+                   verify_counts: bool = True):
     """Stream the change files under ``source_dir`` into ``target``.
 
     ``to_changes`` maps a raw micro-batch to change rows (keys, op, seq, ts and the
     target's value columns); by default the raw rows are used as they are.
-    Returns the final ``(state, pending)`` DataFrames.
+
+    By default the stream processes what is there and stops (``availableNow``) and
+    the final ``(state, pending)`` DataFrames are returned. With
+    ``processing_time`` (e.g. ``"10 seconds"``) the query keeps running and the
+    ``StreamingQuery`` is returned; ``read_state(spark, work_dir)`` reads the
+    latest committed state at any time.
+
+    ``verify_counts`` checks in every batch that the rows taken in equal the rows
+    applied plus the rows left pending (the reference's insert-equals-delete
+    check), failing the batch otherwise.
     """
     keys = list(keys)
     state_root, pending_root = f"{work_dir}/state", f"{work_dir}/pending"
@@ -87,6 +106,13 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
         if busy_keys is not None:
             ready, deferred = split_deferred(ready, busy_keys.withColumn("status_code", F.lit(20)), keys)
             young = young.unionByName(deferred)
+        young.write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}.tmp")
+        if verify_counts:
+            n_in = incoming.count()
+            n_ready = ready.count()
+            n_pending = spark.read.parquet(f"{pending_root}/batch={batch_id}.tmp").count()
+            if n_in != n_ready + n_pending:
+                raise RuntimeError(f"batch {batch_id}: {n_in} rows in, {n_ready} applied + {n_pending} pending")
         # drop changes not newer than what the key already has
         seen = state.select(*keys, "_last_seq")
         ready = (ready.join(seen, keys, "left")
@@ -94,17 +120,17 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
                       .drop("_last_seq").withColumn("_last_seq", F.col(seq_col).cast("long")))
         new_state = apply_changes(state, ready, keys, op_col, seq_col, mode)
         new_state.write.mode("overwrite").parquet(f"{state_root}/batch={batch_id}")
-        young.write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}")
+        # the pending table of this batch becomes visible only after the state is written
+        spark.read.parquet(f"{pending_root}/batch={batch_id}.tmp") \
+             .write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}")
 
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    w = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .option("recursiveFileLookup", "true").parquet(source_dir)
-              .writeStream.foreachBatch(process).option("checkpointLocation", f"{work_dir}/_checkpoint")
-              .trigger(availableNow=True).start())
-    q.awaitTermination()
-    state = spark.read.parquet(_latest(spark, state_root)).drop("_last_seq")
-    pend = _latest(spark, pending_root)
-    pending = spark.read.parquet(pend) if pend else spark.createDataFrame([], target.schema)
-    return state, pending
+              .writeStream.foreachBatch(process).option("checkpointLocation", f"{work_dir}/_checkpoint"))
+    if processing_time:
+        return w.trigger(processingTime=processing_time).start()
+    w.trigger(availableNow=True).start().awaitTermination()
+    return read_state(spark, work_dir, target.schema)
 
 
 def write_change_files(df: DataFrame, dest: str, ts_col: str, n_files: int) -> None:

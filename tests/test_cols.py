@@ -75,15 +75,17 @@ def _py_check(g: str) -> str:
 
 
 def test_check_digit_matches_rule_and_prefix_override(spark):
+    # weighted sum 1*3 + 7*1 = 10: divisible by ten gives check digit 0
     rnd = random.Random(7)
     codes = ["".join(rnd.choice("0123456789") for _ in range(13)) for _ in range(200)]
-    codes += ["0040012345678", "0041099999999", "1804467700025"]
+    codes += ["0040012345678", "0041099999999", "1804467700025", "1700000000000"]
     df = spark.createDataFrame([(c,) for c in codes], "g string")
     got = {r.g: r.d for r in df.select("g", C.check_digit("g", ("00400", "00410")).alias("d")).collect()}
     for c in codes:
         want = "0" if c.startswith(("00400", "00410")) else _py_check(c)
         assert got[c] == want, c
     assert got["1804467700025"] == "2"
+    assert got["1700000000000"] == "0"
 
 
 def test_code_round_trip(spark):

@@ -25,3 +25,23 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, batch.collect()))
     # nothing lost: every change is either applied (<= cutoff) or still pending
     assert pending.count() == ch.where(F.col("ts") > cut).count()
+
+
+def test_continuous_trigger_and_read_state(spark):
+    from retailops.session import scratch_path
+    from retailops.streaming.ingest import ingest_changes, read_state, write_change_files
+    ev = read_table(spark, SF_SMALL, "events")
+    cust = read_table(spark, SF_SMALL, "customer")
+    src, work = scratch_path(spark, "feed"), scratch_path(spark, "ingest")
+    write_change_files(ev, src, "ts", 3)
+    target = cust.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("balance"),
+                         F.lit("none").alias("last_type"))
+    q = ingest_changes(spark, src, ev.schema, target, ["user_id"], work, ts_col="ts", settle_seconds=10,
+                       to_changes=_to_changes, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    state, pending = read_state(spark, work)
+    batch_state, _ = run_stream(spark, SF_SMALL, n_files=3)
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, batch_state.collect()))
