@@ -108,7 +108,9 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] | None =
     succeeded is the old folder renamed away and the new one renamed into place
     (then the old one is deleted). A failure while writing leaves the old table as
     it was, and ``df`` may be computed from the very table it replaces, since the
-    old files are still there while it is written.
+    old files are still there while it is written. Folder renames are atomic on
+    HDFS-like file systems; on object stores, where a rename is a copy, write
+    versioned paths (``.../v=<stamp>``) and point readers at the newest instead.
     """
     import uuid
     spark = df.sparkSession
