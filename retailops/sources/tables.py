@@ -48,6 +48,22 @@ def read_table(spark: SparkSession, root: str, name: str,
     return rtrim_strings(df) if trim else df
 
 
+def register_environment(spark: SparkSession, env: str, root: str, names: Iterable[str]) -> list[str]:
+    """Make ``env.<name>`` resolvable in Spark SQL for every table under ``root``.
+
+    Creates the database ``env`` (e.g. ``prd``, ``accp``) and one external parquet
+    table per name pointing at ``root`` (no data is copied), so SQL written against
+    environment-qualified names runs as ``spark.sql("select ... from prd.orders")``.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {env}")
+    out = []
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {env}.{name}")
+        spark.sql(f"CREATE TABLE {env}.{name} USING parquet LOCATION '{table_path(root, name)}'")
+        out.append(f"{env}.{name}")
+    return out
+
+
 def read_remote(spark: SparkSession, source: str | Mapping[str, str], table: str,
                 trim: bool = True) -> DataFrame:
     """A2: a table of another system.

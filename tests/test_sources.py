@@ -77,3 +77,14 @@ def test_replace_table_swaps_after_write(spark):
     # the new version is computed from the table it replaces
     new = S.replace_table(cur.select((F.col("id") + 100).alias("id")), path)
     assert sorted(r.id for r in new.collect()) == [100, 101, 102, 103, 104]
+
+
+def test_environment_tables_in_spark_sql(spark):
+    import __spark_entry__ as E
+    S.register_environment(spark, "prd", SF_SMALL, ["orders", "lineitem", "customer", "nation", "region"])
+    sql = """SELECT o.o_orderkey FROM prd.orders o
+             WHERE o.o_orderdate < DATE '2001-08-01' - INTERVAL 90 DAY
+               AND NOT EXISTS (SELECT 1 FROM prd.lineitem l WHERE l.l_orderkey = o.o_orderkey)"""
+    got = sorted(r.o_orderkey for r in spark.sql(sql).collect())
+    want = sorted(r.o_orderkey for r in E.entry(spark).collect())
+    assert got == want and len(got) > 0
