@@ -32,7 +32,7 @@ from .plans.reports import (classify_hosts, cost_list, explode_sets, feed, in_st
 from .session import cluster_conf, cut_lineage, ensure_checkpoint_dir, get_spark, scratch_path
 from .sources.tables import (archive, backup_generations, bucket_table, format_fixed, keys_in, parse_fixed,
                              read_remote, read_table, refresh, register_environment, replace_table, rows, rtrim_strings, sample_rows, snapshot, stage,
-                             write_csv)
+                             write_csv, write_text)
 from .streaming.ingest import ingest_changes, read_state, write_change_files
 
 __all__ = [n for n in dir() if not n.startswith("_")]

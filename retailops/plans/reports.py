@@ -43,9 +43,13 @@ def explode_sets(items: DataFrame, components: DataFrame, cost: DataFrame, item_
     return item_rows.unionByName(comp_rows).distinct()
 
 
-def feed(df: DataFrame, layout: Sequence[tuple], name: str = "record") -> DataFrame:
-    """Outbound fixed-width feed: one record per row (see ``format_fixed``)."""
-    return df.select(format_fixed(layout).alias(name))
+def feed(df: DataFrame, layout: Sequence[tuple], name: str = "record", order: Sequence | None = None) -> DataFrame:
+    """Outbound fixed-width feed: one record per row (see ``format_fixed``).
+
+    With ``order`` the records come out sorted (a range-partitioned sort, so the
+    part files written by ``write_text`` are in order one after another)."""
+    out = df.orderBy(*order) if order else df
+    return out.select(format_fixed(layout).alias(name))
 
 
 def item_store_detail(base: DataFrame, fact: DataFrame, keys: Sequence[str],

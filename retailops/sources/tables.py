@@ -237,6 +237,12 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",") ->
     df.write.mode("overwrite").option("header", header).option("sep", sep).csv(path)
 
 
+def write_text(df: DataFrame, path: str, col: str = "record") -> None:
+    """A11 sink: one fixed-width record per line (a folder of part files, in
+    partition order, which is the sort order after an ``orderBy``)."""
+    df.select(col).write.mode("overwrite").text(path)
+
+
 def parse_fixed(df: DataFrame, col: str, layout: Sequence[tuple],
                 keep: Sequence[str] = ()) -> DataFrame:
     """A10: split fixed-position text into typed columns.

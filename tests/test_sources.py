@@ -88,3 +88,12 @@ def test_environment_tables_in_spark_sql(spark):
     got = sorted(r.o_orderkey for r in spark.sql(sql).collect())
     want = sorted(r.o_orderkey for r in E.entry(spark).collect())
     assert got == want and len(got) > 0
+
+
+def test_ordered_feed_written_as_text(spark):
+    from retailops.plans.reports import feed
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "k int, t string").repartition(3)
+    path = scratch_path(spark, "feed")
+    S.write_text(feed(df, [("k", 3, "num"), ("t", 2, "text")], order=["k"]), path)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert sorted(lines) == ["001a ", "002b ", "003c "]
