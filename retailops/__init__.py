@@ -27,7 +27,8 @@ from .plans.history import (advance_week, calendar_from_range, from_long, load_h
                             order_weeks, roll_history, rollup_levels, sum_arrays, to_long, unknown_periods,
                             weeks_ago, widen_history)
 from .plans.reports import (classify_hosts, cost_list, explode_sets, feed, in_stock, item_store_detail,
-                            missing_changes, price_list, price_timeline, release_feed, sectioned_report,
+                            missing_changes, name_of, price_list, price_timeline, release_feed, release_report,
+                            sectioned_report,
                             shelf_totals, version_in_force)
 from .session import cluster_conf, cut_lineage, ensure_checkpoint_dir, get_spark, scratch_path
 from .sources.tables import (archive, backup_generations, bucket_table, format_fixed, keys_in, parse_fixed,

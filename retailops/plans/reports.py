@@ -187,3 +187,38 @@ def classify_hosts(c, rules: Sequence[tuple[str, str]], default: str = "OTHER")
     for pattern, site in rules:
         expr = F.when(col.like(pattern), F.lit(site)) if expr is None else expr.when(col.like(pattern), F.lit(site))
     return expr.otherwise(F.lit(default))
+
+
+def release_report(released: DataFrame, places: DataFrame, place_key: str, group_col: str,
+                   detail_cols: Sequence[str], qty_col: str, keep: Column | None = None,
+                   csv_path: str | None = None) -> DataFrame:
+    """Released quantities for every place, with a subtotal per group.
+
+    ``released`` (place key, quantity) is right joined to ``places`` so places with
+    nothing released still appear with 0; ``keep`` filters on that defaulted
+    quantity (the kept side of the outer join); detail rows and one subtotal row per
+    ``group_col`` are listed together and optionally written as CSV.
+    """
+    from ..operators.aggs import with_subtotals
+    from ..sources.tables import write_csv
+    j = released.join(places, place_key, "right").withColumn(qty_col, F.coalesce(F.col(qty_col), F.lit(0.0)))
+    if keep is not None:
+        j = j.where(keep)
+    out = with_subtotals(j, group_col, list(detail_cols), [qty_col])
+    if csv_path:
+        write_csv(out, csv_path)
+    return out
+
+
+def name_of(df: DataFrame, code_col: str, level: str, dims: Mapping[str, tuple[DataFrame, str, str]],
+            alias: str = "name") -> DataFrame:
+    """Name of a code at a chosen hierarchy level.
+
+    ``dims`` maps a level to ``(dimension, key column, name column)``; the code in
+    ``code_col`` is looked up in the level's dimension (null when absent).
+    """
+    from ..operators.joins import lookup
+    dim, key, name = dims[level]
+    d = dim.select(F.col(key).alias(code_col), F.col(name).alias(alias))
+    return lookup(df, d, code_col, alias)
+

@@ -225,14 +225,12 @@ d AS (SELECT r.r_name, n.n_name, coalesce(rel.qty, 0) AS qty FROM rel RIGHT JOIN
 SELECT r_name, n_name, round(qty, 2) AS qty, 'detail' AS row_kind FROM d
 UNION ALL SELECT r_name, NULL, round(SUM(qty), 2), 'subtotal' FROM d GROUP BY r_name""")
 def i42(spark, d):
-    from ..operators.aggs import with_subtotals
     li, orders, supp, nation, region = tables(spark, d, "lineitem", "orders", "supplier", "nation", "region")
     rel = (li.join(orders.where(F.col("o_orderstatus") == "F"), F.col("l_orderkey") == F.col("o_orderkey"))
              .where(F.year("l_shipdate") == 2001).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-             .groupBy("s_nationkey").agg(F.sum("l_quantity").alias("qty")))
-    j = rel.join(nation, rel.s_nationkey == nation.n_nationkey, "right").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    j = j.withColumn("qty", F.coalesce(F.col("qty"), F.lit(0.0))).where(F.col("qty") < 1800)
-    out = with_subtotals(j, "r_name", ["n_name"], ["qty"])
+             .groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sum("l_quantity").alias("qty")))
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    out = R.release_report(rel, places, "n_nationkey", "r_name", ["n_name"], "qty", keep=F.col("qty") < 1800)
     return out.withColumn("qty", F.round("qty", 2))
 
 
@@ -277,10 +275,12 @@ SELECT s.s_suppkey, n.n_name AS nation_name, r.r_name AS region_name
 FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
 def i49(spark, d):
     supp, nation, region = tables(spark, d, "supplier", "nation", "region")
-    x = J.lookup_map(supp.select("s_suppkey", F.col("s_nationkey").alias("nation_code")), {
-        "nation_name": (nation.withColumnRenamed("n_nationkey", "nation_code"), "nation_code", "n_name"),
-        "region_code": (nation.withColumnRenamed("n_nationkey", "nation_code"), "nation_code", "n_regionkey")})
-    x = J.lookup_map(x, {"region_name": (region.withColumnRenamed("r_regionkey", "region_code"), "region_code", "r_name")})
+    levels = {"nation": (nation, "n_nationkey", "n_name"), "region": (region, "r_regionkey", "r_name")}
+    x = supp.select("s_suppkey", F.col("s_nationkey").alias("code"))
+    x = R.name_of(x, "code", "nation", levels, alias="nation_name")
+    x = J.lookup(x, nation.select(F.col("n_nationkey").alias("code"), F.col("n_regionkey").alias("region_code")),
+                 "code", "region_code")
+    x = R.name_of(x.drop("code").withColumnRenamed("region_code", "code"), "code", "region", levels, alias="region_name")
     return x.select("s_suppkey", "nation_name", "region_name")
 
 
