@@ -73,14 +73,19 @@ def item_store_detail(base: DataFrame, fact: DataFrame, keys: Sequence[str],
 
 
 def in_stock(df: DataFrame, keys: Sequence[str], in_stock_cond: Column, exclude: Column | None = None,
-             scale: int = 2) -> DataFrame:
-    """In-stock percentage per group, worst first, one pass.
+             item_col: str | None = None, scale: int = 2) -> DataFrame:
+    """In-stock percentage per group (e.g. source x store), worst first, one pass.
 
-    ``exclude`` drops rows from both numerator and denominator (the reference's
+    Per group: rows in total, in stock and out of stock, the percentage in stock
+    and, with ``item_col``, the lowest out-of-stock item (a pointer for the
+    buyer). ``exclude`` drops rows from numerator and denominator (the
     adjustments)."""
     x = df if exclude is None else df.where(~exclude)
-    g = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"),
-                             F.sum(F.when(in_stock_cond, 1).otherwise(0)).cast("long").alias("n_in_stock"))
+    aggs = [F.count(F.lit(1)).alias("n_total"),
+            F.sum(F.when(in_stock_cond, 1).otherwise(0)).cast("long").alias("n_in_stock")]
+    if item_col:
+        aggs.append(F.min(F.when(~in_stock_cond, F.col(item_col))).alias("min_out_item"))
+    g = x.groupBy(*keys).agg(*aggs).withColumn("n_out_of_stock", F.col("n_total") - F.col("n_in_stock"))
     g = g.withColumn("pct_in_stock", F.round(F.when(F.col("n_total") > 0, F.col("n_in_stock") * 100.0 / F.col("n_total")), scale))
     return g.orderBy("pct_in_stock", *keys)
 

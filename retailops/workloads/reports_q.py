@@ -72,6 +72,8 @@ def i13(spark, d):
 @query("i14_in_stock_pct", """
 SELECT s.s_suppkey, c.c_nationkey, CAST(COUNT(*) AS BIGINT) AS n_total,
   CAST(SUM(CASE WHEN l.l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_in_stock,
+  CAST(SUM(CASE WHEN l.l_linestatus = 'F' THEN 0 ELSE 1 END) AS BIGINT) AS n_out_of_stock,
+  MIN(CASE WHEN NOT (l.l_linestatus = 'F') THEN l.l_partkey END) AS min_out_item,
   round(SUM(CASE WHEN l.l_linestatus = 'F' THEN 1 ELSE 0 END) * 100.0 / COUNT(*), 2) AS pct_in_stock
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN supplier s ON l.l_suppkey = s.s_suppkey
@@ -81,7 +83,8 @@ def i14(spark, d):
     j = J.star_join(li, [(orders, F.col("l_orderkey") == F.col("o_orderkey")),
                          (cust, F.col("o_custkey") == F.col("c_custkey")),
                          (supp, F.col("l_suppkey") == F.col("s_suppkey"))])
-    return R.in_stock(j, ["s_suppkey", "c_nationkey"], F.col("l_linestatus") == "F", exclude=F.col("l_quantity") < 2)
+    return R.in_stock(j, ["s_suppkey", "c_nationkey"], F.col("l_linestatus") == "F", exclude=F.col("l_quantity") < 2,
+                      item_col="l_partkey")
 
 
 _IV_SQL = """iv AS (SELECT l_partkey AS p_key, CAST(date_trunc('month', l_shipdate) AS DATE) AS valid_from,
