@@ -66,7 +66,9 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op
     change set is merged with one full outer join on the key.
     """
     keys = _keys(keys)
-    vals = [c for c in target.columns if c not in keys]
+    # value columns the feed carries are replaced; any other target column keeps
+    # its value (null for a newly inserted key)
+    vals = [c for c in target.columns if c not in keys and c in changes.columns]
     is_del = F.col(op_col) == DELETE_OP
     ups = F.when(~is_del, F.struct(F.col(seq_col).alias("_s"), *[F.col(v) for v in vals]))
     red = changes.groupBy(*keys).agg(
@@ -85,9 +87,12 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op
     else:
         raise ValueError(mode)
     out = j.where(keep)
-    sel = [F.col(k) for k in keys]
-    for v in vals:
-        sel.append(F.when(F.col("_up").isNotNull(), F.col(f"_up.{v}")).otherwise(F.col(v)).alias(v))
+    sel = []
+    for c in target.columns:
+        if c in vals:
+            sel.append(F.when(F.col("_up").isNotNull(), F.col(f"_up.{c}")).otherwise(F.col(c)).alias(c))
+        else:
+            sel.append(F.col(c))
     merged = out.select(*sel)
     return merged if untouched is None else untouched.select(*target.columns).unionByName(merged.select(*target.columns))
 

@@ -69,3 +69,23 @@ def test_load_history_small_and_large_paths_agree(spark):
     b = H.load_history(hist, ch, ["k"], "week_ago", "qty", "h", current_col="c", small_changes_rows=0)
     key = lambda r: (r.k, tuple(r.h), r.c)
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+
+
+def test_multi_week_roll_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    row = st.tuples(st.dictionaries(st.integers(1, N), st.floats(-5, 5, allow_nan=False).map(lambda x: round(x)),
+                                    max_size=4),
+                    st.integers(-2, 2))
+
+    @settings(max_examples=8, deadline=None)
+    @given(rows=st.lists(row, min_size=1, max_size=6), weeks=st.integers(1, N))
+    def check(rows, weeks):
+        df = _hist(spark, [(i, s, c) for i, (s, c) in enumerate(rows)])
+        step = df
+        for _ in range(min(weeks, 3)):
+            step = H.roll_history(step, {"h": ("cur", True)})
+        multi = H.roll_history(df, {"h": ("cur", True)}, weeks=min(weeks, 3))
+        key = lambda r: (r.k, tuple(r.h), r.cur)
+        assert sorted(map(key, step.collect())) == sorted(map(key, multi.collect()))
+    check()
