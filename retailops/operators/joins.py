@@ -23,9 +23,12 @@ def _keys(on) -> list[str]:
 def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
-    ``limit(max_rows + 1).count()`` stops reading as soon as the bound is passed, so
-    the check is cheap even when the answer is "too big"; beyond the bound the
-    frame is returned unhinted and the planner shuffles it.
+    The check is ``limit(max_rows + 1).count()``: every task stops after
+    ``max_rows + 1`` rows of its split, so it is meant for sides that are small
+    by nature (calendars, literal key lists, reduced change sets), not as a probe
+    of a large table. Beyond the bound the frame is returned unhinted and the
+    planner shuffles it (AQE still converts to a broadcast at run time from the
+    measured size when that is small enough).
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
