@@ -81,3 +81,37 @@ def test_in_stock_and_item_store_detail(spark):
     d = {r.s: (r.on_order, r.ever_f) for r in R.item_store_detail(
         base, df, ["s"], {"on_order": (F.col("st") == "O", F.col("q"))}, {"ever_f": F.col("st") == "F"}).collect()}
     assert d == {1: (1.0, "Y"), 2: (0.0, "Y"), 3: (0.0, "N")}
+
+
+def test_price_list_codes_current_and_future(spark):
+    iv = spark.createDataFrame([(1, dt.date(2024, 1, 1), dt.date(2024, 2, 1), 1.5), (1, dt.date(2024, 2, 1), dt.date(2024, 3, 1), 2.25),
+                                (1, dt.date(2023, 1, 1), dt.date(2023, 2, 1), 9.0)], "k int, f date, t date, p double")
+    got = sorted((r.price_code, r.price_digits) for r in R.price_list(iv, ["k"], "f", "t", "p", dt.date(2024, 1, 15), 5).collect())
+    assert got == [("C", "00150"), ("F", "00225")]
+
+
+def test_missing_changes_exclusions_and_inclusions(spark):
+    model = spark.createDataFrame([(2, 10, "PROMO", "B1"), (2, 11, "PROMO", "B9"), (2, 12, "STD", "B9"), (2, 13, "STD", "B9")],
+                                  "target int, item int, type string, brand string")
+    target = spark.createDataFrame([(2, 13)], "target int, item int")
+    miss = R.missing_changes(model, target, ["target", "item"], exclude=F.col("type") == "PROMO",
+                             include=F.col("brand") == "B1")
+    assert sorted(r.item for r in miss.collect()) == [10, 12]
+
+
+def test_cost_list_latest_average_and_pending(spark):
+    cur = spark.createDataFrame([(1, 5.0)], "k int, cost double")
+    pnd = spark.createDataFrame([(1, 6.0), (2, 7.0)], "k int, cost double")
+    hist = spark.createDataFrame([(1, 1, 4.0), (1, 3, 4.5), (1, 2, 9.0)], "k int, m int, avg double")
+    got = sorted(tuple(r) for r in R.cost_list(cur, pnd, hist, ["k"], "m", "avg").collect())
+    assert got == [(1, 5.0, 4.5, "CURRENT"), (1, 6.0, 0.0, "PENDING"), (2, 7.0, 0.0, "PENDING")]
+
+
+def test_shelf_totals_and_site_classes(spark):
+    pos = spark.createDataFrame([(1, 2, 3), (1, 1, 3), (2, 5, 1)], "item int, facings int, depth int")
+    got = {r.item: (r.facings, r.capacity, r.min_fill) for r in
+           R.shelf_totals(pos, ["item"], F.col("facings"), F.col("depth")).collect()}
+    assert got == {1: (3, 9, 5), 2: (5, 5, 3)}
+    hosts = spark.createDataFrame([("pos-store12",), ("web01",), ("db9",)], "h string")
+    sites = [r.s for r in hosts.select(R.classify_hosts("h", [("pos-%", "STORE"), ("web%", "WEB")]).alias("s")).collect()]
+    assert sites == ["STORE", "WEB", "OTHER"]
