@@ -89,3 +89,21 @@ def test_multi_week_roll_property(spark):
         key = lambda r: (r.k, tuple(r.h), r.cur)
         assert sorted(map(key, step.collect())) == sorted(map(key, multi.collect()))
     check()
+
+
+def test_three_measures_roll_with_carry_reset_and_extra_prune_columns(spark):
+    z = [0.0] * N
+    data = [
+        (1, z, 5.0, z, 2.0, z, 0.0, 0.0),          # on hand carries, sales resets
+        (2, z, 0.0, z, 0.0, z, 0.0, 7.0),          # only on order: survives through prune_also
+        (3, z, 0.0, z, 0.0, z, 0.0, 0.0),          # nothing at all: pruned
+    ]
+    df = spark.createDataFrame(data, "k int, oh array<double>, oh_cur double, sls array<double>, wtd double, "
+                                     "reg array<double>, reg_wtd double, on_order double")
+    out = H.roll_history(df, {"oh": ("oh_cur", False), "sls": ("wtd", True), "reg": ("reg_wtd", True)},
+                         prune_also=["on_order"], weeks=2)
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == {1, 2}
+    assert got[1].oh[:3] == [5.0, 5.0, 0.0] and got[1].oh_cur == 5.0
+    assert got[1].sls[:3] == [0.0, 2.0, 0.0] and got[1].wtd == 0.0
+    assert got[2].on_order == 7.0
