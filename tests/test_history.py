@@ -107,3 +107,23 @@ def test_three_measures_roll_with_carry_reset_and_extra_prune_columns(spark):
     assert got[1].oh[:3] == [5.0, 5.0, 0.0] and got[1].oh_cur == 5.0
     assert got[1].sls[:3] == [0.0, 2.0, 0.0] and got[1].wtd == 0.0
     assert got[2].on_order == 7.0
+
+
+def test_roll_then_unroll_returns_the_history(spark):
+    # unrolling k weeks = reading slots k+1.. of the rolled array; they equal slots 1..104-k before
+    df = _hist(spark, [(1, {1: 1.0, 50: 2.0, 100: 3.0}, 4.0), (2, {2: 5.0}, 0.0)])
+    k = 10
+    before = {r.k: r for r in df.collect()}
+    after = {r.k: r for r in H.roll_history(df, {"h": ("cur", True)}, weeks=k).collect()}
+    for key, r in after.items():
+        assert r.h[k:] == before[key].h[:N - k]
+        assert r.h[k - 1] == before[key].cur
+
+
+def test_level_totals_agree_on_driver_tables(spark):
+    from conftest import SF_SMALL
+    from retailops.workloads.history_q import d12
+    out = d12(spark, SF_SMALL).groupBy("level").agg(F.round(F.sum("value"), 2).alias("t")).collect()
+    totals = {r.level: r.t for r in out}
+    assert set(totals) == {"supplier", "nation", "region"}
+    assert totals["supplier"] == totals["nation"] == totals["region"]
