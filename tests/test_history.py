@@ -127,3 +127,23 @@ def test_level_totals_agree_on_driver_tables(spark):
     totals = {r.level: r.t for r in out}
     assert set(totals) == {"supplier", "nation", "region"}
     assert totals["supplier"] == totals["nation"] == totals["region"]
+
+
+def test_calendar_order_advance_slots_and_rejects(spark):
+    import datetime as dt
+    cal = H.order_weeks(H.month_calendar(spark, dt.date(2023, 11, 5), dt.date(2024, 2, 20)), ["yr", "mo"])
+    rows = [(r.yr, r.mo, r.week_order) for r in cal.orderBy("week_order").collect()]
+    assert rows == [(2023, 11, 1), (2023, 12, 2), (2024, 1, 3), (2024, 2, 4)]
+    flagged = cal.withColumn("current_week", F.when((F.col("yr") == 2024) & (F.col("mo") == 1), "Y").otherwise("N"))
+    assert [(r.yr, r.mo) for r in H.advance_week(flagged).where("current_week = 'Y'").collect()] == [(2024, 2)]
+    ch = spark.createDataFrame([(1, 2023, 12, 5.0), (1, 2024, 2, 1.0), (2, 2022, 1, 9.0)], "k int, yr int, mo int, qty double")
+    slots = {(r.k, r.week_ago) for r in H.weeks_ago(ch, cal, ["yr", "mo"], {"yr": 2024, "mo": 2}).collect()}
+    assert slots == {(1, 2), (1, 0)}
+    assert [(r.k, r.yr) for r in H.unknown_periods(ch, cal, ["yr", "mo"]).collect()] == [(2, 2022)]
+
+
+def test_daily_calendar_fiscal_columns(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.date(2024, 1, 31),), (dt.date(2024, 2, 1),)], "d date")
+    cal = {r.date: (r.fiscal_year, r.fiscal_period) for r in H.calendar_from_range(df, "d", fy_start_month=2).collect()}
+    assert cal == {dt.date(2024, 1, 31): (2024, 12), dt.date(2024, 2, 1): (2025, 1)}
