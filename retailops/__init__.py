@@ -26,7 +26,7 @@ from .plans.changes import (append, apply_changes, assign_keys, count_check, del
 from .plans.history import (advance_week, calendar_from_range, from_long, load_history, month_calendar,
                             order_weeks, roll_history, rollup_levels, sum_arrays, to_long, unknown_periods,
                             weeks_ago, widen_history)
-from .plans.reports import (classify_hosts, cost_list, explode_sets, feed, in_stock, item_store_detail,
+from .plans.reports import (classify_hosts, cost_list, explode_sets, feed, fix_batch, in_stock, item_store_detail,
                             missing_changes, name_of, price_list, price_timeline, release_feed, release_report,
                             sectioned_report,
                             shelf_totals, version_in_force)

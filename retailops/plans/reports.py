@@ -153,6 +153,21 @@ def shelf_totals(positions: DataFrame, keys: Sequence[str], facings: Column, cap
     return g.withColumn("min_fill", F.ceil(F.col("capacity") * F.lit(min_fill_pct / 100.0)).cast("long"))
 
 
+def fix_batch(queue: DataFrame, id_col: str, high_water=None) -> tuple[DataFrame, object]:
+    """Section 3.3: the highest queued id fixes the batch.
+
+    The high-water mark is read once (one-row aggregate) unless given, and the
+    batch is the queued rows up to it: rows queued while the batch runs wait for
+    the next run, and re-running with the same mark repeats the same batch.
+    Returns ``(batch, high_water)``.
+    """
+    if high_water is None:
+        high_water = queue.agg(F.max(id_col)).first()[0]
+    if high_water is None:
+        return queue.limit(0), None
+    return queue.where(F.col(id_col) <= F.lit(high_water)), high_water
+
+
 def release_feed(pack_rows: DataFrame, detail_rows: DataFrame, order: Sequence[str], base_ts,
                  layout: Sequence[tuple]) -> DataFrame:
     """Rows released from vendor packs and from detail lines, unioned without

@@ -115,3 +115,12 @@ def test_shelf_totals_and_site_classes(spark):
     hosts = spark.createDataFrame([("pos-store12",), ("web01",), ("db9",)], "h string")
     sites = [r.s for r in hosts.select(R.classify_hosts("h", [("pos-%", "STORE"), ("web%", "WEB")]).alias("s")).collect()]
     assert sites == ["STORE", "WEB", "OTHER"]
+
+
+def test_fix_batch_high_water(spark):
+    q = spark.createDataFrame([(1,), (2,), (3,)], "rid int")
+    batch, hw = R.fix_batch(q, "rid")
+    assert hw == 3 and batch.count() == 3
+    later = q.unionByName(spark.createDataFrame([(4,)], "rid int"))
+    again, _ = R.fix_batch(later, "rid", high_water=hw)
+    assert sorted(r.rid for r in again.collect()) == [1, 2, 3]
