@@ -211,6 +211,7 @@ FROM n""")
 def i41(spark, d):
     orders, li, part = tables(spark, d, "orders", "lineitem", "part")
     rel = orders.where((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= F.lit(_dt.date(2001, 1, 1))))
+    rel, _ = R.fix_batch(rel, "o_orderkey")  # the highest queued release fixes this batch
     lines = li.join(rel.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi") \
               .join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     promo = F.col("p_type") == "PROMO"
