@@ -211,3 +211,31 @@ def i45(spark, d):
                            must_lack=[(returned, F.col("p_partkey") == F.col("l_partkey"))],
                            must_have=[(sold, F.col("p_partkey") == F.col("l_partkey"))])
     return picked.orderBy("p_partkey").limit(10)
+
+
+@query("i5b_authorized_items_without_activity", f"""
+WITH {_CT_SQL},
+codes AS (SELECT DISTINCT tbl_elem_id AS code FROM ct WHERE tbl_id = 'F026' AND substr(tbl_elem_text, 26, 1) = 'Y'),
+j AS (SELECT l.*, s.s_nationkey FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey),
+auth AS (SELECT DISTINCT j.l_partkey, j.s_nationkey, p.p_type FROM j JOIN part p ON j.l_partkey = p.p_partkey
+         WHERE substr(p.p_type, 1, 2) || lpad(CAST(p.p_size AS VARCHAR), 2, '0') IN (SELECT code FROM codes))
+SELECT a.l_partkey, a.s_nationkey, a.p_type FROM auth a
+WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.l_partkey = a.l_partkey AND j.s_nationkey = a.s_nationkey AND j.l_linestatus = 'O')
+  AND NOT EXISTS (SELECT 1 FROM j WHERE j.l_partkey = a.l_partkey AND j.s_nationkey = a.s_nationkey
+                  AND j.l_shipdate >= DATE '2001-08-01' - INTERVAL 365 DAY AND j.l_shipdate < DATE '2001-08-01')""")
+def i5b(spark, d):
+    """Authorised item x place pairs (part x supplier nation seen in line items) of the
+    item types flagged in the code table, with nothing on order (no open line) and
+    no stock movement in the last year: chained anti joins on the pair key."""
+    from ..functions.cols import newer_than
+    from ..plans.audits import code_table
+    li, supp, part = tables(spark, d, "lineitem", "supplier", "part")
+    j = li.join(supp.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    codes = code_table(_code_table_from_part(part), "F026", 26)
+    eligible = part.withColumn("code", F.concat(F.substring("p_type", 1, 2), F.lpad(F.col("p_size").cast("string"), 2, "0"))) \
+                   .join(codes, "code", "left_semi").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    auth = j.select("l_partkey", "s_nationkey").distinct().join(eligible, "l_partkey")
+    keys = ["l_partkey", "s_nationkey"]
+    on_order = j.where(F.col("l_linestatus") == "O").select(*keys)
+    moved = j.where(newer_than("l_shipdate", AS_OF, 365) & (F.col("l_shipdate") < F.lit(AS_OF))).select(*keys)
+    return audit_missing(auth, must_lack=[(on_order, keys), (moved, keys)]).select("l_partkey", "s_nationkey", "p_type")
