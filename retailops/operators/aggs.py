@@ -167,7 +167,8 @@ def top_rank(df: DataFrame, part, order: str, descending: bool = True) -> DataFr
 
 
 def number_rows(df: DataFrame, order: Sequence, name: str = "rn",
-                partition_by: Sequence[str] | None = None, start: int = 1) -> DataFrame:
+                partition_by: Sequence[str] | None = None, start: int = 1,
+                materialize: bool = False) -> DataFrame:
     """Consecutive row numbers over an order (``row_number()``), optionally
     restarting per group of ``partition_by``.
 
@@ -175,8 +176,11 @@ def number_rows(df: DataFrame, order: Sequence, name: str = "rn",
     task. Instead the rows are range partitioned by (groups, order), so a large
     group spans many tasks; each task numbers its own slice, and a small table of
     per-(group, slice) counts gives every slice its offset within its group. The
-    input is read twice (count pass, numbering pass). ``order`` must be a total
-    order (tie-break on unique columns) for the numbers to repeat.
+    input is read twice (count pass, numbering pass); with ``materialize`` the
+    range-partitioned slices are written once (a reliable checkpoint in the shared
+    folder) and both passes read them, for inputs that are expensive to recompute.
+    ``order`` must be a total order (tie-break on unique columns) for the numbers
+    to repeat.
     """
     from pyspark.sql import Window
     groups = [F.col(g) for g in (partition_by or [])]
@@ -184,6 +188,9 @@ def number_rows(df: DataFrame, order: Sequence, name: str = "rn",
     ranged = (df.repartitionByRange(*groups, *order_cols).sortWithinPartitions(*groups, *order_cols)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id()))
+    if materialize:
+        from ..session import cut_lineage
+        ranged = cut_lineage(ranged)
     # monotonically_increasing_id = (partition id << 33) + position in partition
     ranged = ranged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
     gnames = list(partition_by or [])

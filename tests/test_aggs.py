@@ -61,3 +61,10 @@ def test_hot_key_aggregate_join_back_operators(spark):
     top = A.top_rank(df, "k", "id").where("k = 7").collect()
     assert [r.id for r in top] == [df.where("k = 7").agg(F.max("id")).first()[0]]
     assert A.dup_rows(df, "k").where("k = 7").count() == n_hot
+
+
+def test_number_rows_materialized_matches(spark):
+    df = spark.range(0, 3000, numPartitions=5).select((F.col("id") * 31 % 3001).alias("v"), "id")
+    a = A.number_rows(df, ["v", "id"], materialize=True).select("id", "rn")
+    b = A.number_rows(df, ["v", "id"]).select("id", F.col("rn").alias("rn2"))
+    assert a.join(b, "id").where(F.col("rn") != F.col("rn2")).count() == 0
