@@ -196,11 +196,20 @@ def grain(style, color, size, dim) -> Column:
              .when(c(style).isNotNull(), F.lit("STYLE")))
 
 
-def match_lines(changes: DataFrame, lines: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def match_lines(changes: DataFrame, lines: DataFrame, keys: Sequence[str], how: str = "inner",
+                extra: Column | None = None) -> DataFrame:
     """Match changes to lines on keys where null equals null (``<=>``), still
-    planned as a hash/sort-merge equi join."""
+    planned as a hash/sort-merge equi join.
+
+    ``extra`` (written against the ``line_``-prefixed line columns) is applied inside
+    the join condition, not after it: with ``how="left"`` a change whose line fails
+    the test is kept unmatched instead of being dropped, the outer-join reading of a
+    predicate such as a colour test.
+    """
     r = lines.select(*[F.col(c).alias(f"line_{c}") for c in lines.columns])
     cond = _and([changes[k].eqNullSafe(r[f"line_{k}"]) for k in keys])
+    if extra is not None:
+        cond = cond & extra
     return changes.join(r, cond, how)
 
 

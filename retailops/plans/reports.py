@@ -79,7 +79,10 @@ def in_stock(df: DataFrame, keys: Sequence[str], in_stock_cond: Column, exclude:
     Per group: rows in total, in stock and out of stock, the percentage in stock
     and, with ``item_col``, the lowest out-of-stock item (a pointer for the
     buyer). ``exclude`` drops rows from numerator and denominator (the
-    adjustments)."""
+    adjustments). Counts come from one pass over the full group keys; a report
+    that joins in-stock and out-of-stock counts on source and store only would
+    merge a source's two replenishment methods, so include the method in ``keys``
+    when it matters."""
     x = df if exclude is None else df.where(~exclude)
     aggs = [F.count(F.lit(1)).alias("n_total"),
             F.sum(F.when(in_stock_cond, 1).otherwise(0)).cast("long").alias("n_in_stock")]
