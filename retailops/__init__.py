@@ -23,7 +23,7 @@ from .plans.changes import (append, apply_changes, assign_keys, count_check, del
                             merge_upsert, pack_quantities, purge, purge_days, purge_keys, rebuild_lines,
                             repair_status, resync_hierarchy, roll_up_lines, split_deferred, sync_set, update_from,
                             update_where)
-from .plans.history import (advance_week, calendar_from_range, from_long, load_history, month_calendar,
+from .plans.history import (advance_week, calendar_from_range, from_long, history_day, load_history, month_calendar,
                             order_weeks, roll_history, rollup_levels, sum_arrays, to_long, unknown_periods,
                             weeks_ago, widen_history)
 from .plans.reports import (classify_hosts, cost_list, explode_sets, feed, fix_batch, in_stock, item_store_detail,

@@ -259,3 +259,26 @@ def rollup_levels(df: DataFrame, levels: Sequence[tuple[str, Sequence[str]]], ar
             cur = df.sparkSession.read.parquet(path)
         out[name] = cur
     return out
+
+
+def history_day(hist: DataFrame, changes: DataFrame, cal: DataFrame, period_cols: Sequence[str],
+                current: Mapping[str, object], keys: Sequence[str], value_col: str, measure: str,
+                current_col: str, roll_weeks: int = 0, reset_current: bool = True,
+                levels: Sequence[tuple[str, Sequence[str]]] | None = None,
+                levels_root: str | None = None) -> dict[str, object]:
+    """Section 3.2: one day of history upkeep as one job.
+
+    Changes get their slot from the calendar (periods missing from it come back in
+    ``rejects``), are loaded into the history, the history is rolled by
+    ``roll_weeks`` on a roll day, and the level tables are rebuilt from it when
+    ``levels`` are given (written under ``levels_root`` when set). Returns
+    ``{"history", "rejects", "levels"}``; the caller writes the new history to a
+    new path (``replace_table``).
+    """
+    slotted = weeks_ago(changes, cal, period_cols, current)
+    rejects = unknown_periods(changes, cal, period_cols)
+    new = load_history(hist, slotted, keys, "week_ago", value_col, measure, current_col=current_col)
+    if roll_weeks:
+        new = roll_history(new, {measure: (current_col, reset_current)}, weeks=roll_weeks)
+    lv = rollup_levels(new, levels, [measure], [current_col], root=levels_root) if levels else {}
+    return {"history": new, "rejects": rejects, "levels": lv}

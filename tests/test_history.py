@@ -147,3 +147,20 @@ def test_daily_calendar_fiscal_columns(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 31),), (dt.date(2024, 2, 1),)], "d date")
     cal = {r.date: (r.fiscal_year, r.fiscal_period) for r in H.calendar_from_range(df, "d", fy_start_month=2).collect()}
     assert cal == {dt.date(2024, 1, 31): (2024, 12), dt.date(2024, 2, 1): (2025, 1)}
+
+
+def test_history_day_equals_the_separate_steps(spark):
+    import datetime as dt
+    cal = H.order_weeks(H.month_calendar(spark, dt.date(2024, 1, 1), dt.date(2024, 6, 30)), ["yr", "mo"])
+    hist = _hist(spark, [(1, {1: 2.0, 3: 1.0}, 0.0), (2, {2: 4.0}, 1.0)]).withColumnRenamed("cur", "c") \
+        .withColumn("g", F.lit("x"))
+    ch = spark.createDataFrame([(1, 2024, 6, 9.0, "x"), (3, 2024, 5, 1.0, "x"), (4, 2023, 1, 5.0, "x")],
+                               "k int, yr int, mo int, qty double, g string")
+    out = H.history_day(hist, ch, cal, ["yr", "mo"], {"yr": 2024, "mo": 6}, ["k", "g"], "qty", "h", "c",
+                        roll_weeks=1, levels=[("all", ["g"])])
+    assert [r.k for r in out["rejects"].collect()] == [4]
+    got = {r.k: (r.h[:4], r.c) for r in out["history"].collect()}
+    assert got[1] == ([9.0, 2.0, 0.0, 1.0], 0.0)        # loaded current 9 rolled into slot 1
+    assert got[3] == ([0.0, 1.0, 0.0, 0.0], 0.0)        # May value moved from slot 1 to 2
+    lv = out["levels"]["all"].first()
+    assert sum(lv.h) == 9.0 + 2.0 + 1.0 + 1.0 + 4.0 + 1.0 and lv.c == 0.0
