@@ -45,3 +45,18 @@ def test_continuous_trigger_and_read_state(spark):
     state, pending = read_state(spark, work)
     batch_state, _ = run_stream(spark, SF_SMALL, n_files=3)
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, batch_state.collect()))
+
+
+def test_deferred_changes_wait_in_pending(spark):
+    ev = read_table(spark, SF_SMALL, "events")
+    orders = read_table(spark, SF_SMALL, "orders")
+    busy = orders.where(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("user_id")).distinct()
+    state, pending = run_stream(spark, SF_SMALL, busy=busy, n_files=3)
+    newest = ev.agg(F.max("ts")).first()[0]
+    cut = F.lit((newest - dt.timedelta(seconds=SETTLE_SECONDS)).isoformat(sep=" ")).cast("timestamp_ntz")
+    busy_ev = ev.join(busy, "user_id", "left_semi")
+    young_free = ev.join(busy, "user_id", "left_anti").where(F.col("ts") > cut)
+    assert pending.count() == busy_ev.count() + young_free.count()
+    # no busy user's change reached the state: their rows keep the starting values
+    touched = state.join(busy, "user_id", "left_semi").where(F.col("last_type") != "none").count()
+    assert touched == 0
