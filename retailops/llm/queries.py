@@ -96,7 +96,7 @@ def url_sql() -> str:
     """DuckDB twin of op3: the vocabulary as one boundary pattern per term."""
     text = f"translate(coalesce(url, ''), '{urls.UPPER}', '{urls.LOWER}')"
     hit = lambda t: f"regexp_matches({text}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT"
-    strict = " + ".join(f"len(list_filter(regexp_split_to_array({text}, '[^a-z0-9]'), x -> x = '{t}'))"
+    strict = " + ".join(f"len(list_filter(regexp_split_to_array({text}, '[^a-z0-9]'), lambda x: x = '{t}'))"
                         for t in urls.STRICT)
     soft = " + ".join(hit(t) for t in urls.SOFT)
     weight = " + ".join([f"1.0 * {hit(t)}" for t in urls.STRICT] + [f"{w} * {hit(t)}" for t, w in urls.SOFT.items()])
