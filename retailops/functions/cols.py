@@ -97,15 +97,28 @@ def after_last(c, sep: str) -> Column:
     return F.substring_index(_c(c), sep, -1)
 
 
+def zero_padded(text: Column, width: int, what: str = "number") -> Column:
+    """Text padded with zeros on the left; an error, not a cut, where it is longer than ``width``."""
+    too_wide = F.raise_error(F.concat(F.lit(f"{what} wider than {width} digits: "), text)).cast("string")
+    return F.when(F.length(text) > width, too_wide).otherwise(F.lpad(text, width, "0"))
+
+
+def in_year(c, year: int) -> Column:
+    """A date or timestamp column within a calendar year, as a range that reaches the scan."""
+    import datetime as dt
+    c = _c(c)
+    return (c >= F.lit(dt.date(year, 1, 1))) & (c < F.lit(dt.date(year + 1, 1, 1)))
+
+
 def digits(c, precision: int) -> Column:
     """H5: DB2 ``DIGITS``: absolute value, decimal point dropped, zero padded.
 
     ``c`` must be an integer or a decimal whose scale the caller has fixed; the
-    digit count is the declared precision.
+    digit count is the declared precision, and a value with more digits is an error.
     """
     c = _c(c)
     txt = F.regexp_replace(F.abs(c).cast("string"), r"\.", "")
-    return F.lpad(txt, precision, "0")
+    return zero_padded(txt, precision)
 
 
 def nullif_prefix(c, prefix: str) -> Column:
@@ -262,13 +275,13 @@ def cents(c) -> Column:
 # --- product codes -------------------------------------------------------------
 
 def long_code(c, width: int = 14) -> Column:
-    """Zero-padded digit text of a number (the 14-digit item layout)."""
-    return F.lpad(_c(c).cast("decimal(38,0)").cast("string"), width, "0")
+    """Zero-padded digit text of a number (the 14-digit item layout); a longer one is an error."""
+    return zero_padded(_c(c).cast("decimal(38,0)").cast("string"), width, "item code")
 
 
 def to_short_code(c) -> Column:
     """14-digit code d1..d14 → 13 characters d1 d3 d2 d4..d13."""
-    s = F.lpad(F.rtrim(_c(c)), 14, "0")
+    s = zero_padded(F.rtrim(_c(c)), 14, "item code")
     return F.concat(F.substring(s, 1, 1), F.substring(s, 3, 1), F.substring(s, 2, 1),
                     F.substring(s, 4, 10))
 

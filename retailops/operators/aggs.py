@@ -91,13 +91,18 @@ def fact_totals(base: DataFrame, facts: Mapping[str, tuple[DataFrame, Sequence[s
                 default=0) -> DataFrame:
     """Several correlated sums as columns, default 0.
 
-    ``facts`` maps output name → (fact table, key columns, value expression). Each
-    fact is aggregated once to its key, then left joined; the base never multiplies.
+    ``facts`` maps output name → (fact table, key columns, value expression). The
+    expressions over one fact and key are aggregated together, in one pass (a condition goes
+    into the value, ``when(cond, value)``), then left joined; the base never multiplies.
     """
-    out = base
+    groups: dict = {}
     for name, (fact, on, value) in facts.items():
-        agg = fact.groupBy(*on).agg(F.sum(value).alias(name))
-        out = out.join(agg, list(on), "left").withColumn(name, F.coalesce(F.col(name), F.lit(default)))
+        groups.setdefault((id(fact), tuple(on)), (fact, []))[1].append((name, value))
+    out = base
+    for (_, on), (fact, values) in groups.items():
+        out = out.join(fact.groupBy(*on).agg(*[F.sum(v).alias(n) for n, v in values]), list(on), "left")
+    for name in facts:
+        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
     return out
 
 
@@ -117,10 +122,12 @@ def pct(part, total, scale: int = 2) -> Column:
 def share_of_total(df: DataFrame, keys, measure: str, name: str = "pct", scale: int = 2) -> DataFrame:
     """Each group's share of the grand total.
 
-    The grand total is a one-row aggregate, broadcast to every group row.
+    The grand total is the sum of the grouped rows (written once, so the input runs
+    once), one row that is broadcast to every group row.
     """
-    g = df.groupBy(*_keys(keys)).agg(F.sum(measure).alias(measure))
-    tot = F.broadcast(df.agg(F.sum(measure).alias("_tot")))
+    from ..session import store
+    g = store(df.groupBy(*_keys(keys)).agg(F.sum(measure).alias(measure)))
+    tot = F.broadcast(g.agg(F.sum(measure).alias("_tot")))
     return g.crossJoin(tot).withColumn(name, pct(measure, "_tot", scale)).drop("_tot")
 
 
@@ -167,44 +174,39 @@ def top_rank(df: DataFrame, part, order: str, descending: bool = True) -> DataFr
 
 
 def number_rows(df: DataFrame, order: Sequence, name: str = "rn",
-                partition_by: Sequence[str] | None = None, start: int = 1,
-                materialize: bool = False) -> DataFrame:
+                partition_by: Sequence[str] | None = None, start: int = 1) -> DataFrame:
     """Consecutive row numbers over an order (``row_number()``), optionally
     restarting per group of ``partition_by``.
 
     A window would sort a whole group (or, without groups, the whole table) in one
     task. Instead the rows are range partitioned by (groups, order), so a large
-    group spans many tasks; each task numbers its own slice, and a small table of
-    per-(group, slice) counts gives every slice its offset within its group. The
-    input is read twice (count pass, numbering pass); with ``materialize`` the
-    range-partitioned slices are written once (a reliable checkpoint in the shared
-    folder) and both passes read them, for inputs that are expensive to recompute.
-    ``order`` must be a total order (tie-break on unique columns) for the numbers
-    to repeat.
+    group spans many tasks, and these slices are written once to the shared folder
+    with each row's slice and position. The counts per (group, slice) and the numbers
+    are both taken from that one table, so they cannot disagree whatever the
+    partitioning, the column pruning or a repeated task does. ``order`` must be a total
+    order (tie-break on unique columns) for the numbers to repeat.
     """
     from pyspark.sql import Window
-    groups = [F.col(g) for g in (partition_by or [])]
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = (df.repartitionByRange(*groups, *order_cols).sortWithinPartitions(*groups, *order_cols)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    if materialize:
-        from ..session import cut_lineage
-        ranged = cut_lineage(ranged)
-    # monotonically_increasing_id = (partition id << 33) + position in partition
-    ranged = ranged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+
+    from ..session import store
     gnames = list(partition_by or [])
+    groups = [F.col(g) for g in gnames]
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    # monotonically_increasing_id = (partition id << 33) + position in the sorted partition
+    ranged = store(df.repartitionByRange(*groups, *order_cols).sortWithinPartitions(*groups, *order_cols)
+                     .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
+                   .withColumn("_pos", F.col("_mid") - F.shiftleft("_pid", 33))
     counts = ranged.groupBy(*gnames, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
-    # a group spans few slices, so this window over the counts table is small per group
+    # a group spans few slices, so this window over the counts table (one row per slice) is small per group
     w = Window.partitionBy(*gnames).orderBy("_pid") if gnames else Window.orderBy("_pid")
-    offs = counts.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt")).select(*gnames, "_pid", "_off", "_first")
-    if gnames:
-        cond = reduce(lambda x, y: x & y, [ranged[g].eqNullSafe(offs[g]) for g in gnames]) & (ranged["_pid"] == offs["_pid"])
-        out = ranged.join(offs, cond).drop(*[offs[g] for g in gnames]).drop(offs["_pid"])
-    else:
-        out = ranged.join(F.broadcast(offs), "_pid")
+    offs = counts.select(*[F.col(g).alias(f"_g_{g}") for g in gnames], F.col("_pid").alias("_opid"),
+                         (F.sum("_cnt").over(w) - F.col("_cnt")).alias("_off"), "_first")
+    cond = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in gnames]
+                  + [F.col("_pid") == F.col("_opid")])
+    out = ranged.join(offs, cond)
     return (out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_first") + F.lit(start)).cast("long"))
-               .drop("_pid", "_mid", "_pos", "_off", "_first"))
+               .drop("_pid", "_mid", "_pos", "_off", "_first", "_opid", *[f"_g_{g}" for g in gnames]))
 
 
 def with_count(df: DataFrame, keys, name: str = "n") -> DataFrame:

@@ -20,18 +20,52 @@ def _keys(on) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()``: every task stops after
-    ``max_rows + 1`` rows of its split, so it is meant for sides that are small
-    by nature (calendars, literal key lists, reduced change sets), not as a probe
-    of a large table. Beyond the bound the frame is returned unhinted and the
-    planner shuffles it (AQE still converts to a broadcast at run time from the
-    measured size when that is small enough).
+def row_bytes(df: DataFrame) -> Column:
+    """Approximate bytes of one row: 8 for each plain value, the length of texts and of nested values as JSON."""
+    parts = []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) + F.lit(8))
+        elif kind in ("array", "map", "struct"):
+            parts.append(F.coalesce(F.length(F.to_json(F.struct(F.col(f.name)))), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return reduce(lambda x, y: x + y, parts, F.lit(16)).cast("long")
+
+
+def small_side(df: DataFrame, max_bytes: int = 8 << 20) -> bool:
+    """Whether ``df`` measures at most ``max_bytes``: one plain aggregate over all its rows.
+
+    ``df`` runs once for this; callers pass a stored or reduced frame.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return (df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"] or 0) <= max_bytes
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
+    """Broadcast ``df`` only if it measures at most ``max_bytes``.
+
+    Beyond the bound the frame is returned unhinted and the planner shuffles it (AQE still
+    converts to a broadcast at run time when the measured shuffle size is small enough); the
+    rows are the same either way.
+    """
+    return F.broadcast(df) if small_side(df, max_bytes) else df
+
+
+def unique_rows(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df`` with an error raised, as part of the plan, for a key that has several rows.
+
+    Rows with a null key part cannot match anything by equality and pass as they are.
+    """
+    keys = list(keys)
+    whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest], F.lit(1).alias("_one"))
+    g = df.where(whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(row).alias("_row"))
+    twice = F.raise_error(F.lit(f"{what}: more than one row per key"))
+    g = g.withColumn("_ok", F.when(F.col("_n") > 1, twice.cast("boolean")).otherwise(F.lit(True))).where("_ok")
+    one = g.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    return one.unionByName(df.where(~whole))
 
 
 def one_row(df: DataFrame) -> DataFrame:
@@ -97,17 +131,22 @@ def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str | None = No
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys, at, from_col: str, to_col: str,
-              end: str = "exclusive", how: str = "inner", bucket_days: int | None = 31) -> DataFrame:
+              end: str = "exclusive", how: str = "inner", bucket_days: int | None = 31,
+              span: tuple | None = None) -> DataFrame:
     """Join each left row to the right rows of the same key in effect at ``at``.
 
     With ``bucket_days`` (the default) the time axis is cut into buckets: each
-    right interval is expanded to the buckets it overlaps (clamped to the range of
-    ``at`` values on the left, so open-ended rows such as 9999-12-31 do not
-    explode), each left row falls in one bucket, and the join is on
-    (keys, bucket) with the exact interval test as a residual condition. A key
-    with many intervals and many rows then only pairs rows with the few intervals
-    of their own bucket, instead of every interval of the key. ``bucket_days=None``
-    joins on the keys alone.
+    right interval is expanded to the buckets it overlaps, each left row falls in one
+    bucket, and the join is on (keys, bucket) with the exact interval test as a residual
+    condition. A key with many intervals and many rows then only pairs rows with the few
+    intervals of their own bucket, instead of every interval of the key.
+    ``bucket_days=None`` joins on the keys alone.
+
+    ``span`` is the pair of dates between which most ``at`` values lie (a calendar's ends).
+    Days on both sides are clamped into it before they are cut into buckets, so open-ended
+    rows such as 9999-12-31 do not explode, and values outside still meet in its first or last
+    bucket: the span changes the cost, never the result. Without it the range of ``at`` is
+    read from the left side first, which costs a pass over that column.
     """
     keys = _keys(keys)
     at_col = F.col(at) if isinstance(at, str) else at
@@ -117,16 +156,18 @@ def asof_join(left: DataFrame, right: DataFrame, keys, at, from_col: str, to_col
     rsel = [F.col(k).alias(f"_r_{k}") for k in keys] + [F.col(c) for c in right.columns if c not in keys]
     if bucket_days:
         day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
-        rng = left.select(F.min(F.to_date(at_col)).alias("lo"), F.max(F.to_date(at_col)).alias("hi")).first()
-        if rng["lo"] is None:
+        if span is None:
+            rng = left.select(F.min(F.to_date(at_col)).alias("lo"), F.max(F.to_date(at_col)).alias("hi")).first()
+            span = (rng["lo"], rng["hi"])
+        if span[0] is None:
             return l.join(r.select(*rsel), F.lit(False), how).drop("_at", *[f"_r_{k}" for k in keys])
-        lo_d, hi_d = F.lit(rng["lo"]), F.lit(rng["hi"])
-        f_day = day(F.greatest(F.to_date(F.col(from_col)), lo_d))
-        t_day = day(F.least(F.to_date(F.col(to_col)), hi_d))
-        r = (r.where((F.to_date(F.col(to_col)) >= lo_d) & (F.to_date(F.col(from_col)) <= hi_d))
-              .withColumn("_b", F.explode(F.sequence(F.floor(f_day / bucket_days), F.floor(t_day / bucket_days)))))
+        lo_d, hi_d = F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date")
+        slot = lambda c: F.floor(day(F.least(F.greatest(F.to_date(c), lo_d), hi_d)) / bucket_days)
+        f_slot, t_slot = slot(F.col(from_col)), slot(F.col(to_col))
+        r = (r.where(F.col(from_col).isNotNull() & F.col(to_col).isNotNull() & (f_slot <= t_slot))
+              .withColumn("_b", F.explode(F.sequence(f_slot, t_slot))))
         rsel.append(F.col("_b").alias("_r_b"))
-        l = l.withColumn("_b", F.floor(day(F.col("_at")) / bucket_days))
+        l = l.withColumn("_b", F.when(F.col("_at").isNotNull(), slot(F.col("_at"))))
         cond.append(l["_b"] == F.col("_r_b"))
     rr = r.select(*rsel)
     cond.append(rr[from_col] <= l["_at"])
@@ -135,14 +176,13 @@ def asof_join(left: DataFrame, right: DataFrame, keys, at, from_col: str, to_col
     return out.drop("_at", "_b", "_r_b", *[f"_r_{k}" for k in keys])
 
 
-def fiscal(df: DataFrame, date_col: str, cal: DataFrame, cal_date_col: str = "date",
-           max_broadcast_rows: int = 200_000) -> DataFrame:
+def fiscal(df: DataFrame, date_col: str, cal: DataFrame, cal_date_col: str = "date") -> DataFrame:
     """C14: attach fiscal period columns by date.
 
     A calendar has one row per day (73,000 rows for two centuries); it is broadcast
-    after a row-count check.
+    after its size is measured.
     """
-    c = checked_broadcast(cal, max_broadcast_rows)
+    c = checked_broadcast(cal)
     return df.join(c, F.to_date(df[date_col]) == c[cal_date_col], "left").drop(c[cal_date_col])
 
 
@@ -181,19 +221,19 @@ def lookup(df: DataFrame, dim: DataFrame, on, value: str, default=None,
            alias: str | None = None, unique: str = "error") -> DataFrame:
     """``coalesce((select value from dim where key = ...), default)``.
 
-    A key with two different values is an error, as for a scalar subquery; the check
-    is part of the plan (``raise_error`` inside the grouped lookup table) so it
-    costs no extra job. ``unique="first"`` takes the smallest value instead.
+    A key with two rows is an error for the rows that look it up, as for a scalar subquery,
+    whether its values differ or not; the check is part of the plan (``raise_error`` on the
+    grouped lookup table) so it costs no extra job. ``unique="first"`` takes the smallest
+    value instead.
     """
     keys = _keys(on)
     out_name = alias or value
     if unique == "error":
-        g = dim.groupBy(*keys).agg(F.min(value).alias("_lv"), F.max(value).alias("_lv2"))
+        g = dim.groupBy(*keys).agg(F.min(value).alias("_lv"), F.count(F.lit(1)).alias("_ln"))
         out = df.join(g, keys, "left")
-        # only rows that actually hit a two-valued key fail, as a scalar subquery would
-        out = out.withColumn("_lv", F.when(F.col("_lv").eqNullSafe(F.col("_lv2")), F.col("_lv"))
-                             .otherwise(F.raise_error(F.lit(f"lookup {value}: more than one row per key"))
-                                        .cast(dim.schema[value].dataType))).drop("_lv2")
+        # only rows that actually hit such a key fail, as a scalar subquery would
+        twice = F.raise_error(F.lit(f"lookup {value}: more than one row per key")).cast(dim.schema[value].dataType)
+        out = out.withColumn("_lv", F.when(F.col("_ln") > 1, twice).otherwise(F.col("_lv"))).drop("_ln")
     else:
         out = df.join(dim.groupBy(*keys).agg(F.min(value).alias("_lv")), keys, "left")
     dflt = default if isinstance(default, Column) else F.lit(default)
@@ -248,13 +288,16 @@ def in_both(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
 def cross_param(df: DataFrame, params: DataFrame) -> DataFrame:
     """Attach a one-row parameter table to every row (``on 1=1``).
 
-    The parameter table must be one row; this is checked and it is broadcast, so
-    the cross join is a projection, never a product of two large sides.
+    The parameter table must be one row; it is reduced to one row that is broadcast, so the
+    cross join is a projection, never a product of two large sides. Any other number of rows
+    raises an error when the result is computed, without a job of its own.
     """
-    n = params.limit(2).count()
-    if n != 1:
-        raise ValueError(f"parameter table must have exactly one row, has {n if n < 2 else '2+'}")
-    return df.crossJoin(F.broadcast(params))
+    cols = params.columns
+    wrong = F.raise_error(F.lit("parameter table must have exactly one row")).cast("boolean")
+    one = (params.agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in cols])
+           .withColumn("_ok", F.when(F.col("_n") != 1, wrong).otherwise(F.lit(True))))
+    # the test stands in the result's own filter, so pruning the parameters does not lose it
+    return df.crossJoin(F.broadcast(one)).where("_ok").drop("_n", "_ok")
 
 
 def match_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggs import number_rows
+from ..operators.joins import checked_broadcast, small_side, unique_rows
+from ..session import store
 
 # Work-line status codes (fixed values of the allocation system).
 AVAILABLE, IN_PROGRESS, DISCREPANCY, APPROVED, RELEASED, UNAPPROVED = 10, 20, 25, 30, 40, 50
@@ -33,25 +35,24 @@ def _and(conds):
 
 
 def split_by_keys(target: DataFrame, keys: Sequence[str], change_keys: DataFrame,
-                  small_rows: int) -> tuple[DataFrame, DataFrame] | None:
-    """Split ``target`` into (untouched, touched) rows by a key set of at most
-    ``small_rows`` rows, or return None when the key set is larger.
-
-    The key set is broadcast (its size just checked), so both sides are plain
-    map-side hash joins: the target is streamed through, never shuffled. The
-    check counts the (already reduced) change keys with a limit, which costs one
-    pass over the change set, never over the target. The split pays off when the
-    target is much larger than the change set (a nightly feed against a large
-    table); pass ``small_rows=0`` to always use one full outer join.
+                  max_bytes: int) -> tuple[DataFrame, DataFrame] | None:
+    """Split ``target`` into (untouched, touched) rows by a stored key set that measures at
+    most ``max_bytes``, or return None when it is larger.
+
+    The key set is then broadcast, so both sides are plain map-side hash joins: the target is
+    streamed through, never shuffled. The split pays off when the target is much larger than
+    the change set (a nightly feed against a large table); ``max_bytes=0`` always leaves it to
+    one full outer join. Both ways give the same rows.
     """
-    if change_keys.limit(small_rows + 1).count() > small_rows:
+    k = change_keys.select(*keys)
+    if not max_bytes or not small_side(k, max_bytes):
         return None
-    k = F.broadcast(change_keys.select(*keys))
+    k = F.broadcast(k)
     return target.join(k, list(keys), "left_anti"), target.join(k, list(keys), "left_semi")
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op", seq_col: str = "seq",
-                  mode: str = "last", small_changes_rows: int = 2_000_000) -> DataFrame:
+                  mode: str = "last", split_bytes: int = 32 << 20) -> DataFrame:
     """Apply a change set with op codes 1/2 = upsert, 3 = delete.
 
     ``changes`` holds the key, ``op_col``, ``seq_col`` and the target's value
@@ -63,11 +64,11 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op
     * ``"delete_last"``: all upserts, then all deletes (the key ends deleted).
 
     Upserts of one key always take the values of the last upsert by sequence.
-    Changes are first reduced to one row per key (partial aggregation). When that
-    set has at most ``small_changes_rows`` keys (a nightly feed against a large
-    table), the untouched target rows pass through a broadcast anti join and only
-    the touched rows meet the changes, so the target is never shuffled; a larger
-    change set is merged with one full outer join on the key.
+    Changes are first reduced to one row per key (partial aggregation) and stored, so the
+    reduction runs once. When the stored keys measure at most ``split_bytes`` (a nightly feed
+    against a large table), the untouched target rows pass through a broadcast anti join and
+    only the touched rows meet the changes, so the target is never shuffled; a larger change
+    set is merged with one full outer join on the key, with the same result.
     """
     keys = _keys(keys)
     # value columns the feed carries are replaced; any other target column keeps
@@ -75,11 +76,11 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op
     vals = [c for c in target.columns if c not in keys and c in changes.columns]
     is_del = F.col(op_col) == DELETE_OP
     ups = F.when(~is_del, F.struct(F.col(seq_col).alias("_s"), *[F.col(v) for v in vals]))
-    red = changes.groupBy(*keys).agg(
+    red = store(changes.groupBy(*keys).agg(
         F.max(ups).alias("_up"),
         F.max(is_del.cast("int")).alias("_has_del"),
-        F.max(F.struct(F.col(seq_col).alias("_s"), is_del.alias("_d"))).alias("_last"))
-    split = split_by_keys(target, keys, red, small_changes_rows) if small_changes_rows else None
+        F.max(F.struct(F.col(seq_col).alias("_s"), is_del.alias("_d"))).alias("_last")), "changes")
+    split = split_by_keys(target, keys, red, split_bytes)
     base, untouched = (target, None) if split is None else (split[1], split[0])
     j = base.withColumn("_in_t", F.lit(True)).join(red, keys, "full_outer")
     if mode == "last":
@@ -103,9 +104,10 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys, op_col: str = "op
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys) -> DataFrame:
     """MERGE: matched rows take the source values, unmatched source rows are
-    inserted, other target rows stay. The source must be unique on the keys."""
+    inserted, other target rows stay. A key with several source rows is an error; source rows
+    with a null key part match nothing and are inserted."""
     keys = _keys(keys)
-    src = source.select(*target.columns)
+    src = unique_rows(source.select(*target.columns), keys, "merge source")
     return target.join(src.select(*keys), keys, "left_anti").unionByName(src)
 
 
@@ -114,13 +116,15 @@ def sync_set(target: DataFrame, source: DataFrame, keys, attrs: Sequence[str],
     """Make the target's key set equal the source's.
 
     Keys missing from the source go, new source keys come in with ``defaults`` for
-    target-only columns, and ``attrs`` are refreshed from the source everywhere.
+    target-only columns, and ``attrs`` are refreshed from the source everywhere. A row that is
+    kept keeps its own columns, nulls too: defaults are for inserted rows only.
     """
     keys = _keys(keys)
     own = [c for c in target.columns if c not in keys and c not in attrs]
-    j = source.select(*keys, *attrs).join(target.select(*keys, *own), keys, "left")
+    j = source.select(*keys, *attrs).join(target.select(*keys, *own, F.lit(True).alias("_kept")), keys, "left")
     for c in own:
-        j = j.withColumn(c, F.coalesce(F.col(c), F.lit(defaults.get(c)).cast(target.schema[c].dataType)))
+        j = j.withColumn(c, F.when(F.col("_kept"), F.col(c)).otherwise(
+            F.lit(defaults.get(c)).cast(target.schema[c].dataType)))
     return j.select(*target.columns)
 
 
@@ -138,9 +142,11 @@ def drift(a: DataFrame, b: DataFrame, keys, cols: Sequence[str], flag_col: str =
 
 def update_from(target: DataFrame, source: DataFrame, keys, cols: Sequence[str]) -> DataFrame:
     """``update t set cols = (select ... from s where s.key = t.key)`` for the
-    rows that have a source row; other rows unchanged. Source unique on keys."""
+    rows that have a source row; other rows unchanged. A key with several source rows is an
+    error, as the subquery's would be."""
     keys = _keys(keys)
-    s = source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_hit"))
+    s = unique_rows(source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_hit")),
+                    keys, "update source")
     j = target.join(s, keys, "left")
     for c in cols:
         j = j.withColumn(c, F.when(F.col("_hit"), F.col(f"_s_{c}")).otherwise(F.col(c)))
@@ -152,15 +158,18 @@ def resync_hierarchy(lines: DataFrame, items: DataFrame, item_key: str, hier_col
     """Give lines the current hierarchy of their item.
 
     Lines whose new key (``new_key`` after the update) would collide with another
-    line are not updated; they are returned separately for the audit table.
-    Collisions are counted by aggregate and joined back (no window over a key).
+    line are not updated; they are returned separately for the audit table. A null key part
+    (colour and size of style lines) equals a null one. Collisions are counted by aggregate
+    and joined back (no window over a key); the resynced lines are stored first, since they
+    are read for the count and for both results. An item with several rows is an error.
     """
-    cur = items.select(item_key, *[F.col(c).alias(f"_n_{c}") for c in hier_cols])
+    cur = unique_rows(items.select(item_key, *[F.col(c).alias(f"_n_{c}") for c in hier_cols]), [item_key], "item")
     j = lines.join(cur, item_key, "left")
     for c in hier_cols:
         j = j.withColumn(c, F.coalesce(F.col(f"_n_{c}"), F.col(c))).drop(f"_n_{c}")
-    cnt = j.groupBy(*new_key).agg(F.count(F.lit(1)).alias("_n"))
-    j = j.join(cnt, list(new_key), "left")
+    j = store(j, "resync")
+    cnt = j.groupBy(*[F.col(k).alias(f"_k_{k}") for k in new_key]).agg(F.count(F.lit(1)).alias("_n"))
+    j = j.join(cnt, _and([j[k].eqNullSafe(cnt[f"_k_{k}"]) for k in new_key])).drop(*[f"_k_{k}" for k in new_key])
     ok = j.where(F.col("_n") == 1).drop("_n")
     clash = j.where(F.col("_n") > 1).withColumnRenamed("_n", "collisions")
     return ok.select(*lines.columns), clash
@@ -171,9 +180,11 @@ def delete_matching(df: DataFrame, patterns: DataFrame, keys: Sequence[str]) ->
 
     Patterns are grouped by which parts are null (at most 2^k masks for k keys);
     each group is an ordinary equi anti join on its non-null parts, so no
-    nested-loop join is planned whatever the sizes. The masks present are read
-    with one tiny aggregate.
+    nested-loop join is planned whatever the sizes. A mask of few distinct values (two
+    flags) would deal the whole target to a handful of tasks, so the distinct patterns of each
+    mask, stored once, are broadcast where they measure little; larger ones are shuffled.
     """
+    patterns = store(patterns.select(*keys).distinct(), "patterns")
     mask_cols = [F.col(k).isNull().alias(f"_null_{k}") for k in keys]
     masks = [tuple(r) for r in patterns.select(*mask_cols).distinct().collect()]
     out = df
@@ -183,7 +194,7 @@ def delete_matching(df: DataFrame, patterns: DataFrame, keys: Sequence[str]) ->
         p = patterns.where(sel).select(*fixed).distinct()
         if not fixed:  # a pattern of all nulls deletes everything
             return df.limit(0)
-        out = out.join(p, fixed, "left_anti")
+        out = out.join(checked_broadcast(p), fixed, "left_anti")
     return out.select(*df.columns)
 
 
@@ -226,20 +237,27 @@ def assign_keys(new_rows: DataFrame, existing: DataFrame, key_col: str, order: S
     return numbered.crossJoin(mx).withColumn(name, F.col("_mx") + F.col("_rn")).drop("_mx", "_rn")
 
 
-def pack_quantities(df: DataFrame, qty: str, per_pack: str, vendor_pack: str, sku: str) -> DataFrame:
+def pack_quantities(df: DataFrame, qty: str, per_pack: str, vendor_pack: str, sku: str,
+                    on_order: str | None = None) -> DataFrame:
     """Packs from totals and pack ids.
 
-    A vendor pack keeps its pack count; otherwise packs = total / quantity per pack
-    (integer), the pack id is ``sku_qtyperpack`` when more than one per pack, and
-    the extended quantity multiplies back out.
+    A vendor pack keeps its pack count; otherwise packs = total / quantity per pack, not
+    rounded (a remainder is a part of a pack), the pack id is ``sku_qtyperpack`` when more than
+    one per pack, and the extended quantity multiplies back out. ``on_order`` (a total on order,
+    null counting as 0) is turned into ``on_order_packs`` by the same rule. A quantity per pack
+    of null counts as 1; one of 0 is an error, as the division is.
     """
     qpp = F.coalesce(F.col(per_pack), F.lit(1))
-    packs = F.when(F.col(vendor_pack).isNotNull(), F.col(qty)).otherwise(
-        F.floor(F.coalesce(F.col(qty), F.lit(0)) / qpp))
-    pid = F.when(F.col(vendor_pack).isNull() & (qpp > 1), F.concat(F.col(sku).cast("string"), F.lit("_"), qpp.cast("string"))) \
+    vendor = F.col(vendor_pack).isNotNull()
+    zero = F.raise_error(F.lit("quantity per pack is 0")).cast("double")
+    packs = lambda c: F.when(vendor, c.cast("double")).when(qpp == 0, zero).otherwise(
+        F.coalesce(c, F.lit(0)).cast("double") / F.when(qpp != 0, qpp))
+    pid = F.when(~vendor & (qpp > 1), F.concat(F.col(sku).cast("string"), F.lit("_"), qpp.cast("string"))) \
            .otherwise(F.coalesce(F.col(vendor_pack).cast("string"), F.col(sku).cast("string")))
-    return (df.withColumn("nbr_packs", packs.cast("long")).withColumn("pack_id", pid)
-              .withColumn("extended_qty", (F.col("nbr_packs") * qpp).cast("long")))
+    out = df.withColumn("nbr_packs", packs(F.col(qty))).withColumn("pack_id", pid)
+    if on_order:
+        out = out.withColumn("on_order_packs", packs(F.coalesce(F.col(on_order), F.lit(0))))
+    return out.withColumn("extended_qty", F.col("nbr_packs") * qpp)
 
 
 def roll_up_lines(headers: DataFrame, details: DataFrame, key: str, alloc_col: str, qty_col: str,
@@ -269,17 +287,30 @@ def split_deferred(changes: DataFrame, lines: DataFrame, on, status_col: str = "
 
 
 def rebuild_lines(lines: DataFrame, feed: DataFrame, keys: Sequence[str], alloc_col: str,
-                  status_col: str = "status_code") -> DataFrame:
+                  status_col: str = "status_code", results: DataFrame | None = None,
+                  trouble_col: str | None = None, trouble_code: str = "OBS") -> DataFrame:
     """Lines absent from a full feed are removed (null-safe key match); the
-    remaining lines of an allocation that lost a line go back to available."""
-    fk = feed.select(*keys).distinct()
-    cond = _and([lines[k].eqNullSafe(fk[k]) for k in keys])
-    gone = lines.join(fk, cond, "left_anti")
-    kept = lines.join(fk, cond, "left_semi")
-    broken = gone.select(alloc_col).distinct().withColumn("_broken", F.lit(True))
-    return (kept.join(broken, alloc_col, "left")
-                .withColumn(status_col, F.when(F.col("_broken"), F.lit(AVAILABLE)).otherwise(F.col(status_col)))
-                .drop("_broken").select(*lines.columns))
+    remaining open lines of an allocation that lost a line go back to available.
+
+    Released lines are not compared with the feed. They leave with the clean-up of results
+    instead: with ``results`` (rows of allocations whose results were cleaned, by ``alloc_col``)
+    the released lines of those allocations go. With ``trouble_col`` the trouble code ``trouble_code``
+    is cleared on lines that are not released.
+    """
+    released = F.coalesce(F.col(status_col) == RELEASED, F.lit(False))
+    fk = feed.select(*[F.col(k).alias(f"_f_{k}") for k in keys]).distinct().withColumn("_fed", F.lit(True))
+    j = lines.join(fk, _and([lines[k].eqNullSafe(fk[f"_f_{k}"]) for k in keys]), "left")
+    gone = ~released & F.col("_fed").isNull()
+    broken = j.where(gone).select(alloc_col).distinct().withColumn("_broken", F.lit(True))
+    kept = j.where(~gone).join(broken, alloc_col, "left")
+    out = kept.withColumn(status_col, F.when(F.col("_broken") & ~released, F.lit(AVAILABLE)).otherwise(F.col(status_col)))
+    if results is not None:
+        cleaned = results.select(alloc_col).distinct().withColumn("_clean", F.lit(True))
+        out = out.join(cleaned, alloc_col, "left").where(~(released & F.coalesce(F.col("_clean"), F.lit(False))))
+    if trouble_col:
+        out = out.withColumn(trouble_col, F.when((F.col(trouble_col) == trouble_code) & ~released,
+                                                 F.lit(None).cast("string")).otherwise(F.col(trouble_col)))
+    return out.select(*lines.columns)
 
 
 def purge_keys(rules: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -313,13 +344,16 @@ def drop_orphans(child: DataFrame, parent: DataFrame, on, min_live_key: str | No
     return out
 
 
-def repair_status(lines: DataFrame, results: DataFrame, key: str, stamp_col: str, as_of, min_age_days: int = 1,
-                  status_col: str = "status_code") -> DataFrame:
-    """Lines stuck in status 60 for at least ``min_age_days`` go to 30 when
-    results exist for them, else to 10."""
-    hit = results.select(key).distinct().withColumn("_res", F.lit(True))
-    j = lines.join(hit, key, "left")
-    stuck = (F.col(status_col) == STUCK) & (F.col(stamp_col) < F.date_sub(F.lit(as_of), min_age_days))
+def repair_status(lines: DataFrame, results: DataFrame, keys, stamp_col: str, as_of,
+                  status_col: str = "status_code", min_age: str = "INTERVAL 1 HOUR") -> DataFrame:
+    """Lines stuck in status 60 since more than ``min_age`` (one hour) before ``as_of``
+    go to 30 when results exist for them, else to 10. ``keys`` are the parts of the match, the
+    allocation and the line key; a line with a null part has no results."""
+    keys = _keys(keys)
+    hit = results.select(*keys).distinct().withColumn("_res", F.lit(True))
+    j = lines.join(hit, keys, "left")
+    before = F.lit(as_of).cast("timestamp_ntz") - F.expr(min_age)
+    stuck = (F.col(status_col) == STUCK) & (F.col(stamp_col) < before)
     new = F.when(stuck & F.col("_res").isNotNull(), F.lit(APPROVED)).when(stuck, F.lit(AVAILABLE)).otherwise(F.col(status_col))
     return j.withColumn(status_col, new).drop("_res").select(*lines.columns)
 
@@ -380,34 +414,48 @@ def count_check(before: DataFrame, after: DataFrame, expected_diff: DataFrame |
 def delete_details(headers: DataFrame, details: DataFrame, changes: DataFrame, detail_keys: Sequence[str],
                    key: str, alloc_col: str, qty_col: str, detail_qty: str,
                    status_col: str = "status_code", watch=(APPROVED, UNAPPROVED)) -> tuple[DataFrame, DataFrame]:
-    """Remove matched details, re-sum the headers they belonged to, put every
-    header of an allocation into discrepancy when one of its watched headers'
-    total changed, and drop touched headers left with no detail.
-    Returns ``(headers, details)``."""
+    """Remove matched details, re-sum the headers they belonged to, and drop touched
+    headers left with no detail. A watched (approved or unapproved) header that lost a detail
+    goes into discrepancy at once, whether its total moved or not, and with it all headers of its
+    allocation. Returns ``(headers, details)``."""
     ch = changes.select(*detail_keys).distinct()
     left = details.join(ch, list(detail_keys), "left_anti")
     touched = details.join(ch, list(detail_keys), "left_semi").select(key).distinct().withColumn("_t", F.lit(True))
-    new_tot = left.groupBy(key).agg(F.sum(detail_qty).alias("_new"))
+    new_tot = left.groupBy(key).agg(F.sum(detail_qty).alias("_new"), F.count(F.lit(1)).alias("_has"))
     h = headers.join(touched, key, "left").join(new_tot, key, "left")
     t = F.coalesce(F.col("_t"), F.lit(False))
     h = h.withColumn("_q", F.when(t, F.coalesce(F.col("_new"), F.lit(0))).otherwise(F.col(qty_col))
                      .cast(headers.schema[qty_col].dataType))
-    broke = t & F.col(status_col).isin(list(watch)) & (F.coalesce(F.col(qty_col), F.lit(0)) != F.col("_q"))
+    broke = t & F.col(status_col).isin(list(watch))
     bad = h.where(broke).select(alloc_col).distinct().withColumn("_bad", F.lit(True))
     h = h.join(bad, alloc_col, "left")
-    h = (h.where(~t | F.col("_new").isNotNull())
+    h = (h.where(~t | F.col("_has").isNotNull())
           .withColumn(status_col, F.when(F.col("_bad"), F.lit(DISCREPANCY)).otherwise(F.col(status_col)))
           .withColumn(qty_col, F.col("_q")))
     return h.select(*headers.columns), left
 
 
-def first_receipts(receipts: DataFrame, lines: DataFrame, key: str, new_flag: Column,
-                   status_col: str = "status_code", open_status=(AVAILABLE,)) -> DataFrame:
-    """Order lines whose first receipt has just arrived are marked for release.
+def first_receipts(receipts: DataFrame, lines: DataFrame, keys: Sequence[str], color: str, pack: str,
+                   receiver: str, status_col: str = "status_code") -> DataFrame:
+    """Order lines released because their first receipt has just arrived.
 
-    A line qualifies when it has exactly one receipt in total and that receipt is
-    new (``new_flag``), and the line is open; counted by aggregate, not window.
+    Receipts are counted per ``keys`` (order, back order, style, shape), ``receiver`` and, for a
+    vendor pack, the pack, else the colour (null equals null); a receipt without receiver (null or
+    0) does not count. Where the count is one, the order line of the same key is released if it is
+    approved or unapproved; an unapproved one is approved first. Returns those lines with
+    ``was`` (their status), ``approved_first`` and the new status.
     """
-    r = receipts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(new_flag.cast("int")).alias("_new"))
-    first = r.where((F.col("_n") == 1) & (F.col("_new") == 1)).select(key)
-    return lines.where(F.col(status_col).isin(list(open_status))).join(first, key, "left_semi")
+    def part(df):
+        vendor = F.col(pack).isNotNull()
+        return df.withColumns({"_pack": F.col(pack).cast("string"),
+                               "_color": F.when(~vendor, F.col(color).cast("string"))})
+
+    r = part(receipts).where(F.coalesce(F.col(receiver).cast("long"), F.lit(0)) != 0)
+    full = [*keys, "_color", "_pack"]
+    one = (r.groupBy(*full, receiver).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1)
+            .select(*[F.col(k).alias(f"_r_{k}") for k in full]).distinct())
+    x = part(lines.where(F.col(status_col).isin(APPROVED, UNAPPROVED)))
+    hit = x.join(one, _and([F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in full]), "left_semi")
+    return hit.select(*[F.col(c) for c in lines.columns if c != status_col], F.col(status_col).alias("was"),
+                      (F.col(status_col) == UNAPPROVED).alias("approved_first"),
+                      F.lit(RELEASED).alias(status_col))

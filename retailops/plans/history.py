@@ -1,16 +1,18 @@
 """Weekly history: calendar, load, roll, widen, level roll-ups.
 
-History is kept per key as one array per measure (slot i = i+1 weeks ago) instead
-of 104 columns per measure: a roll is ``concat`` + ``slice``, a prune test is one
-``exists``, a load is one ``transform``. The array is turned into long form
-``(key, week_ago, value)`` only at the edges (reports, comparison with SQL).
-Every step is a shuffle on the row key at most; no step explodes the history to
-104 rows per key except the explicit long-form exports.
+The working form is long: one row per (key, slot) that holds a value, slot 0 the current
+week and slot i the i-th week ago, with a column per measure. A load is one aggregate over
+(key, slot) for any number of measures, a roll adds to the slot, a level roll-up is a plain sum, and
+the cost follows the values that exist, not 104 columns per measure. The ``*_slots`` functions
+work on it. The array form (one array per measure, as a wide table had 104 columns) is
+for reports and for tables kept that way: ``from_long`` and ``to_long`` convert, and ``load_history``,
+``roll_history``, ``widen_history`` and ``rollup_levels`` work on arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,8 @@ def calendar_from_range(df: DataFrame, date_col: str, fy_start_month: int = 2) -
     """C14: one row per day between the smallest and largest date of ``date_col``.
 
     Columns: ``date``, ``fiscal_year`` (year in which the fiscal year ends),
-    ``fiscal_period`` (1 = the month ``fy_start_month``), ``fiscal_week``,
-    ``day_of_week``. The date range comes from a one-row aggregate; days are then
+    ``fiscal_period`` (1 = the month ``fy_start_month``), ``fiscal_week`` (weeks begin on
+    Sunday; week 1 holds the first day of the fiscal year), ``day_of_week``. The date range comes from a one-row aggregate; days are then
     generated with ``spark.range`` so they spread over tasks.
     """
     spark = df.sparkSession
@@ -37,11 +39,13 @@ def calendar_from_range(df: DataFrame, date_col: str, fy_start_month: int = 2) -
     days = spark.range(n).select(F.date_add(F.lit(b["lo"]), F.col("id").cast("int")).alias("date"))
     shifted = F.add_months(F.col("date"), 13 - fy_start_month)
     back = F.add_months(F.col("date"), 1 - fy_start_month)
+    first = F.make_date(F.year(back), F.lit(fy_start_month), F.lit(1))
     return days.select(
         "date",
         F.year(shifted).alias("fiscal_year"),
         F.month(back).alias("fiscal_period"),
-        F.weekofyear("date").alias("fiscal_week"),
+        # days since the Sunday on or before the fiscal year's first day, in whole weeks
+        (F.floor((F.datediff("date", first) + F.dayofweek(first) - 1) / 7) + 1).cast("int").alias("fiscal_week"),
         F.dayofweek("date").alias("day_of_week"))
 
 
@@ -201,31 +205,113 @@ def unknown_periods(changes: DataFrame, cal: DataFrame, period_cols: Sequence[st
 
 def load_history(hist: DataFrame, changes: DataFrame, keys: Sequence[str], slot_col: str,
                  value_col: str, measure: str, current_col: str | None = None, n: int = WEEKS,
-                 small_changes_rows: int = 2_000_000) -> DataFrame:
+                 split_bytes: int = 32 << 20) -> DataFrame:
     """Put each change value into its slot of the key's history.
 
     Changes are first pivoted to one array of slots 0..n per key (a bounded row
-    per key, map-side partial aggregation). When at most ``small_changes_rows``
-    keys are loaded (a daily load against the full history) the untouched history
+    per key, map-side partial aggregation) and stored. When their keys measure at most
+    ``split_bytes`` (a daily load against the full history) the untouched history
     rows pass through a broadcast anti join and only touched rows are merged, so
-    the history is never shuffled; otherwise one full outer join on the key.
-    Slot 0 goes to ``current_col`` when given; slots outside 0..n are ignored (see
-    ``weeks_ago``/``unknown_periods`` for rejects). A load replaces the slot's
-    value, as an UPDATE of that slot would.
+    the history is never shuffled; otherwise one full outer join on the key. Every row of the
+    result, touched or not, has an array of ``n`` slots or more (a null or short one is
+    filled up with zeros) and a current value (null becomes 0).
+    Slot 0 goes to ``current_col`` when given; changes outside 0..n are returned by
+    ``out_of_range``. A load replaces the slot's value, as an UPDATE of that slot would.
     """
+    from ..session import store
     from .changes import split_by_keys
-    ch = _slot_array(changes, keys, slot_col, value_col, 0, n, "_c")
-    split = split_by_keys(hist, keys, ch, small_changes_rows) if small_changes_rows else None
+    ch = store(_slot_array(changes, keys, slot_col, value_col, 0, n, "_c"), "history-load")
+    split = split_by_keys(hist, keys, ch, split_bytes)
+    old = F.coalesce(F.col(measure), zeros(0).cast("array<double>"))
+    cur = F.concat(old, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(n) - F.size(old))))
     base = hist if split is None else split[1]
     j = base.join(ch, list(keys), "full_outer")
-    cur = F.coalesce(F.col(measure), zeros(n))
-    new = F.transform(cur, lambda x, i: F.coalesce(F.col("_c")[i + 1], x))
+    new = F.transform(cur, lambda x, i: F.coalesce(F.get(F.col("_c"), i + 1), x))
     out = j.withColumn(measure, F.when(F.col("_c").isNull(), cur).otherwise(new))
     if current_col:
         out = out.withColumn(current_col, F.coalesce(F.col("_c")[0], F.col(current_col), F.lit(0.0)))
     out = out.drop("_c")
-    return out if split is None else split[0].select(*out.columns).unionByName(out)
+    if split is None:
+        return out
+    same = split[0].withColumn(measure, cur)
+    if current_col:
+        same = same.withColumn(current_col, F.coalesce(F.col(current_col), F.lit(0.0)))
+    return same.select(*out.columns).unionByName(out)
+
+
+def out_of_range(changes: DataFrame, slot_col: str, n: int = WEEKS) -> DataFrame:
+    """I23 rejects: changes whose slot is missing, in the future or older than ``n`` weeks."""
+    return changes.where(F.col(slot_col).isNull() | ~F.col(slot_col).between(0, n))
+
+
+# --- long form ------------------------------------------------------------------
+
+def load_slots(hist: DataFrame, changes: DataFrame, keys: Sequence[str], measures: Sequence[str],
+               slot_col: str = "slot", n: int = WEEKS) -> DataFrame:
+    """I23 in long form: put change values into their slots, any number of measures at once.
+
+    Both sides hold ``keys``, the slot and ``measures``; changes of one slot are summed and
+    replace the history's value, measure by measure (a null measure of a change leaves the old one,
+    so on hand, in transit, on order and the sales of two weeks come in as one load). One shuffle on
+    ``keys``; slots outside 0..n come back from ``out_of_range``.
+    """
+    side = lambda df, new: df.where(F.col(slot_col).between(0, n)).select(
+        *keys, F.col(slot_col).cast("int").alias(slot_col), *[F.col(m).cast("double").alias(m) for m in measures],
+        F.lit(new).alias("_new"))
+    both = side(hist, False).unionByName(side(changes, True)).repartition(*keys)
+    return both.groupBy(*keys, slot_col).agg(*[
+        F.coalesce(F.sum(F.when(F.col("_new"), F.col(m))), F.sum(F.when(~F.col("_new"), F.col(m))), F.lit(0.0)).alias(m)
+        for m in measures])
+
+
+def roll_slots(hist: DataFrame, keys: Sequence[str], measures: Mapping[str, bool], weeks: int = 1,
+               slot_col: str = "slot", n: int = WEEKS) -> DataFrame:
+    """I21 in long form: every value moves ``weeks`` older, all-zero keys are dropped.
+
+    ``measures`` maps a measure to whether its current value is reset (week-to-date sales) or
+    kept and repeated into every new slot (on hand). The prune test reads the values before each
+    weekly shift, so a key whose only value is in week 104 survives one roll, as a row of zeros in slot
+    0, and goes at the next. A key's rows are at most n + 1, so the test is a window over the key; every
+    key that survives has a slot-0 row.
+    """
+    from pyspark.sql import Window
+    if not 1 <= weeks <= n:
+        raise ValueError("weeks must be between 1 and the history length")
+    w = Window.partitionBy(*keys)
+    some = reduce(lambda a, b: a | b, [F.coalesce(F.col(m), F.lit(0.0)) != 0 for m in measures])
+    x = hist.withColumns({"_alive": F.max(some & (F.col(slot_col) <= n - weeks + 1)).over(w),
+                          "_first": F.min(slot_col).over(w)}).where("_alive")
+
+    def row(slot, value):
+        return F.struct(F.lit(slot).cast("int").alias(slot_col) if isinstance(slot, int) else slot.cast("int").alias(slot_col),
+                        *[value(m).cast("double").alias(m) for m in measures])
+
+    zero = F.lit(0.0)
+    fresh = [row(0, lambda m: zero if measures[m] else F.col(m))] + [
+        row(i, lambda m, i=i: F.when(F.lit(not measures[m] or i == weeks), F.col(m)).otherwise(zero))
+        for i in range(1, weeks + 1)]
+    moved = F.array(row(F.col(slot_col) + weeks, F.col))
+    start = F.when(F.col("_first") == F.col(slot_col), F.concat(F.array(row(0, lambda m: zero)), moved)).otherwise(moved)
+    rows = F.when(F.col(slot_col) == 0, F.array(*fresh)).otherwise(start)
+    return (x.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")
+             .where(F.col(slot_col) <= n))
+
+
+def rollup_slots(hist: DataFrame, levels: Sequence[tuple[str, Sequence[str]]], measures: Sequence[str],
+                 slot_col: str = "slot") -> dict[str, DataFrame]:
+    """D12 in long form: the measures summed per slot at every level, finest first.
+
+    Each level is stored and the next one sums it, so each reads the smallest available input.
+    """
+    from ..session import store
+    out = {}
+    for name, keys in levels:
+        hist = store(hist.groupBy(*keys, slot_col).agg(*[F.sum(m).alias(m) for m in measures]), f"level-{name}")
+        out[name] = hist
+    return out
+
 
+# --- levels on arrays -----------------------------------------------------------
 
 def sum_arrays(col: str, n: int = WEEKS) -> Column:
     """Element-wise sum of a fixed-length array column inside ``agg``.
@@ -268,15 +354,16 @@ def history_day(hist: DataFrame, changes: DataFrame, cal: DataFrame, period_cols
                 levels_root: str | None = None) -> dict[str, object]:
     """Section 3.2: one day of history upkeep as one job.
 
-    Changes get their slot from the calendar (periods missing from it come back in
-    ``rejects``), are loaded into the history, the history is rolled by
+    Changes get their slot from the calendar (periods missing from it, in the future or too
+    old come back in ``rejects``), are loaded into the history, the history is rolled by
     ``roll_weeks`` on a roll day, and the level tables are rebuilt from it when
     ``levels`` are given (written under ``levels_root`` when set). Returns
     ``{"history", "rejects", "levels"}``; the caller writes the new history to a
     new path (``replace_table``).
     """
     slotted = weeks_ago(changes, cal, period_cols, current)
-    rejects = unknown_periods(changes, cal, period_cols)
+    rejects = unknown_periods(changes, cal, period_cols).unionByName(
+        out_of_range(slotted, "week_ago").select(*changes.columns))
     new = load_history(hist, slotted, keys, "week_ago", value_col, measure, current_col=current_col)
     if roll_weeks:
         new = roll_history(new, {measure: (current_col, reset_current)}, weeks=roll_weeks)

@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import safe_next_day, safe_prev_day, ts_literal
-from ..operators.aggs import number_rows, top_rank, with_count
-from ..sources.tables import format_fixed
+from ..functions.cols import safe_next_day, safe_prev_day, ts_literal, zero_padded
+from ..operators.aggs import count_by_distinct, number_rows, top_rank, with_count
+from ..operators.joins import unique_rows
+from ..sources.tables import fits_fixed, format_fixed
 
 
 def explode_sets(items: DataFrame, components: DataFrame, cost: DataFrame, item_key: str,
@@ -46,25 +47,33 @@ def explode_sets(items: DataFrame, components: DataFrame, cost: DataFrame, item_
 def feed(df: DataFrame, layout: Sequence[tuple], name: str = "record", order: Sequence | None = None) -> DataFrame:
     """Outbound fixed-width feed: one record per row (see ``format_fixed``).
 
+    Rows with a number wider than its field are left out; ``feed_rejects`` returns them.
     With ``order`` the records come out sorted (a range-partitioned sort, so the
     part files written by ``write_text`` are in order one after another)."""
+    df = df.where(fits_fixed(layout))
     out = df.orderBy(*order) if order else df
     return out.select(format_fixed(layout).alias(name))
 
 
-def item_store_detail(base: DataFrame, fact: DataFrame, keys: Sequence[str],
+def feed_rejects(df: DataFrame, layout: Sequence[tuple]) -> DataFrame:
+    """The rows that ``feed`` leaves out because a number does not fit its field."""
+    return df.where(~fits_fixed(layout))
+
+
+def item_store_detail(base: DataFrame | None, fact: DataFrame, keys: Sequence[str],
                       sums: Mapping[str, tuple[Column, Column]],
                       flags: Mapping[str, Column]) -> DataFrame:
     """Item x place rows with several fact totals and ever-had flags.
 
     The fact is read once: one grouped pass computes every conditional total
     (``sum(when(cond, value))``) and every flag (``max(when(cond, 1))``), then a
-    left join to the base fills 0 / 'N' where the fact has no row.
+    left join to the base fills 0 / 'N' where the fact has no row. Without a base (None) the
+    rows are the fact's own keys, and nothing is joined.
     """
     aggs = [F.sum(F.when(c, v)).alias(n) for n, (c, v) in sums.items()]
     aggs += [F.max(F.when(c, F.lit(1))).alias(n) for n, c in flags.items()]
     g = fact.groupBy(*keys).agg(*aggs)
-    out = base.join(g, list(keys), "left")
+    out = g if base is None else base.join(g, list(keys), "left")
     for n in sums:
         out = out.withColumn(n, F.coalesce(F.col(n), F.lit(0.0)))
     for n in flags:
@@ -73,16 +82,28 @@ def item_store_detail(base: DataFrame, fact: DataFrame, keys: Sequence[str],
 
 
 def in_stock(df: DataFrame, keys: Sequence[str], in_stock_cond: Column, exclude: Column | None = None,
-             item_col: str | None = None, scale: int = 2) -> DataFrame:
-    """In-stock percentage per group (e.g. source x store), worst first, one pass.
+             item_col: str | None = None, scale: int = 2, items_per: Sequence[str] | None = None,
+             adjustments: tuple[DataFrame, str] | None = None,
+             lead: tuple[DataFrame, Sequence[str], Sequence[str]] | None = None,
+             order: Sequence | None = None) -> DataFrame:
+    """In-stock percentage per group (e.g. buyer x source x method x store), one pass.
 
     Per group: rows in total, in stock and out of stock, the percentage in stock
     and, with ``item_col``, the lowest out-of-stock item (a pointer for the
-    buyer). ``exclude`` drops rows from numerator and denominator (the
-    adjustments). Counts come from one pass over the full group keys; a report
-    that joins in-stock and out-of-stock counts on source and store only would
-    merge a source's two replenishment methods, so include the method in ``keys``
-    when it matters."""
+    buyer). ``exclude`` drops rows from numerator and denominator. Counts come from one pass
+    over the full group keys; a report that joins in-stock and out-of-stock counts on source
+    and store only would merge a source's two replenishment methods, so include the method in
+    ``keys`` when it matters.
+
+    * ``items_per`` (a subset of ``keys``, e.g. the source) adds ``n_items``: how many distinct
+      items of ``item_col`` it has anywhere;
+    * ``adjustments`` is ``(rows, quantity)``, rows carrying ``keys``: adds ``adj_qty``, the sum
+      of the adjusted quantity, 0 where there is none;
+    * ``lead`` is ``(details, on, day columns)``: adds ``lead_days``, the sum of the source's
+      day columns (order processing and transit);
+    * ``order`` sorts the report; by default the worst percentage comes first.
+    """
+    keys = list(keys)
     x = df if exclude is None else df.where(~exclude)
     aggs = [F.count(F.lit(1)).alias("n_total"),
             F.sum(F.when(in_stock_cond, 1).otherwise(0)).cast("long").alias("n_in_stock")]
@@ -90,17 +111,29 @@ def in_stock(df: DataFrame, keys: Sequence[str], in_stock_cond: Column, exclude:
         aggs.append(F.min(F.when(~in_stock_cond, F.col(item_col))).alias("min_out_item"))
     g = x.groupBy(*keys).agg(*aggs).withColumn("n_out_of_stock", F.col("n_total") - F.col("n_in_stock"))
     g = g.withColumn("pct_in_stock", F.round(F.when(F.col("n_total") > 0, F.col("n_in_stock") * 100.0 / F.col("n_total")), scale))
-    return g.orderBy("pct_in_stock", *keys)
+    if items_per:
+        counts = count_by_distinct(x, [item_col], items_per, "n_items")
+        g = g.join(counts, list(items_per), "left")
+    if adjustments:
+        rows, qty = adjustments
+        g = g.join(rows.groupBy(*keys).agg(F.sum(qty).alias("adj_qty")), keys, "left") \
+             .withColumn("adj_qty", F.coalesce(F.col("adj_qty"), F.lit(0.0)))
+    if lead:
+        details, on, days = lead
+        total = reduce(lambda a, b: a + b, [F.col(d) for d in days])
+        g = g.join(unique_rows(details.select(*on, total.alias("lead_days")), on, "lead time"), list(on), "left")
+    return g.orderBy(*(order or ["pct_in_stock", *keys]))
 
 
 def price_list(intervals: DataFrame, key: Sequence[str], from_col: str, to_col: str, price_col: str,
                as_of, cents_width: int = 9) -> DataFrame:
     """Current and future prices as coded rows: 'C' for the row in effect at
-    ``as_of``, 'F' for rows starting after it; price as zero-padded cents."""
+    ``as_of``, 'F' for rows starting after it; price as zero-padded cents, a price of more
+    digits being an error."""
     d = F.lit(as_of)
     code = F.when((F.col(from_col) <= d) & (F.col(to_col) > d), F.lit("C")).when(F.col(from_col) > d, F.lit("F"))
     x = intervals.withColumn("price_code", code).where(F.col("price_code").isNotNull())
-    cents = F.lpad(F.round(F.col(price_col) * 100, 0).cast("long").cast("string"), cents_width, "0")
+    cents = zero_padded(F.round(F.col(price_col) * 100, 0).cast("long").cast("string"), cents_width, "price")
     return x.select(*key, "price_code", F.col(from_col).alias("eff_from"), cents.alias("price_digits")).distinct()
 
 

@@ -7,7 +7,8 @@ decides where lineage-cutting writes go.
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -87,7 +88,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a folder every executor can reach; that setting is always used as
-    is. Only when it is unset (local runs, tests) is a private folder made.
+    is. Only where it is unset and the master is local is a private folder made, which
+    goes when the process ends; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -100,6 +102,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             # a machine-local folder is invisible to the other executors
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="retailops-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -111,15 +114,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def store(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` as a table of the shared folder and read it back.
+
+    The input runs once, lineage is cut, and the planner knows the table's size. A lost
+    executor costs a re-read.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def local_dir_exists(path: str) -> bool:
-    return is_local_path(path) and os.path.exists(path.replace("file:", "", 1))

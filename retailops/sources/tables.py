@@ -262,18 +262,33 @@ def parse_fixed(df: DataFrame, col: str, layout: Sequence[tuple],
     return df.select(*out)
 
 
+def _digits(c: Column) -> Column:
+    return F.coalesce(F.floor(F.abs(c)).cast("decimal(38,0)").cast("string"), F.lit("0"))
+
+
+def fits_fixed(layout: Sequence[tuple]) -> Column:
+    """Whether every number of a record fits its field (see ``format_fixed``)."""
+    ok = F.lit(True)
+    for c, width, kind in layout:
+        if kind == "num":
+            ok = ok & (F.length(_digits(F.col(c) if isinstance(c, str) else c)) <= width)
+    return ok
+
+
 def format_fixed(layout: Sequence[tuple], sep: str = "") -> Column:
     """One fixed-width record from columns.
 
     ``layout`` entries are ``(column_or_expr, width, kind)``: ``kind`` ``"num"`` pads
-    the absolute value with zeros on the left, ``"text"`` pads with blanks on the
-    right and cuts to width.
+    the absolute value with zeros on the left (null: all zeros), ``"text"`` pads with blanks
+    on the right and cuts to width (null: blanks). A number wider than its field is an
+    error; ``fits_fixed`` tells such rows beforehand.
     """
+    from ..functions.cols import zero_padded
     parts = []
     for c, width, kind in layout:
         c = F.col(c) if isinstance(c, str) else c
         if kind == "num":
-            parts.append(F.lpad(F.abs(c).cast("long").cast("string"), width, "0"))
+            parts.append(zero_padded(_digits(c), width))
         else:
             parts.append(F.rpad(F.coalesce(c.cast("string"), F.lit("")), width, " "))
     return F.concat_ws(sep, *parts) if sep else F.concat(*parts)
@@ -284,19 +299,17 @@ def rows(spark: SparkSession, data: Sequence[Sequence], schema) -> DataFrame:
     return spark.createDataFrame(list(data), schema)
 
 
-def keys_in(df: DataFrame, col: str, keys: Sequence, max_broadcast_rows: int = 100_000) -> DataFrame:
+def keys_in(df: DataFrame, col: str, keys: Sequence) -> DataFrame:
     """Keep rows whose ``col`` is in a long literal key list.
 
-    The list becomes a one-column DataFrame; it is broadcast only when it is within
-    ``max_broadcast_rows`` (its size is known on the driver), else it is shuffled.
+    The list becomes a one-column DataFrame; its size is known to the planner, which
+    broadcasts or shuffles it accordingly.
     """
     from ..operators.joins import has
     spark = df.sparkSession
     dtype = df.schema[col].dataType
     kdf = spark.createDataFrame([(k,) for k in dict.fromkeys(keys)],
                                 T.StructType([T.StructField(col, dtype)]))
-    if len(keys) <= max_broadcast_rows:
-        kdf = F.broadcast(kdf)
     return has(df, kdf, [col])
 
 
@@ -308,5 +321,5 @@ def sample_rows(df: DataFrame, n: int, seed: int, key_cols: Sequence[str] | None
     ever holds more than ``n`` rows.
     """
     cols = list(key_cols or df.columns)
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
     return df.orderBy(h, *cols).limit(n)

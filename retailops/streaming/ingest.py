@@ -6,15 +6,16 @@ a Structured Streaming file source and each micro-batch runs in ``foreachBatch``
 
 * rows whose time is at least ``settle_seconds`` older than the newest row seen
   are applied (``apply_changes``); younger rows go to a *pending* table and are
-  offered again with the next batch, so nothing is lost to the cut-off;
+  offered again with the next batch, so nothing is lost to the cut-off; rows without a
+  time go to a *rejects* table;
 * with ``busy`` keys (lines in progress), changes for those keys are deferred to
   the pending table too (J2) and retried every batch;
-* each batch writes the new state and pending table under its own batch id and
-  reads the previous batch's output, so a batch repeated after a failure
-  overwrites its own output and the result is the same (the streaming offset log
-  replaces the reference's delete-and-count check);
-* a change whose sequence is not newer than the last one applied to its key is
-  ignored, so a late file cannot roll a key back.
+* the state is a base table and a log: a batch writes only the keys it touched, with the last
+  sequence applied to each, deleted keys included, so a late change cannot roll a key back or
+  revive one. Every ``compact_every`` batches the log is folded into a new base;
+* each batch writes under its own batch id and reads only what stands below it, so a batch
+  repeated after a failure overwrites its own output with the same result. Folders that no batch can
+  read again are deleted.
 
 State lives in the folder given by the caller (a shared file system on a cluster).
 """
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 
 from ..functions.cols import ts_literal
 from ..plans.changes import apply_changes, split_deferred
+from ..session import store
 
 
 def _batches(spark: SparkSession, root: str) -> list[int]:
@@ -53,20 +55,51 @@ def _latest(spark: SparkSession, root: str, below: int | None = None) -> str | N
     return f"{root}/batch={ids[-1]}" if ids else None
 
 
-def read_state(spark: SparkSession, work_dir: str, schema=None) -> tuple[DataFrame, DataFrame | None]:
+def _drop_below(spark: SparkSession, root: str, batch: int) -> None:
+    """Delete the folders of batches before ``batch``."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for b in _batches(spark, root):
+        if b < batch:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/batch={b}"), True)
+
+
+def _keyed_state(spark: SparkSession, work_dir: str, keys: Sequence[str], below: int | None = None) -> DataFrame:
+    """All keys ever seen with their row, ``_last_seq`` and ``_deleted``, as of the batches before ``below``."""
+    bases = [b for b in _batches(spark, f"{work_dir}/base") if below is None or b < below]
+    base = spark.read.parquet(f"{work_dir}/base/batch={bases[-1]}")
+    logs = [b for b in _batches(spark, f"{work_dir}/log") if b > bases[-1] and (below is None or b < below)]
+    if not logs:
+        return base
+    rows = None
+    for b in logs:
+        r = spark.read.schema(base.schema).parquet(f"{work_dir}/log/batch={b}").withColumn("_batch", F.lit(b))
+        rows = r if rows is None else rows.unionByName(r)
+    rest = [c for c in base.columns if c not in keys]
+    new = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
+    return base.join(new.select(*keys), list(keys), "left_anti").unionByName(new.select(*base.columns))
+
+
+def read_state(spark: SparkSession, work_dir: str, keys: Sequence[str], schema=None) -> tuple[DataFrame, DataFrame | None]:
     """The latest committed ``(state, pending)`` of an ingest folder."""
-    state = spark.read.parquet(_latest(spark, f"{work_dir}/state")).drop("_last_seq")
+    state = _keyed_state(spark, work_dir, list(keys)).where(~F.col("_deleted")).drop("_last_seq", "_deleted")
     pend = _latest(spark, f"{work_dir}/pending")
     if pend:
         return state, spark.read.parquet(pend)
     return state, (spark.createDataFrame([], schema) if schema is not None else None)
 
 
+def read_rejects(spark: SparkSession, work_dir: str) -> DataFrame | None:
+    """All changes without a time, of every batch; None before the first batch."""
+    ids = _batches(spark, f"{work_dir}/rejects")
+    return spark.read.parquet(*[f"{work_dir}/rejects/batch={b}" for b in ids]) if ids else None
+
+
 def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFrame, keys: Sequence[str],
                    work_dir: str, ts_col: str, settle_seconds: float, op_col: str = "op",
                    seq_col: str = "seq", busy: DataFrame | None = None, max_files_per_trigger: int = 1,
                    mode: str = "last", to_changes=None, processing_time: str | None = None,
-                   verify_counts: bool = True):
+                   verify_counts: bool = True, compact_every: int = 16):
     """Stream the change files under ``source_dir`` into ``target``.
 
     ``to_changes`` maps a raw micro-batch to change rows (keys, op, seq, ts and the
@@ -78,51 +111,65 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
     ``StreamingQuery`` is returned; ``read_state(spark, work_dir)`` reads the
     latest committed state at any time.
 
-    ``verify_counts`` checks in every batch that the rows taken in equal the rows
-    applied plus the rows left pending (the reference's insert-equals-delete
-    check), failing the batch otherwise.
+    ``verify_counts`` compares in every batch the queue with what was taken from it: the rows
+    that came in must equal those counted in the stored, reduced change set plus those written
+    to the pending and the rejects table (the reference's insert-equals-delete check); the batch
+    fails otherwise.
     """
     keys = list(keys)
-    state_root, pending_root = f"{work_dir}/state", f"{work_dir}/pending"
-    (target.withColumn("_last_seq", F.lit(None).cast("long"))
-           .write.mode("overwrite").parquet(f"{state_root}/batch=-1"))
+    pending_root, rejects_root = f"{work_dir}/pending", f"{work_dir}/rejects"
+    (target.withColumn("_last_seq", F.lit(None).cast("long")).withColumn("_deleted", F.lit(False))
+           .write.mode("overwrite").parquet(f"{work_dir}/base/batch=-1"))
     busy_keys = busy.select(*keys).distinct() if busy is not None else None
     ntz = isinstance(schema[ts_col].dataType, T.TimestampNTZType)
 
     def process(batch_df: DataFrame, batch_id: int) -> None:
-        changes = to_changes(batch_df) if to_changes else batch_df
-        state = spark.read.parquet(_latest(spark, state_root, below=batch_id))
+        incoming = to_changes(batch_df) if to_changes else batch_df
         prev_pending = _latest(spark, pending_root, below=batch_id)
-        incoming = changes
         if prev_pending:
-            incoming = incoming.unionByName(spark.read.parquet(prev_pending).select(*changes.columns))
-        newest = incoming.agg(F.max(ts_col)).first()[0]
-        if newest is None:
+            incoming = incoming.unionByName(spark.read.parquet(prev_pending).select(*incoming.columns))
+        n_in, newest = incoming.agg(F.count(F.lit(1)), F.max(ts_col)).first()
+        if not n_in:
             return
-        cutoff = newest - _dt.timedelta(seconds=settle_seconds)
-        cut = ts_literal(cutoff, ntz=ntz)
+        incoming.where(F.col(ts_col).isNull()).write.mode("overwrite").parquet(f"{rejects_root}/batch={batch_id}")
+        cut = ts_literal(newest - _dt.timedelta(seconds=settle_seconds), ntz=ntz) if newest else F.lit(None)
         ready = incoming.where(F.col(ts_col) <= cut)
         young = incoming.where(F.col(ts_col) > cut)
         if busy_keys is not None:
             ready, deferred = split_deferred(ready, busy_keys.withColumn("status_code", F.lit(20)), keys)
             young = young.unionByName(deferred)
-        young.write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}.tmp")
-        if verify_counts:
-            n_in = incoming.count()
-            n_ready = ready.count()
-            n_pending = spark.read.parquet(f"{pending_root}/batch={batch_id}.tmp").count()
-            if n_in != n_ready + n_pending:
-                raise RuntimeError(f"batch {batch_id}: {n_in} rows in, {n_ready} applied + {n_pending} pending")
-        # drop changes not newer than what the key already has
-        seen = state.select(*keys, "_last_seq")
-        ready = (ready.join(seen, keys, "left")
-                      .where(F.col("_last_seq").isNull() | (F.col(seq_col) > F.col("_last_seq")))
-                      .drop("_last_seq").withColumn("_last_seq", F.col(seq_col).cast("long")))
-        new_state = apply_changes(state, ready, keys, op_col, seq_col, mode)
-        new_state.write.mode("overwrite").parquet(f"{state_root}/batch={batch_id}")
+        ready = store(ready, "ingest-ready")
+        touched = store(ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                                 F.max(F.col(seq_col).cast("long")).alias("_max_seq")), "ingest-touched")
+        # the state of the touched keys only: the base is streamed past them, not shuffled, when they are few
+        state = store(_keyed_state(spark, work_dir, keys, below=batch_id).join(
+            touched.select(*keys), keys, "left_semi"), "ingest-state")
+        seen = state.select(*keys, F.col("_last_seq").alias("_seen"))
+        fresh = (ready.join(seen, keys, "left")
+                      .where(F.col("_seen").isNull() | (F.col(seq_col) > F.col("_seen"))).drop("_seen"))
+        live = state.where(~F.col("_deleted")).select(*target.columns)
+        after = apply_changes(live, fresh, keys, op_col, seq_col, mode).withColumn("_here", F.lit(True))
+        log = (touched.join(seen, keys, "left").join(after, keys, "left")
+               .withColumn("_last_seq", F.greatest("_max_seq", "_seen"))
+               .withColumn("_deleted", F.col("_here").isNull()))
+        log.select(*target.columns, "_last_seq", "_deleted").write.mode("overwrite").parquet(
+            f"{work_dir}/log/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            bases = _batches(spark, f"{work_dir}/base")
+            _keyed_state(spark, work_dir, keys, below=batch_id + 1).write.mode("overwrite").parquet(
+                f"{work_dir}/base/batch={batch_id}")
+            keep = max([b for b in bases if b < batch_id], default=-1)  # a repeat of this batch still reads it
+            _drop_below(spark, f"{work_dir}/base", keep)
+            _drop_below(spark, f"{work_dir}/log", keep)
         # the pending table of this batch becomes visible only after the state is written
-        spark.read.parquet(f"{pending_root}/batch={batch_id}.tmp") \
-             .write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}")
+        young.write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}")
+        _drop_below(spark, pending_root, batch_id - 1)
+        if verify_counts:
+            taken = touched.agg(F.sum("_n")).first()[0] or 0
+            left = spark.read.parquet(f"{pending_root}/batch={batch_id}").count()
+            bad = spark.read.parquet(f"{rejects_root}/batch={batch_id}").count()
+            if n_in != taken + left + bad:
+                raise RuntimeError(f"batch {batch_id}: {n_in} rows in, {taken} taken + {left} pending + {bad} rejected")
 
     w = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .option("recursiveFileLookup", "true").parquet(source_dir)
@@ -130,18 +177,25 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
     if processing_time:
         return w.trigger(processingTime=processing_time).start()
     w.trigger(availableNow=True).start().awaitTermination()
-    return read_state(spark, work_dir, target.schema)
+    return read_state(spark, work_dir, keys, target.schema)
 
 
 def write_change_files(df: DataFrame, dest: str, ts_col: str, n_files: int) -> None:
     """Split a change table into ``n_files`` time slices written one after another
-    (so file modification order follows time, as an upstream feed would deliver)."""
+    (so file modification order follows time, as an upstream feed would deliver).
+
+    A slice has as many files as its tasks wrote. Rows without a time go with the first slice."""
     bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
+    if lo is None:
+        df.write.mode("overwrite").parquet(f"{dest}/slice=0000")
+        return
     ntz = isinstance(df.schema[ts_col].dataType, T.TimestampNTZType)
     step = (hi - lo) / n_files
     for i in range(n_files):
         cond = F.col(ts_col) >= ts_literal(lo + step * i, ntz)
         if i < n_files - 1:
             cond = cond & (F.col(ts_col) < ts_literal(lo + step * (i + 1), ntz))
-        df.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{dest}/slice={i:04d}")
+        if i == 0:
+            cond = cond | F.col(ts_col).isNull()
+        df.where(cond).write.mode("overwrite").parquet(f"{dest}/slice={i:04d}")

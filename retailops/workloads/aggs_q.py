@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cols import in_year
 from ..operators import aggs as A
 from .registry import query, tables
 
@@ -57,7 +58,7 @@ def d5(spark, d):
 SELECT CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1998)""")
 def d6(spark, d):
     (orders,) = tables(spark, d, "orders")
-    return A.count_distinct(orders.where(F.year("o_orderdate") == 1998), "o_custkey")
+    return A.count_distinct(orders.where(in_year("o_orderdate", 1998)), "o_custkey")
 
 
 @query("d7_scorecard", """
@@ -96,10 +97,11 @@ FROM part p""")
 def d9(spark, d):
     part, li = tables(spark, d, "part", "lineitem")
     li = li.withColumnRenamed("l_partkey", "p_partkey")
+    qty = F.col("l_quantity")
     out = A.fact_totals(part.select("p_partkey"), {
-        "sold_qty": (li, ["p_partkey"], F.col("l_quantity")),
-        "returned_qty": (li.where(F.col("l_returnflag") == "R"), ["p_partkey"], F.col("l_quantity")),
-        "qty_2001": (li.where(F.year("l_shipdate") == 2001), ["p_partkey"], F.col("l_quantity"))}, default=0.0)
+        "sold_qty": (li, ["p_partkey"], qty),
+        "returned_qty": (li, ["p_partkey"], F.when(F.col("l_returnflag") == "R", qty)),
+        "qty_2001": (li, ["p_partkey"], F.when(in_year("l_shipdate", 2001), qty))}, default=0.0)
     return out.select("p_partkey", *[F.round(c, 2).alias(c) for c in ("sold_qty", "returned_qty", "qty_2001")])
 
 
@@ -172,10 +174,12 @@ def e1(spark, d):
 
 
 @query("e2_row_numbers", """
-SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM orders""")
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority,
+       CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM orders""")
 def e2(spark, d):
     (orders,) = tables(spark, d, "orders")
-    return A.number_rows(orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "rn")
+    return A.number_rows(orders, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey", "o_totalprice",
+                                                                       "o_orderpriority", "rn")
 
 
 @query("e2b_row_numbers_per_group", """
@@ -237,8 +241,8 @@ SELECT l_partkey FROM lineitem WHERE year(l_shipdate) = 1996
 EXCEPT SELECT l_partkey FROM lineitem WHERE year(l_shipdate) = 1997""")
 def g3(spark, d):
     (li,) = tables(spark, d, "lineitem")
-    return A.minus(li.where(F.year("l_shipdate") == 1996).select("l_partkey"),
-                   li.where(F.year("l_shipdate") == 1997).select("l_partkey"))
+    return A.minus(li.where(in_year("l_shipdate", 1996)).select("l_partkey"),
+                   li.where(in_year("l_shipdate", 1997)).select("l_partkey"))
 
 
 @query("g4_sequence_gaps", """

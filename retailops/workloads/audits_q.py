@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.cols import older_than
+from ..functions.cols import in_year, older_than
 from ..operators.joins import star_join
 from ..plans.audits import audit_missing
 from .registry import AS_OF, query, tables
@@ -137,8 +137,8 @@ def i9(spark, d):
     from ..plans.audits import coverage_audit
     li, supp, nation = tables(spark, d, "lineitem", "supplier", "nation")
     sr = li.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    expected = sr.where(F.year("l_shipdate") == 2000).select("l_partkey", "n_regionkey").distinct()
-    actual = sr.where(F.year("l_shipdate") == 2001).select("l_partkey", "n_regionkey", "l_linestatus")
+    expected = sr.where(in_year("l_shipdate", 2000)).select("l_partkey", "n_regionkey").distinct()
+    actual = sr.where(in_year("l_shipdate", 2001)).select("l_partkey", "n_regionkey", "l_linestatus")
     return coverage_audit(expected, actual, ["l_partkey", "n_regionkey"], "l_linestatus", ["O"])
 
 
@@ -205,7 +205,7 @@ WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND year(
 ORDER BY p.p_partkey LIMIT 10""")
 def i45(spark, d):
     part, li = tables(spark, d, "part", "lineitem")
-    sold = li.where(F.year("l_shipdate") == 2001)
+    sold = li.where(in_year("l_shipdate", 2001))
     returned = li.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
     picked = audit_missing(part.select("p_partkey", "p_name"),
                            must_lack=[(returned, F.col("p_partkey") == F.col("l_partkey"))],

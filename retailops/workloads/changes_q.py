@@ -11,7 +11,7 @@ import datetime as _dt
 
 from pyspark.sql import functions as F
 
-from ..functions.cols import older_than
+from ..functions.cols import in_year, older_than
 from ..plans import changes as X
 from .registry import AS_OF, query, tables
 
@@ -104,7 +104,7 @@ b AS (SELECT l_partkey, MIN(l_suppkey) AS supp, MAX(l_quantity) AS max_qty FROM
 
 def _drift_sides(li):
     def side(y):
-        return li.where(F.year("l_shipdate") == y).groupBy("l_partkey").agg(
+        return li.where(in_year("l_shipdate", y)).groupBy("l_partkey").agg(
             F.min("l_suppkey").alias("supp"), F.max("l_quantity").alias("max_qty"))
     return side(1996), side(1997)
 
@@ -196,39 +196,44 @@ SELECT a.style, a.color, a.size FROM a JOIN b ON a.style IS NOT DISTINCT FROM b.
 def i31b(spark, d):
     (li,) = tables(spark, d, "lineitem")
     ids = _ids(li)
-    a = ids.where(F.year("l_shipdate") == 1996).select("style", "color", "size").distinct()
-    b = ids.where(F.year("l_shipdate") == 1997).select("style", "color", "size").distinct()
+    a = ids.where(in_year("l_shipdate", 1996)).select("style", "color", "size").distinct()
+    b = ids.where(in_year("l_shipdate", 1997)).select("style", "color", "size").distinct()
     return X.match_lines(a, b, ["style", "color", "size"]).select("style", "color", "size")
 
 
 @query("i32_assign_surrogate_keys", """
-WITH new_rows AS (SELECT c_custkey FROM customer c WHERE NOT EXISTS (
+WITH new_rows AS (SELECT c_custkey, c_name, c_acctbal FROM customer c WHERE NOT EXISTS (
    SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND year(o.o_orderdate) = 2001))
-SELECT c_custkey, CAST((SELECT MAX(o_orderkey) FROM orders) + row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS o_orderkey FROM new_rows""")
+SELECT c_custkey, c_name, c_acctbal, CAST((SELECT MAX(o_orderkey) FROM orders) + row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS o_orderkey FROM new_rows""")
 def i32(spark, d):
     cust, orders = tables(spark, d, "customer", "orders")
-    o2001 = orders.where(F.year("o_orderdate") == 2001)
-    new_rows = cust.join(o2001, cust.c_custkey == o2001.o_custkey, "left_anti").select("c_custkey")
+    o2001 = orders.where(in_year("o_orderdate", 2001))
+    new_rows = cust.join(o2001, cust.c_custkey == o2001.o_custkey, "left_anti").select("c_custkey", "c_name",
+                                                                                          "c_acctbal")
     return X.assign_keys(new_rows, orders, "o_orderkey", ["c_custkey"])
 
 
 @query("i33_pack_quantities", """
 WITH j AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey AS sku, CAST(l.l_quantity AS BIGINT) AS qty, p.p_size % 6 + 1 AS qpp,
+                  CASE WHEN l.l_linestatus = 'O' THEN CAST(l.l_quantity AS BIGINT) END AS ordered,
                   CASE WHEN p.p_type = 'PROMO' THEN 'VP' || CAST(p.p_partkey AS VARCHAR) END AS vendor_pack
            FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)
 SELECT l_orderkey, l_linenumber,
-  CAST(CASE WHEN vendor_pack IS NOT NULL THEN qty ELSE floor(coalesce(qty, 0) / qpp) END AS BIGINT) AS nbr_packs,
+  round(CAST(CASE WHEN vendor_pack IS NOT NULL THEN qty ELSE coalesce(qty, 0) / CAST(qpp AS DOUBLE) END AS DOUBLE), 6) AS nbr_packs,
   CASE WHEN vendor_pack IS NULL AND qpp > 1 THEN CAST(sku AS VARCHAR) || '_' || CAST(qpp AS VARCHAR) ELSE coalesce(vendor_pack, CAST(sku AS VARCHAR)) END AS pack_id,
-  CAST(CASE WHEN vendor_pack IS NOT NULL THEN qty ELSE floor(coalesce(qty, 0) / qpp) END * qpp AS BIGINT) AS extended_qty
+  round(CAST(CASE WHEN vendor_pack IS NOT NULL THEN coalesce(ordered, 0) ELSE coalesce(ordered, 0) / CAST(qpp AS DOUBLE) END AS DOUBLE), 6) AS on_order_packs,
+  round(CAST(CASE WHEN vendor_pack IS NOT NULL THEN qty * qpp ELSE coalesce(qty, 0) END AS DOUBLE), 6) AS extended_qty
 FROM j""")
 def i33(spark, d):
     li, part = tables(spark, d, "lineitem", "part")
     j = li.join(part, li.l_partkey == part.p_partkey).select(
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("sku"), F.col("l_quantity").cast("long").alias("qty"),
         (F.col("p_size") % 6 + 1).alias("qpp"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_quantity").cast("long")).alias("ordered"),
         F.when(F.col("p_type") == "PROMO", F.concat(F.lit("VP"), F.col("p_partkey").cast("string"))).alias("vendor_pack"))
-    return X.pack_quantities(j, "qty", "qpp", "vendor_pack", "sku").select("l_orderkey", "l_linenumber", "nbr_packs",
-                                                                          "pack_id", "extended_qty")
+    out = X.pack_quantities(j, "qty", "qpp", "vendor_pack", "sku", on_order="ordered")
+    return out.select("l_orderkey", "l_linenumber", F.round("nbr_packs", 6).alias("nbr_packs"), "pack_id",
+                      F.round("on_order_packs", 6).alias("on_order_packs"), F.round("extended_qty", 6).alias("extended_qty"))
 
 
 def _headers(orders, li, old_cut=None):
@@ -276,20 +281,28 @@ def i35(spark, d):
 
 
 @query("i36_worklist_rebuild", """
-WITH lines AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus = 'F' THEN 30 ELSE 10 END AS status_code FROM lineitem),
+WITH lines AS (SELECT l_orderkey, l_linenumber, l_partkey,
+    CASE WHEN l_returnflag = 'A' THEN 40 WHEN l_linestatus = 'F' THEN 30 ELSE 10 END AS status_code,
+    CASE WHEN l_linenumber = 1 THEN 'OBS' WHEN l_linenumber = 2 THEN 'OTH' END AS trouble FROM lineitem),
 feed AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_shipdate < DATE '2001-06-01'),
-gone AS (SELECT * FROM lines l WHERE NOT EXISTS (SELECT 1 FROM feed f WHERE f.l_orderkey IS NOT DISTINCT FROM l.l_orderkey
-         AND f.l_linenumber IS NOT DISTINCT FROM l.l_linenumber AND f.l_partkey IS NOT DISTINCT FROM l.l_partkey)),
-kept AS (SELECT * FROM lines l WHERE EXISTS (SELECT 1 FROM feed f WHERE f.l_orderkey IS NOT DISTINCT FROM l.l_orderkey
-         AND f.l_linenumber IS NOT DISTINCT FROM l.l_linenumber AND f.l_partkey IS NOT DISTINCT FROM l.l_partkey))
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey IN (SELECT l_orderkey FROM gone) THEN 10 ELSE status_code END AS status_code
-FROM kept""")
+cleaned AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'),
+m AS (SELECT l.*, f.l_orderkey IS NOT NULL AS fed FROM lines l LEFT JOIN feed f ON f.l_orderkey IS NOT DISTINCT FROM l.l_orderkey
+         AND f.l_linenumber IS NOT DISTINCT FROM l.l_linenumber AND f.l_partkey IS NOT DISTINCT FROM l.l_partkey),
+gone AS (SELECT * FROM m WHERE status_code <> 40 AND NOT fed)
+SELECT l_orderkey, l_linenumber, l_partkey,
+  CASE WHEN status_code <> 40 AND l_orderkey IN (SELECT l_orderkey FROM gone) THEN 10 ELSE status_code END AS status_code,
+  CASE WHEN status_code <> 40 AND trouble = 'OBS' THEN NULL ELSE trouble END AS trouble
+FROM m WHERE (status_code = 40 AND l_orderkey NOT IN (SELECT o_orderkey FROM cleaned)) OR (status_code <> 40 AND fed)""")
 def i36(spark, d):
-    (li,) = tables(spark, d, "lineitem")
-    lines = li.select("l_orderkey", "l_linenumber", "l_partkey",
-                      F.when(F.col("l_linestatus") == "F", X.APPROVED).otherwise(X.AVAILABLE).alias("status_code"))
+    li, orders = tables(spark, d, "lineitem", "orders")
+    status = (F.when(F.col("l_returnflag") == "A", X.RELEASED).when(F.col("l_linestatus") == "F", X.APPROVED)
+               .otherwise(X.AVAILABLE))
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey", status.alias("status_code"),
+                      F.when(F.col("l_linenumber") == 1, "OBS").when(F.col("l_linenumber") == 2, "OTH").alias("trouble"))
     feed = li.where(F.col("l_shipdate") < F.lit(_dt.date(2001, 6, 1)))
-    return X.rebuild_lines(lines, feed, ["l_orderkey", "l_linenumber", "l_partkey"], "l_orderkey")
+    cleaned = orders.where(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("l_orderkey"))
+    return X.rebuild_lines(lines, feed, ["l_orderkey", "l_linenumber", "l_partkey"], "l_orderkey", results=cleaned,
+                           trouble_col="trouble")
 
 
 _PURGE_SQL = """ra AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < DATE '2001-08-01' - INTERVAL 730 DAY),
@@ -331,19 +344,23 @@ def i38(spark, d):
 
 
 @query("i39_stuck_status_repair", f"""
-WITH lines AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS stamp,
+WITH lines AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 MINUTE * (o_orderkey % 180) AS stamp,
    CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 60 ELSE {_STATUS_SQL} END AS status_code FROM orders),
-res AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linestatus = 'F')
-SELECT o_orderkey, CASE WHEN status_code = 60 AND stamp < DATE '2001-07-31' AND o_orderkey IN (SELECT l_orderkey FROM res) THEN 30
-                        WHEN status_code = 60 AND stamp < DATE '2001-07-31' THEN 10 ELSE status_code END AS status_code
-FROM lines""")
+res AS (SELECT DISTINCT o_orderkey, o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linestatus = 'F'),
+m AS (SELECT l.*, r.o_orderkey IS NOT NULL AS has FROM lines l LEFT JOIN res r ON l.o_orderkey = r.o_orderkey AND l.o_custkey = r.o_custkey)
+SELECT o_orderkey, CASE WHEN status_code = 60 AND stamp < TIMESTAMP '2001-07-31 02:00:00' - INTERVAL 1 HOUR THEN CASE WHEN has THEN 30 ELSE 10 END
+                        ELSE status_code END AS status_code
+FROM m""")
 def i39(spark, d):
+    """Allocation = customer, line = order; stamped some minutes into the order's day."""
     orders, li = tables(spark, d, "orders", "lineitem")
-    lines = orders.select("o_orderkey", F.to_date("o_orderdate").alias("stamp"),
+    stamp = F.to_date("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("o_orderkey").cast("int") % 180)
+    lines = orders.select("o_orderkey", "o_custkey", stamp.alias("stamp"),
                           F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW"), X.STUCK)
                            .otherwise(_status()).alias("status_code"))
-    res = li.where(F.col("l_linestatus") == "F").select(F.col("l_orderkey").alias("o_orderkey"))
-    return X.repair_status(lines, res, "o_orderkey", "stamp", AS_OF).select("o_orderkey", "status_code")
+    res = li.where(F.col("l_linestatus") == "F").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return X.repair_status(lines, res, ["o_custkey", "o_orderkey"], "stamp", "2001-07-31 02:00:00").select(
+        "o_orderkey", "status_code")
 
 
 _REF_SQL = """ref AS (SELECT p_partkey, 20010100 + p_size AS effective_date, 20011200 + CAST(floor(p_retailprice) AS BIGINT) % 40 AS expiration_date FROM part),
@@ -415,7 +432,7 @@ h AS (SELECT o.o_orderkey, o.o_custkey, {_STATUS_SQL} AS status_code, coalesce(t
              o.o_orderkey IN (SELECT l_orderkey FROM touched) AS t, n.q AS new_q
       FROM orders o LEFT JOIN tot_all t ON o.o_orderkey = t.l_orderkey LEFT JOIN newt n ON o.o_orderkey = n.l_orderkey),
 h2 AS (SELECT *, CASE WHEN t THEN coalesce(new_q, 0) ELSE qty END AS q2 FROM h),
-bad AS (SELECT DISTINCT o_custkey FROM h2 WHERE t AND status_code IN (30, 50) AND qty <> q2)
+bad AS (SELECT DISTINCT o_custkey FROM h2 WHERE t AND status_code IN (30, 50))
 SELECT o_orderkey, o_custkey, CASE WHEN o_custkey IN (SELECT o_custkey FROM bad) THEN 25 ELSE status_code END AS status_code,
        round(q2, 2) AS qty
 FROM h2 WHERE NOT t OR new_q IS NOT NULL""")
@@ -430,14 +447,90 @@ def i52(spark, d):
     return new_h.withColumn("qty", F.round("qty", 2))
 
 
-@query("i53_first_receipt_release", """
-WITH r AS (SELECT l_orderkey, COUNT(*) AS n, MAX(CASE WHEN l_shipdate >= DATE '2001-08-01' - INTERVAL 30 DAY THEN 1 ELSE 0 END) AS new
-           FROM lineitem WHERE l_shipdate <= DATE '2001-08-01' GROUP BY l_orderkey)
-SELECT o_orderkey, o_custkey FROM orders
-WHERE o_orderstatus = 'O' AND o_orderkey IN (SELECT l_orderkey FROM r WHERE n = 1 AND new = 1)""")
+@query("i53_first_receipt_release", f"""
+WITH r AS (SELECT l_orderkey AS o_orderkey, l_partkey AS style, l_suppkey AS receiver, CAST(l_linenumber % 3 AS BIGINT) AS shape,
+    CASE WHEN l_returnflag <> 'N' THEN l_linestatus END AS color, CASE WHEN l_quantity > 45 THEN 'VP' || l_suppkey END AS pack
+  FROM lineitem WHERE l_shipdate <= DATE '2001-08-01'),
+one AS (SELECT DISTINCT o_orderkey, style, shape, pack, CASE WHEN pack IS NULL THEN color END AS color
+  FROM (SELECT o_orderkey, style, shape, pack, CASE WHEN pack IS NULL THEN color END AS color, receiver, COUNT(*) AS n
+        FROM r WHERE coalesce(receiver, 0) <> 0 GROUP BY 1, 2, 3, 4, 5, 6) WHERE n = 1),
+li AS (SELECT l.l_orderkey AS o_orderkey, l.l_linenumber, l.l_partkey AS style, CAST(l.l_linenumber % 3 AS BIGINT) AS shape,
+    CASE WHEN l_returnflag <> 'N' THEN l_linestatus END AS color, CASE WHEN l_quantity > 45 THEN 'VP' || l_suppkey END AS pack,
+    {_STATUS_SQL} AS status_code FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
+SELECT li.o_orderkey, li.l_linenumber, li.status_code AS was, li.status_code = 50 AS approved_first, 40 AS status_code FROM li
+WHERE status_code IN (30, 50) AND EXISTS (SELECT 1 FROM one WHERE one.o_orderkey = li.o_orderkey AND one.style = li.style
+  AND one.shape = li.shape AND one.pack IS NOT DISTINCT FROM li.pack
+  AND one.color IS NOT DISTINCT FROM CASE WHEN li.pack IS NULL THEN li.color END)""")
 def i53(spark, d):
+    """Shipped line items are the receipts: the supplier stands for the receiver, the line number's class for
+    the shape, and line status and large quantities for colours and vendor packs that may be null."""
     orders, li = tables(spark, d, "orders", "lineitem")
-    receipts = li.where(F.col("l_shipdate") <= F.lit(AS_OF)).withColumnRenamed("l_orderkey", "o_orderkey")
-    lines = orders.select("o_orderkey", "o_custkey", _status().alias("status_code"))
-    new_flag = F.col("l_shipdate") >= F.date_sub(F.lit(AS_OF), 30)
-    return X.first_receipts(receipts, lines, "o_orderkey", new_flag).select("o_orderkey", "o_custkey")
+    rows = li.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_partkey").alias("style"),
+                     F.col("l_suppkey").alias("receiver"), (F.col("l_linenumber") % 3).cast("long").alias("shape"),
+                     F.when(F.col("l_returnflag") != "N", F.col("l_linestatus")).alias("color"),
+                     F.when(F.col("l_quantity") > 45, F.concat(F.lit("VP"), F.col("l_suppkey").cast("string"))).alias("pack"),
+                     "l_shipdate")
+    receipts = rows.where(F.col("l_shipdate") <= F.lit(AS_OF))
+    lines = rows.join(orders.select("o_orderkey", _status().alias("status_code")), "o_orderkey")
+    out = X.first_receipts(receipts, lines, ["o_orderkey", "style", "shape"], "color", "pack", "receiver")
+    return out.select("o_orderkey", "l_linenumber", "was", "approved_first", "status_code")
+
+
+# --- null key parts and null values, derived from the driver tables ------------------
+
+_NULLS_SQL = """t AS (SELECT p_partkey % 500 AS k, CASE WHEN p_size % 5 <> 0 THEN p_partkey END AS part, p_brand AS v,
+    CASE WHEN p_size % 3 <> 0 THEN 'own' END AS note FROM part WHERE p_size > 10),
+s AS (SELECT p_partkey % 500 AS k, CASE WHEN p_size % 5 <> 0 THEN p_partkey END AS part,
+    CASE WHEN p_size % 7 <> 0 THEN lower(p_brand) END AS v FROM part WHERE p_retailprice > 950)"""
+
+
+def _null_sides(spark, d):
+    (p,) = tables(spark, d, "part")
+    key = [(F.col("p_partkey") % 500).alias("k"), F.when(F.col("p_size") % 5 != 0, F.col("p_partkey")).alias("part")]
+    t = p.where(F.col("p_size") > 10).select(*key, F.col("p_brand").alias("v"),
+                                             F.when(F.col("p_size") % 3 != 0, F.lit("own")).alias("note"))
+    s = p.where(F.col("p_retailprice") > 950).select(*key, F.when(F.col("p_size") % 7 != 0, F.lower("p_brand")).alias("v"))
+    return t, s
+
+
+@query("i26b_merge_null_key_parts", f"""
+WITH {_NULLS_SQL}
+SELECT k, part, v FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = t.k AND s.part = t.part)
+UNION ALL SELECT k, part, v FROM s""")
+def i26b(spark, d):
+    t, s = _null_sides(spark, d)
+    return X.merge_upsert(t.drop("note"), s, ["k", "part"])
+
+
+@query("i27b_set_sync_keeps_nulls", f"""
+WITH {_NULLS_SQL}
+SELECT s.k, s.part, s.v, CASE WHEN t.k IS NOT NULL THEN t.note ELSE 'new' END AS note
+FROM s LEFT JOIN t ON s.k = t.k AND s.part = t.part""")
+def i27b(spark, d):
+    t, s = _null_sides(spark, d)
+    return X.sync_set(t, s, ["k", "part"], ["v"], {"note": "new"})
+
+
+@query("i28c_update_from_null_key_parts", f"""
+WITH {_NULLS_SQL}
+SELECT t.k, t.part, CASE WHEN s.k IS NOT NULL THEN s.v ELSE t.v END AS v, t.note
+FROM t LEFT JOIN s ON s.k = t.k AND s.part = t.part""")
+def i28c(spark, d):
+    t, s = _null_sides(spark, d)
+    return X.update_from(t, s, ["k", "part"], ["v"])
+
+
+@query("i29b_resync_null_key_parts", """
+WITH j AS (SELECT l_orderkey, l_linenumber, l_partkey, coalesce(p.p_brand, '?') AS l_brand,
+    CASE WHEN l_returnflag <> 'N' THEN l_linestatus END AS color FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey),
+c AS (SELECT *, COUNT(*) OVER (PARTITION BY l_orderkey, l_brand, color) AS n FROM j)
+SELECT l_orderkey, l_linenumber, l_brand, color, CASE WHEN n = 1 THEN 'line' ELSE 'audit' END AS target FROM c""")
+def i29b(spark, d):
+    """The colour is part of the new key and null for many lines: no line falls out of both outputs."""
+    li, part = tables(spark, d, "lineitem", "part")
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey", F.lit("?").alias("l_brand"),
+                      F.when(F.col("l_returnflag") != "N", F.col("l_linestatus")).alias("color"))
+    items = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("l_brand"))
+    ok, clash = X.resync_hierarchy(lines, items, "l_partkey", ["l_brand"], ["l_orderkey", "l_brand", "color"])
+    both = ok.withColumn("target", F.lit("line")).unionByName(clash.drop("collisions").withColumn("target", F.lit("audit")))
+    return both.select("l_orderkey", "l_linenumber", "l_brand", "color", "target")

@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from ..plans import history as H
-from ..session import scratch_path
+from ..session import store
 from .registry import query, tables
 
 KEYS = ["l_partkey", "l_suppkey"]
@@ -27,34 +27,40 @@ s AS (SELECT ch.l_partkey, ch.l_suppkey, cur.cur - cal.week_order AS week_ago, c
       FROM ch JOIN cal ON ch.yr = cal.yr AND ch.mo = cal.mo CROSS JOIN cur WHERE cur.cur - cal.week_order BETWEEN 0 AND 104)"""
 
 
-def _calendar(li):
-    """Month periods between the first and last ship date, in order."""
-    b = li.agg(F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi")).first()
-    return H.order_weeks(H.month_calendar(li.sparkSession, b["lo"], b["hi"]), ["yr", "mo"])
+def _monthly(spark, d):
+    """Quantity per (part, supplier, month), stored: line items are read once, and the calendar's
+    range comes from this small table."""
+    (li,) = tables(spark, d, "lineitem")
+    return store(li.groupBy(*KEYS, F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"))
+                   .agg(F.sum("l_quantity").alias("qty")), "monthly")
+
+
+def _calendar(periods):
+    """Month periods between the first and last (yr, mo), in order."""
+    m = F.col("yr") * 12 + F.col("mo") - 1
+    b = periods.agg(F.min(m).alias("lo"), F.max(m).alias("hi")).first()
+    day = lambda x: _dt.date(x // 12, x % 12 + 1, 1)
+    return H.order_weeks(H.month_calendar(periods.sparkSession, day(b["lo"]), day(b["hi"])), ["yr", "mo"])
+
+
+def slotted_months(spark, d):
+    """Every monthly quantity with its slot, counted back from the current period."""
+    monthly = _monthly(spark, d)
+    return H.weeks_ago(monthly, _calendar(monthly), ["yr", "mo"], CURRENT).withColumn("slot", F.col("week_ago").cast("int"))
 
 
 def loaded_history(spark, d):
-    """History as of the end of 2000 (built from long form), then the 2001 months
-    loaded into their slots by calendar distance."""
-    (li,) = tables(spark, d, "lineitem")
-    cal = _calendar(li)
-    monthly = (li.groupBy(*KEYS, F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"))
-                 .agg(F.sum("l_quantity").alias("qty")))
-    slotted = H.weeks_ago(monthly, cal, ["yr", "mo"], CURRENT)
-    # months before SPLIT form the existing history, later months are the load;
-    # splitting on the slot (not the date) keeps one shared aggregate in the plan
+    """History as of the end of 2000, then the 2001 months loaded into their slots by calendar distance."""
+    slotted = slotted_months(spark, d)
     split_slot = (CURRENT["yr"] * 12 + CURRENT["mo"]) - (SPLIT.year * 12 + SPLIT.month)
-    old = F.col("week_ago") > split_slot
-    hist0 = H.from_long(slotted.where(old), KEYS, "week_ago", "qty", "qty_hist").withColumn("qty_cur", F.lit(0.0))
-    # one plan: the shared subtrees (monthly aggregate, calendar) are identical, and
-    # AQE reuses their query stages at run time instead of recomputing them
-    return H.load_history(hist0, slotted.where(~old), KEYS, "week_ago", "qty", "qty_hist", current_col="qty_cur")
+    old = F.col("slot") > split_slot
+    cols = [*KEYS, "slot", "qty"]
+    return H.load_slots(slotted.where(old & F.col("slot").between(0, H.WEEKS)).select(*cols),
+                        slotted.where(~old).select(*cols), KEYS, ["qty"])
 
 
-def _long(hist, keys=KEYS):
-    cur = hist.where(F.col("qty_cur") != 0).select(*keys, F.lit(0).alias("week_ago"), F.col("qty_cur").alias("value"))
-    lng = H.to_long(hist, keys, ["qty_hist"]).select(*keys, "week_ago", "value")
-    return cur.unionByName(lng).withColumn("value", F.round("value", 2))
+def _values(hist, keys=KEYS):
+    return hist.where(F.col("qty") != 0).select(*keys, F.col("slot").alias("week_ago"), F.round("qty", 2).alias("value"))
 
 
 @query("i24_calendar_order_advance", """
@@ -64,7 +70,8 @@ SELECT yr, mo, week_order,
   CASE WHEN week_order = (SELECT week_order + 1 FROM cal WHERE yr = 2001 AND mo = 8) THEN 'Y' ELSE 'N' END AS current_week FROM cal""")
 def i24(spark, d):
     (li,) = tables(spark, d, "lineitem")
-    cal = _calendar(li).withColumn("current_week", F.when((F.col("yr") == 2001) & (F.col("mo") == 8), "Y").otherwise("N"))
+    months = li.select(F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"))
+    cal = _calendar(months).withColumn("current_week", F.when((F.col("yr") == 2001) & (F.col("mo") == 8), "Y").otherwise("N"))
     return H.advance_week(cal)
 
 
@@ -72,25 +79,73 @@ def i24(spark, d):
 WITH {_SQL_BASE}
 SELECT l_partkey, l_suppkey, CAST(week_ago AS INTEGER) AS week_ago, round(qty, 2) AS value FROM s WHERE qty <> 0""")
 def i23(spark, d):
-    return _long(loaded_history(spark, d)).withColumn("week_ago", F.col("week_ago").cast("int"))
+    return _values(loaded_history(spark, d))
+
+
+@query("i23b_load_rejects", f"""
+WITH {_SQL_BASE}
+SELECT ch.l_partkey, ch.l_suppkey, CAST(ch.yr AS INTEGER) AS yr, CAST(ch.mo AS INTEGER) AS mo, round(ch.qty, 2) AS qty
+FROM ch JOIN cal ON ch.yr = cal.yr AND ch.mo = cal.mo CROSS JOIN cur WHERE NOT (cur.cur - cal.week_order BETWEEN 0 AND 104)""")
+def i23b(spark, d):
+    """Months after the current period: they have no slot and come back as rejects."""
+    return H.out_of_range(slotted_months(spark, d), "slot").select(*KEYS, "yr", "mo", F.round("qty", 2).alias("qty"))
+
+
+@query("i23c_load_several_measures", f"""
+WITH {_SQL_BASE},
+m3 AS (SELECT l_partkey, l_suppkey, year(l_shipdate) AS yr, month(l_shipdate) AS mo, SUM(l_quantity) AS qty,
+         SUM(l_extendedprice) AS amount, CAST(COUNT(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2, 3, 4)
+SELECT m3.l_partkey, m3.l_suppkey, CAST(cur.cur - cal.week_order AS INTEGER) AS week_ago, round(m3.qty, 2) AS qty,
+  round(CASE WHEN cur.cur - cal.week_order <= 1 THEN m3.amount ELSE 0 END, 2) AS amount,
+  CASE WHEN cur.cur = cal.week_order THEN m3.n ELSE 0 END AS n
+FROM m3 JOIN cal ON m3.yr = cal.yr AND m3.mo = cal.mo CROSS JOIN cur WHERE cur.cur - cal.week_order BETWEEN 0 AND 104""")
+def i23c(spark, d):
+    """One load of three measures: quantity for all months, amounts of the current and the previous
+    month, line counts of the current month."""
+    (li,) = tables(spark, d, "lineitem")
+    m = store(li.groupBy(*KEYS, F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"))
+                .agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("amount"),
+                     F.count(F.lit(1)).cast("double").alias("n")), "monthly")
+    x = H.weeks_ago(m, _calendar(m), ["yr", "mo"], CURRENT).withColumn("slot", F.col("week_ago").cast("int"))
+    x = x.select(*KEYS, "slot", "qty", F.when(F.col("slot") <= 1, F.col("amount")).alias("amount"),
+                 F.when(F.col("slot") == 0, F.col("n")).alias("n"))
+    out = H.load_slots(x.where("slot > 1"), x.where("slot <= 1"), KEYS, ["qty", "amount", "n"])
+    return out.select(*KEYS, F.col("slot").alias("week_ago"), F.round("qty", 2).alias("qty"),
+                      F.round("amount", 2).alias("amount"), "n")
 
 
 def _rolled(spark, d, times=12):
-    return H.roll_history(loaded_history(spark, d), {"qty_hist": ("qty_cur", True)}, weeks=times)
+    return H.roll_slots(loaded_history(spark, d), KEYS, {"qty": True}, weeks=times)
 
 
 @query("i21_roll_history_12_weeks", f"""
 WITH {_SQL_BASE}
 SELECT l_partkey, l_suppkey, CAST(week_ago + 12 AS INTEGER) AS week_ago, round(qty, 2) AS value FROM s WHERE week_ago + 12 <= 104 AND qty <> 0""")
 def i21(spark, d):
-    return _long(_rolled(spark, d)).withColumn("week_ago", F.col("week_ago").cast("int"))
+    return _values(_rolled(spark, d))
 
 
 @query("i21b_roll_prune_count", f"""
 WITH {_SQL_BASE}
-SELECT CAST(COUNT(*) AS BIGINT) AS n_rows FROM (SELECT l_partkey, l_suppkey FROM s GROUP BY 1, 2 HAVING MIN(week_ago) <= 93)""")
+SELECT CAST(COUNT(*) AS BIGINT) AS n_rows FROM (SELECT l_partkey, l_suppkey FROM s WHERE qty <> 0 GROUP BY 1, 2 HAVING MIN(week_ago) <= 93)""")
 def i21b(spark, d):
-    return _rolled(spark, d).agg(F.count(F.lit(1)).alias("n_rows"))
+    return _rolled(spark, d).where("slot = 0").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("i21c_roll_60_weeks_values_fall_off", f"""
+WITH {_SQL_BASE}
+SELECT l_partkey, l_suppkey, CAST(week_ago + 60 AS INTEGER) AS week_ago, round(qty, 2) AS value FROM s WHERE week_ago + 60 <= 104 AND qty <> 0""")
+def i21c(spark, d):
+    """Sixty weeks at once: what was older than slot 44 falls off the end."""
+    return _values(_rolled(spark, d, 60))
+
+
+@query("i21d_roll_60_weeks_prune", f"""
+WITH {_SQL_BASE}
+SELECT l_partkey, l_suppkey FROM s WHERE qty <> 0 GROUP BY 1, 2 HAVING MIN(week_ago) <= 45""")
+def i21d(spark, d):
+    """The keys that sixty weekly prune tests leave."""
+    return _rolled(spark, d, 60).where("slot = 0").select(*KEYS)
 
 
 @query("i22_widen_history_78_to_104", f"""
@@ -98,10 +153,9 @@ WITH {_SQL_BASE}
 SELECT l_partkey, l_suppkey, CAST(week_ago AS INTEGER) AS week_ago, round(qty, 2) AS value, 104 AS slots
 FROM s WHERE week_ago BETWEEN 1 AND 78 AND qty <> 0""")
 def i22(spark, d):
-    h = loaded_history(spark, d)
-    old = h.select(*KEYS, F.slice("qty_hist", 1, 78).alias("qty_hist"))  # the 78-week layout
-    wide = H.widen_history(old, ["qty_hist"])
-    return (H.to_long(wide, KEYS, ["qty_hist"]).join(wide.select(*KEYS, F.size("qty_hist").alias("slots")), KEYS)
+    old = H.from_long(loaded_history(spark, d).where(F.col("slot") <= 78), KEYS, "slot", "qty", "qty_hist", n=78)
+    wide = H.widen_history(old, ["qty_hist"]).withColumn("slots", F.size("qty_hist"))  # the 78-week layout filled up
+    return (H.to_long(wide, [*KEYS, "slots"], ["qty_hist"])
               .select(*KEYS, F.col("week_ago").cast("int").alias("week_ago"), F.round("value", 2).alias("value"), "slots"))
 
 
@@ -116,14 +170,12 @@ def d12(spark, d):
     h = loaded_history(spark, d)
     h = h.join(supp.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey") \
          .join(nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
-    levels = H.rollup_levels(h, [("supplier", ["l_suppkey", "s_nationkey", "n_regionkey"]),
-                                 ("nation", ["s_nationkey", "n_regionkey"]),
-                                 ("region", ["n_regionkey"])], ["qty_hist"], ["qty_cur"],
-                               root=scratch_path(spark, "levels"))
+    levels = H.rollup_slots(h, [("supplier", ["l_suppkey", "s_nationkey", "n_regionkey"]),
+                                ("nation", ["s_nationkey", "n_regionkey"]), ("region", ["n_regionkey"])], ["qty"])
     key_of = {"supplier": "l_suppkey", "nation": "s_nationkey", "region": "n_regionkey"}
     out = None
     for name, df in levels.items():
-        x = _long(df.select(F.col(key_of[name]).cast("long").alias("level_key"), "qty_hist", "qty_cur"), ["level_key"])
+        x = _values(df.select(F.col(key_of[name]).cast("long").alias("level_key"), "slot", "qty"), ["level_key"])
         x = x.withColumn("level", F.lit(name))
         out = x if out is None else out.unionByName(x)
-    return out.select("level", "level_key", F.col("week_ago").cast("int").alias("week_ago"), "value")
+    return out.select("level", "level_key", "week_ago", "value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cols import in_year
 from ..operators import joins as J
 from ..plans.history import calendar_from_range
 from .registry import query, tables
@@ -195,7 +196,8 @@ def c13(spark, d):
     (li,) = tables(spark, d, "lineitem")
     iv = _monthly_price_intervals(li)
     lines = li.select("l_partkey", "l_returnflag", "l_quantity", F.to_date("l_shipdate").alias("ship_date"))
-    j = J.asof_join(lines.withColumnRenamed("l_partkey", "p_key"), iv, ["p_key"], "ship_date", "valid_from", "valid_to")
+    j = J.asof_join(lines.withColumnRenamed("l_partkey", "p_key"), iv, ["p_key"], "ship_date", "valid_from", "valid_to",
+                    span=("1995-01-01", "2002-12-31"))
     return j.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_priced"),
                                         F.round(F.sum(F.col("unit_price") * F.col("l_quantity")), 2).alias("priced_value"))
 
@@ -213,6 +215,19 @@ def c14(spark, d):
     return j.groupBy("fiscal_year", "fiscal_period").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+@query("c14b_fiscal_week", """
+WITH d AS (SELECT CAST(l_shipdate AS DATE) AS dt FROM lineitem),
+f AS (SELECT dt, make_date(CAST(year(dt - INTERVAL 1 MONTH) AS INTEGER), 2, 1) AS first FROM d)
+SELECT CAST(year(dt + INTERVAL 11 MONTH) AS INTEGER) AS fiscal_year,
+       CAST(floor((date_diff('day', first, dt) + dayofweek(first)) / 7.0) + 1 AS INTEGER) AS fiscal_week,
+       CAST(COUNT(*) AS BIGINT) AS n_lines
+FROM f GROUP BY 1, 2""")
+def c14b(spark, d):
+    (li,) = tables(spark, d, "lineitem")
+    j = J.fiscal(li, "l_shipdate", calendar_from_range(li, "l_shipdate", fy_start_month=2))
+    return j.groupBy("fiscal_year", "fiscal_week").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query("c15_computed_key_join", """
 SELECT c.c_mktsegment, CAST(COUNT(*) AS BIGINT) AS n_orders
 FROM orders o JOIN customer c ON o.o_custkey = CAST(substr(c.c_name, 10) AS BIGINT)
@@ -303,6 +318,6 @@ INTERSECT
 SELECT l_partkey, l_suppkey FROM lineitem WHERE year(l_shipdate) = 1997""")
 def c22(spark, d):
     (li,) = tables(spark, d, "lineitem")
-    a = li.where(F.year("l_shipdate") == 1996)
-    b = li.where(F.year("l_shipdate") == 1997)
+    a = li.where(in_year("l_shipdate", 1996))
+    b = li.where(in_year("l_shipdate", 1997))
     return J.in_both(a, b, ["l_partkey", "l_suppkey"])

@@ -6,7 +6,7 @@ import datetime as _dt
 
 from pyspark.sql import functions as F
 
-from ..functions.cols import newer_than
+from ..functions.cols import in_year, newer_than
 from ..operators import joins as J
 from ..plans import reports as R
 from ..sources.tables import format_fixed
@@ -49,6 +49,16 @@ def i11(spark, d):
                     F.concat(format_fixed(layout), F.date_format("l_shipdate", "yyyyMMdd")).alias("record"))
 
 
+@query("i11b_feed_overflow_rejects", """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+WHERE length(CAST(CAST(round(l_extendedprice * 100, 0) AS BIGINT) AS VARCHAR)) > 6""")
+def i11b(spark, d):
+    """Rows whose price has more digits than a six-digit field."""
+    (li,) = tables(spark, d, "lineitem")
+    layout = [("l_orderkey", 18, "num"), (F.round(F.col("l_extendedprice") * 100, 0), 6, "num")]
+    return R.feed_rejects(li, layout).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @query("i13_item_place_detail", """
 WITH j AS (SELECT l.*, s.s_nationkey FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey)
 SELECT l_partkey, s_nationkey,
@@ -60,9 +70,8 @@ FROM j GROUP BY l_partkey, s_nationkey""")
 def i13(spark, d):
     li, supp = tables(spark, d, "lineitem", "supplier")
     j = li.join(supp.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    base = j.select("l_partkey", "s_nationkey").distinct()
     before = F.col("l_shipdate") < F.lit(AS_OF)
-    out = R.item_store_detail(base, j, ["l_partkey", "s_nationkey"],
+    out = R.item_store_detail(None, j, ["l_partkey", "s_nationkey"],
                               {"sales_365d": (newer_than("l_shipdate", AS_OF, 365) & before, F.col("l_quantity")),
                                "on_order": (F.col("l_linestatus") == "O", F.col("l_quantity"))},
                               {"ever_sold": before, "ever_returned": F.col("l_returnflag") == "R"})
@@ -70,21 +79,40 @@ def i13(spark, d):
 
 
 @query("i14_in_stock_pct", """
-SELECT s.s_suppkey, c.c_nationkey, CAST(COUNT(*) AS BIGINT) AS n_total,
-  CAST(SUM(CASE WHEN l.l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_in_stock,
-  CAST(SUM(CASE WHEN l.l_linestatus = 'F' THEN 0 ELSE 1 END) AS BIGINT) AS n_out_of_stock,
-  MIN(CASE WHEN NOT (l.l_linestatus = 'F') THEN l.l_partkey END) AS min_out_item,
-  round(SUM(CASE WHEN l.l_linestatus = 'F' THEN 1 ELSE 0 END) * 100.0 / COUNT(*), 2) AS pct_in_stock
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN supplier s ON l.l_suppkey = s.s_suppkey
-WHERE NOT (l.l_quantity < 2) GROUP BY s.s_suppkey, c.c_nationkey ORDER BY pct_in_stock, s.s_suppkey, c.c_nationkey""")
+WITH j AS (SELECT l.*, o.o_orderpriority AS method, s.s_suppkey, s.s_nationkey, c.c_nationkey
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey),
+raw AS (SELECT s_suppkey, method, c_nationkey, CAST(COUNT(*) AS BIGINT) AS n_total,
+    CAST(SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_in_stock,
+    MIN(CASE WHEN NOT (l_linestatus = 'F') THEN l_partkey END) AS min_out_item,
+    CAST(SUM(CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END) AS BIGINT) AS n_out_of_stock,
+    round(SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) * 100.0 / COUNT(*), 2) AS pct_in_stock
+  FROM j GROUP BY 1, 2, 3),
+items AS (SELECT s_suppkey, CAST(COUNT(DISTINCT l_partkey) AS BIGINT) AS n_items FROM j GROUP BY 1),
+adj AS (SELECT s_suppkey, method, c_nationkey, SUM(l_quantity) AS q FROM j
+  WHERE l_returnflag = 'R' AND l_shipdate >= DATE '2001-08-01' - INTERVAL 730 DAY GROUP BY 1, 2, 3)
+SELECT raw.*, items.n_items, round(coalesce(adj.q, 0), 2) AS adj_qty,
+  CAST(3 + s.s_nationkey % 5 + s.s_suppkey % 7 AS BIGINT) AS lead_days
+FROM raw JOIN items ON raw.s_suppkey = items.s_suppkey JOIN supplier s ON raw.s_suppkey = s.s_suppkey
+LEFT JOIN adj ON raw.s_suppkey = adj.s_suppkey AND raw.method = adj.method AND raw.c_nationkey = adj.c_nationkey
+ORDER BY raw.s_suppkey, pct_in_stock, n_out_of_stock DESC, raw.c_nationkey, raw.method""")
 def i14(spark, d):
+    """Source x method x place: suppliers as sources, order priority as replenishment method, the customer's
+    nation as place; returns of the last two years stand for adjustments, and days derived from the
+    supplier for its order processing and transit."""
     li, orders, cust, supp = tables(spark, d, "lineitem", "orders", "customer", "supplier")
     j = J.star_join(li, [(orders, F.col("l_orderkey") == F.col("o_orderkey")),
                          (cust, F.col("o_custkey") == F.col("c_custkey")),
-                         (supp, F.col("l_suppkey") == F.col("s_suppkey"))])
-    return R.in_stock(j, ["s_suppkey", "c_nationkey"], F.col("l_linestatus") == "F", exclude=F.col("l_quantity") < 2,
-                      item_col="l_partkey")
+                         (supp, F.col("l_suppkey") == F.col("s_suppkey"))]) \
+         .withColumnRenamed("o_orderpriority", "method")
+    adj = j.where((F.col("l_returnflag") == "R") & newer_than("l_shipdate", AS_OF, 730))
+    lead = supp.select("s_suppkey", (F.lit(3) + F.col("s_nationkey") % 5).cast("long").alias("process_days"),
+                       (F.col("s_suppkey") % 7).cast("long").alias("transit_days"))
+    out = R.in_stock(j, ["s_suppkey", "method", "c_nationkey"], F.col("l_linestatus") == "F", item_col="l_partkey",
+                     items_per=["s_suppkey"], adjustments=(adj, "l_quantity"),
+                     lead=(lead, ["s_suppkey"], ["process_days", "transit_days"]),
+                     order=["s_suppkey", "pct_in_stock", F.desc("n_out_of_stock"), "c_nationkey", "method"])
+    return out.withColumn("adj_qty", F.round("adj_qty", 2))
 
 
 _IV_SQL = """iv AS (SELECT l_partkey AS p_key, CAST(date_trunc('month', l_shipdate) AS DATE) AS valid_from,
@@ -231,7 +259,7 @@ UNION ALL SELECT r_name, NULL, round(SUM(qty), 2), 'subtotal' FROM d GROUP BY r_
 def i42(spark, d):
     li, orders, supp, nation, region = tables(spark, d, "lineitem", "orders", "supplier", "nation", "region")
     rel = (li.join(orders.where(F.col("o_orderstatus") == "F"), F.col("l_orderkey") == F.col("o_orderkey"))
-             .where(F.year("l_shipdate") == 2001).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+             .where(in_year("l_shipdate", 2001)).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
              .groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sum("l_quantity").alias("qty")))
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     out = R.release_report(rel, places, "n_nationkey", "r_name", ["n_name"], "qty", keep=F.col("qty") < 1800)

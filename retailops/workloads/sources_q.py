@@ -75,7 +75,9 @@ def a6(spark, d):
     return S.read_table(spark, dst, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("a7_dated_archive_retention")
+@query("a7_dated_archive_retention", """
+SELECT *, DATE '2001-08-02' AS snapshot FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT *, DATE '2001-08-03' FROM orders WHERE o_orderstatus = 'P'""")
 def a7(spark, d):
     """Orders archived under three daily stamps, retention 1 day: the oldest expires."""
     (orders,) = tables(spark, d, "orders")
@@ -86,7 +88,8 @@ def a7(spark, d):
     return out
 
 
-@query("a8_backup_generations")
+@query("a8_backup_generations", """
+SELECT *, 3 AS gen FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT *, 4 FROM orders WHERE o_orderstatus = 'F'""")
 def a8(spark, d):
     """Four backups of the rows a purge would delete, keeping the last two generations."""
     (orders,) = tables(spark, d, "orders")
@@ -143,7 +146,9 @@ def a13(spark, d):
     return S.keys_in(li.select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", KEY_LIST)
 
 
-@query("a14_seeded_sample")
+@query("a14_seeded_sample", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)), l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50""")
 def a14(spark, d):
     """A repeatable sample of 50 line items (same rows under any partitioning)."""
     (li,) = tables(spark, d, "lineitem")

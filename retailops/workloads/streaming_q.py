@@ -2,8 +2,8 @@
 
 Events are split into time-ordered files, streamed with ``availableNow`` one file
 per micro-batch, and applied to the user state as in ``i25`` (signup = insert,
-view/click/purchase = update, error = delete). Rows-only checks: the streamed
-result is compared with the batch result in the tests.
+view/click/purchase = update, error = delete). The twins are the batch apply of the rows up to the cut-off, and the rows that
+stay pending.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming.ingest import ingest_changes, write_change_files
-from .changes_q import _op
+from .changes_q import _CH_SQL, _OP_SQL, _op
 from .registry import query, tables
 
 SETTLE_SECONDS = 10  # line changes settle for 10 s before they are taken (notes: 4 s)
@@ -33,13 +33,23 @@ def run_stream(spark, d, busy=None, n_files=6):
                           ts_col="ts", settle_seconds=SETTLE_SECONDS, busy=busy, to_changes=_to_changes)
 
 
-@query("j1_stream_change_ingest")
+_CUT_SQL = f"cut AS (SELECT max(ts) - INTERVAL {SETTLE_SECONDS} SECOND AS c FROM events)"
+
+
+@query("j1_stream_change_ingest", f"""
+WITH {_CUT_SQL},
+{_CH_SQL.replace("FROM events)", "FROM events, cut WHERE ts <= cut.c)", 1)}
+SELECT user_id, balance, last_type FROM m WHERE last_del IS NULL OR NOT last_del""")
 def j1(spark, d):
     state, _ = run_stream(spark, d)
     return state
 
 
-@query("j2_stream_deferred_changes")
+@query("j2_stream_deferred_changes", f"""
+WITH {_CUT_SQL},
+busy AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
+SELECT user_id, {_OP_SQL} AS op, event_id AS seq, ts, value AS balance, event_type AS last_type FROM events, cut
+WHERE ts > cut.c OR user_id IN (SELECT o_custkey FROM busy)""")
 def j2(spark, d):
     (orders,) = tables(spark, d, "orders")
     busy = orders.where((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")) \

@@ -105,3 +105,19 @@ def test_minutes_between_is_floor_of_elapsed(spark):
     got = one(spark, C.minutes_between("b", "a"),
               [(dt.datetime(2024, 1, 1, 0, 0, 59), dt.datetime(2024, 1, 1, 0, 2, 58))], "a timestamp, b timestamp")
     assert got == [1]
+
+
+def test_padding_fails_instead_of_cutting(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from retailops.functions import cols as C
+    from retailops.sources.tables import fits_fixed, format_fixed
+    df = spark.createDataFrame([(123456789,)], "n long")
+    layout = [("n", 8, "num")]
+    for c in (C.digits("n", 8), C.long_code("n", 8), C.zero_padded(F.col("n").cast("string"), 8), format_fixed(layout)):
+        with pytest.raises(Exception, match="wider than"):
+            df.select(c).collect()
+    rows = spark.createDataFrame([(123456789, "a"), (None, None), (42, "b")], "n long, t string")
+    assert [r[0] for r in rows.select(fits_fixed(layout)).collect()] == [False, True, True]
+    ok = rows.where(fits_fixed(layout)).select(format_fixed([*layout, ("t", 2, "text")]))
+    assert sorted(r[0] for r in ok.collect()) == ["00000000  ", "00000042b "]

@@ -26,12 +26,11 @@ def test_entry_smoke(spark):
                           "o_totalprice", "o_orderstatus"]
 
 
-def test_every_query_has_sql_or_is_rows_only():
+def test_every_query_has_sql():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
     own = load_all()[0]
-    assert set(own) - set(s) == {"a14_seeded_sample", "a7_dated_archive_retention", "a8_backup_generations",
-                               "j1_stream_change_ingest", "j2_stream_deferred_changes"}
+    assert set(own) <= set(s)  # only operators of the training-data subpackage may lack a twin
 
 
 def _norm(v):
@@ -74,16 +73,10 @@ def test_query_matches_duckdb(spark, duck, name):
         assert SPARK_TO_DUCK.get(st, st.upper()) == duck_types[f.name], (f.name, st, duck_types[f.name])
 
 
-def test_rows_only_queries_against_brute_force(spark, duck):
+def test_sample_and_backups_repeat(spark, duck):
     q = E.queries()
-    n = dict(duck.execute("SELECT o_orderstatus, COUNT(*) FROM orders GROUP BY 1").fetchall())
-    # archive: stamps for F, O, P on three days, 1-day retention -> the F stamp expired
-    assert q["a7_dated_archive_retention"](spark, SF_SMALL).count() == n["O"] + n["P"]
-    # backups F, O, P, F keeping two generations -> P and the second F
-    assert q["a8_backup_generations"](spark, SF_SMALL).count() == n["P"] + n["F"]
-    # sample: 50 distinct real line items, the same rows on a second run
-    s1 = q["a14_seeded_sample"](spark, SF_SMALL)
-    rows = {tuple(r) for r in s1.collect()}
+    # 50 distinct real line items, the same rows on a second run
+    rows = {tuple(r) for r in q["a14_seeded_sample"](spark, SF_SMALL).collect()}
     real = set(duck.execute("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem").fetchall())
     assert len(rows) == 50 and rows <= real
     assert rows == {tuple(r) for r in q["a14_seeded_sample"](spark, SF_SMALL).collect()}

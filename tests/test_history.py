@@ -64,9 +64,11 @@ def test_level_sum_equals_finer_sum(spark):
 
 def test_load_history_small_and_large_paths_agree(spark):
     hist = _hist(spark, [(k, {(k % 104) + 1: float(k)}, 0.0) for k in range(50)]).withColumnRenamed("cur", "c")
+    odd = spark.createDataFrame([(100, None, None), (101, [7.0], 1.0), (41, [1.0], None)], "k int, h array<double>, c double")
+    hist = hist.where("k <> 41").unionByName(odd.select(*hist.columns))
     ch = spark.createDataFrame([(k, k % 7, float(k) + 0.5) for k in range(40, 60)], "k int, week_ago int, qty double")
-    a = H.load_history(hist, ch, ["k"], "week_ago", "qty", "h", current_col="c", small_changes_rows=1000)
-    b = H.load_history(hist, ch, ["k"], "week_ago", "qty", "h", current_col="c", small_changes_rows=0)
+    a = H.load_history(hist, ch, ["k"], "week_ago", "qty", "h", current_col="c")
+    b = H.load_history(hist, ch, ["k"], "week_ago", "qty", "h", current_col="c", split_bytes=0)
     key = lambda r: (r.k, tuple(r.h), r.c)
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
 
@@ -164,3 +166,51 @@ def test_history_day_equals_the_separate_steps(spark):
     assert got[3] == ([0.0, 1.0, 0.0, 0.0], 0.0)        # May value moved from slot 1 to 2
     lv = out["levels"]["all"].first()
     assert sum(lv.h) == 9.0 + 2.0 + 1.0 + 1.0 + 4.0 + 1.0 and lv.c == 0.0
+
+
+def _slots(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_load_slots_several_measures(spark):
+    hist = spark.createDataFrame([(1, 0, 5.0, 1.0), (1, 2, 7.0, None), (2, 104, 3.0, 0.0)], "k int, slot int, a double, b double")
+    ch = spark.createDataFrame([(1, 0, 6.0, None), (1, 1, None, 9.0), (3, 0, 1.0, 2.0), (3, 0, 1.0, None), (1, 105, 9.0, 9.0),
+                                (1, -1, 9.0, 9.0), (1, None, 9.0, 9.0)], "k int, slot int, a double, b double")
+    assert _slots(H.load_slots(hist, ch, ["k"], ["a", "b"])) == [
+        (1, 0, 6.0, 1.0), (1, 1, 0.0, 9.0), (1, 2, 7.0, 0.0), (2, 104, 3.0, 0.0), (3, 0, 2.0, 2.0)]
+    assert H.out_of_range(ch, "slot").count() == 3
+
+
+def test_roll_slots_equals_array_roll(spark):
+    import random
+    rnd = random.Random(5)
+    n = 6
+    rows = [(k, {s: float(rnd.randint(1, 9)) for s in range(1, n + 1) if rnd.random() < 0.25},
+             float(rnd.choice([0, 0, 4]))) for k in range(60)]
+    arr = spark.createDataFrame([(k, [v.get(i, 0.0) for i in range(1, n + 1)], c) for k, v, c in rows],
+                                "k int, h array<double>, cur double")
+    long = spark.createDataFrame([(k, 0, c) for k, _, c in rows] + [(k, s, x) for k, v, _ in rows for s, x in v.items()],
+                                 "k int, slot int, m double")
+    for reset in (True, False):
+        for weeks in (1, 3, n):
+            a = {r.k: (list(r.h), r.cur) for r in H.roll_history(arr, {"h": ("cur", reset)}, weeks=weeks, n=n).collect()}
+            b: dict = {}
+            for r in H.roll_slots(long, ["k"], {"m": reset}, weeks=weeks, n=n).collect():
+                b.setdefault(r.k, {})[r.slot] = r.m
+            assert a.keys() == b.keys(), (reset, weeks)
+            assert all(a[k] == ([b[k].get(i, 0.0) for i in range(1, n + 1)], b[k][0]) for k in a), (reset, weeks)
+
+
+def test_roll_slots_week_104_survives_one_roll(spark):
+    h = spark.createDataFrame([(1, 104, 2.0)], "k int, slot int, m double")
+    once = H.roll_slots(h, ["k"], {"m": True})
+    assert _slots(once) == [(1, 0, 0.0)]
+    assert H.roll_slots(once, ["k"], {"m": True}).count() == 0
+
+
+def test_fiscal_week_starts_with_the_fiscal_year(spark):
+    import datetime as dt
+    days = spark.createDataFrame([(dt.date(2024, 1, 31),), (dt.date(2024, 2, 1),), (dt.date(2024, 2, 4),), (dt.date(2025, 1, 31),)], "d date")
+    cal = H.calendar_from_range(days, "d")
+    got = {r.date.isoformat(): (r.fiscal_year, r.fiscal_week) for r in cal.join(days, cal.date == days.d).collect()}
+    assert got == {"2024-01-31": (2024, 53), "2024-02-01": (2025, 1), "2024-02-04": (2025, 2), "2025-01-31": (2025, 53)}

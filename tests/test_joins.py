@@ -19,7 +19,7 @@ def test_not_in_null_semantics(spark):
 
 def test_lookup_default_and_two_values_error(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "k int")
-    dim = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     got = {r.k: r.v for r in J.lookup(df, dim, "k", "v", default="-").collect()}
     assert got == {1: "a", 2: "b", 3: "-"}
     bad = spark.createDataFrame([(1, "a"), (1, "z")], "k int, v string")
@@ -51,14 +51,15 @@ def test_lookup_latest_and_first_are_deterministic(spark):
 def test_checked_broadcast_respects_bound(spark):
     small = spark.range(10)
     big = spark.range(1000)
-    assert "broadcast" in J.checked_broadcast(small, 100)._jdf.queryExecution().logical().toString().lower()
-    plan = J.checked_broadcast(big, 100).join(small, "id")._jdf.queryExecution().logical().toString()
+    assert "broadcast" in J.checked_broadcast(small, 1000)._jdf.queryExecution().logical().toString().lower()
+    plan = J.checked_broadcast(big, 1000).join(small, "id")._jdf.queryExecution().logical().toString()
     assert "broadcast" not in plan.lower()
 
 
 def test_cross_param_requires_one_row(spark):
-    with pytest.raises(ValueError):
-        J.cross_param(spark.range(3), spark.range(2))
+    for n in (0, 2):
+        with pytest.raises(Exception, match="exactly one row"):
+            J.cross_param(spark.range(3), spark.range(n).withColumnRenamed("id", "p")).count()
     assert J.cross_param(spark.range(3), spark.range(1).select(F.lit(7).alias("p"))).count() == 3
 
 
@@ -82,3 +83,16 @@ def test_bucketed_asof_equals_plain_asof(spark):
             a = J.asof_join(left, right, ["k"], "d", "f", "t", end=end, how=how, bucket_days=31)
             b = J.asof_join(left, right, ["k"], "d", "f", "t", end=end, how=how, bucket_days=None)
             assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())), (end, how)
+            # a span that leaves out many of the days changes the cost only
+            c = J.asof_join(left, right, ["k"], "d", "f", "t", end=end, how=how, span=("2020-06-01", "2020-09-30"))
+            assert sorted(map(tuple, c.collect())) == sorted(map(tuple, b.collect())), (end, how)
+
+
+def test_lookup_fails_on_any_second_row(spark):
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    for rows in ([(1, 5), (1, 5)], [(1, 5), (1, None)]):
+        dim = spark.createDataFrame(rows, "k int, v int")
+        with pytest.raises(Exception, match="more than one row per key"):
+            J.lookup(df, dim, "k", "v").collect()
+    dim = spark.createDataFrame([(1, 5), (9, 1), (9, 1)], "k int, v int")  # key 9 is not looked up
+    assert {r.k: r.v for r in J.lookup(df, dim, "k", "v").collect()} == {1: 5, 2: None}

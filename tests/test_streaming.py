@@ -42,7 +42,7 @@ def test_continuous_trigger_and_read_state(spark):
         q.processAllAvailable()
     finally:
         q.stop()
-    state, pending = read_state(spark, work)
+    state, pending = read_state(spark, work, ["user_id"])
     batch_state, _ = run_stream(spark, SF_SMALL, n_files=3)
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, batch_state.collect()))
 
@@ -60,3 +60,33 @@ def test_deferred_changes_wait_in_pending(spark):
     # no busy user's change reached the state: their rows keep the starting values
     touched = state.join(busy, "user_id", "left_semi").where(F.col("last_type") != "none").count()
     assert touched == 0
+
+
+def _feed(spark, rows, path):
+    schema = "k int, op int, seq long, ts timestamp_ntz, v double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).schema
+
+
+def test_late_change_after_a_delete_is_ignored_and_old_folders_go(spark):
+    from retailops.session import scratch_path
+    from retailops.streaming.ingest import _batches, ingest_changes, read_rejects, read_state
+    src, work = scratch_path(spark, "feed"), scratch_path(spark, "ingest")
+    target = spark.createDataFrame([(1, 10.0), (2, 20.0), (9, 90.0)], "k int, v double")
+    day = lambda h: dt.datetime(2024, 1, 1, h)
+    files = [[(1, 3, 5, day(1), None), (2, 2, 6, day(1), 21.0), (9, 2, 2, None, 1.0)],  # delete 1; a row without a time
+             [(1, 2, 3, day(2), 99.0), (2, 2, 4, day(2), 98.0)],                        # both late
+             [(3, 1, 9, day(3), 30.0)], [(1, 1, 12, day(4), 11.0)], [(2, 3, 13, day(5), None)]]
+    for f in files:
+        schema = _feed(spark, f, src)
+        ingest_changes_once(spark, src, schema, target, work) if f is files[-1] else None
+    state, pending = read_state(spark, work, ["k"])
+    assert sorted(map(tuple, state.collect())) == [(1, 11.0), (3, 30.0), (9, 90.0)]
+    assert pending.count() == 0
+    assert [(r.k, r.seq) for r in read_rejects(spark, work).collect()] == [(9, 2)]
+    assert len(_batches(spark, f"{work}/log")) <= 4 and len(_batches(spark, f"{work}/pending")) <= 2
+
+
+def ingest_changes_once(spark, src, schema, target, work):
+    from retailops.streaming.ingest import ingest_changes
+    return ingest_changes(spark, src, schema, target, ["k"], work, ts_col="ts", settle_seconds=0, compact_every=2)
