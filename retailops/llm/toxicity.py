@@ -2,8 +2,8 @@
 
 The lexicon holds words and word beginnings (written ``abc*``) that mark labelled toxic documents, each with
 its log odds. It is kept as a trie. A word of a text is run as a Levenshtein automaton (states as bit sets)
-over the trie, which finds every term within the edits its length allows; words whose halves or
-beginnings match no term are passed over before, as they cannot be within reach. Each hit is weighed by the words around it:
+over the trie, which finds every term within the edits its length allows; words that share no part in place
+with a term of like length are passed over before, as k edits leave one of k + 1 parts whole. Each hit is weighed by the words around it:
 more hits nearby raise it, quotation marks on both sides or words that report speech lower it.
 A logistic model of the summed hits gives the score.
 
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_or_empty
+from .common import map_arrow, stage_table, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = set("\"“”„«»‘’‚")
@@ -62,8 +62,7 @@ class Lexicon:
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.stem_sizes = sorted({len(s) for s in self.stems})
         self.words = {t: w for t, w in terms.items() if not t.endswith("*")}
-        self.parts: set[str] = set()
-        self.sizes: set[tuple[int, bool]] = set()
+        self.parts: set[tuple[int, int, str]] = set()  # word length, place (-1: at the end), part
         for t, w in self.words.items():
             node = self.trie
             for ch in t:
@@ -71,11 +70,21 @@ class Lexicon:
             node[""] = w
             if (k := self.edits(t)):
                 cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
-                for a, z in zip(cuts, cuts[1:]):  # k edits leave one of k + 1 parts whole, shifted by k at most
-                    self.parts.add(t[a:z])
-        self.part_sizes = sorted({len(p) for p in self.parts})
-        self.shortest = min((len(t) for t in self.words), default=0)
-        self.most = max((len(t) for t in self.words), default=0)
+                for n in range(len(t) - k, len(t) + k + 1):  # k edits leave one of k + 1 parts whole:
+                    self.parts.add((n, 0, t[:cuts[1]]))  # the first in place, the last at the end,
+                    self.parts.add((n, -1, t[cuts[k]:]))
+                    for shift in range(-1, 2) if k == 2 else ():  # the middle one moved by one at most
+                        self.parts.add((n, cuts[1] + shift, t[cuts[1]:cuts[2]]))
+        # What a word must show before its parts are looked up: two first, two last or three middle letters.
+        self.heads = {p[:2] for n, at, p in self.parts if at == 0}
+        self.tails = {p[-2:] for n, at, p in self.parts if at == -1}
+        self.middles = {(at, p[:3]) for n, at, p in self.parts if at > 0}
+        self.places = sorted({at for at, _ in self.middles})
+        self.looks: dict[int, set[tuple[int, int]]] = {}
+        for n, at, part in self.parts:
+            self.looks.setdefault(n, set()).add((at, len(part)))
+        self.stem_heads = {x[:min(self.stem_sizes)] for x in self.stems} if self.stems else set()
+        self.head_size = min(self.stem_sizes, default=1)
         self.known: dict[str, tuple[float, int] | None] = {}
 
     def edits(self, term: str) -> int:
@@ -109,18 +118,19 @@ class Lexicon:
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of what the lexicon has for a word, None if nothing."""
         exact = self.words.get(word, 0.0)
-        for n in self.stem_sizes:
-            if n >= len(word):
-                break
-            exact = max(exact, self.stems.get(word[:n], 0.0))
+        if word[:self.head_size] in self.stem_heads:
+            for n in self.stem_sizes:
+                if n >= len(word):
+                    break
+                exact = max(exact, self.stems.get(word[:n], 0.0))
         if exact:
             return exact, 0
-        n = len(word)
-        if n < self.long - 1 or n < self.shortest - 2 or n > self.most + 2:
-            return None
-        for k in self.part_sizes:
-            if any(word[i:i + k] in self.parts for i in range(n - k + 1)):
-                return self.near(word)
+        if word[:2] in self.heads or word[-2:] in self.tails or any(
+                (at, word[at:at + 3]) in self.middles for at in self.places):
+            n = len(word)
+            for at, k in self.looks.get(n, ()):
+                if (n, at, word[n - k:] if at < 0 else word[at:at + k]) in self.parts:
+                    return self.near(word)
         return None
 
     def hits(self, text: str, words: list[str]) -> dict[str, tuple[float, int]]:
@@ -252,16 +262,25 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model | None:
     return Model({}, mean.tolist(), scale.tolist(), w.tolist())
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, most: int = 40_000, max_terms: int = 2_000,
+def learn(docs: DataFrame, labels: DataFrame, train: Column, most: int = 40_000, max_terms: int = 300,
           least: float = 15.0) -> Model | None:
     """A model from the labelled rows for which ``train`` (a condition on ``labels``) holds.
 
-    About ``most`` labelled rows are used, chosen by a hash of their id: the lexicon is learned from three fifths of
-    them and the logistic model from the others. The ids (12 bytes each) are broadcast, so no text moves.
+    About ``most`` labelled rows are used, chosen by a hash of their id, near copies once: the lexicon is learned from
+    three fifths of them and the logistic model from the others. The ids (12 bytes each) are broadcast, so no other
+    text moves.
     """
     ids = labelled(labels, train, most).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text")).join(
         F.broadcast(ids), "_id")
+    # Copies and most near copies share the smallest hash of their word triples, and count once.
+    w = F.col("w")
+    triples = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
+                          lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    kin = F.coalesce(F.array_min(triples), F.xxhash64("text"))
+    rows = rows.withColumn("w", F.split(F.lower("text"), r"\s+"))
+    rows = rows.groupBy(kin.alias("_kin")).agg(F.min(F.struct("_id", "text", "toxic")).alias("r")).select("r.*")
+    rows = stage_table(rows, "toxicity-sample")
     fold = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)) < 3
     lexicon = learn_lexicon(rows.where(fold).select("text", "toxic"), max_terms, least)
     if not lexicon:
