@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
 
 
 def build_trees(tree: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BK-trees over ``fp``, one for each value of ``tree`` (sorted), inserted in row order.
+    """BK-trees over ``fp`` (unsigned), one for each value of ``tree`` (sorted), inserted in row order.
 
     Returns the root row of each row's tree, and the edges as sorted keys ``parent * 65 + distance``
     with the child rows in the same order. Each round places one level of all trees.
@@ -151,9 +151,10 @@ def links(classes: DataFrame, radius: int = 2, max_shard: int = 2048) -> DataFra
 
         def flush(part):
             new = np.r_[True, (part[1:, :3] != part[:-1, :3]).any(1)]
-            a, b = shard_forest(np.cumsum(new) - 1, part[:, 4], part[:, 3] == part[:, 1],
+            # bits are counted on unsigned numbers: numpy counts those of the absolute value otherwise
+            a, b = shard_forest(np.cumsum(new) - 1, part[:, 4].astype(np.uint64), part[:, 3] == part[:, 1],
                                 part[:, 3] == part[:, 2], radius)
-            return {"a": a, "b": b}
+            return {"a": a.view(np.int64), "b": b.view(np.int64)}
 
         for b in batches:
             new = np.array([b[c] for c in ("shard", "tree", "ask", "piece", "fp")], np.int64).T.reshape(-1, 5)
