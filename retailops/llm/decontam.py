@@ -15,6 +15,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import uuid
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -154,10 +155,10 @@ def search(w: Windows, terms: np.ndarray, ends: np.ndarray, pos: np.ndarray, slo
 def matches(index: DataFrame, w: Windows, slop: int | None = None) -> DataFrame:
     """One row per text: its segment and row number there, id, n_words, the items found, and the disjoint
     word ranges that exact matches cover (with ``slop``: the places of the rarest term)."""
-    shared = index.sparkSession.sparkContext.broadcast(w)
+    shared = index.sparkSession.sparkContext.broadcast(vars(w))  # plain values: workers need no copy of the class
 
     def run(batches):
-        win = shared.value
+        win = SimpleNamespace(**shared.value)
         for b in batches:
             for segment, ids, counts, starts, terms, ends, pos in zip(*(b[c] for c in (
                     "segment", "ids", "words", "starts", "terms", "list_ends", "positions"))):

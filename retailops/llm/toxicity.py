@@ -298,10 +298,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, most: int = 40_000,
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model and tuple(model))  # plain values
 
     def run(batches):
-        m = sent.value
+        m = sent.value and Model(*sent.value)
         lex = Lexicon(m.lexicon) if m else None
         for b in batches:
             if m is None:
