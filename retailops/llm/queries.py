@@ -12,7 +12,9 @@ from ..sources.tables import read_table
 from . import decontam, fingerprint, licenses, maxent, mixing, simhash, tokens, toxicity, urls
 from . import secrets as secret_scan
 from .common import crc_text
+from .sql import SQL
 
+__all__ = ["QUERIES", "SQL"]
 SCORE_AT = 0.7
 
 
@@ -90,30 +92,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_url_filter, op4_license_scan, op5_decontamination,
                             op6_simhash, op7_mixing, op8_fingerprints, op9_language_scores, op10_token_counts, pipeline)}
-
-
-def url_sql() -> str:
-    """DuckDB twin of op3: the vocabulary as one boundary pattern per term."""
-    text = f"translate(coalesce(url, ''), '{urls.UPPER}', '{urls.LOWER}')"
-    hit = lambda t: f"regexp_matches({text}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT"
-    strict = " + ".join(f"len(list_filter(regexp_split_to_array({text}, '[^a-z0-9]'), lambda x: x = '{t}'))"
-                        for t in urls.STRICT)
-    soft = " + ".join(hit(t) for t in urls.SOFT)
-    weight = " + ".join([f"1.0 * {hit(t)}" for t in urls.STRICT] + [f"{w} * {hit(t)}" for t, w in urls.SOFT.items()])
-    cases_rule, cases_verdict = "", ""
-    for kind, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2])):
-        fits = f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')"
-        cases_rule += f" WHEN {fits} THEN '{h}{p}'"
-        cases_verdict += f" WHEN {fits} THEN '{kind}'"
-    return f"""
-WITH p AS (
-  SELECT page_id, url,
-    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-h AS (SELECT *, ({strict})::BIGINT AS n_strict, ({soft})::BIGINT AS n_soft, ({weight})::DOUBLE AS weight FROM p)
-SELECT page_id, host, path, CASE{cases_rule} END AS rule,
-  CASE{cases_verdict} WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict,
-  n_strict, n_soft, weight FROM h"""
-
-
-SQL: dict[str, str] = {"op3_url_filter": url_sql()}
