@@ -18,7 +18,9 @@ the fold rule; words never seen in training have count 0; an empty table gives a
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, space_words, stage_table, text_or_empty
 
 ROWS, CLASSES, FEATURES = 1 << 13, 48, 6
+AT_ONCE = 4096  # tokens whose class probabilities are in memory together
 SHARD = ("shard string, ids array<bigint>, train array<boolean>, lengths binary, tokens binary, words array<string>, "
          "counts array<bigint>, classes array<int>, hashes binary")
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -49,12 +52,14 @@ def shards_of(docs: DataFrame, train: Column, id_col: str, text_col: str, shard_
     def shard(ids, flags, texts):
         from xxhash import xxh32_intdigest
 
-        vocabulary = {b"": 0}
+        vocabulary = defaultdict(itertools.count().__next__)  # a new word gets the next number
+        code = vocabulary.__getitem__
+        code(b"")  # the end token is 0
         tokens, lengths = [], []
         for t in texts:
             words = space_words(t)
             words.append(b"")
-            tokens.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+            tokens.append(np.fromiter(map(code, words), np.int32, len(words)))
             lengths.append(len(words))
         learned = [t for t, f in zip(tokens, flags) if f]
         counts = np.bincount(np.concatenate(learned) if learned else np.zeros(0, np.int32), minlength=len(vocabulary))
@@ -107,29 +112,49 @@ def history_rows(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, cl
     return out
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = bias + weights[rows[:, 0]]
+def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Unnormalized log probabilities of the classes, the largest of each token being 0."""
+    z = weights[rows[:, 0]]
+    z += bias
     for i in range(1, FEATURES):
         z += weights[rows[:, i]]
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def class_log10(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log10 probability of each token's class, a bounded number of tokens at once."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), AT_ONCE):
+        z = logits(weights, bias, rows[at:at + AT_ONCE])
+        picked = z[np.arange(len(z)), target[at:at + AT_ONCE]].astype(np.float64)
+        out[at:at + AT_ONCE] = (picked - np.log(np.exp(z, out=z).sum(1))) / np.log(10)
+    return out
 
 
 def gradient_steps(weights: np.ndarray, bias: np.ndarray, speed: np.ndarray, used: np.ndarray, rows: np.ndarray,
-                   target: np.ndarray, rate: float = 0.1, batch: int = 4096) -> None:
-    """AdaGrad steps over batches of tokens, in place; ``speed`` and ``used`` are kept by weight row."""
+                   target: np.ndarray, rate: float = 0.1, batch: int = 16384, seed: int = 11) -> None:
+    """AdaGrad steps over batches of tokens, in place; ``speed`` and ``used`` are kept by weight row.
+
+    The gradient of a weight is how often its feature met its class less how often the model expects it. The
+    expectation is estimated without bias by one class drawn from the model for each token, so both sides are counts.
+    """
+    rng = np.random.default_rng(seed)
+    shape = weights.shape
     for at in range(0, len(rows), batch):
         r, t = rows[at:at + batch], target[at:at + batch]
-        err = -np.exp(log_softmax(weights, bias, r))
-        err[np.arange(len(t)), t] += 1
-        flat = r.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
-        grad = np.add.reduceat(err[order // FEATURES], first, axis=0)
-        row = flat[order[first]]
-        used[row] += np.diff(np.r_[first, len(order)])
-        speed[row] += (grad * grad).mean(1)
-        weights[row] += rate * grad / np.sqrt(speed[row] + 1e-6)[:, None]
+        drawn = np.empty(len(r), np.int64)
+        for k in range(0, len(r), AT_ONCE):
+            z = logits(weights, bias, r[k:k + AT_ONCE])
+            sums = np.exp(z, out=z).cumsum(1)
+            pick = rng.random((len(z), 1), np.float32) * sums[:, -1:]
+            drawn[k:k + AT_ONCE] = np.minimum((sums < pick).sum(1), shape[1] - 1)
+        cells = r * shape[1]
+        grad = (np.bincount((cells + t[:, None]).ravel(), minlength=weights.size)
+                - np.bincount((cells + drawn[:, None]).ravel(), minlength=weights.size)).reshape(shape).astype(np.float32)
+        used += np.bincount(r.ravel(), minlength=shape[0])
+        speed += (grad * grad).mean(1)
+        weights += rate * grad / np.sqrt(speed + 1e-6)[:, None]
 
 
 def arrays(b: dict, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,12 +222,7 @@ def language_scores(docs: DataFrame, train: Column, rounds: int = 2, id_col: str
         c[right.column("at").to_numpy()] = right.column("c").to_numpy()
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         within = np.log10((c + 0.5) / class_mass[classes])
-        given = np.empty(len(tokens))
-        rows = history_rows(tokens, lengths, hashes, classes)
-        want = classes[tokens]
-        for at in range(0, len(tokens), 8192):
-            p = log_softmax(w, prior, rows[at:at + 8192])
-            given[at:at + 8192] = p[np.arange(len(p)), want[at:at + 8192]] / np.log(10)
+        given = class_log10(w, prior, history_rows(tokens, lengths, hashes, classes), classes[tokens])
         first = np.cumsum(lengths) - lengths
         return pa.table({
             "doc_id": pa.array(b["ids"][0], pa.int64()), "held_out": [not t for t in b["train"][0]],
