@@ -83,7 +83,7 @@ def item_store_detail(base: DataFrame | None, fact: DataFrame, keys: Sequence[st
 
 def in_stock(df: DataFrame, keys: Sequence[str], in_stock_cond: Column, exclude: Column | None = None,
              item_col: str | None = None, scale: int = 2, items_per: Sequence[str] | None = None,
-             adjustments: tuple[DataFrame, str] | None = None,
+             adjustments: tuple[DataFrame | Column, str] | None = None,
              lead: tuple[DataFrame, Sequence[str], Sequence[str]] | None = None,
              order: Sequence | None = None) -> DataFrame:
     """In-stock percentage per group (e.g. buyer x source x method x store), one pass.
@@ -97,8 +97,8 @@ def in_stock(df: DataFrame, keys: Sequence[str], in_stock_cond: Column, exclude:
 
     * ``items_per`` (a subset of ``keys``, e.g. the source) adds ``n_items``: how many distinct
       items of ``item_col`` it has anywhere;
-    * ``adjustments`` is ``(rows, quantity)``, rows carrying ``keys``: adds ``adj_qty``, the sum
-      of the adjusted quantity, 0 where there is none;
+    * ``adjustments`` is ``(rows, quantity)``, rows carrying ``keys``, or ``(condition, quantity)``
+      for rows of ``df`` itself, summed in the same pass: adds ``adj_qty``, 0 where there is none;
     * ``lead`` is ``(details, on, day columns)``: adds ``lead_days``, the sum of the source's
       day columns (order processing and transit);
     * ``order`` sorts the report; by default the worst percentage comes first.
@@ -109,12 +109,15 @@ def in_stock(df: DataFrame, keys: Sequence[str], in_stock_cond: Column, exclude:
             F.sum(F.when(in_stock_cond, 1).otherwise(0)).cast("long").alias("n_in_stock")]
     if item_col:
         aggs.append(F.min(F.when(~in_stock_cond, F.col(item_col))).alias("min_out_item"))
+    own = adjustments is not None and isinstance(adjustments[0], Column)
+    if own:
+        aggs.append(F.coalesce(F.sum(F.when(adjustments[0], F.col(adjustments[1]))), F.lit(0.0)).alias("adj_qty"))
     g = x.groupBy(*keys).agg(*aggs).withColumn("n_out_of_stock", F.col("n_total") - F.col("n_in_stock"))
     g = g.withColumn("pct_in_stock", F.round(F.when(F.col("n_total") > 0, F.col("n_in_stock") * 100.0 / F.col("n_total")), scale))
     if items_per:
         counts = count_by_distinct(x, [item_col], items_per, "n_items")
         g = g.join(counts, list(items_per), "left")
-    if adjustments:
+    if adjustments and not own:
         rows, qty = adjustments
         g = g.join(rows.groupBy(*keys).agg(F.sum(qty).alias("adj_qty")), keys, "left") \
              .withColumn("adj_qty", F.coalesce(F.col("adj_qty"), F.lit(0.0)))

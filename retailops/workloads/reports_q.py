@@ -105,7 +105,7 @@ def i14(spark, d):
                          (cust, F.col("o_custkey") == F.col("c_custkey")),
                          (supp, F.col("l_suppkey") == F.col("s_suppkey"))]) \
          .withColumnRenamed("o_orderpriority", "method")
-    adj = j.where((F.col("l_returnflag") == "R") & newer_than("l_shipdate", AS_OF, 730))
+    adj = (F.col("l_returnflag") == "R") & newer_than("l_shipdate", AS_OF, 730)
     lead = supp.select("s_suppkey", (F.lit(3) + F.col("s_nationkey") % 5).cast("long").alias("process_days"),
                        (F.col("s_suppkey") % 7).cast("long").alias("transit_days"))
     out = R.in_stock(j, ["s_suppkey", "method", "c_nationkey"], F.col("l_linestatus") == "F", item_col="l_partkey",

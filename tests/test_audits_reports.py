@@ -124,3 +124,16 @@ def test_fix_batch_high_water(spark):
     later = q.unionByName(spark.createDataFrame([(4,)], "rid int"))
     again, _ = R.fix_batch(later, "rid", high_water=hw)
     assert sorted(r.rid for r in again.collect()) == [1, 2, 3]
+
+
+def test_in_stock_adjustments_lead_time_and_items(spark):
+    from retailops.plans import reports as R
+    df = spark.createDataFrame([("s", 1, "i1", True, 2.0), ("s", 1, "i2", False, 3.0), ("s", 2, "i1", True, 5.0)],
+                               "src string, store int, item string, ok boolean, qty double")
+    lead = spark.createDataFrame([("s", 3, 4)], "src string, a int, b int")
+    rows = spark.createDataFrame([("s", 1, 7.0), ("s", 1, 1.0)], "src string, store int, qty double")
+    for adj, want in (((F.col("qty") > 2, "qty"), {1: 3.0, 2: 5.0}), ((rows, "qty"), {1: 8.0, 2: 0.0})):
+        out = R.in_stock(df, ["src", "store"], F.col("ok"), item_col="item", items_per=["src"], adjustments=adj,
+                         lead=(lead, ["src"], ["a", "b"]), order=["src", "store"]).collect()
+        assert [(r.store, r.n_total, r.n_items, r.lead_days, r.pct_in_stock) for r in out] == [(1, 2, 2, 7, 50.0), (2, 1, 2, 7, 100.0)]
+        assert {r.store: r.adj_qty for r in out} == want
