@@ -556,10 +556,24 @@ def test_model_is_a_distribution_and_learns():
     w, prior = np.zeros_like(w), np.full(maxent.CLASSES, -math.log(maxent.CLASSES), np.float32)
     before = maxent.class_log10(w, prior, rows, target).mean()
     maxent.gradient_steps(w, prior, np.full(maxent.ROWS, 1e-3, np.float32), np.zeros(maxent.ROWS, np.int64),
-                          rows[order], target[order], batch=100)
+                          rows[order], target[order], np.random.default_rng(1), batch=100)
     assert maxent.class_log10(w, prior, rows, target).mean() > before + 0.8
 
 
+def test_history_blocks_equal_the_whole():
+    rnd = np.random.default_rng(4)
+    lengths = rnd.integers(1, 9, 60)
+    tokens, keys, classes = rnd.integers(1, 30, lengths.sum()).astype(np.int32), rnd.integers(0, 1 << 60, 30).astype(np.uint64), rnd.integers(0, 9, 30)
+    n, place = len(tokens), maxent.places(lengths)
+    whole = maxent.history_rows(tokens, place, keys, classes, 0, n)
+    for size in (1, 2, 3, 7, 50):
+        parts = [maxent.history_rows(tokens, place, keys, classes, lo, min(lo + size, n)) for lo in range(0, n, size)]
+        assert np.array_equal(np.concatenate(parts), whole)
+    ends = np.cumsum(lengths)[:-1]
+    same = maxent.history_rows(tokens, place, keys, classes, 0, n)[np.r_[0, ends]]
+    assert (same == same[0]).all()  # all texts begin with the same history
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     rnd = random.Random(3)
     sides = [[f"{p}{i}{e}" for i in range(60)] for p, e in (("k", "ing"), ("z", "ung"))]
