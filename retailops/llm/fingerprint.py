@@ -21,33 +21,48 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, map_arrow, space_words, text_or_empty
+from .common import bucket_counts, map_arrow, text_or_empty
 
 EQUAL, SKETCH, RUN = 32, 256, 3
+AT_ONCE = 1 << 16  # run hashes in memory together
 LANES = EQUAL + SKETCH
 
 
-def paragraph_vector(paragraph: str) -> np.ndarray:
+def fingerprint(text: str) -> np.ndarray:
+    """The sum of the paragraphs' vectors; the hashes of many paragraphs are counted together."""
     from xxhash import xxh64_intdigest
 
     out = np.zeros(LANES, np.uint16)
-    out[:EQUAL] = np.frombuffer(hashlib.blake2b(paragraph.encode("utf-8", "replace"), digest_size=2 * EQUAL).digest(),
-                                "<u2")
-    words = space_words(paragraph)
-    runs = zip(*(words[i:] for i in range(RUN))) if len(words) >= RUN else [words] * bool(words)
-    h = np.fromiter((xxh64_intdigest(b" ".join(r), 7) for r in runs), np.uint64)
-    if h.size:
-        place, sign = (h >> np.uint64(8)).astype(np.int64) % SKETCH, (h & np.uint64(1)).astype(np.int64) * 2 - 1
-        out[EQUAL:] = np.bincount(place, sign, SKETCH).astype(np.int64).astype(np.uint16)
+    sketch = np.zeros(SKETCH, np.int64)
+    digests: list[bytes] = []
+    runs: list[int] = []
+
+    def count():
+        h = np.array(runs, np.uint64)
+        sketch[:] += np.bincount(((h >> np.uint64(8)) % np.uint64(SKETCH)).astype(np.int64),
+                                 (h & np.uint64(1)).astype(np.int64) * 2 - 1, SKETCH).astype(np.int64)
+        out[:EQUAL] += np.frombuffer(b"".join(digests), "<u2").reshape(-1, EQUAL).sum(0, dtype=np.uint16)
+        digests.clear()
+        runs.clear()
+
+    for p in text.encode("utf-8", "replace").split(b"\n"):
+        digests.append(hashlib.blake2b(p, digest_size=2 * EQUAL).digest())
+        words = p.lower().split()
+        if len(words) >= RUN:
+            runs += map(xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(RUN)))))
+        elif words:
+            runs.append(xxh64_intdigest(b" ".join(words)))
+        if len(runs) >= AT_ONCE:
+            count()
+    if digests:
+        count()
+    out[EQUAL:] = sketch.astype(np.uint16)
     return out
 
 
-def fingerprint(text: str) -> np.ndarray:
-    """The sum over the text's paragraphs."""
-    total = np.zeros(LANES, np.uint16)
-    for p in text.split("\n"):
-        total += paragraph_vector(p)
-    return total
+def paragraph_vector(paragraph: str) -> np.ndarray:
+    """The vector of one paragraph (a text without line ends)."""
+    return fingerprint(paragraph)
 
 
 def insert(f: np.ndarray, paragraph: str) -> np.ndarray:
@@ -98,7 +113,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     row of the bucket below (of the topmost for the lowest), so a task finds every next text in its own rows. Each text moves once.
     """
     spark = docs.sparkSession
-    n = buckets or 2 * bucket_counts(spark)
+    n = buckets or 8 * bucket_counts(spark)  # many small buckets even out over the partitions
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
     cuts = sorted(set(cuts or ()))
