@@ -49,7 +49,7 @@ def class_of(word: bytes) -> int:
     return 1 + crc32(core[-3:] + b" " + word[len(core):][:1]) % (CLASSES - 1)
 
 
-def shards_of(docs: DataFrame, train: Column, id_col: str, text_col: str, shard_chars: int = 16 << 20) -> DataFrame:
+def shards_of(docs: DataFrame, train: Column, id_col: str, text_col: str, shard_chars: int = 8 << 20) -> DataFrame:
     """One row per shard; ``train`` is a condition on ``docs`` that says which rows are learned from."""
     def shard(number, ids, flags, texts):
         from xxhash import xxh64_intdigest
@@ -185,11 +185,12 @@ def train_round(shards: DataFrame, weights: np.ndarray, bias: np.ndarray) -> np.
                     rows = history_rows(tokens, place, keys, classes, lo, min(lo + BLOCK, len(tokens)))[own]
                     gradient_steps(w, prior, speed, used, rows, classes[tokens[lo:lo + BLOCK][own]], rng)
         row = np.flatnonzero(used)
-        change = (w - start)[row].astype(np.float64) * used[row][:, None]
-        yield {"row": row.tolist(), "n": used[row].tolist(), "change": change.tolist()}
+        change = (w - start)[row] * used[row][:, None].astype(np.float32)
+        lists = pa.ListArray.from_arrays(np.arange(len(row) + 1, dtype=np.int32) * CLASSES, change.ravel())
+        yield {"row": row.astype(np.int32), "n": used[row], "change": lists}
 
     parts = map_arrow(shards.select("train", "lengths", "tokens", "classes", "keys"), run,
-                      "row int, n long, change array<double>")
+                      "row int, n long, change array<float>")
     sums = parts.groupBy("row").agg(F.sum("n").alias("n"), F.array(
         *(F.sum(F.col("change")[i]) for i in range(CLASSES))).alias("change")).collect()
     out = weights.copy()
