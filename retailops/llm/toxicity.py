@@ -186,47 +186,38 @@ def labelled(labels: DataFrame, train: Column, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int, least: float) -> dict[str, float]:
-    """Terms whose document counts differ by G2 of ``least`` or more, with log odds; the largest ``max_terms``.
+def learn_lexicon(rows: DataFrame, least: float) -> dict[str, float]:
+    """All terms in three toxic documents or more whose document counts differ by G2 of ``least`` or more at three times
+    the odds, with log odds; only these tests and the size of ``rows`` bound their number.
 
     A word or beginning that covers nearly the same toxic documents as a longer one gives way to it.
     """
     def run(batches):
         seen: dict[str, list[int]] = {}
-        n = [0, 0]
         for b in batches:
             for t, y in zip(b["text"], b["toxic"]):
-                n[y] += 1
                 for term in terms_of(t):
                     seen.setdefault(term, [0, 0])[y] += 1
             if len(seen) > 300_000:
                 yield {"term": list(seen), "clean": [c[0] for c in seen.values()], "toxic": [c[1] for c in seen.values()]}
                 seen = {}
-        yield {"term": list(seen) + [None], "clean": [c[0] for c in seen.values()] + n[:1],
-               "toxic": [c[1] for c in seen.values()] + n[1:]}
+        yield {"term": list(seen), "clean": [c[0] for c in seen.values()], "toxic": [c[1] for c in seen.values()]}
 
-    counts = map_arrow(rows, run, "term string, clean long, toxic long").groupBy("term").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.where((F.col("toxic") >= 3) & F.col("term").isNotNull() | F.col("term").isNull())
-    top = counts.withColumn("rank", F.when(F.col("term").isNull(), F.lit(float("inf"))).otherwise(
-        F.col("toxic") * F.log(F.col("toxic") / (F.col("clean") + F.lit(0.5)) + 1)))
-    got = top.orderBy(F.desc("rank"), "term").limit(10 * max_terms + 1).collect()
-    total = next(((r.clean, r.toxic) for r in got if r.term is None), (0, 0))
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    total = (sizes.get(0, 0), sizes.get(1, 0))
     if not all(total):
         return {}
     share = total[1] / sum(total)
+    counts = map_arrow(rows, run, "term string, clean long, toxic long").groupBy("term").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    x, z = F.col("toxic"), F.col("clean")
+    g2 = 2 * (x * F.log(x / ((x + z) * share)) + F.when(z > 0, z * F.log(z / ((x + z) * (1 - share)))).otherwise(0.0))
+    got = counts.where((x >= 3) & (x * total[0] > 3 * z * total[1])).where(g2 >= least).withColumn("g2", g2).collect()
+    scored = [(r.g2, r.term, r.toxic, r.clean) for r in got]
     kept: dict[str, tuple[int, int]] = {}
-    scored = []
-    for r in got:
-        if r.term is None or r.toxic * total[0] <= 3 * r.clean * total[1]:
-            continue
-        x, z = r.toxic, r.clean
-        g = 2 * (x * math.log(x / ((x + z) * share)) + (z * math.log(z / ((x + z) * (1 - share))) if z else 0))
-        if g >= least:
-            scored.append((g, r.term, x, z))
     # Longer terms first: a beginning stays only if it covers clearly more toxic documents than any that extends it.
     cover: Counter = Counter()
-    for g, t, x, z in sorted(scored, key=lambda s: -len(s[1].rstrip("*"))):
+    for g, t, x, z in sorted(scored, key=lambda s: (-len(s[1].rstrip("*")), s[1])):
         stem = t.rstrip("*")
         if t.endswith("*") and cover[stem] >= 0.95 * x:
             continue
@@ -240,8 +231,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int, least: float) -> dict[str, fl
         over = max((final.get(t[:n] + "*", 0.0) for n in range(1, len(t.rstrip("*")))), default=0.0)
         if not over or odds[t] > over + 0.5:
             final[t] = odds[t]
-    most = sorted(final, key=lambda t: -odds[t] * math.log1p(kept[t][0]))[:max_terms]
-    return {t: final[t] for t in sorted(most)}
+    return {t: final[t] for t in sorted(final)}
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model | None:
@@ -262,8 +252,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model | None:
     return Model({}, mean.tolist(), scale.tolist(), w.tolist())
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, most: int = 40_000, max_terms: int = 300,
-          least: float = 15.0) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, most: int = 40_000, least: float = 15.0) -> Model | None:
     """A model from the labelled rows for which ``train`` (a condition on ``labels``) holds.
 
     About ``most`` labelled rows are used, chosen by a hash of their id, near copies once: the lexicon is learned from
@@ -282,7 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, most: int = 40_000,
     rows = rows.groupBy(kin.alias("_kin")).agg(F.min(F.struct("_id", "text", "toxic")).alias("r")).select("r.*")
     rows = stage_table(rows, "toxicity-sample")
     fold = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)) < 3
-    lexicon = learn_lexicon(rows.where(fold).select("text", "toxic"), max_terms, least)
+    lexicon = learn_lexicon(rows.where(fold).select("text", "toxic"), least)
     if not lexicon:
         return None
 

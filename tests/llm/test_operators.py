@@ -200,6 +200,23 @@ def test_toxicity_edge_cases(spark, abuse):
     assert toxicity.learn(empty(spark), labels.limit(0), F.lit(True)) is None
 
 
+def test_lexicon_keeps_every_term_that_passes(spark):
+    """500 words, each in some 24 toxic texts and no other: none is cut by its rank."""
+    rnd = random.Random(12)
+    marks = ["".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(500)]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 3 == 0
+        words = rnd.sample(marks, 24) if toxic else []
+        words += [f"w{rnd.randrange(10**6)}" for _ in range(30)]
+        rows.append((i, " ".join(words), "en", "s", None))
+        labels.append((i, int(toxic)))
+    model = toxicity.learn(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, toxic int"),
+                           F.lit(True))
+    lexicon = toxicity.Lexicon(model.lexicon)  # a mark's beginning may stand for it
+    assert sum(lexicon.match(m) is not None and lexicon.match(m)[1] == 0 for m in marks) > 480
+
+
 # --- urls -----------------------------------------------------------------------------
 
 def test_url_rules_and_vocabulary(spark):
