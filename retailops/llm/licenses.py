@@ -1,4 +1,8 @@
-"""License scans: an exact set-similarity join of text blocks (lines) with notice templates.
+"""License scans: an exact set-similarity join of text blocks with notice templates.
+
+Blocks are the lines and, with ``wrapped``, also every run of a template's length in the word sequence of the whole text,
+whatever line ends fall into it, so that a notice wrapped at any column is met. Whole paragraphs are no blocks: in one of
+some length the few words of a short template stand by chance.
 
 A block meets a template if it holds at least ``threshold`` of the template's distinct words. All word sets are
 ordered by how many blocks of the whole corpus hold the word, rarest first. A pair needs ``need`` common words, so the
@@ -58,6 +62,7 @@ class TemplateIndex:
         words = sorted({w for s in sets.values() for w in s}, key=lambda w: (blocks_with.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(words)}
         self.templates = []  # label, ranks, need
+        self.lengths = [len(block_words(t.encode())) for t in templates.values()]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for label, s in sets.items():
             ranks = sorted(self.rank[w] for w in s)
@@ -84,6 +89,28 @@ class TemplateIndex:
                     met[label] = common / len(ranks)
         return met
 
+    def meet_runs(self, words: list[bytes]) -> dict[str, float]:
+        """{label: containment} of all templates that a run of as many words as the template has meets."""
+        at = [(i, self.rank[w]) for i, w in enumerate(words) if w in self.rank]
+        own = {r for _, r in at}
+        met = {}
+        for (label, ranks, need), length in zip(self.templates, self.lengths):
+            if len(own.intersection(ranks)) < need:
+                continue
+            wanted, inside, first, best = {*ranks}, Counter(), 0, 0
+            places = [(i, r) for i, r in at if r in wanted]
+            for i, r in places:
+                inside[r] += 1
+                while places[first][0] <= i - length:
+                    inside[places[first][1]] -= 1
+                    if not inside[places[first][1]]:
+                        del inside[places[first][1]]
+                    first += 1
+                best = max(best, len(inside))
+            if best >= need:
+                met[label] = best / len(ranks)
+        return met
+
 
 def places(words: list[bytes], phrases: Mapping[str, str] = PHRASES) -> list[tuple[int, str]]:
     """(first word, label) of all places where a phrase's words stand consecutively."""
@@ -118,10 +145,12 @@ def block_counts(docs: DataFrame, templates: Mapping[str, str]) -> dict[bytes, i
 
 
 def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES,
-             threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+             wrapped: bool = False) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, blocks, score) for every row.
 
     ``blocks`` counts the lines that meet a template; ``score`` is the largest containment met, 1 where a phrase stands.
+    With ``wrapped``, templates met by a run of words across line ends count in ``labels`` and ``score`` too.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     index = TemplateIndex(templates, block_counts(rows.select("text"), templates), threshold)
@@ -140,6 +169,9 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases:
                     blocks += 1
                     labels |= met.keys()
                     best = max(best, *met.values())
+            if wrapped and (met := index.meet_runs(words)):
+                labels |= met.keys()
+                best = max(best, *met.values())
         return (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, base_labels,
                 ",".join(sorted(labels)), blocks, best)
 

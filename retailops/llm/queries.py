@@ -48,7 +48,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.licenses(read_table(spark, sf_dir, "documents")).select(
+    return licenses.licenses(read_table(spark, sf_dir, "documents"), wrapped=True).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 

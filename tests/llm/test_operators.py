@@ -285,6 +285,39 @@ def test_license_edge_cases(spark):
     assert licenses.licenses(empty(spark)).count() == 0
 
 
+def test_wrapped_notices_are_met(spark, monkeypatch):
+    """Every template at every wrapping, behind comment signs and between other words, and against brute force."""
+    rnd = random.Random(19)
+    pool = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()}) + ["foo", "bar"]
+    rows, planted = [], {}
+    for label, t in licenses.TEMPLATES.items():
+        for width in (1, 2, 3, 5, 8, 13):
+            words = [f"x{k}" for k in range(rnd.randint(0, 7))] + t.split() + ["y1", "y2"]
+            text = "\n".join(" * " + " ".join(words[k:k + width]) for k in range(0, len(words), width))
+            planted[len(rows)] = label
+            rows.append((len(rows), text, "en", "s", None))
+    for _ in range(200):
+        words = [w for t in rnd.choices(list(licenses.TEMPLATES.values()), k=2) for w in t.split() if rnd.random() < 0.9]
+        words += rnd.choices(pool, k=rnd.randint(0, 20))
+        rows.append((len(rows), "".join(w + rnd.choice("  \n") for w in words), "en", "s", None))
+    docs = spark.createDataFrame(rows, DOC)
+    monkeypatch.setattr(queries, "read_table", lambda spark, sf_dir, name: docs)
+    got = {r.doc_id: r for r in queries.op4_license_scan(spark, "").collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in planted.items())
+    for i, text, *_ in rows:
+        w, want = PLAIN.findall(lower(text)), {x for x in got[i].base_labels.split(",") if x}
+        lines = [PLAIN.findall(line) for line in lower(text).split("\n")]
+        best = 1.0 if want else 0.0
+        for label, t in licenses.TEMPLATES.items():
+            t = t.split()
+            own = {*t}
+            most = max(len(own & {*b}) / len(own) for b in lines + [w[k:k + len(t)] for k in range(len(w))] + [[]])
+            if most >= 0.8 - 1e-9:
+                want.add(label)
+                best = max(best, most)
+        assert got[i].labels == ",".join(sorted(want)) and math.isclose(got[i].score, best), text
+
+
 # --- decontamination ------------------------------------------------------------------
 
 def contaminated(docs, items, width=10, slop=None):
