@@ -15,34 +15,43 @@ from retailops.session import scratch_path
 from retailops.sources.tables import read_table
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose id is among ``ids`` (``doc_id``, any number of times)."""
-    gone = stage_table(ids.select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of its own for every row, stored so that every later read sees the same one.
+
+    Decisions are carried by it: ids may be null or repeated.
+    """
+    return stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of ``rows`` but for those whose ``_row`` is in ``gone``."""
+    return rows.join(stage_table(gone.select("_row"), "pipeline-gone"), "_row", "left_anti").drop("_row")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.7 or more; learns from the labels of the training fold."""
     labels = read_table(spark, sf_dir, "labels")
     model = tox.learn(docs, labels, crc_text(F.col("doc_id")) % 3 != 1)
-    return without(docs, tox.score(docs, model).where(F.col("score") >= 0.7))
+    rows = numbered(docs)
+    scored = tox.score(rows, model, id_col="_row").withColumnRenamed("doc_id", "_row")
+    return without(rows, scored.where(F.col("score") >= 0.7))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component, the one with the smallest id; one row of each id."""
-    found = stage_table(simhash.near_duplicates(docs), "pipeline-components")
-    kept = without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    again = stage_table(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")),
-                        "pipeline-again")
-    same = kept["doc_id"].eqNullSafe(again["_again"])
-    return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    """Keeps one document of each SimHash component: the one with the smallest id, one without an id last."""
+    rows = numbered(docs)
+    found = simhash.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row")
+    found = stage_table(found.join(rows.select("_row", order.alias("order")), "_row"), "pipeline-components")
+    kept = found.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order._row").alias("_row"))
+    return without(rows, found.join(kept, "_row", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a 10-word window of a benchmark item."""
-    hit = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    return without(docs, hit)
+    rows = numbered(docs)
+    hit = decontam.contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col="_row")
+    return without(rows, hit.where("n_hit > 0").withColumnRenamed("doc_id", "_row"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
