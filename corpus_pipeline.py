@@ -78,7 +78,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
           ("secret_scan", secret_scan), ("mixture", mixture)]
 
-# Learned scores, bit-difference closures and raking are not expressible in SQL; the tests hold them against brute force.
+# Learned scores, bit-difference closures and raking are not expressible in SQL; tests/llm/test_pipeline.py holds the stages and
+# run() against plain Python (the draw of the last stage against mixing.mix).
 ORACLE_SQL = None
 
 

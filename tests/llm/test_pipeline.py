@@ -117,3 +117,32 @@ def test_decontamination_stage_drops_rows_by_their_own_text(spark, corpus):
     want = plain_decontamination(rows, items)
     assert len(rows) - len(want) == 4
     assert bag(pipe.decontamination(spark, tables["documents"], "")) == bag(want)
+
+
+def test_secret_scan_stage_keeps_every_row(spark, corpus):
+    rows, _, tables = corpus
+    want = plain_secret_scan(rows)
+    assert sum("[assign]" in (r[1] or "") for r in want) == 4
+    assert bag(pipe.secret_scan(spark, tables["documents"], "")) == bag(want)
+
+
+def test_mixture_stage_keeps_the_sampled_rows(spark, corpus):
+    rows, _, tables = corpus
+    got = bag(pipe.mixture(spark, tables["documents"], "").select(*tables["documents"].columns))
+    drawn = mixing.mix(tables["documents"]).where("sampled").select(*tables["documents"].columns)
+    assert got == bag(drawn) and 0 < sum(got.values()) < len(rows) and not got - bag(rows)
+
+
+def test_run_chains_the_stages(spark, corpus):
+    rows, items, tables = corpus
+    groups = plain_near_duplicates(plain_toxicity(rows, tables))
+    chosen = [rs[0] for rs in groups]
+    left = plain_secret_scan(plain_decontamination(chosen, items))
+    drawn = mixing.mix(spark.createDataFrame(left, DOC)).where("sampled")
+    some = F.col("text") != ""  # which of the rows without text stays is a tie
+    assert bag(pipe.run(spark, "").where(some).select("doc_id", "text")) == bag(drawn.where(some).select("doc_id", "text"))
+
+
+def test_stages_take_an_empty_table(spark, corpus):
+    for _, stage in pipe.STAGES:
+        assert stage(spark, corpus[2]["documents"].limit(0), "").count() == 0
