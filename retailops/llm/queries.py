@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table
-from . import decontam, fingerprint, licenses, maxent, mixing, simhash, tokens, toxicity, urls
+from . import (decontam, divergence, fingerprint, lexical, licenses, maxent, mixing, simhash, suffixes, tokens, toxicity,
+               urls)
 from . import secrets as secret_scan
 from .common import crc_text
 from .sql import SQL
@@ -83,6 +84,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,4 +104,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_url_filter, op4_license_scan, op5_decontamination,
-                            op6_simhash, op7_mixing, op8_fingerprints, op9_language_scores, op10_token_counts, pipeline)}
+                            op6_simhash, op7_mixing, op8_fingerprints, op9_language_scores, op10_token_counts, op11_source_divergence,
+                            op12_lexical_search, op13_substring_dedup, pipeline)}

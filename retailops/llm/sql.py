@@ -111,5 +111,66 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN x ON d.r = x.r"""
 
 
+def divergence_sql(least: int = 30, top: int = 50) -> str:
+    """Every source's share of every kept term, and all pairs of sources term by term."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({lowered("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {least}),
+v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS whole FROM g JOIN k ON g.lang = k.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+z AS (SELECT lang, source, sum(n)::BIGINT AS size FROM s GROUP BY lang, source),
+p AS (SELECT s.lang, s.source, s.term, s.n, 1 + (1000000000 * (s.n + 5)) // (z.size + 5 * v.v) AS p,
+        1 + (1000000000 * (s.whole + 5)) // (v.n + 5 * v.v) AS q
+      FROM s JOIN z ON z.lang = s.lang AND z.source = s.source JOIN v ON v.lang = s.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b
+      ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM x QUALIFY part = 'pair' OR rank <= {top}"""
+
+
+def lexical_sql(top: int = 50) -> str:
+    """Every document with a term of an item is scored."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words_of("text")} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, list_distinct({words_of("text")}) AS w FROM benchmark),
+q AS (SELECT i, unnest(w) AS term FROM i),
+a AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * a.n) // a.l AS m FROM d, a WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d)
+       WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * a.n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, a GROUP BY term, a.n),
+s AS (SELECT q.i, tf.r, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * m.m)))::BIGINT AS score
+      FROM q JOIN tf ON tf.term = q.term JOIN w ON w.term = q.term JOIN m ON m.r = tf.r GROUP BY q.i, tf.r)
+SELECT item_id, (row_number() OVER (PARTITION BY s.i ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+FROM s JOIN i ON i.i = s.i JOIN m ON m.r = s.r WHERE score > 0 QUALIFY rank <= {top}"""
+
+
+def substring_sql(width: int = 35) -> str:
+    """Every window of every text, grouped by its words."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+g AS (SELECT r, k, array_to_string(w[k:k + {width - 1}], ' ') AS win
+      FROM d, unnest(generate_series(1, len(w) - {width - 1})) AS u(k)),
+m AS (SELECT win FROM g GROUP BY win HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, p FROM g JOIN m ON g.win = m.win, unnest(generate_series(k, k + {width - 1})) AS u(p)),
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r),
+a AS (SELECT r, i, w[i] AS x FROM d, unnest(generate_series(1, len(w))) AS u(i)),
+k AS (SELECT a.r, string_agg(x, ' ' ORDER BY i) AS s FROM a ANTI JOIN c ON a.r = c.r AND a.i = c.p GROUP BY a.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN k ON d.r = k.r"""
+
+
 SQL: dict[str, str] = {"op1_secret_scan": secrets_sql(), "op3_url_filter": urls_sql(), "op4_license_scan": licenses_sql(),
-                       "op5_decontamination": decontamination_sql()}
+                       "op5_decontamination": decontamination_sql(), "op11_source_divergence": divergence_sql(),
+                       "op12_lexical_search": lexical_sql(), "op13_substring_dedup": substring_sql()}
