@@ -47,7 +47,8 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 def postings(docs: DataFrame, codes: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, codes, tfs): for each document with terms, their number and the vocabulary terms it holds."""
+    """(doc_id, n, codes, tfs): for each document with terms, their number and the vocabulary terms it holds, as packed
+    32-bit numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches):
@@ -60,12 +61,12 @@ def postings(docs: DataFrame, codes: dict[bytes, int], id_col: str = "doc_id", t
                     held.pop(None, None)
                     out["doc_id"].append(i)
                     out["n"].append(len(words))
-                    out["codes"].append(list(held))
-                    out["tfs"].append(list(held.values()))
+                    out["codes"].append(np.array(list(held), np.int32).tobytes())
+                    out["tfs"].append(np.array(list(held.values()), np.int32).tobytes())
             yield out
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_arrow(rows, run, "doc_id long, n long, codes array<int>, tfs array<long>")
+    return map_arrow(rows, run, "doc_id long, n long, codes binary, tfs binary")
 
 
 def document_counts(held: DataFrame, size: int) -> np.ndarray:
@@ -73,7 +74,7 @@ def document_counts(held: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         n = np.zeros(size, np.int64)
         for b in batches:
-            n += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=size)
+            n += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32), minlength=size)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["code", "df"])
 
@@ -156,10 +157,10 @@ def build_index(held: DataFrame, weights: np.ndarray, wanted: np.ndarray, docume
         ids, lengths, codes, tfs, n = [], [], [], [], 0
 
         def out():
-            size = [len(c) for c in codes]
+            size = [len(c) // 4 for c in codes]
             m = np.repeat(length_terms(np.array(lengths, np.int64), documents, total), size)
-            tf = np.concatenate(tfs) if tfs else NONE
-            return build_block(ids, np.repeat(np.arange(len(ids)), size), np.concatenate(codes),
+            tf = np.frombuffer(b"".join(tfs), np.int32).astype(np.int64)
+            return build_block(ids, np.repeat(np.arange(len(ids)), size), np.frombuffer(b"".join(codes), np.int32),
                                SCALE * tf // (FLAT * tf + SLOPE * m), w, pairs, top)
 
         for b in batches:
@@ -167,9 +168,9 @@ def build_index(held: DataFrame, weights: np.ndarray, wanted: np.ndarray, docume
                 if c:
                     ids.append(i)
                     lengths.append(length)
-                    codes.append(np.array(c, np.int64))
-                    tfs.append(np.array(t, np.int64))
-                    n += len(c)
+                    codes.append(c)
+                    tfs.append(t)
+                    n += len(c) // 4
                 if n >= block_postings or len(ids) >= block_docs:
                     yield out()
                     ids, lengths, codes, tfs, n = [], [], [], [], 0
