@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, plain_words, stage_table, text_or_empty
@@ -34,6 +35,18 @@ BLOCK = ("doc_ids array<bigint>, terms binary, ends binary, docs binary, impacts
 NONE = np.zeros(0, np.int64)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within it, what is written reads Arrow batches of so many rows: texts, and blocks even more, are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(number, item_id, terms): the distinct terms of each item that has any; ``number`` tells the rows apart."""
     def run(batches):
@@ -297,7 +310,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, at_once: int = 1 <<
     for g in range(groups):
         rows = asked.where(F.pmod(F.xxhash64("number"), F.lit(groups)) == g).select("number", "terms").collect()
         codes = {t.encode(): i for i, t in enumerate(sorted({t for r in rows for t in r["terms"]}))}
-        held = stage_table(postings(docs, codes), "lexical-postings")
+        with batches_of(docs.sparkSession, 1000):
+            held = stage_table(postings(docs, codes), "lexical-postings")
         documents, total = held.agg(F.count("*"), F.sum("n")).first()
         df = document_counts(held, len(codes)).tolist()
         weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * n + 1))) for n in df], np.int64)
@@ -306,8 +320,10 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, at_once: int = 1 <<
                    for r in rows]
         wanted = np.unique(np.array([min(a, b) * len(codes) + max(a, b) for _, q in queries for a, b in zip(q, q[1:])],
                                     np.int64))
-        index = stage_table(build_index(held, weights, wanted, documents, total or 1, top, block_docs), "lexical-index")
-        part = search_index(index, queries, weights, top)
+        with batches_of(docs.sparkSession, 1000):
+            index = stage_table(build_index(held, weights, wanted, documents, total or 1, top, block_docs), "lexical-index")
+        with batches_of(docs.sparkSession, 1):
+            part = stage_table(search_index(index, queries, weights, top), "lexical-found")
         ranked = part if ranked is None else ranked.unionAll(part)
     by = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
