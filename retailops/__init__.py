@@ -20,7 +20,7 @@ from .plans.audits import (audit_missing, child_count, code_table, compare, cove
                            reconcile)
 from .plans.changes import (append, apply_changes, assign_keys, count_check, delete_details, delete_matching,
                             delete_where, drift, drop_orphans, first_receipts, grain, load_reference, match_lines,
-                            merge_upsert, pack_quantities, purge, purge_days, purge_keys, rebuild_lines,
+                            merge_upsert, pack_quantities, purge, purge_days, purge_graph, purge_keys, rebuild_lines,
                             repair_status, resync_hierarchy, roll_up_lines, split_deferred, sync_set, update_from,
                             update_where)
 from .plans.history import (advance_week, calendar_from_range, from_long, history_day, load_history, month_calendar,
@@ -35,6 +35,7 @@ from .session import cluster_conf, cut_lineage, ensure_checkpoint_dir, get_spark
 from .sources.tables import (archive, backup_generations, bucket_table, fits_fixed, format_fixed, keys_in, parse_fixed,
                              read_remote, read_table, refresh, register_environment, replace_table, rows, rtrim_strings, sample_rows, snapshot, stage,
                              write_csv, write_text)
+from .sources.filetables import CommitConflict, FileTables
 from .streaming.ingest import ingest_changes, read_rejects, read_state, write_change_files
 
 __all__ = [n for n in dir() if not n.startswith("_")]

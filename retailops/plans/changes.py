@@ -117,11 +117,14 @@ def sync_set(target: DataFrame, source: DataFrame, keys, attrs: Sequence[str],
 
     Keys missing from the source go, new source keys come in with ``defaults`` for
     target-only columns, and ``attrs`` are refreshed from the source everywhere. A row that is
-    kept keeps its own columns, nulls too: defaults are for inserted rows only.
+    kept keeps its own columns, nulls too: defaults are for inserted rows only. A key with several
+    source rows is an error; a null key part equals a null one.
     """
     keys = _keys(keys)
     own = [c for c in target.columns if c not in keys and c not in attrs]
-    j = source.select(*keys, *attrs).join(target.select(*keys, *own, F.lit(True).alias("_kept")), keys, "left")
+    src = unique_rows(source.select(*keys, *attrs), keys, "sync source")
+    kept = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys], *own, F.lit(True).alias("_kept"))
+    j = src.join(kept, _and([F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]), "left")
     for c in own:
         j = j.withColumn(c, F.when(F.col("_kept"), F.col(c)).otherwise(
             F.lit(defaults.get(c)).cast(target.schema[c].dataType)))
@@ -328,6 +331,62 @@ def purge(tables: Mapping[str, tuple[DataFrame, str]], keys: DataFrame, key: str
     return {n: df.join(k.withColumnRenamed(key, col), col, "left_anti") for n, (df, col) in tables.items()}
 
 
+def purge_graph(tables, start: Mapping[str, DataFrame], links: Sequence[tuple], orphans: Sequence[tuple] = ()) -> dict:
+    """Cascade purge over a graph of tables, all or nothing.
+
+    ``tables`` is a ``FileTables``. ``start`` gives rows to go, by their key columns, for the tables where the purge
+    begins. ``links`` are ``(parent, child, [(parent column, child column), ...], condition)``: with a parent
+    row go the child rows of equal columns; ``condition`` (or None) says for which parent rows, so that a key of 0 for
+    "no allocation yet" takes nothing along. ``orphans`` are ``(parent, child, columns)``: child rows without any parent
+    row left go, whether their parent went now or was gone before.
+
+    The links are walked in dependency order, however deep; a child reached by several links loses the rows of
+    each. The doomed keys of every table are stored, the tables' touched files are rewritten, and one commit shows all of
+    it; a failure anywhere leaves all tables as they were. A null key part matches nothing. Returns
+    ``{table: (doomed keys, stored)}`` for the backup and the count check.
+    """
+    base, state = tables.state()
+    order, waiting = [], {*start, *(x[0] for x in (*links, *orphans)), *(x[1] for x in (*links, *orphans))}
+    while waiting:
+        free = sorted(t for t in waiting if not any(x[1] == t and x[0] in waiting for x in (*links, *orphans)))
+        if not free:
+            raise ValueError(f"links form a cycle: {sorted(waiting)}")
+        order += free
+        waiting -= set(free)
+    doomed: dict[str, list[tuple[DataFrame, list[str]]]] = {t: [] for t in order}
+    rows = {t: tables.read(t, base) for t in order}
+
+    def going(t):
+        """The doomed rows of ``t``, whole, each once for each rule that meets it."""
+        return [rows[t].join(k, cols, "left_semi") for k, cols in doomed[t]]
+
+    def left(t):
+        return reduce(lambda df, rule: df.join(rule[0], rule[1], "left_anti"), doomed[t], rows[t])
+
+    for t in order:
+        if t in start:
+            cols = start[t].columns
+            doomed[t].append((store(start[t].dropna("any", subset=cols).distinct(), f"purge-{t}"), cols))
+        for parent, child, on, cond in links:
+            if child == t and doomed[parent]:
+                gone = reduce(DataFrame.unionByName, going(parent))
+                gone = gone if cond is None else gone.where(cond)
+                keys = gone.select(*[F.col(p).alias(c) for p, c in on]).dropna("any").distinct()
+                doomed[t].append((store(keys, f"purge-{t}"), [c for _, c in on]))
+        for parent, child, on in orphans:
+            if child == t:
+                live = left(parent).select(*[F.col(p).alias(c) for p, c in on])
+                cols = [c for _, c in on]
+                keys = rows[t].select(*cols).dropna("any").distinct().join(live, cols, "left_anti")
+                doomed[t].append((store(keys, f"purge-{t}"), cols))
+
+    def without(rules):
+        return lambda old: reduce(lambda df, rule: df.join(rule[0], rule[1], "left_anti"), rules, old)
+
+    tables.change({t: ([(k, cols) for k, cols in doomed[t]], (), without(doomed[t])) for t in order if doomed[t]}, base)
+    return doomed
+
+
 def purge_days(days: int | None, default: int = 45, floor: int = 14) -> int:
     """Purge age: the default when unset, never fewer than the floor."""
     return max(default if days is None else days, floor)
@@ -380,11 +439,11 @@ def load_reference(df: DataFrame, date_cols: Sequence[str], fmt: str = "yyyyMMdd
 
 
 def update_where(df: DataFrame, cond: Column, sets: Mapping[str, Column]) -> DataFrame:
-    """``update t set c = v where cond`` as a projection."""
-    out = df
-    for c, v in sets.items():
-        out = out.withColumn(c, F.when(cond, v).otherwise(F.col(c)).cast(df.schema[c].dataType))
-    return out
+    """``update t set c = v where cond`` as one projection: the condition and all values read the old row, so
+    a column of the condition may be set, and two columns may be exchanged."""
+    hit = F.coalesce(cond, F.lit(False))
+    return df.select(*[F.when(hit, sets[c]).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in sets
+                       else F.col(c) for c in df.columns])
 
 
 def delete_where(df: DataFrame, cond: Column) -> DataFrame:

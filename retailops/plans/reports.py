@@ -132,11 +132,13 @@ def price_list(intervals: DataFrame, key: Sequence[str], from_col: str, to_col:
                as_of, cents_width: int = 9) -> DataFrame:
     """Current and future prices as coded rows: 'C' for the row in effect at
     ``as_of``, 'F' for rows starting after it; price as zero-padded cents, a price of more
-    digits being an error."""
+    digits or below zero being an error."""
     d = F.lit(as_of)
     code = F.when((F.col(from_col) <= d) & (F.col(to_col) > d), F.lit("C")).when(F.col(from_col) > d, F.lit("F"))
     x = intervals.withColumn("price_code", code).where(F.col("price_code").isNotNull())
-    cents = zero_padded(F.round(F.col(price_col) * 100, 0).cast("long").cast("string"), cents_width, "price")
+    cents = F.round(F.col(price_col) * 100, 0).cast("long")
+    below = F.raise_error(F.concat(F.lit("price below zero: "), F.col(price_col).cast("string"))).cast("long")
+    cents = zero_padded(F.when(cents < 0, below).otherwise(cents).cast("string"), cents_width, "price")
     return x.select(*key, "price_code", F.col(from_col).alias("eff_from"), cents.alias("price_digits")).distinct()
 
 
