@@ -9,6 +9,7 @@ from .functions.cols import (after_last, allowed_by, blank_to_null, cents, check
                              long_code, maker_id, map_code, minutes_between, newer_than, nth_weekday, nullif_prefix,
                              nvl2, older_than, right, row_max, row_min, safe_next_day, safe_prev_day, shift,
                              still_open, swap_2_3, to_long_code, to_short_code, ts_literal, valid_date, week_start)
+from .functions.sqlcode import register_functions, select_columns
 from .operators.aggs import (agg_by, count_by, count_by_distinct, count_distinct, count_rows, dup_keys, dup_rows,
                              extent, fact_totals, max_by_key, minus, number_rows, pct, scorecard, sequence_rows,
                              share_of_total, sum_if, top_k, top_rank, union_all, union_distinct, with_count,
@@ -23,10 +24,14 @@ from .plans.changes import (append, apply_changes, assign_keys, count_check, del
                             merge_upsert, pack_quantities, purge, purge_days, purge_graph, purge_keys, rebuild_lines,
                             repair_status, resync_hierarchy, roll_up_lines, split_deferred, sync_set, update_from,
                             update_where)
+from .plans.digests import by_digest, differing_buckets, digest_tree, only_differing
 from .plans.history import (advance_week, calendar_from_range, from_long, history_day, load_history, month_calendar,
                             load_slots, order_weeks, out_of_range, roll_history, roll_slots, rollup_levels, rollup_slots,
                             sum_arrays, to_long, unknown_periods,
                             weeks_ago, widen_history)
+from .plans.historylog import HistoryLog
+from .plans.levels import LevelTables
+from .plans.nested import explode_nested, set_cycles
 from .plans.reports import (classify_hosts, cost_list, explode_sets, feed, feed_rejects, fix_batch, in_stock, item_store_detail,
                             missing_changes, name_of, price_list, price_timeline, release_feed, release_report,
                             sectioned_report,

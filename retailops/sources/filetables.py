@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,7 +144,8 @@ class FileTables:
 
     def touched(self, name: str, entry: dict, files: DataFrame, hit: Column | DataFrame | list,
                 keys: Sequence[str] = ()) -> list[str]:
-        """The data files with a row that meets the condition ``hit``, or whose ``keys`` stand in the rows ``hit``.
+        """The data files with a row that meets the condition ``hit``, or whose ``keys`` stand in the rows ``hit``
+        (null as a value of its own: a change that lets null match nothing leaves such rows as they are).
 
         A list of (rows, keys) stands for all of them.
         """
@@ -151,10 +153,11 @@ class FileTables:
             return sorted({p for rows, cols in hit for p in self.touched(name, entry, files, rows, cols)})
         schema = T.StructType.fromJson(json.loads(entry["schema"]))
         if isinstance(hit, DataFrame) and entry["cluster"] in keys:
-            low, high = hit.agg(F.min(entry["cluster"]), F.max(entry["cluster"])).first()
-            if low is None:
-                files = files.where(F.lit(False))
-            else:
+            c = F.col(entry["cluster"])
+            low, high, none = hit.agg(F.min(c), F.max(c), F.max(c.isNull())).first()
+            if none is None:
+                return []
+            if not none:  # the bounds of a file say nothing of its nulls
                 kind = schema[entry["cluster"]].dataType
                 files = files.where((F.col("hi") >= F.lit(low).cast(kind)) & (F.col("lo") <= F.lit(high).cast(kind)))
         listed = [f"{self.root}/{r.path}" for r in files.select("path").collect()]
@@ -163,7 +166,9 @@ class FileTables:
         rows = self.spark.read.schema(schema).parquet(*listed)
         where = self._relative(F.col("_metadata.file_path")).alias("_file")
         if isinstance(hit, DataFrame):
-            rows = rows.select(*keys, where).join(checked_broadcast(hit.select(*keys).distinct()), list(keys), "left_semi")
+            wanted = checked_broadcast(hit.select(*[F.col(k).alias(f"_h_{k}") for k in keys]).distinct())
+            same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+            rows = rows.select(*keys, where).join(wanted, reduce(Column.__and__, same), "left_semi")
         else:
             rows = rows.where(hit).select(where)
         return [r[0] for r in rows.select("_file").distinct().collect()]
@@ -233,6 +238,8 @@ class FileTables:
             found = set()
             for v in vs:
                 for name, entry in self.state(v)[1].items():
+                    if name.startswith("_"):  # a note of the folder, not a table
+                        continue
                     found.add(entry["manifest"])
                     found.update(r.path for r in self.manifest(name, v).select("path").collect())
             return found

@@ -18,7 +18,8 @@ AS_OF = _dt.date(2001, 8, 1)          # orders and line items
 EVENTS_AS_OF = _dt.date(2024, 1, 31)  # events
 
 _MODULES = ("sources_q", "columns_q", "joins_q", "aggs_q", "audits_q", "changes_q",
-            "history_q", "reports_q", "streaming_q", "filetables_q")
+            "history_q", "reports_q", "streaming_q", "filetables_q",
+            "stored_q", "sqlcode_q")
 
 
 def query(name: str, sql: str | None = None):
