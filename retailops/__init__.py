@@ -25,7 +25,7 @@ from .plans.changes import (append, apply_changes, assign_keys, count_check, del
                             repair_status, resync_hierarchy, roll_up_lines, split_deferred, sync_set, update_from,
                             update_where)
 from .plans.digests import by_digest, differing_buckets, digest_tree, only_differing
-from .plans.history import (advance_week, calendar_from_range, from_long, history_day, load_history, month_calendar,
+from .plans.history import (advance_week, calendar, calendar_from_range, from_long, history_day, load_history, month_calendar,
                             load_slots, order_weeks, out_of_range, roll_history, roll_slots, rollup_levels, rollup_slots,
                             sum_arrays, to_long, unknown_periods,
                             weeks_ago, widen_history)
@@ -36,7 +36,8 @@ from .plans.reports import (classify_hosts, cost_list, explode_sets, feed, feed_
                             missing_changes, name_of, price_list, price_timeline, release_feed, release_report,
                             sectioned_report,
                             shelf_totals, version_in_force)
-from .session import cluster_conf, cut_lineage, ensure_checkpoint_dir, get_spark, scratch_path, store
+from .session import (cluster_conf, cut_lineage, drop_scratch, ensure_checkpoint_dir, get_spark, scratch_path,
+                      scratch_scope, store)
 from .sources.tables import (archive, backup_generations, bucket_table, fits_fixed, format_fixed, keys_in, parse_fixed,
                              read_remote, read_table, refresh, register_environment, replace_table, rows, rtrim_strings, sample_rows, snapshot, stage,
                              write_csv, write_text)

@@ -138,8 +138,10 @@ def with_subtotals(df: DataFrame, key: str, detail_cols: Sequence[str], sum_cols
     Subtotal rows carry the key, the sums of ``sum_cols``, nulls in the other detail
     columns and ``row_kind='subtotal'``; they are unioned by name with the details.
     """
-    det = df.select(key, *detail_cols, *sum_cols).withColumn(kind_col, F.lit("detail"))
-    sub = df.groupBy(key).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    from ..session import store
+    rows = store(df.select(key, *detail_cols, *sum_cols), "subtotals")  # the input runs once
+    det = rows.withColumn(kind_col, F.lit("detail"))
+    sub = rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in sum_cols])
     for c in detail_cols:
         sub = sub.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
     sub = sub.withColumn(kind_col, F.lit("subtotal"))

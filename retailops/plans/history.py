@@ -24,19 +24,23 @@ WEEKS = 104
 # --- calendar ------------------------------------------------------------------
 
 def calendar_from_range(df: DataFrame, date_col: str, fy_start_month: int = 2) -> DataFrame:
-    """C14: one row per day between the smallest and largest date of ``date_col``.
+    """C14: ``calendar`` between the smallest and largest date of ``date_col``, which one scan of ``df`` finds."""
+    b = df.agg(F.min(F.to_date(date_col)).alias("lo"), F.max(F.to_date(date_col)).alias("hi")).first()
+    return calendar(df.sparkSession, b["lo"], b["hi"], fy_start_month)
+
+
+def calendar(spark, lo, hi, fy_start_month: int = 2) -> DataFrame:
+    """C14: one row per day from ``lo`` to ``hi``; none where they are None.
 
     Columns: ``date``, ``fiscal_year`` (year in which the fiscal year ends),
     ``fiscal_period`` (1 = the month ``fy_start_month``), ``fiscal_week`` (weeks begin on
-    Sunday; week 1 holds the first day of the fiscal year), ``day_of_week``. The date range comes from a one-row aggregate; days are then
-    generated with ``spark.range`` so they spread over tasks.
+    Sunday; week 1 holds the first day of the fiscal year), ``day_of_week``. Days are generated with
+    ``spark.range``, so they spread over tasks and no table is read.
     """
-    spark = df.sparkSession
-    b = df.agg(F.min(F.to_date(date_col)).alias("lo"), F.max(F.to_date(date_col)).alias("hi")).first()
-    if b["lo"] is None:
+    if lo is None:
         return spark.createDataFrame([], "date date, fiscal_year int, fiscal_period int, fiscal_week int, day_of_week int")
-    n = (b["hi"] - b["lo"]).days + 1
-    days = spark.range(n).select(F.date_add(F.lit(b["lo"]), F.col("id").cast("int")).alias("date"))
+    n = (hi - lo).days + 1
+    days = spark.range(n).select(F.date_add(F.lit(lo), F.col("id").cast("int")).alias("date"))
     shifted = F.add_months(F.col("date"), 13 - fy_start_month)
     back = F.add_months(F.col("date"), 1 - fy_start_month)
     first = F.make_date(F.year(back), F.lit(fy_start_month), F.lit(1))
@@ -247,21 +251,32 @@ def out_of_range(changes: DataFrame, slot_col: str, n: int = WEEKS) -> DataFrame
 # --- long form ------------------------------------------------------------------
 
 def load_slots(hist: DataFrame, changes: DataFrame, keys: Sequence[str], measures: Sequence[str],
-               slot_col: str = "slot", n: int = WEEKS) -> DataFrame:
+               slot_col: str = "slot", n: int = WEEKS, split_bytes: int = 32 << 20) -> DataFrame:
     """I23 in long form: put change values into their slots, any number of measures at once.
 
     Both sides hold ``keys``, the slot and ``measures``; changes of one slot are summed and
     replace the history's value, measure by measure (a null measure of a change leaves the old one,
-    so on hand, in transit, on order and the sales of two weeks come in as one load). One shuffle on
-    ``keys``; slots outside 0..n come back from ``out_of_range``.
+    so on hand, in transit, on order and the sales of two weeks come in as one load). The history holds one row
+    per key and slot. The changes are stored; when their keys measure at most ``split_bytes`` the rows of other keys pass
+    through a broadcast anti join and only touched keys are shuffled, otherwise all are, with the same result.
+    Slots outside 0..n come back from ``out_of_range``.
     """
+    from ..session import store
+    from .changes import split_by_keys
     side = lambda df, new: df.where(F.col(slot_col).between(0, n)).select(
         *keys, F.col(slot_col).cast("int").alias(slot_col), *[F.col(m).cast("double").alias(m) for m in measures],
         F.lit(new).alias("_new"))
-    both = side(hist, False).unionByName(side(changes, True)).repartition(*keys)
-    return both.groupBy(*keys, slot_col).agg(*[
+    new = store(side(changes, True), "slots-load")
+    split = split_by_keys(side(hist, False), keys, new.select(*keys).distinct(), split_bytes)
+    base = side(hist, False) if split is None else split[1]
+    both = base.unionByName(new).repartition(*keys)
+    merged = both.groupBy(*keys, slot_col).agg(*[
         F.coalesce(F.sum(F.when(F.col("_new"), F.col(m))), F.sum(F.when(~F.col("_new"), F.col(m))), F.lit(0.0)).alias(m)
         for m in measures])
+    if split is None:
+        return merged
+    same = split[0].select(*keys, slot_col, *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in measures])
+    return same.unionByName(merged)
 
 
 def roll_slots(hist: DataFrame, keys: Sequence[str], measures: Mapping[str, bool], weeks: int = 1,

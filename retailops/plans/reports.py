@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import safe_next_day, safe_prev_day, ts_literal, zero_padded
 from ..operators.aggs import count_by_distinct, number_rows, top_rank, with_count
 from ..operators.joins import unique_rows
+from ..session import store
 from ..sources.tables import fits_fixed, format_fixed
 
 
@@ -91,7 +92,7 @@ def in_stock(df: DataFrame, keys: Sequence[str], in_stock_cond: Column, exclude:
     Per group: rows in total, in stock and out of stock, the percentage in stock
     and, with ``item_col``, the lowest out-of-stock item (a pointer for the
     buyer). ``exclude`` drops rows from numerator and denominator. Counts come from one pass
-    over the full group keys; a report that joins in-stock and out-of-stock counts on source
+    over the full group keys (with ``items_per`` to the item, stored, and from there to the keys); a report that joins in-stock and out-of-stock counts on source
     and store only would merge a source's two replenishment methods, so include the method in
     ``keys`` when it matters.
 
@@ -105,17 +106,26 @@ def in_stock(df: DataFrame, keys: Sequence[str], in_stock_cond: Column, exclude:
     """
     keys = list(keys)
     x = df if exclude is None else df.where(~exclude)
-    aggs = [F.count(F.lit(1)).alias("n_total"),
-            F.sum(F.when(in_stock_cond, 1).otherwise(0)).cast("long").alias("n_in_stock")]
-    if item_col:
-        aggs.append(F.min(F.when(~in_stock_cond, F.col(item_col))).alias("min_out_item"))
     own = adjustments is not None and isinstance(adjustments[0], Column)
+    n_in, n_out = (F.sum(F.when(c, 1).otherwise(0)).cast("long") for c in (in_stock_cond, ~in_stock_cond))
+    parts = {"n_total": F.count(F.lit(1)), "n_in_stock": n_in}
+    if own:
+        parts["adj_qty"] = F.sum(F.when(adjustments[0], F.col(adjustments[1])))
+    counts = None
+    if items_per:  # the joined rows run once, to one stored row per group and item; all else is read from those
+        x = store(x.groupBy(*keys, item_col).agg(*[c.alias(n) for n, c in parts.items()], n_out.alias("_out")), "in-stock")
+        counts = count_by_distinct(x, [item_col], items_per, "n_items")
+        parts, out = {n: F.sum(n) for n in parts}, F.col("_out") > 0
+    else:
+        out = ~in_stock_cond
     if own:
-        aggs.append(F.coalesce(F.sum(F.when(adjustments[0], F.col(adjustments[1]))), F.lit(0.0)).alias("adj_qty"))
-    g = x.groupBy(*keys).agg(*aggs).withColumn("n_out_of_stock", F.col("n_total") - F.col("n_in_stock"))
+        parts["adj_qty"] = F.coalesce(parts["adj_qty"], F.lit(0.0))
+    if item_col:
+        parts["min_out_item"] = F.min(F.when(out, F.col(item_col)))
+    g = x.groupBy(*keys).agg(*[c.alias(n) for n, c in parts.items()])
+    g = g.withColumn("n_out_of_stock", F.col("n_total") - F.col("n_in_stock"))
     g = g.withColumn("pct_in_stock", F.round(F.when(F.col("n_total") > 0, F.col("n_in_stock") * 100.0 / F.col("n_total")), scale))
     if items_per:
-        counts = count_by_distinct(x, [item_col], items_per, "n_items")
         g = g.join(counts, list(items_per), "left")
     if adjustments and not own:
         rows, qty = adjustments

@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -111,7 +113,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
+    return path
+
+
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scratch scopes", default=())
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete what ``scratch_path`` and ``store`` made within, when the block ends.
+
+    For work whose result is written inside the block (a micro-batch, a step of an iteration); a DataFrame that reads
+    such a table does not outlive it. Scopes nest; each thread has its own.
+    """
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        drop_scratch(spark, *made)
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete folders made by ``scratch_path``."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str = "stored") -> DataFrame:

@@ -7,12 +7,14 @@ a Structured Streaming file source and each micro-batch runs in ``foreachBatch``
 * rows whose time is at least ``settle_seconds`` older than the newest row seen
   are applied (``apply_changes``); younger rows go to a *pending* table and are
   offered again with the next batch, so nothing is lost to the cut-off; rows without a
-  time go to a *rejects* table;
+  time go to a *rejects* table. A row dated after the batch's own time waits until that time has come, and
+  settles no other row;
 * with ``busy`` keys (lines in progress), changes for those keys are deferred to
   the pending table too (J2) and retried every batch;
 * the state is a base table and a log: a batch writes only the keys it touched, with the last
   sequence applied to each, deleted keys included, so a late change cannot roll a key back or
   revive one. Every ``compact_every`` batches the log is folded into a new base;
+* what a batch stores for itself is deleted when it ends, also when it fails;
 * each batch writes under its own batch id and reads only what stands below it, so a batch
   repeated after a failure overwrites its own output with the same result. Folders that no batch can
   read again are deleted.
@@ -23,7 +25,7 @@ State lives in the folder given by the caller (a shared file system on a cluster
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..functions.cols import ts_literal
 from ..plans.changes import apply_changes, split_deferred
-from ..session import store
+from ..session import scratch_scope, store
 
 
 def _batches(spark: SparkSession, root: str) -> list[int]:
@@ -99,7 +101,8 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
                    work_dir: str, ts_col: str, settle_seconds: float, op_col: str = "op",
                    seq_col: str = "seq", busy: DataFrame | None = None, max_files_per_trigger: int = 1,
                    mode: str = "last", to_changes=None, processing_time: str | None = None,
-                   verify_counts: bool = True, compact_every: int = 16):
+                   verify_counts: bool = True, compact_every: int = 16,
+                   clock: Callable[[], _dt.datetime] | None = None):
     """Stream the change files under ``source_dir`` into ``target``.
 
     ``to_changes`` maps a raw micro-batch to change rows (keys, op, seq, ts and the
@@ -115,6 +118,8 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
     that came in must equal those counted in the stored, reduced change set plus those written
     to the pending and the rejects table (the reference's insert-equals-delete check); the batch
     fails otherwise.
+
+    ``clock`` gives the time of a batch (UTC without a zone, by default the driver's): the newest row counts only up to it.
     """
     keys = list(keys)
     pending_root, rejects_root = f"{work_dir}/pending", f"{work_dir}/rejects"
@@ -124,17 +129,23 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
     ntz = isinstance(schema[ts_col].dataType, T.TimestampNTZType)
 
     def process(batch_df: DataFrame, batch_id: int) -> None:
+        with scratch_scope(spark):
+            take(batch_df, batch_id)
+
+    def take(batch_df: DataFrame, batch_id: int) -> None:
         incoming = to_changes(batch_df) if to_changes else batch_df
         prev_pending = _latest(spark, pending_root, below=batch_id)
         if prev_pending:
             incoming = incoming.unionByName(spark.read.parquet(prev_pending).select(*incoming.columns))
-        n_in, newest = incoming.agg(F.count(F.lit(1)), F.max(ts_col)).first()
+        now = ts_literal(clock() if clock else _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), ntz=ntz)
+        n_in, newest = incoming.agg(F.count(F.lit(1)), F.max(F.when(F.col(ts_col) <= now, F.col(ts_col)))).first()
         if not n_in:
             return
         incoming.where(F.col(ts_col).isNull()).write.mode("overwrite").parquet(f"{rejects_root}/batch={batch_id}")
         cut = ts_literal(newest - _dt.timedelta(seconds=settle_seconds), ntz=ntz) if newest else F.lit(None)
-        ready = incoming.where(F.col(ts_col) <= cut)
-        young = incoming.where(F.col(ts_col) > cut)
+        settled = F.coalesce(F.col(ts_col) <= cut, F.lit(False))  # no row up to now: nothing has settled
+        ready = incoming.where(settled)
+        young = incoming.where(F.col(ts_col).isNotNull() & ~settled)
         if busy_keys is not None:
             ready, deferred = split_deferred(ready, busy_keys.withColumn("status_code", F.lit(20)), keys)
             young = young.unionByName(deferred)

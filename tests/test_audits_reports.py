@@ -137,3 +137,13 @@ def test_in_stock_adjustments_lead_time_and_items(spark):
                          lead=(lead, ["src"], ["a", "b"]), order=["src", "store"]).collect()
         assert [(r.store, r.n_total, r.n_items, r.lead_days, r.pct_in_stock) for r in out] == [(1, 2, 2, 7, 50.0), (2, 1, 2, 7, 100.0)]
         assert {r.store: r.adj_qty for r in out} == want
+
+
+def test_a_price_below_zero_is_an_error(spark):
+    import datetime as dt
+    import pytest
+    from retailops.plans.reports import price_list
+    day = dt.date(2001, 1, 1)
+    df = spark.createDataFrame([(1, day, dt.date(2002, 1, 1), -5.0)], "k int, f date, t date, p double")
+    with pytest.raises(Exception, match="price below zero"):
+        price_list(df, ["k"], "f", "t", "p", day).collect()

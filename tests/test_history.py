@@ -214,3 +214,14 @@ def test_fiscal_week_starts_with_the_fiscal_year(spark):
     cal = H.calendar_from_range(days, "d")
     got = {r.date.isoformat(): (r.fiscal_year, r.fiscal_week) for r in cal.join(days, cal.date == days.d).collect()}
     assert got == {"2024-01-31": (2024, 53), "2024-02-01": (2025, 1), "2024-02-04": (2025, 2), "2025-01-31": (2025, 53)}
+
+
+def test_a_load_of_few_keys_equals_a_load_that_shuffles_all(spark):
+    hist = spark.createDataFrame([(1, 0, 5.0, None), (1, 3, 2.0, 1.0), (2, 1, None, 7.0), (3, 99, 4.0, 4.0), (4, 200, 1.0, 1.0)],
+                                 "k int, slot int, v double, w double")
+    new = spark.createDataFrame([(1, 3, None, 9.0), (1, 4, 1.0, 1.0), (1, 4, 2.0, None), (5, 0, 1.0, None), (2, 300, 1.0, 1.0)],
+                                hist.schema)
+    few = H.load_slots(hist, new, ["k"], ["v", "w"])
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, H.load_slots(hist, new, ["k"], ["v", "w"], split_bytes=0).collect()))
+    assert sorted(map(tuple, few.collect())) == [(1, 0, 5.0, 0.0), (1, 3, 2.0, 9.0), (1, 4, 3.0, 1.0), (2, 1, 0.0, 7.0),
+                                                 (3, 99, 4.0, 4.0), (5, 0, 1.0, 0.0)]

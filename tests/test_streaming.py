@@ -90,3 +90,50 @@ def test_late_change_after_a_delete_is_ignored_and_old_folders_go(spark):
 def ingest_changes_once(spark, src, schema, target, work):
     from retailops.streaming.ingest import ingest_changes
     return ingest_changes(spark, src, schema, target, ["k"], work, ts_col="ts", settle_seconds=0, compact_every=2)
+
+
+def _folders(spark):
+    import os
+    from retailops.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return {d for d in os.listdir(root) if d.split("-")[0] in ("changes", "ingest")}
+
+
+def test_a_row_from_the_future_settles_no_other_and_batches_leave_no_scratch(spark):
+    from retailops.session import scratch_path
+    from retailops.streaming.ingest import ingest_changes
+    src, work = scratch_path(spark, "feed"), scratch_path(spark, "work")
+    target = spark.createDataFrame([(1, 10.0)], "k int, v double")
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    _feed(spark, [(1, 2, 1, at(0), 1.0), (2, 1, 2, at(1), 2.0)], src)
+    schema = _feed(spark, [(3, 1, 3, dt.datetime(2099, 1, 1), 3.0)], src)
+    before = _folders(spark)
+    run = lambda clock: ingest_changes(spark, src, schema, target, ["k"], work, ts_col="ts", settle_seconds=10, clock=clock)
+    state, pending = run(None)
+    assert sorted(map(tuple, state.collect())) == [(1, 10.0)] and pending.count() == 3
+    assert _folders(spark) == before
+    # a restart: a newer row settles the two; the far one still waits
+    _feed(spark, [(4, 1, 4, at(30), 4.0)], src)
+    state, pending = run(None)
+    assert sorted(map(tuple, state.collect())) == [(1, 1.0), (2, 2.0)]
+    assert sorted(r.k for r in pending.collect()) == [3, 4]
+    # its time comes
+    _feed(spark, [(5, 1, 5, dt.datetime(2099, 1, 2), 5.0)], src)
+    state, pending = run(lambda: dt.datetime(2100, 1, 1))
+    assert sorted(map(tuple, state.collect())) == [(1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)]
+    assert [r.k for r in pending.collect()] == [5] and _folders(spark) == before
+
+
+def test_scratch_of_a_failed_block_goes_too(spark):
+    import os
+    import pytest
+    from retailops.session import scratch_scope, store
+    made = []
+    with pytest.raises(ValueError):
+        with scratch_scope(spark):
+            with scratch_scope(spark):
+                inner = store(spark.range(3)).inputFiles()
+            made = store(spark.range(3)).inputFiles()
+            assert not os.path.exists(inner[0].removeprefix("file://")) and os.path.exists(made[0].removeprefix("file://"))
+            raise ValueError
+    assert not os.path.exists(made[0].removeprefix("file://"))
