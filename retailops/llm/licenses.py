@@ -4,7 +4,8 @@ Blocks are the lines and, with ``wrapped``, also every run of a template's lengt
 whatever line ends fall into it, so that a notice wrapped at any column is met. Whole paragraphs are no blocks: in one of
 some length the few words of a short template stand by chance.
 
-A block meets a template if it holds at least ``threshold`` of the template's distinct words. All word sets are
+A block meets a template if it holds at least ``threshold`` of the template's distinct words, and all of its obligatory
+ones (what sets the notice apart from those of other licenses). All word sets are
 ordered by how many blocks of the whole corpus hold the word, rarest first. A pair needs ``need`` common words, so the
 block must hold a word of the template's prefix (all but its last ``need - 1`` words) within the block's own prefix
 (length filter: it must have ``need`` words at all), and the first common word must leave enough words behind it on
@@ -13,12 +14,14 @@ common and are left out of the block's set, which changes no result.
 
 The templates are a stated set of bounded size and are sent to every task.
 
-Nulls and edges: null and empty texts have no words and no labels; repeated rows are kept; rows with a null id are kept;
+Nulls and edges: null and empty texts have no words and no labels; a very long text is read whole, line by line and as one
+sequence of words; of equal containments any gives the score; repeated rows are kept; rows with a null id are kept;
 an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import Counter
 from collections.abc import Mapping
 
@@ -43,6 +46,9 @@ TEMPLATES = {
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
+# Fixed words without which a block is another notice: the license's name, or its version.
+OBLIGATORY = {"apache-2.0": "apache 2", "gpl-3.0": "gnu 3", "gpl-text": "gnu", "mit-notice": "mit", "cc-by-nc-4.0": "cc by nc 4",
+              "mpl-2.0": "mozilla 2"}
 
 
 def block_words(line: bytes) -> list[bytes]:
@@ -57,19 +63,23 @@ def required(size: int, threshold: float) -> int:
 class TemplateIndex:
     """Templates in the global word order, with an inverted index of their prefixes."""
 
-    def __init__(self, templates: Mapping[str, str], blocks_with: Mapping[bytes, int], threshold: float):
+    def __init__(self, templates: Mapping[str, str], blocks_with: Mapping[bytes, int], threshold: float,
+                 obligatory: Mapping[str, str] = OBLIGATORY):
         sets = {label: {*block_words(t.encode())} for label, t in templates.items()}
         words = sorted({w for s in sets.values() for w in s}, key=lambda w: (blocks_with.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(words)}
         self.templates = []  # label, ranks, need
         self.lengths = [len(block_words(t.encode())) for t in templates.values()]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
+        self.must, self.heads = [], []  # of each template: obligatory words, and words of which a run holds one at least
         for label, s in sets.items():
             ranks = sorted(self.rank[w] for w in s)
             need = required(len(ranks), threshold)
             for at, r in enumerate(ranks[:len(ranks) - need + 1]):
                 self.prefix.setdefault(r, []).append((len(self.templates), at))
             self.templates.append((label, ranks, need))
+            self.must.append({self.rank[w] for w in block_words(obligatory.get(label, "").encode())})
+            self.heads.append({*ranks[:len(ranks) - need + 1]} | self.must[-1])
         self.first_words = {words[r] for r in self.prefix}
 
     def meet(self, words: list[bytes]) -> dict[str, float]:
@@ -85,7 +95,7 @@ class TemplateIndex:
                 if len(block) < need or min(len(ranks) - place, len(block) - at) < need:
                     continue
                 common = len({*block[at:]}.intersection(ranks))
-                if common >= need:
+                if common >= need and self.must[k].issubset(block):
                     met[label] = common / len(ranks)
         return met
 
@@ -94,11 +104,15 @@ class TemplateIndex:
         at = [(i, self.rank[w]) for i, w in enumerate(words) if w in self.rank]
         own = {r for _, r in at}
         met = {}
-        for (label, ranks, need), length in zip(self.templates, self.lengths):
-            if len(own.intersection(ranks)) < need:
+        for (label, ranks, need), length, must, heads in zip(self.templates, self.lengths, self.must, self.heads):
+            if len(own.intersection(ranks)) < need or not must <= own:
                 continue
             wanted, inside, first, best = {*ranks}, Counter(), 0, 0
             places = [(i, r) for i, r in at if r in wanted]
+            # only runs around a word of the prefix can meet the template
+            starts = [i for i, r in places if r in heads]
+            near = [bisect(starts, i + length - 1) > bisect(starts, i - length) for i, _ in places]
+            places = [p for p, on in zip(places, near) if on]
             for i, r in places:
                 inside[r] += 1
                 while places[first][0] <= i - length:
@@ -106,7 +120,8 @@ class TemplateIndex:
                     if not inside[places[first][1]]:
                         del inside[places[first][1]]
                     first += 1
-                best = max(best, len(inside))
+                if len(inside) > best and must <= inside.keys():
+                    best = len(inside)
             if best >= need:
                 met[label] = best / len(ranks)
         return met
@@ -146,14 +161,14 @@ def block_counts(docs: DataFrame, templates: Mapping[str, str]) -> dict[bytes, i
 
 def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES,
              threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
-             wrapped: bool = False) -> DataFrame:
+             wrapped: bool = False, obligatory: Mapping[str, str] = OBLIGATORY) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, blocks, score) for every row.
 
     ``blocks`` counts the lines that meet a template; ``score`` is the largest containment met, 1 where a phrase stands.
     With ``wrapped``, templates met by a run of words across line ends count in ``labels`` and ``score`` too.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    index = TemplateIndex(templates, block_counts(rows.select("text"), templates), threshold)
+    index = TemplateIndex(templates, block_counts(rows.select("text"), templates), threshold, obligatory)
     last_words = {p.split()[-1].encode() for p in phrases}
 
     def one(text: str):

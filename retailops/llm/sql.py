@@ -45,11 +45,14 @@ FROM d LEFT JOIN g ON d.r = g.r"""
 def urls_sql() -> str:
     """The vocabulary as one boundary pattern per term."""
     text = lowered("url")
-    hit = lambda t: f"regexp_matches({text}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT"
-    strict = " + ".join(f"len(list_filter(regexp_split_to_array({text}, '[^a-z0-9]'), lambda x: x = '{t}'))"
+    edge = r"[^\p{L}\p{N}]"
+    plural = {t: "s?" if t + "s" in urls.SOFT else "" for t in urls.SOFT}
+    hit = lambda t: f"regexp_matches({text}, '(^|{edge}){t}{plural.get(t, '')}({edge}|$)')::INT"
+    strict = " + ".join(f"len(list_filter(regexp_split_to_array({text}, '{edge}'), lambda x: x = '{t}'))"
                         for t in urls.STRICT)
-    soft = " + ".join(hit(t) for t in urls.SOFT)
-    weight = " + ".join([f"1.0 * {hit(t)}" for t in urls.STRICT] + [f"{w} * {hit(t)}" for t, w in urls.SOFT.items()])
+    own = {t: w for t, w in urls.SOFT.items() if urls.singular(t, urls.SOFT) == t}
+    soft = " + ".join(hit(t) for t in own)
+    weight = " + ".join([f"1.0 * {hit(t)}" for t in urls.STRICT] + [f"{w} * {hit(t)}" for t, w in own.items()])
     rule, verdict = "", ""
     for kind, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2])):
         fits = f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')"
@@ -66,23 +69,33 @@ SELECT page_id, host, path, CASE{rule} END AS rule,
 
 
 def licenses_sql(threshold: float = 0.8) -> str:
-    """Every line is met with every template by counting common words; phrases by comparing word by word."""
+    """Every line, and every run of a template's length in the word sequence, is met with every template by counting common
+    words; phrases by comparing word by word."""
     listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     templates = []
     for label, t in licenses.TEMPLATES.items():
         own = sorted({*t.split()})
-        templates.append(f"('{label}', {listed(own)}, {licenses.required(len(own), threshold)})")
+        must = licenses.OBLIGATORY.get(label, "").split()
+        templates.append(f"('{label}', {listed(own)}, {licenses.required(len(own), threshold)}, "
+                         f"{listed(must) if must else 'CAST([] AS VARCHAR[])'}, {len(t.split())})")
     phrases = ", ".join(f"({listed(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words_of("text")} AS w, {lowered("text")} AS t FROM documents),
-tpl(label, own, need) AS (VALUES {", ".join(templates)}),
+tpl(label, own, need, must, size) AS (VALUES {", ".join(templates)}),
 phr(own, label) AS (VALUES {phrases}),
 b AS (SELECT d.r, i - 1 AS p0, phr.label FROM d, unnest(generate_series(1, len(w))) AS u(i), phr
       WHERE w[i] = phr.own[1] AND w[i:i + len(phr.own) - 1] = phr.own),
 l AS (SELECT DISTINCT r, list_sort(list_distinct(regexp_extract_all(line, '{WORD}'))) AS ws
       FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
 m AS (SELECT l.r, tpl.label, len(list_intersect(l.ws, tpl.own)) / len(tpl.own)::DOUBLE AS c FROM l, tpl
-      WHERE len(l.ws) >= need AND len(list_intersect(l.ws, tpl.own)) >= need),
+      WHERE len(l.ws) >= need AND len(list_intersect(l.ws, tpl.own)) >= need AND list_has_all(l.ws, tpl.must)
+      UNION ALL
+      SELECT r, label, max(c) FROM (
+        SELECT d.r, tpl.label, tpl.own, need, must, list_distinct(w[i:i + size - 1]) AS ws,
+          len(list_intersect(list_distinct(w[i:i + size - 1]), own)) / len(own)::DOUBLE AS c
+        FROM d, tpl, unnest(generate_series(1, len(w))) AS u(i)
+        WHERE len(list_intersect(list_distinct(w), own)) >= need AND list_has_all(w, must) AND list_contains(own, w[i]))
+      WHERE len(list_intersect(ws, own)) >= need AND list_has_all(ws, must) GROUP BY r, label),
 bb AS (SELECT r, count(*) AS n, min(p0) AS f, max(p0) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY r),
 mm AS (SELECT r, max(c) AS c FROM m GROUP BY r),
 al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

@@ -31,8 +31,10 @@ from .common import map_arrow, stage_table, text_or_empty
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = set("\"“”„«»‘’‚")
 # Fixed list: words that report or discuss speech.
-REPORTING = frozenset("said says wrote quote quoted called term word words meaning defined definition "
-                      "dijo citó llamó palabra dit écrit cité mot sagte schrieb zitat wort".split())
+REPORTING = frozenset("said says wrote quote quoted meaning defined definition "
+                      "dijo citó llamó dit écrit cité sagte schrieb zitat".split())
+# An apostrophe between letters quotes nothing.
+APOSTROPHE = re.compile(r"(?<=[^\W\d_])[’‘](?=[^\W\d_])")
 STEMS = range(3, 9)
 FEATURES = 5
 
@@ -155,6 +157,7 @@ def features(lexicon: Lexicon, text: str, window: int = 8) -> list[float]:
     known = lexicon.hits(text, words)
     if not known:
         return [0.0] * FEATURES
+    text = APOSTROPHE.sub("'", text)
     spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
     places = [i for i, w in enumerate(words) if w in known]
     exact = fuzzy = largest = quoted = 0.0

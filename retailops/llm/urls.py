@@ -1,11 +1,12 @@
 """URL filters: host and path rules, then a weighted vocabulary found by Aho-Corasick.
 
 A rule (host, path) fits its host and every subdomain where the url's path starts with the rule's; the longest fitting
-rule decides. Other urls are searched for the vocabulary: a term counts where no letter or digit touches it.
-One strict term rejects, and so do several distinct soft ones.
+rule decides. Other urls are searched for the vocabulary: a term counts where no letter or digit, of any script,
+touches it. One strict term rejects, and so do several distinct soft ones; a soft term and its plural are one.
 
 Nulls and edges: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed unless its
-text holds vocabulary (a null url holds none); repeated rows are kept; rows with a null id are kept; an empty table gives
+text holds vocabulary (a null url holds none); a very long url is searched whole; of rules of one length that fit, the later
+listed decides; other columns are not read; repeated rows are kept; rows with a null id are kept; an empty table gives
 an empty result.
 """
 
@@ -45,12 +46,22 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
+def singular(term: str, terms) -> str:
+    """A term without its plural s, where both stand in ``terms``."""
+    return term[:-1] if term.endswith("s") and term[:-1] in terms else term
+
+
 def vocabulary_hits(urls: DataFrame, strict: Sequence[str] = STRICT, soft: Mapping[str, float] = SOFT) -> DataFrame:
-    """(id, url, n_strict, n_soft, weight): strict places, distinct soft terms, and the weight of all distinct terms."""
+    """(id, url, n_strict, n_soft, weight): strict places, distinct soft terms, and the weight of all distinct terms.
+
+    A letter or digit is what Unicode calls one (general categories L and N).
+    """
     strict, soft = tuple(strict), dict(soft)
+    lower = str.maketrans(UPPER, LOWER)
 
     def run(batches):
         import ahocorasick
+        from unicodedata import category
 
         found = ahocorasick.Automaton()
         for term in {*strict, *soft}:
@@ -60,14 +71,14 @@ def vocabulary_hits(urls: DataFrame, strict: Sequence[str] = STRICT, soft: Mappi
         for b in batches:
             n_strict, n_soft, weight = [], [], []
             for url in b["url"]:
-                text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in url or "")
+                text = (url or "").translate(lower)
                 hits = []
                 for end, term in (found.iter(text) if found else ()):
                     start = end - len(term) + 1
                     before = text[start - 1] if start else " "
                     after = text[end + 1] if end + 1 < len(text) else " "
-                    if not any("a" <= c <= "z" or "0" <= c <= "9" for c in (before, after)):
-                        hits.append(term)
+                    if category(before)[0] not in "LN" and category(after)[0] not in "LN":
+                        hits.append(singular(term, soft) if term in soft else term)
                 own = {*hits}
                 n_strict.append(sum(t in strict for t in hits))
                 n_soft.append(len(own & soft.keys() - {*strict}))

@@ -12,11 +12,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from retailops.llm import (common, decontam, fingerprint, licenses, maxent, mixing, queries, secrets, simhash, tokens,
-                           toxicity, urls)
+from retailops.llm import (common, decontam, fingerprint, licenses, maxent, mixing, queries, secrets, simhash, sql,
+                           tokens, toxicity, urls)
 from retailops.session import scratch_path
 from retailops.sources.tables import read_table
 
@@ -90,6 +91,27 @@ def test_secret_spans_against_brute_force(spark):
     assert {"private_key", "hosting", "login_url"} <= kinds
 
 
+def test_the_linear_pattern_has_the_plain_matches():
+    rnd = random.Random(8)
+    (rule,) = [r for r in secrets.RULES if r.linear]
+    plain = rule._replace(linear="")
+    for _ in range(3000):
+        text = "".join(rnd.choice(["eyJ", "eyJ", ".eyJ", ".", "abcdefgh", "aZ09_-xy", "a", " ", "é", "eyeyJ"]) for _ in range(rnd.randint(1, 14)))
+        assert secrets.find(text, [(6, rule)]) == secrets.find(text, [(6, plain)]), text
+
+
+def test_a_million_characters_take_no_quadratic_time():
+    import time
+    ranked = list(enumerate(secrets.RULES))
+    for text in ("eyJ" * 333_334, "a" * 1_000_000, "http://" + "u" * 1_000_000, "token" * 200_000, "://" * 333_333,
+                 "AKIA" * 250_000, "ftp://a:" * 125_000, "-----BEGIN " + "A " * 500_000):
+        start = time.monotonic()
+        secrets.find(text, ranked)
+        assert time.monotonic() - start < 20, text[:10]
+    long = f"see db://{'u' * 200}:{'p' * 300}@host"
+    assert [(s["kind"], s["start"]) for s in secrets.find(long, ranked)] == [("login_url", 4)]
+
+
 def test_secret_ledger_scans_only_what_it_lacks(spark, monkeypatch):
     path = scratch_path(spark, "ledger")
     one = spark.createDataFrame([("a/x", "token=abcdefgh1"), ("b/y", "token=abcdefgh1"), ("c", "clean")], "path string, text string")
@@ -229,6 +251,10 @@ def test_url_rules_and_vocabulary(spark):
              "http://casino.example.com/en": ("casino.example.com", "/en", None, "block"),
              "http://casinos.example.com/en": ("casinos.example.com", "/en", None, "allow"),
              "http://free-bets.example.com/": ("free-bets.example.com", "/", None, "block"),
+             "http://bet-bets.example.com/": ("bet-bets.example.com", "/", None, "allow"),
+             "http://a.com/éfree-ñwin": ("a.com", "/éfree-ñwin", None, "allow"),
+             "http://a.com/free/²win": ("a.com", "/free/²win", None, "allow"),
+             "http://a.com/free…win": ("a.com", "/free…win", None, "block"),
              "http://free-free.example.com/": ("free-free.example.com", "/", None, "allow"),
              "http://x.com?q=://y": ("x.com", "", None, "allow"), "a://b://c/d": ("b:", "//c/d", None, "allow")}
     rows = [(i, u) for i, u in enumerate(cases)] + [(None, "http://a.net/"), (0, None)]
@@ -243,6 +269,19 @@ def test_url_rules_and_vocabulary(spark):
 
 # --- licenses -------------------------------------------------------------------------
 
+def must(label):
+    return {*licenses.OBLIGATORY.get(label, "").split()}
+
+
+def test_notices_of_other_licenses_get_no_label(spark):
+    texts = {"Licensed under CC BY 4.0.": "cc-by", "released under the apache license": "apache",
+             "Released under the BSD License": "", "This work is licensed under the GNU General Public License version 2": "gpl",
+             "Licensed under the\nApache License, version 2.0": "apache,apache-2.0", "released under MIT license": "mit,mit-notice"}
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r.labels for r in licenses.licenses(docs, wrapped=True).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_license_join_against_brute_force(spark):
     rnd = random.Random(9)
     pool = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()}) + ["foo", "bar"]
@@ -263,7 +302,7 @@ def test_license_join_against_brute_force(spark):
                 words = set(PLAIN.findall(lower(line)))
                 for label, t in licenses.TEMPLATES.items():
                     t = set(t.split())
-                    if len(t & words) >= threshold * len(t) - 1e-9:
+                    if len(t & words) >= threshold * len(t) - 1e-9 and must(label) <= words:
                         met[label] = max(met.get(label, 0), len(t & words) / len(t))
             w = PLAIN.findall(lower(text))
             base = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(w))
@@ -311,11 +350,18 @@ def test_wrapped_notices_are_met(spark, monkeypatch):
         for label, t in licenses.TEMPLATES.items():
             t = t.split()
             own = {*t}
-            most = max(len(own & {*b}) / len(own) for b in lines + [w[k:k + len(t)] for k in range(len(w))] + [[]])
+            blocks = lines + [w[k:k + len(t)] for k in range(len(w))]
+            most = max((len(own & {*b}) / len(own) for b in blocks if must(label) <= {*b}), default=0.0)
             if most >= 0.8 - 1e-9:
                 want.add(label)
                 best = max(best, most)
         assert got[i].labels == ",".join(sorted(want)) and math.isclose(got[i].score, best), text
+    # the SQL twin knows wrapped notices too
+    import duckdb
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(r[0], r[1]) for r in rows], columns=["doc_id", "text"]))
+    twin = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, labels, score FROM ({sql.licenses_sql()})").fetchall()}
+    assert all(twin[i][0] == got[i].labels and math.isclose(twin[i][1], got[i].score) for i in got)
 
 
 # --- decontamination ------------------------------------------------------------------
@@ -678,3 +724,13 @@ def test_queries_return_their_contracts(spark):
         out = queries.QUERIES[name](spark, SF_SMALL)
         assert set(cols.split()) <= set(out.columns), name
         assert out.count() == n["pages" if name.startswith("op3") else "documents"], name
+
+
+# --- context of toxic terms -----------------------------------------------------------
+
+def test_apostrophes_and_common_words_quote_nothing():
+    lex = toxicity.Lexicon({"idiot": 3.0})
+    plain = toxicity.features(lex, "you are an idiot and i don't like it")
+    assert toxicity.features(lex, "you’re an idiot and i don’t like it")[0] == pytest.approx(plain[0])
+    assert toxicity.features(lex, "in other words you are an idiot")[0] > toxicity.features(lex, "he said you are an idiot")[0]
+    assert toxicity.features(lex, "they wrote ‘idiot’ there")[0] < plain[0]

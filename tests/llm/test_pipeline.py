@@ -146,3 +146,16 @@ def test_run_chains_the_stages(spark, corpus):
 def test_stages_take_an_empty_table(spark, corpus):
     for _, stage in pipe.STAGES:
         assert stage(spark, corpus[2]["documents"].limit(0), "").count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    odd = ["_row", "__row", "_blob", "_spans", "_score", "score", "fp", "id", "order", "component_id", "n_hit", "blob", "topic"]
+    docs = corpus[2]["documents"].withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+                                               for c in odd})
+    for name, stage in pipe.STAGES:
+        got = stage(spark, docs, "")
+        if name == "mixture":
+            continue
+        assert got.columns == docs.columns and got.count() > 0
+        for c in odd:
+            assert got.where(F.col(c) != F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))).count() == 0
