@@ -11,67 +11,93 @@ from pyspark.sql import functions as F
 from retailops.llm import decontam, mixing, secrets, simhash
 from retailops.llm import toxicity as tox
 from retailops.llm.common import crc_text, stage_table
-from retailops.session import scratch_path
+from retailops.session import scratch_path, scratch_scope
 from retailops.sources.tables import read_table
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number of its own for every row, stored so that every later read sees the same one.
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it none of the columns of ``docs`` (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for every row, and that column's name; stored, so that every later read sees the same.
 
     Decisions are carried by it: ids may be null or repeated.
     """
-    return stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    row = fresh(docs, "_row")
+    return stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents of ``rows`` but for those whose ``_row`` is in ``gone``."""
-    return rows.join(stage_table(gone.select("_row"), "pipeline-gone"), "_row", "left_anti").drop("_row")
+def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The documents of ``rows`` but for those whose number is in ``gone``."""
+    return rows.join(stage_table(gone.select(row), "pipeline-gone"), row, "left_anti").drop(row)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity score is 0.7 or more; learns from the labels of the training fold."""
+    """Drops documents whose toxicity score is 0.7 or more; learns from the labels of the training fold.
+
+    A null or empty text has the score of a text without hits; every row goes by its own text; columns of any name stay.
+    """
     labels = read_table(spark, sf_dir, "labels")
     model = tox.learn(docs, labels, crc_text(F.col("doc_id")) % 3 != 1)
-    rows = numbered(docs)
-    scored = tox.score(rows, model, id_col="_row").withColumnRenamed("doc_id", "_row")
-    return without(rows, scored.where(F.col("score") >= 0.7))
+    rows, row = numbered(docs)
+    scored = tox.score(rows, model, id_col=row).withColumnRenamed("doc_id", row)
+    return without(rows, row, scored.where(F.col("score") >= 0.7))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component: the one with the smallest id, one without an id last."""
-    rows = numbered(docs)
-    found = simhash.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row")
-    found = stage_table(found.join(rows.select("_row", order.alias("order")), "_row"), "pipeline-components")
-    kept = found.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order._row").alias("_row"))
-    return without(rows, found.join(kept, "_row", "left_anti"))
+    """Keeps one document of each SimHash component: the one with the smallest id, one without an id last.
+
+    Rows without words are one component; of rows with one id the smallest hash over all columns stays, and of equal rows
+    one; columns of any name stay.
+    """
+    rows, row = numbered(docs)
+    found = simhash.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"),
+                     F.col(row).alias("row"))
+    found = stage_table(found.join(rows.select(row, order.alias("order")), row), "pipeline-components")
+    kept = found.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.row").alias(row))
+    return without(rows, row, found.join(kept, row, "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a 10-word window of a benchmark item."""
-    rows = numbered(docs)
-    hit = decontam.contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col="_row")
-    return without(rows, hit.where("n_hit > 0").withColumnRenamed("doc_id", "_row"))
+    """Drops documents that hold a 10-word window of a benchmark item.
+
+    Null and empty texts stay; every row goes by its own text; columns of any name stay.
+    """
+    rows, row = numbered(docs)
+    hit = decontam.contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col=row)
+    return without(rows, row, hit.where("n_hit > 0").withColumnRenamed("doc_id", row))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document; each secret in a text is replaced by its kind in brackets, ``n_chars`` follows."""
+    """Keeps every document; each secret in a text is replaced by its kind in brackets, ``n_chars`` follows.
+
+    Null texts stay null, texts without secrets as they are; repeated rows stay; columns of any name stay.
+    """
     ledger = scratch_path(spark, "pipeline-ledger")
     secrets.secrets(docs, ledger)
     found = secrets.findings(spark, ledger)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_blob", secrets.blob_of(text)).join(
-        found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redact(text, F.col("_spans")))
+    text, blob, spans = F.coalesce(F.col("text"), F.lit("")), fresh(docs, "_blob"), fresh(docs, "_spans")
+    rows = docs.withColumn(blob, secrets.blob_of(text)).join(
+        found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
+    clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(secrets.redact(text, F.col(spans)))
     rows = rows.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(
+        rows = rows.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(
             F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws half of all tokens so that sources, languages and topics meet their raked shares."""
+    """Draws half of all tokens so that sources, languages and topics meet their raked shares.
+
+    Adds the columns of the draw; a column ``topic`` of ``docs`` gives way to the draw's.
+    """
     return mixing.mix(docs).where("sampled").drop("sampled")
 
 
@@ -87,5 +113,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope(spark):  # what a stage stores for itself goes when its result is written
+            got = stage(spark, docs, sf_dir)
+            got.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(got.schema).parquet(path)
     return docs
