@@ -1,30 +1,36 @@
 """Document fingerprints: a homomorphic multiset hash of a text's paragraphs (lines).
 
-Each paragraph is hashed to a wide vector of 16-bit lanes, and a fingerprint is the lane-wise sum modulo
-2 ** 16 over the paragraphs. Sums do not depend on the order, and a paragraph is inserted or deleted by adding or subtracting
+Each paragraph is hashed to a wide vector of 64-bit lanes, and a fingerprint is the lane-wise sum modulo
+2 ** 64 over the paragraphs. Sums do not depend on the order, and a paragraph is inserted or deleted by adding or subtracting
 its vector. The first ``EQUAL`` lanes are uniform hashes of the whole paragraph: equal multisets have equal
-lanes, others differ but for chance. The other ``SKETCH`` lanes hold a +1 or -1 for every run of three words of the
-paragraph, at a place chosen by its hash; the squared length of the difference of two such sums estimates how many
-runs the texts do not share, which gives the likeness.
+lanes, others differ but for chance (no count of equal paragraphs that fits a text wraps). The other ``SKETCH`` lanes hold a
++1 or -1 for every run of three words of the paragraph, at a place chosen by its hash; the squared length of the difference
+of two such sums estimates how many runs the texts do not share, which gives the likeness.
 
 Nulls and edges: null and empty texts are one empty paragraph; two texts without words are alike (1) if equal,
-else 0; repeated rows are neighbours in the order and keep their own rows; a null id comes last in descending order; the
-only document is its own next; an empty table gives an empty result.
+else 0; repeated rows are neighbours in the order and keep their own rows; a null id comes last in descending order; rows
+of one id, or without one, are ordered by their first ``PREFIX`` characters, then by a hash of the text; the
+only document is its own next; an empty table gives an empty result. A text of any length is hashed whole, its run hashes
+``AT_ONCE`` at a time. Other columns are not read and not returned.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, map_arrow, text_or_empty
+from .common import bucket_counts, map_arrow, stage_table, text_or_empty
 
-EQUAL, SKETCH, RUN = 32, 256, 3
+EQUAL, SKETCH, RUN = 8, 256, 3
 AT_ONCE = 1 << 16  # run hashes in memory together
+PREFIX = 32  # characters of a text that order rows of one id
+KEY = ("last", "descending", "prefix", "hash")  # the order of documents: descending id, null ids last, ties by text
 LANES = EQUAL + SKETCH
 
 
@@ -32,7 +38,7 @@ def fingerprint(text: str) -> np.ndarray:
     """The sum of the paragraphs' vectors; the hashes of many paragraphs are counted together."""
     from xxhash import xxh64_intdigest
 
-    out = np.zeros(LANES, np.uint16)
+    out = np.zeros(LANES, np.uint64)
     sketch = np.zeros(SKETCH, np.int64)
     digests: list[bytes] = []
     runs: list[int] = []
@@ -41,12 +47,12 @@ def fingerprint(text: str) -> np.ndarray:
         h = np.array(runs, np.uint64)
         sketch[:] += np.bincount(((h >> np.uint64(8)) % np.uint64(SKETCH)).astype(np.int64),
                                  (h & np.uint64(1)).astype(np.int64) * 2 - 1, SKETCH).astype(np.int64)
-        out[:EQUAL] += np.frombuffer(b"".join(digests), "<u2").reshape(-1, EQUAL).sum(0, dtype=np.uint16)
+        out[:EQUAL] += np.frombuffer(b"".join(digests), "<u8").reshape(-1, EQUAL).sum(0, dtype=np.uint64)
         digests.clear()
         runs.clear()
 
     for p in text.encode("utf-8", "replace").split(b"\n"):
-        digests.append(hashlib.blake2b(p, digest_size=2 * EQUAL).digest())
+        digests.append(hashlib.blake2b(p, digest_size=8 * EQUAL).digest())
         words = p.lower().split()
         if len(words) >= RUN:
             runs += map(xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(RUN)))))
@@ -56,7 +62,7 @@ def fingerprint(text: str) -> np.ndarray:
             count()
     if digests:
         count()
-    out[EQUAL:] = sketch.astype(np.uint16)
+    out[EQUAL:] = sketch.view(np.uint64)
     return out
 
 
@@ -77,17 +83,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1: 1 for equal fingerprints, else 1 less the estimated share of word runs not in common."""
     if np.array_equal(a, b):
         return 1.0
-    size = lambda v: float((v[EQUAL:].view(np.int16).astype(np.float64) ** 2).sum())
+    size = lambda v: float((v[EQUAL:].view(np.int64).astype(np.float64) ** 2).sum())
     both = size(a) + size(b)
     return min(1.0, max(0.0, 1 - size(a - b) / both)) if both else 0.0
 
 
 def as_text(f: np.ndarray) -> str:
-    return base64.b64encode(f.astype("<u2").tobytes()).decode()
+    """The fingerprint as text: the bytes of a sketch lane (2, 4 or 8, as few as hold every lane), then all lanes in base64."""
+    sketch = f[EQUAL:].view(np.int64)
+    width = next(w for w in (2, 4, 8) if w == 8 or (abs(sketch) < 1 << (8 * w - 1)).all())
+    return str(width) + base64.b64encode(f[:EQUAL].astype("<u8").tobytes() + sketch.astype(f"<i{width}").tobytes()).decode()
 
 
 def from_text(s: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(s), "<u2").astype(np.uint16)
+    raw = base64.b64decode(s[1:])
+    sketch = np.frombuffer(raw[8 * EQUAL:], f"<i{s[0]}").astype(np.int64)
+    return np.concatenate([np.frombuffer(raw[:8 * EQUAL], "<u8").astype(np.uint64), sketch.view(np.uint64)])
 
 
 def edited(text: str, following: str) -> str:
@@ -106,34 +117,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      run, "doc_id long, fingerprint string")
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(bucket, guest, doc_id, text), sorted within partitions by bucket and then descending id.
+def with_slice(rows: DataFrame, heads: list[tuple]) -> DataFrame:
+    """``rows`` with the ``slice`` of their key: the one whose head is the last up to the key.
 
-    Ids are cut into buckets of about equal counts. Each bucket also gets, as its last row, a ``guest``: the first
-    row of the bucket below (of the topmost for the lowest), so a task finds every next text in its own rows. Each text moves once.
+    A key that is the head of several slices has its rows spread over them by ``place``.
     """
-    spark = docs.sparkSession
-    n = buckets or 8 * bucket_counts(spark)  # many small buckets even out over the partitions
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or ()))
-    # Ids above cuts[i] are in bucket i + 1 or higher; ids that are null come last and are with the lowest.
-    bucket = (F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<bigint>"), lambda c: F.col("doc_id") > c))
-              if cuts else F.lit(0))
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket))
-    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    first = rows.join(F.broadcast(heads.withColumnRenamed("bucket", "_b")),
-                      (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    first = first.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("h"))
-    used = sorted(r.bucket for r in heads.select("bucket").collect())
-    to = F.create_map(*(F.lit(x) for i, b in enumerate(used) for x in (b, used[(i + 1) % len(used)]))) if used else None
-    if to is None:
-        return rows.select("bucket", F.lit(False).alias("guest"), "doc_id", "text")
-    guests = first.select(to[F.col("bucket")].alias("bucket"), F.lit(True).alias("guest"),
-                          F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text"))
-    every = rows.select("bucket", F.lit(False).alias("guest"), "doc_id", "text").unionAll(guests)
-    return every.repartition(max(1, bucket_counts(spark)), "bucket").sortWithinPartitions(
-        "bucket", "guest", F.desc_nulls_last("doc_id"), "text")
+    @F.pandas_udf("int")
+    def find(last: pd.Series, descending: pd.Series, prefix: pd.Series, hash_: pd.Series, place: pd.Series) -> pd.Series:
+        out = []
+        for *key, p in zip(last, descending, prefix, hash_, place):
+            lo, hi = bisect_left(heads, tuple(key)), bisect_right(heads, tuple(key))
+            out.append(lo + p % (hi - lo) if hi > lo else max(lo - 1, 0))
+        return pd.Series(out, dtype="int32")
+
+    return rows.withColumn("slice", find(*KEY, "place"))
+
+
+def with_next(docs: DataFrame, slices: int | None = None) -> DataFrame:
+    """(guest, doc_id, text), one slice of the order per partition, sorted within it.
+
+    Spark's range partitioning cuts the keys (no texts) into slices of about equal counts, rows of one key included;
+    the heads of the slices, one for each partition, are all that reaches the driver. Each slice also gets, as its last row, a
+    ``guest``: the first row of the next slice (of the first for the last), so a task finds every next text in its own
+    rows. Each text moves once. Rows that repeat should come in the same order when ``docs`` is read again, as those of a
+    stored table do.
+    """
+    n = slices or bucket_counts(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select(
+        "doc_id", "text", F.col("doc_id").isNull().cast("int").alias("last"),
+        F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("descending"),
+        F.substring("text", 1, PREFIX).alias("prefix"), F.xxhash64("text").alias("hash"),
+        F.monotonically_increasing_id().alias("place"))
+    keys = stage_table(rows.select(*KEY, "place"), "fingerprint-keys")
+    cut = keys.repartitionByRange(n, *KEY, "place").select(F.spark_partition_id().alias("p"), F.struct(*KEY).alias("key"))
+    heads = sorted(tuple(r.key) for r in cut.groupBy("p").agg(F.min("key").alias("key")).collect())
+    firsts = with_slice(keys, heads).groupBy("slice").agg(F.min(F.struct(*KEY)).alias("key"))
+    all_slices = Window.orderBy("slice")  # one row per slice
+    firsts = stage_table(firsts.select(
+        "slice", "key.*", F.coalesce(F.lag("slice").over(all_slices), F.max("slice").over(Window.partitionBy())).alias("to")),
+        "fingerprint-firsts")
+    rows = with_slice(rows, heads)
+    guests = rows.join(F.broadcast(firsts), ["slice", *KEY]).groupBy("to").agg(
+        F.first(F.struct("doc_id", "text", *KEY)).alias("r"))  # a row per slice; rows of one key have one text
+    every = rows.select("slice", F.lit(False).alias("guest"), "doc_id", "text", *KEY).unionAll(
+        guests.select(F.col("to"), F.lit(True), "r.*"))
+    return every.repartitionById(n, "slice").sortWithinPartitions("guest", *KEY, "text").select("guest", "doc_id", "text")
 
 
 def compare(docs: DataFrame) -> DataFrame:

@@ -621,6 +621,33 @@ def test_fingerprint_edge_cases(spark):
     assert [(r.n_chars, r.near_next) for r in one] == [(5, 1.0)]
 
 
+def test_many_equal_paragraphs_do_not_wrap():
+    f, text = fingerprint.fingerprint, fingerprint.as_text
+    assert text(f("")) != text(f("\n" * 65_535)) and text(f("\n" * 65_536)) != text(f(""))
+    three, many = f("\n".join(["a b c"] * 3)), f("\n".join(["a b c"] * 65_539))
+    assert text(three) != text(many) and fingerprint.likeness(three, many) < 0.01
+    for g in (three, many, f("x y z\n" * 40_000)):
+        assert np.array_equal(fingerprint.from_text(text(g)), g)
+
+
+@pytest.mark.parametrize("hot", ["text {}", "one text"])
+def test_rows_of_one_id_are_spread_over_slices(spark, hot):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, hot.format(i), "en", "s", 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = fingerprint.with_next(docs, 12).select(F.spark_partition_id().alias("p"), "guest").where("not guest")
+    sizes = [r["count"] for r in got.groupBy("p").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) < 250
+    want = sorted((t[:len(t) - len(t) // 2] + n[:len(t) // 2] for (_, t), (_, n) in next_of(rows)))
+    sha = sorted(hashlib.sha256(w.encode()).hexdigest() for w in want)
+    assert sorted(r.edited_sha256 for r in fingerprint.compare(docs).collect()) == sha
+
+
+def test_plan_does_not_grow_with_partitions(spark):
+    docs = spark.createDataFrame([(i, f"t {i}", "en", "s", 1) for i in range(300)], DOC)
+    size = lambda n: len(fingerprint.with_next(docs, n)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(200) - size(4)) < 200
+
+
 # --- language model -------------------------------------------------------------------
 
 def test_base_scores_against_brute_force(spark):
