@@ -97,6 +97,41 @@ def read_rejects(spark: SparkSession, work_dir: str) -> DataFrame | None:
     return spark.read.parquet(*[f"{work_dir}/rejects/batch={b}" for b in ids]) if ids else None
 
 
+def open_state(target: DataFrame, work_dir: str) -> None:
+    """Write ``target`` as the first base table of an ingest folder."""
+    (target.withColumn("_last_seq", F.lit(None).cast("long")).withColumn("_deleted", F.lit(False))
+           .write.mode("overwrite").parquet(f"{work_dir}/base/batch=-1"))
+
+
+def apply_batch(ready: DataFrame, work_dir: str, keys: list[str], columns: Sequence[str], batch_id: int, op_col: str,
+                seq_col: str, mode: str, compact_every: int) -> DataFrame:
+    """Apply the changes of one batch to the state of an ingest folder; returns the stored (keys, ``_n``) taken."""
+    spark = ready.sparkSession
+    ready = store(ready, "ingest-ready")
+    touched = store(ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                             F.max(F.col(seq_col).cast("long")).alias("_max_seq")), "ingest-touched")
+    # the state of the touched keys only: the base is streamed past them, not shuffled, when they are few
+    state = store(_keyed_state(spark, work_dir, keys, below=batch_id).join(
+        touched.select(*keys), keys, "left_semi"), "ingest-state")
+    seen = state.select(*keys, F.col("_last_seq").alias("_seen"))
+    fresh = (ready.join(seen, keys, "left")
+                  .where(F.col("_seen").isNull() | (F.col(seq_col) > F.col("_seen"))).drop("_seen"))
+    live = state.where(~F.col("_deleted")).select(*columns)
+    after = apply_changes(live, fresh, keys, op_col, seq_col, mode).withColumn("_here", F.lit(True))
+    log = (touched.join(seen, keys, "left").join(after, keys, "left")
+           .withColumn("_last_seq", F.greatest("_max_seq", "_seen"))
+           .withColumn("_deleted", F.col("_here").isNull()))
+    log.select(*columns, "_last_seq", "_deleted").write.mode("overwrite").parquet(f"{work_dir}/log/batch={batch_id}")
+    if (batch_id + 1) % compact_every == 0:
+        bases = _batches(spark, f"{work_dir}/base")
+        _keyed_state(spark, work_dir, keys, below=batch_id + 1).write.mode("overwrite").parquet(
+            f"{work_dir}/base/batch={batch_id}")
+        keep = max([b for b in bases if b < batch_id], default=-1)  # a repeat of this batch still reads it
+        _drop_below(spark, f"{work_dir}/base", keep)
+        _drop_below(spark, f"{work_dir}/log", keep)
+    return touched
+
+
 def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFrame, keys: Sequence[str],
                    work_dir: str, ts_col: str, settle_seconds: float, op_col: str = "op",
                    seq_col: str = "seq", busy: DataFrame | None = None, max_files_per_trigger: int = 1,
@@ -123,8 +158,7 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
     """
     keys = list(keys)
     pending_root, rejects_root = f"{work_dir}/pending", f"{work_dir}/rejects"
-    (target.withColumn("_last_seq", F.lit(None).cast("long")).withColumn("_deleted", F.lit(False))
-           .write.mode("overwrite").parquet(f"{work_dir}/base/batch=-1"))
+    open_state(target, work_dir)
     busy_keys = busy.select(*keys).distinct() if busy is not None else None
     ntz = isinstance(schema[ts_col].dataType, T.TimestampNTZType)
 
@@ -149,29 +183,7 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
         if busy_keys is not None:
             ready, deferred = split_deferred(ready, busy_keys.withColumn("status_code", F.lit(20)), keys)
             young = young.unionByName(deferred)
-        ready = store(ready, "ingest-ready")
-        touched = store(ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                                 F.max(F.col(seq_col).cast("long")).alias("_max_seq")), "ingest-touched")
-        # the state of the touched keys only: the base is streamed past them, not shuffled, when they are few
-        state = store(_keyed_state(spark, work_dir, keys, below=batch_id).join(
-            touched.select(*keys), keys, "left_semi"), "ingest-state")
-        seen = state.select(*keys, F.col("_last_seq").alias("_seen"))
-        fresh = (ready.join(seen, keys, "left")
-                      .where(F.col("_seen").isNull() | (F.col(seq_col) > F.col("_seen"))).drop("_seen"))
-        live = state.where(~F.col("_deleted")).select(*target.columns)
-        after = apply_changes(live, fresh, keys, op_col, seq_col, mode).withColumn("_here", F.lit(True))
-        log = (touched.join(seen, keys, "left").join(after, keys, "left")
-               .withColumn("_last_seq", F.greatest("_max_seq", "_seen"))
-               .withColumn("_deleted", F.col("_here").isNull()))
-        log.select(*target.columns, "_last_seq", "_deleted").write.mode("overwrite").parquet(
-            f"{work_dir}/log/batch={batch_id}")
-        if (batch_id + 1) % compact_every == 0:
-            bases = _batches(spark, f"{work_dir}/base")
-            _keyed_state(spark, work_dir, keys, below=batch_id + 1).write.mode("overwrite").parquet(
-                f"{work_dir}/base/batch={batch_id}")
-            keep = max([b for b in bases if b < batch_id], default=-1)  # a repeat of this batch still reads it
-            _drop_below(spark, f"{work_dir}/base", keep)
-            _drop_below(spark, f"{work_dir}/log", keep)
+        touched = apply_batch(ready, work_dir, keys, target.columns, batch_id, op_col, seq_col, mode, compact_every)
         # the pending table of this batch becomes visible only after the state is written
         young.write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}")
         _drop_below(spark, pending_root, batch_id - 1)
