@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans import audits, digests, nested
 from ..plans.historylog import HistoryLog
+from ..plans.keyblocks import KeyBlocks
 from ..plans.levels import LevelTables
 from ..session import scratch_path
 from .history_q import _SQL_BASE, CURRENT, KEYS, _monthly
@@ -132,3 +133,16 @@ SELECT o_orderkey, 'B' AS missing_from FROM orders WHERE o_orderkey NOT IN (SELE
 def i8b(spark, d):
     a, b = _copies(spark, d)
     return digests.by_digest(lambda x, y: audits.reconcile(x, y, ["o_orderkey"]), a, b, ["o_orderkey"])
+
+
+@query("i32b_reserved_key_blocks", """
+WITH c AS (SELECT c_custkey AS entity, 1 AS batch FROM customer UNION ALL SELECT s_suppkey, 2 FROM supplier)
+SELECT batch, CAST((SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY batch, entity) AS BIGINT) AS new_key FROM c""")
+def i32b(spark, d):
+    """Keys for two batches of new rows, the first run twice: customers get one range, suppliers the next."""
+    cust, supp, orders = tables(spark, d, "customer", "supplier", "orders")
+    blocks = KeyBlocks(spark, scratch_path(spark, "key-blocks"), orders.agg(F.max("o_orderkey")).first()[0] + 1)
+    first = cust.select(F.col("c_custkey").alias("entity"), F.lit(1).alias("batch"))
+    blocks.assign(first, "customers", "new_key")
+    out = blocks.assign(supp.select(F.col("s_suppkey").alias("entity"), F.lit(2).alias("batch")), "suppliers", "new_key")
+    return blocks.assign(first, "customers", "new_key").unionByName(out).select("batch", "new_key")
