@@ -42,6 +42,7 @@ from .sources.tables import (archive, backup_generations, bucket_table, fits_fix
                              read_remote, read_table, refresh, register_environment, replace_table, rows, rtrim_strings, sample_rows, snapshot, stage,
                              write_csv, write_text)
 from .sources.filetables import CommitConflict, FileTables
+from .sources.fixedwidth import register_fixed_width
 from .plans.keyblocks import KeyBlocks
 from .streaming.ingest import ingest_changes, read_rejects, read_state, write_change_files
 from .streaming.timers import ingest_timed, read_waiting, settled_changes

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import tables as S
+from ..sources.fixedwidth import register_fixed_width
 from .registry import query, tables
 
 
@@ -125,6 +126,19 @@ def a10(spark, d):
     return S.parse_fixed(rec, "record", PARSE_LAYOUT, keep=["record"])
 
 
+@query("a10b_fixed_width_source", """
+SELECT p_partkey AS key, p_size AS size, CAST(round(p_retailprice * 100, 0) AS BIGINT) AS cents, p_type AS ptype FROM part""")
+def a10b(spark, d):
+    """The same records written and read through the data source."""
+    (part,) = tables(spark, d, "part")
+    register_fixed_width(spark)
+    opts = {"path": scratch_path(spark, "a10b"), "layout": "key:1:8:long;size:9:3:int;cents:12:9:long;ptype:21:10"}
+    rows = part.select(F.col("p_partkey").cast("long").alias("key"), F.col("p_size").cast("int").alias("size"),
+                       F.round(F.col("p_retailprice") * 100, 0).cast("long").alias("cents"), F.col("p_type").alias("ptype"))
+    rows.write.format("fixed_width").options(**opts).mode("append").save()
+    return spark.read.format("fixed_width").options(**opts).load()
+
+
 @query("a12_literal_rows_joined", """
 WITH labels(p_brand, label) AS (VALUES ('Brand#1', 'house'), ('Brand#2', 'value'), ('Brand#3', 'premium'))
 SELECT l.label, CAST(COUNT(*) AS BIGINT) AS n_parts FROM part p JOIN labels l ON p.p_brand = l.p_brand GROUP BY l.label""")
