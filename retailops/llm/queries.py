@@ -17,6 +17,7 @@ from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
 SCORE_AT = 0.7
+NEAR = 5  # words beyond its length in which a test window's terms count as near their rarest
 
 
 def digest(parts: "F.Column") -> "F.Column":
@@ -54,10 +55,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = decontam.contamination(*(read_table(spark, sf_dir, t) for t in ("documents", "benchmark")))
-    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    got = decontam.contamination(*(read_table(spark, sf_dir, t) for t in ("documents", "benchmark")), slop=NEAR)
+
+    def names(items):
+        return digest(F.array_sort(F.transform(items, lambda i: i.cast("string"))))
+
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                      digest(names).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+                      names("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+                      F.size("near").cast("long").alias("n_near"), names("near").alias("near_sha256"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,8 +106,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(bb.n, 0)::BIGINT AS n_base, b
 FROM d LEFT JOIN bb ON d.r = bb.r LEFT JOIN mm ON d.r = mm.r LEFT JOIN al ON d.r = al.r"""
 
 
-def decontamination_sql(width: int = 10) -> str:
-    """All windows of documents joined with all windows of items."""
+def decontamination_sql(width: int = 10, slop: int = 5) -> str:
+    """All windows of documents joined with all windows of items; and each occurrence of a window's rarest word joined with
+    the occurrences of its other words."""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words_of("text")} AS w FROM documents),
 i AS (SELECT item_id, {words_of("text")} AS w FROM benchmark),
@@ -118,10 +119,26 @@ dw AS (SELECT r, k, n, w[k:k + n - 1] AS win FROM d, sizes, unnest(generate_seri
 m AS (SELECT DISTINCT dw.r, dw.k, dw.n, bw.item_id FROM dw JOIN bw ON dw.win = bw.win),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM m, unnest(generate_series(k, k + n - 1)) AS u(p) GROUP BY r),
 x AS (SELECT r, count(DISTINCT item_id) AS n_items,
-        sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS sha FROM m GROUP BY r)
+        sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS sha FROM m GROUP BY r),
+dp AS (SELECT r, p, w[p] AS word FROM d, unnest(generate_series(1, len(w))) AS u(p)),
+freq AS (SELECT word, count(*) AS n FROM dp GROUP BY word),
+iw AS (SELECT row_number() OVER () AS id, win FROM (SELECT DISTINCT win FROM bw)),
+wp AS (SELECT id, p, win[p] AS word, len(win) + {slop} AS reach FROM iw, unnest(generate_series(1, len(win))) AS u(p)),
+wd AS (SELECT id, word, min(p) AS p, any_value(reach) AS reach FROM wp GROUP BY id, word),
+wf AS (SELECT id, arg_min(wd.word, (freq.n, wd.p)) AS word, any_value(reach) AS reach, count(*) AS n
+       FROM wd JOIN freq ON wd.word = freq.word GROUP BY id),
+an AS (SELECT wf.id, dp.r, dp.p, reach, wf.n FROM wf JOIN dp ON wf.word = dp.word
+       WHERE wf.n = (SELECT count(*) FROM wd WHERE wd.id = wf.id)),
+ok AS (SELECT an.id, an.r, an.p FROM an JOIN wd ON an.id = wd.id
+       JOIN dp ON dp.r = an.r AND dp.word = wd.word AND dp.p BETWEEN an.p - an.reach AND an.p + an.reach
+       GROUP BY an.id, an.r, an.p HAVING count(DISTINCT wd.word) = any_value(an.n)),
+y AS (SELECT r, count(DISTINCT item_id) AS n_near,
+        sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS near
+      FROM ok JOIN iw ON ok.id = iw.id JOIN bw ON bw.win = iw.win GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN x ON d.r = x.r"""
+  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(near, sha256('')) AS near_sha256
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN x ON d.r = x.r LEFT JOIN y ON d.r = y.r"""
 
 
 def divergence_sql(least: int = 30, top: int = 50) -> str:

@@ -413,33 +413,58 @@ def test_decontamination_against_brute_force(spark):
                       key=repr) == want
     assert decontam.contamination(d.limit(0), b).count() == 0
     assert {r.n_hit for r in decontam.contamination(d, b.limit(0)).collect()} == {0}
-    with pytest.raises(ValueError, match="max_terms"):
-        decontam.contamination(d, b, max_terms=3)
 
 
-def test_proximity_against_brute_force(spark):
+def near_items(docs, items, slop, width=10):
+    """Items with a window whose words all lie near an occurrence of its word that is rarest in all of ``docs``."""
+    words = [PLAIN.findall(lower(t or "")) for _, t in docs]
+    freq, out = Counter(x for w in words for x in w), []
+    for (i, _), w in zip(docs, words):
+        found = set()
+        for k, text in items:
+            t = PLAIN.findall(lower(text or ""))
+            for n in range(max(1, len(t) - width + 1)) if t else ():
+                win = t[n:n + width]
+                rare, reach = min(win, key=lambda x: freq[x]), len(win) + slop
+                if any(x == rare and {*win} <= {*w[max(0, p - reach):p + reach + 1]} for p, x in enumerate(w)):
+                    found.add(k)
+                    break
+        out.append((i, tuple(sorted(found))))
+    return sorted(out, key=repr)
+
+
+def test_proximity_against_brute_force_whatever_the_segments(spark):
     rnd = random.Random(3)
-    items = [(0, "alpha beta gamma delta"), (1, "kappa lambda mu nu xi")]
+    items = [(0, "alpha beta gamma delta"), (1, "kappa lambda mu nu xi"), (2, " ".join(f"x{k}" for k in range(14))), (3, None)]
     docs = []
-    for i in range(80):
-        w = rnd.choices([f"f{k}" for k in range(9)], k=40)
-        for t in items[i % 2][1].split():
+    for i in range(90):
+        w = rnd.choices([f"f{k}" for k in range(9)], k=rnd.choice([40, 200]))
+        for t in items[i % 3][1].split():
             w[rnd.randrange(40)] = t
         docs.append((i, " ".join(w)))
+    docs += [(None, items[1][1]), (91, None), (92, "delta gamma " + "f1 " * 70 + "beta alpha")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: set(r["items"]) for r in decontam.contamination(d, b, slop=6).collect()}
-    df = Counter(w for _, t in docs for w in t.split())
-    for i, text in docs:
-        w = text.split()
-        for k, t in items:
-            t = t.split()
-            near = lambda first: any(all(any(w[j] == x for j in range(max(0, p - len(t) - 6), min(len(w), p + len(t) + 7)))
-                                         for x in t) for p in range(len(w)) if w[p] == first)
-            rare = min(df[x] for x in t)
-            # the search starts from the rarest term of its segment, the whole table here
-            want = {near(x) for x in t if df[x] == rare}
-            assert (k in got[i]) in want
+    for slop in (0, 6, 100):  # the last reaches over 63 words
+        want = near_items(docs, items, slop)
+        for size, block in ((4 << 20, 1_000_000), (500, 20)):
+            got = decontam.contamination(d.repartition(3), b, slop=slop, segment_chars=size, block_words=block)
+            assert sorted(((r.doc_id, tuple(sorted(r.near))) for r in got.collect()), key=repr) == want
+    assert any(len(x) for _, x in want)
+
+
+def test_long_items_go_in_pieces_and_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    rnd = random.Random(8)
+    long = " ".join(f"w{rnd.randrange(3000)}" for _ in range(9000))
+    docs = [(1, "a " + " ".join(long.split()[4090:4110]) + " b"), (2, long), (3, "w1 w2 w3"), (4, "q " * 100_000)]
+    items = [(7, long), (8, "w1 w2 w3")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = contaminated(docs, items)
+    for bits in (25, 16):
+        monkeypatch.setattr(decontam, "MOST_BITS", bits)
+        got = decontam.contamination(d, b, block_words=5000).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"]))) for r in got), key=repr) == want
 
 
 # --- simhash --------------------------------------------------------------------------
