@@ -255,24 +255,39 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model | None:
     return Model({}, mean.tolist(), scale.tolist(), w.tolist())
 
 
+def once(rows: DataFrame, rounds: int = 2, least: float = 0.8) -> DataFrame:
+    """(_id, text, toxic) without repeated texts and near copies: of equal texts with one label the smallest id stays.
+
+    Then, in each round, rows of one label with the same smallest five-word shingle (under the round's hash) are compared
+    with the smallest id among them, and leave if the sets of their shingles are similar by ``least`` (Jaccard). Rows that
+    only share a passage stay, and so do rows with another label.
+    """
+    rows = rows.groupBy(F.sha2("text", 256).alias("_same"), "toxic").agg(F.min(F.struct("_id", "text")).alias("r")).select(
+        "r.*", "toxic")
+    w = F.col("_w")
+    runs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 4, F.lit(1))),
+                       lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, 5))))
+    rows = rows.withColumn("_w", F.split(F.lower("text"), r"\s+")).withColumn("_runs", F.array_distinct(runs)).drop("_w")
+    for i in range(rounds):
+        rows = rows.withColumn("_least", F.array_min(F.transform("_runs", lambda x: F.xxhash64(x, F.lit(i)))))
+        heads = rows.groupBy("_least", "toxic").agg(F.min(F.struct("_id", F.col("_runs").alias("_head"))).alias("h"))
+        both = F.size(F.array_intersect("_runs", "h._head"))
+        alike = both >= least * (F.size("_runs") + F.size("h._head") - both)
+        rows = rows.join(heads, ["_least", "toxic"]).where((F.col("_id") == F.col("h._id")) | ~alike).drop("h", "_least")
+    return rows.select("_id", "text", "toxic")
+
+
 def learn(docs: DataFrame, labels: DataFrame, train: Column, most: int = 40_000, least: float = 15.0) -> Model | None:
     """A model from the labelled rows for which ``train`` (a condition on ``labels``) holds.
 
-    About ``most`` labelled rows are used, chosen by a hash of their id, near copies once: the lexicon is learned from
-    three fifths of them and the logistic model from the others. The ids (12 bytes each) are broadcast, so no other
-    text moves.
+    About ``most`` labelled rows are used, chosen by a hash of their id, near copies with the same label once (``once``): the
+    lexicon is learned from three fifths of them and the logistic model from the others. The ids (12 bytes each) are
+    broadcast, so no other text moves.
     """
     ids = labelled(labels, train, most).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text")).join(
         F.broadcast(ids), "_id")
-    # Copies and most near copies share the smallest hash of their word triples, and count once.
-    w = F.col("w")
-    triples = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
-                          lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    kin = F.coalesce(F.array_min(triples), F.xxhash64("text"))
-    rows = rows.withColumn("w", F.split(F.lower("text"), r"\s+"))
-    rows = rows.groupBy(kin.alias("_kin")).agg(F.min(F.struct("_id", "text", "toxic")).alias("r")).select("r.*")
-    rows = stage_table(rows, "toxicity-sample")
+    rows = stage_table(once(rows), "toxicity-sample")
     fold = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)) < 3
     lexicon = learn_lexicon(rows.where(fold).select("text", "toxic"), least)
     if not lexicon:
