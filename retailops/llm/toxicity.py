@@ -264,16 +264,29 @@ def once(rows: DataFrame, rounds: int = 2, least: float = 0.8) -> DataFrame:
     """
     rows = rows.groupBy(F.sha2("text", 256).alias("_same"), "toxic").agg(F.min(F.struct("_id", "text")).alias("r")).select(
         "r.*", "toxic")
-    w = F.col("_w")
-    runs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 4, F.lit(1))),
-                       lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, 5))))
-    rows = rows.withColumn("_w", F.split(F.lower("text"), r"\s+")).withColumn("_runs", F.array_distinct(runs)).drop("_w")
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            runs = []
+            for t in b["text"]:
+                w = t.lower().split()
+                spans = (" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4)))
+                runs.append(np.unique(np.array([xxh64_intdigest(x) for x in spans], np.uint64).view(np.int64)))
+            yield {"_id": b["_id"], "text": b["text"], "toxic": b["toxic"], "runs": runs,
+                   "least": [[int((r * m).min()) for m in mixers] for r in runs]}
+
+    # Odd factors, one a round: each puts the shingles' hashes into another order.
+    mixers = [np.int64(0x9E3779B97F4A7C15 - (1 << 64)) ** np.int64(2 * i + 1) for i in range(rounds)]
+    rows = stage_table(map_arrow(rows, run, "_id long, text string, toxic int, runs array<bigint>, least array<bigint>"),
+                       "toxicity-shingles")
     for i in range(rounds):
-        rows = rows.withColumn("_least", F.array_min(F.transform("_runs", lambda x: F.xxhash64(x, F.lit(i)))))
-        heads = rows.groupBy("_least", "toxic").agg(F.min(F.struct("_id", F.col("_runs").alias("_head"))).alias("h"))
-        both = F.size(F.array_intersect("_runs", "h._head"))
-        alike = both >= least * (F.size("_runs") + F.size("h._head") - both)
-        rows = rows.join(heads, ["_least", "toxic"]).where((F.col("_id") == F.col("h._id")) | ~alike).drop("h", "_least")
+        rows = rows.withColumn("key", F.col("least")[i])
+        heads = rows.groupBy("key", "toxic").agg(F.min(F.struct("_id", F.col("runs").alias("head"))).alias("h"))
+        both = F.size(F.array_intersect("runs", "h.head"))
+        alike = both >= least * (F.size("runs") + F.size("h.head") - both)
+        rows = rows.join(heads, ["key", "toxic"]).where((F.col("_id") == F.col("h._id")) | ~alike).drop("h", "key")
     return rows.select("_id", "text", "toxic")
 
 
