@@ -239,25 +239,6 @@ def test_lexicon_keeps_every_term_that_passes(spark):
     assert sum(lexicon.match(m) is not None and lexicon.match(m)[1] == 0 for m in marks) > 480
 
 
-def test_training_rows_leave_only_as_near_copies_with_the_same_label(spark):
-    rnd = random.Random(6)
-    def text(n):
-        return " ".join(f"v{rnd.randrange(500)}" for _ in range(n))
-    passage, base = text(40), text(100)
-    near = base.split()
-    near[50] = "changed"
-    rows = [(0, base, 0), (1, base, 0), (2, base, 1), (3, " ".join(near), 0), (4, " ".join(near), 1)]
-    rows += [(10 + i, passage + " " + text(60), 0) for i in range(20)]  # one passage in all of them
-    rows += [(50, "", 0), (51, "", 0), (52, "two words", 1), (53, "TWO  words", 1)]
-    got = toxicity.once(spark.createDataFrame(rows, "_id long, text string, toxic int"))
-    kept = {r._id for r in got.collect()}
-    assert {0, 2, 50, 52, *range(10, 30)} <= kept and not kept & {1, 51, 53}
-    # near copies share the smallest shingle of a round with a good chance, never across labels
-    many = [(i, " ".join(near[:50] + [f"c{i}"] + near[51:]), i % 2) for i in range(200)]
-    got = toxicity.once(spark.createDataFrame(many, "_id long, text string, toxic int")).collect()
-    assert {r.toxic for r in got} == {0, 1} and len(got) < 60
-
-
 # --- urls -----------------------------------------------------------------------------
 
 def test_url_rules_and_vocabulary(spark):
