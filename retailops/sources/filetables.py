@@ -115,7 +115,8 @@ class FileTables:
     # ---- writing
 
     def _relative(self, path: Column) -> Column:
-        """A data file's name from its full path: the file system may spell the root differently."""
+        """A data file's name from its full path: the file system may spell the root differently. For one row per
+        file: a pattern on the path of every data row costs more than reading the row."""
         return F.regexp_extract(path, r"([^/]+/data/[^/]+/[^/]+)$", 1)
 
     def _write(self, name: str, entry: dict, df: DataFrame) -> DataFrame:
@@ -126,8 +127,8 @@ class FileTables:
         df.write.parquet(folder)
         new = self.spark.read.schema(schema).parquet(folder)
         bounds = [F.min(entry["cluster"]).alias("lo"), F.max(entry["cluster"]).alias("hi")] if entry["cluster"] else []
-        return new.groupBy(self._relative(F.col("_metadata.file_path")).alias("path")).agg(
-            F.count(F.lit(1)).alias("n_rows"), *bounds)
+        rows = new.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"), *bounds)
+        return rows.withColumn("path", self._relative(F.col("path")))
 
     def _entry(self, name: str, entry: dict, rows: DataFrame) -> dict:
         path = f"{name}/manifest/{uuid.uuid4().hex}"
@@ -164,14 +165,14 @@ class FileTables:
         if not listed:
             return []
         rows = self.spark.read.schema(schema).parquet(*listed)
-        where = self._relative(F.col("_metadata.file_path")).alias("_file")
+        where = F.col("_metadata.file_path").alias("_file")
         if isinstance(hit, DataFrame):
             wanted = checked_broadcast(hit.select(*[F.col(k).alias(f"_h_{k}") for k in keys]).distinct())
             same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
             rows = rows.select(*keys, where).join(wanted, reduce(Column.__and__, same), "left_semi")
         else:
             rows = rows.where(hit).select(where)
-        return [r[0] for r in rows.select("_file").distinct().collect()]
+        return [r[0] for r in rows.select("_file").distinct().select(self._relative(F.col("_file"))).collect()]
 
     def change(self, changes: Mapping[str, tuple[Column | DataFrame | list, Sequence[str], Callable[[DataFrame], DataFrame]]],
                base: int | None = None) -> int:

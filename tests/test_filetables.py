@@ -165,3 +165,13 @@ def test_a_failure_in_the_third_table_changes_none(spark):
 def test_links_in_a_circle_are_an_error(spark):
     with pytest.raises(ValueError, match="cycle"):
         X.purge_graph(graph(spark), {}, links() + [("detail", "worklist", [("h", "wl_key")], None)])
+
+
+def test_file_names_are_cut_for_files_not_for_rows(spark):
+    t = FileTables(spark, scratch_path(spark, "names"))
+    t.create("t", spark.range(0, 100, 1, 3), cluster="id", files=3)
+    rows = t._write("t", t.state()[1]["t"], spark.range(0, 10, 1, 2))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Project" in line and "regexp" in line]
+    assert all(r.path.startswith("t/data/") for r in rows.collect())
+    assert len(t.touched("t", t.state()[1]["t"], t.manifest("t"), F.col("id") == 5)) == 1
