@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import checked_broadcast
 from ..session import store
+from .history import deal
 
 
 def bucket_of(keys: Sequence[str], buckets: int) -> Column:
@@ -75,12 +76,18 @@ def differing_buckets(a: DataFrame, b: DataFrame, fan: int = 16) -> DataFrame:
 def only_differing(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str] | None = None,
                    buckets: int = 4096, fan: int = 16, trees: tuple[DataFrame, DataFrame] | None = None,
                    ) -> tuple[DataFrame, DataFrame]:
-    """The rows of both tables that stand in buckets that differ; ``trees`` are their stored digests, if there are."""
+    """The rows of both tables that stand in buckets that differ; ``trees`` are their stored digests, if there are.
+
+    Both come dealt by key in the same way, into tasks of a bounded number of rows, which the digests tell beforehand.
+    """
     ta, tb = trees or (digest_tree(a, keys, cols, buckets, fan), digest_tree(b, keys, cols, buckets, fan))
     nodes = differing_buckets(ta, tb, fan).select(F.col("node").alias("_b"))
+    leaves = ta.where("level = 0").unionByName(tb.where("level = 0"))
+    rows = leaves.join(nodes, F.col("node") == F.col("_b"), "left_semi").agg(F.sum("n_rows")).first()[0] or 0
 
     def part(df):
-        return df.withColumn("_b", bucket_of(keys, buckets)).join(checked_broadcast(nodes), "_b", "left_semi").drop("_b")
+        some = df.withColumn("_b", bucket_of(keys, buckets)).join(checked_broadcast(nodes), "_b", "left_semi").drop("_b")
+        return deal(some, keys, int(rows))
 
     return part(a), part(b)
 

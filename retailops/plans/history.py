@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 
 WEEKS = 104
+#: What a task's hash tables hold at most, as rows and as bytes of one table.
+TASK_ROWS, TASK_BYTES = 250_000, 128 << 20
 
 
 # --- calendar ------------------------------------------------------------------
@@ -87,6 +89,16 @@ def advance_week(cal: DataFrame, order_col: str = "week_order", flag_col: str =
 
 # --- arrays <-> long form --------------------------------------------------------
 
+def deal(df: DataFrame, keys: Sequence[str], rows: int, width: int = 1) -> DataFrame:
+    """``df`` dealt by its keys into tasks of a bounded size, for ``rows`` rows of ``width`` values.
+
+    The number of tasks follows the rows. Left to the planner it follows the compressed size of the shuffle, and a
+    partition of few megabytes can hold millions of rows that a hash table then spreads out.
+    """
+    per_task = min(TASK_ROWS, TASK_BYTES // (8 * width + 64))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)), *keys)
+
+
 def zeros(n: int = WEEKS) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 
@@ -109,17 +121,18 @@ def _slot_array(long_df: DataFrame, keys: Sequence[str], slot_col: str, value_co
     """Per key, an array of slots ``lo..hi`` (null where the key has no value).
 
     Built with ``pivot`` on the listed slot values: Spark first sums per
-    (key, slot) with map-side partial aggregation, then places each slot's value
-    by position (no per-key list is gathered, no map lookups).
+    (key, slot), then places each slot's value by position (no per-key list is gathered, no map lookups).
+    The input is stored and dealt by key into tasks that hold a bounded number of arrays.
     """
     return _pivot_slots(long_df, keys, slot_col, value_col, lo, hi, name, None)
 
 
 def _pivot_slots(long_df: DataFrame, keys: Sequence[str], slot_col: str, value_col: str,
                  lo: int, hi: int, name: str, fill) -> DataFrame:
+    from ..session import store
     slots = list(range(lo, hi + 1))
-    p = (long_df.where(F.col(slot_col).between(lo, hi))
-                .groupBy(*keys).pivot(slot_col, slots).agg(F.sum(value_col)))
+    x = store(long_df.where(F.col(slot_col).between(lo, hi)).select(*dict.fromkeys([*keys, slot_col, value_col])), "slots")
+    p = deal(x, keys, x.count(), len(slots)).groupBy(*keys).pivot(slot_col, slots).agg(F.sum(value_col))
     cell = (lambda i: F.col(str(i)).cast("double")) if fill is None else \
         (lambda i: F.coalesce(F.col(str(i)).cast("double"), F.lit(fill)))
     return p.select(*keys, F.array(*[cell(i) for i in slots]).alias(name))
@@ -213,7 +226,7 @@ def load_history(hist: DataFrame, changes: DataFrame, keys: Sequence[str], slot_
     """Put each change value into its slot of the key's history.
 
     Changes are first pivoted to one array of slots 0..n per key (a bounded row
-    per key, map-side partial aggregation) and stored. When their keys measure at most
+    per key) and stored. When their keys measure at most
     ``split_bytes`` (a daily load against the full history) the untouched history
     rows pass through a broadcast anti join and only touched rows are merged, so
     the history is never shuffled; otherwise one full outer join on the key. Every row of the
@@ -258,7 +271,8 @@ def load_slots(hist: DataFrame, changes: DataFrame, keys: Sequence[str], measure
     replace the history's value, measure by measure (a null measure of a change leaves the old one,
     so on hand, in transit, on order and the sales of two weeks come in as one load). The history holds one row
     per key and slot. The changes are stored; when their keys measure at most ``split_bytes`` the rows of other keys pass
-    through a broadcast anti join and only touched keys are shuffled, otherwise all are, with the same result.
+    through a broadcast anti join and only touched keys are shuffled, otherwise all are, with the same result. What is
+    shuffled is counted first, so that a task's share stays bounded.
     Slots outside 0..n come back from ``out_of_range``.
     """
     from ..session import store
@@ -269,7 +283,7 @@ def load_slots(hist: DataFrame, changes: DataFrame, keys: Sequence[str], measure
     new = store(side(changes, True), "slots-load")
     split = split_by_keys(side(hist, False), keys, new.select(*keys).distinct(), split_bytes)
     base = side(hist, False) if split is None else split[1]
-    both = base.unionByName(new).repartition(*keys)
+    both = deal(base.unionByName(new), keys, base.count() + new.count(), len(measures))
     merged = both.groupBy(*keys, slot_col).agg(*[
         F.coalesce(F.sum(F.when(F.col("_new"), F.col(m))), F.sum(F.when(~F.col("_new"), F.col(m))), F.lit(0.0)).alias(m)
         for m in measures])

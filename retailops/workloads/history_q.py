@@ -27,12 +27,19 @@ s AS (SELECT ch.l_partkey, ch.l_suppkey, cur.cur - cal.week_order AS week_ago, c
       FROM ch JOIN cal ON ch.yr = cal.yr AND ch.mo = cal.mo CROSS JOIN cur WHERE cur.cur - cal.week_order BETWEEN 0 AND 104)"""
 
 
+def _by_month(spark, d):
+    """Line items grouped by (part, supplier, month). There are about as many groups as lines, so the lines are dealt
+    before they are added up: a partial sum of a whole file split would hold every line of it in memory."""
+    (li,) = tables(spark, d, "lineitem")
+    lines = li.select(*KEYS, F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"), "l_quantity", "l_extendedprice")
+    by = [*KEYS, "yr", "mo"]
+    return H.deal(lines, by, li.count()).groupBy(*by)
+
+
 def _monthly(spark, d):
     """Quantity per (part, supplier, month), stored: line items are read once, and the calendar's
     range comes from this small table."""
-    (li,) = tables(spark, d, "lineitem")
-    return store(li.groupBy(*KEYS, F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"))
-                   .agg(F.sum("l_quantity").alias("qty")), "monthly")
+    return store(_by_month(spark, d).agg(F.sum("l_quantity").alias("qty")), "monthly")
 
 
 def _calendar(periods):
@@ -102,10 +109,8 @@ FROM m3 JOIN cal ON m3.yr = cal.yr AND m3.mo = cal.mo CROSS JOIN cur WHERE cur.c
 def i23c(spark, d):
     """One load of three measures: quantity for all months, amounts of the current and the previous
     month, line counts of the current month."""
-    (li,) = tables(spark, d, "lineitem")
-    m = store(li.groupBy(*KEYS, F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mo"))
-                .agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("amount"),
-                     F.count(F.lit(1)).cast("double").alias("n")), "monthly")
+    m = store(_by_month(spark, d).agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("amount"),
+                                      F.count(F.lit(1)).cast("double").alias("n")), "monthly")
     x = H.weeks_ago(m, _calendar(m), ["yr", "mo"], CURRENT).withColumn("slot", F.col("week_ago").cast("int"))
     x = x.select(*KEYS, "slot", "qty", F.when(F.col("slot") <= 1, F.col("amount")).alias("amount"),
                  F.when(F.col("slot") == 0, F.col("n")).alias("n"))

@@ -225,3 +225,14 @@ def test_a_load_of_few_keys_equals_a_load_that_shuffles_all(spark):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, H.load_slots(hist, new, ["k"], ["v", "w"], split_bytes=0).collect()))
     assert sorted(map(tuple, few.collect())) == [(1, 0, 5.0, 0.0), (1, 3, 2.0, 9.0), (1, 4, 3.0, 1.0), (2, 1, 0.0, 7.0),
                                                  (3, 99, 4.0, 4.0), (5, 0, 1.0, 0.0)]
+
+
+def test_tasks_follow_the_rows_not_their_compressed_size(spark, monkeypatch):
+    monkeypatch.setattr(H, "TASK_ROWS", 100)
+    old = spark.range(5000).selectExpr("id % 1000 AS k", "int(id / 1000) + 2 AS slot", "double(id) AS v")
+    new = spark.range(500).selectExpr("id AS k", "0 AS slot", "1.0D AS v")
+    loaded = H.load_slots(old, new, ["k"], ["v"], split_bytes=0)
+    assert loaded.rdd.getNumPartitions() >= 55 and loaded.count() == 5500
+    wide = H.from_long(old, ["k"], "slot", "v", "h", n=10)
+    assert wide.rdd.getNumPartitions() >= 50 and wide.count() == 1000
+    assert wide.where("k = 7").first().h == [0.0, 7.0, 1007.0, 2007.0, 3007.0, 4007.0, 0.0, 0.0, 0.0, 0.0]

@@ -197,3 +197,12 @@ def test_a_column_list_built_at_run_time(spark):
     assert rows_of(select_columns(spark, "odd_names", "x_y", "{c} + 1")) == [(4,)]
     with pytest.raises(ValueError):
         select_columns(spark, "odd_names", "z%")
+
+
+def test_rows_of_differing_buckets_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(H, "TASK_ROWS", 100)
+    a = spark.range(3000).selectExpr("id AS k")
+    b = a.where("k % 7 <> 0")
+    x, y = digests.only_differing(a, b, ["k"], buckets=16, fan=4)
+    assert x.rdd.getNumPartitions() == y.rdd.getNumPartitions() >= 55
+    assert (x.count(), y.count()) == (a.count(), b.count())
