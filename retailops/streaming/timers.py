@@ -1,7 +1,7 @@
 """Changes that wait in Spark's state store until a timer releases them.
 
 The second way of keeping deferred changes, beside the pending tables of ``ingest``: each key's
-waiting changes are a list in the state store, and one timer for each time releases them when
+waiting changes are a list in the state store, and a timer for the earliest of them releases what has settled when
 the watermark, the newest time seen less the settle time, has reached it. A micro-batch writes the changed keys of
 the state store only; changes that wait are not read or written again.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,66 +34,59 @@ _OUT = "_row string, _rejected boolean"
 
 
 class SettleProcessor(StatefulProcessor):
-    """Holds a key's changes until their time has settled and the key is free."""
+    """Holds a key's changes until their time has settled and the key is free.
+
+    A key has a timer for the earliest of its waiting changes, set anew when that has been released, and none while it is
+    in progress. Each call on the state store is a round trip, so a batch reads and writes a key's hold once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ms long, row string")
         self.hold = handle.getValueState("hold", "seq long, busy boolean")
-        self.done = handle.getValueState("done", "ms long")  # the watermark up to which the list has been emptied
-
-    def _held(self) -> bool:
-        return self.hold.exists() and bool(self.hold.get()[1])
-
-    def _frame(self, rows, rejected=False):
-        import pandas as pd
-        return pd.DataFrame({"_row": rows, "_rejected": [rejected] * len(rows)})
 
     def _release(self, mark: int) -> list[str]:
-        """Take the settled rows out of the list."""
-        if not self.waiting.exists():
-            return []
-        rows = list(self.waiting.get())
-        rest = [tuple(r) for r in rows if r[0] > mark]
+        """Take the settled rows out of the list and set the timer for the rest."""
+        rows = [tuple(r) for r in self.waiting.get()]
+        rest = [r for r in rows if r[0] > mark]
         if len(rest) < len(rows):
             self.waiting.put(rest) if rest else self.waiting.clear()
-        return [r[1] for r in rows if r[0] <= mark]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        mark = timerValues.getCurrentWatermarkInMs()
-        was_held, new, bad, out = self._held(), [], [], []
-        for df in rows:
-            for ms, seq, busy, row in zip(df["at_ms"], df["seq"], df["busy"], df["body"]):
-                if ms != ms or ms is None:
-                    bad.append(row)
-                    continue
-                last = self.hold.get() if self.hold.exists() else None
-                if busy is not None and (last is None or seq != seq or int(seq) >= last[0]):
-                    self.hold.update((int(seq) if seq == seq else -(1 << 63), bool(busy)))
-                if row is not None:
-                    new.append((int(ms), row))
-        if bad:
-            yield self._frame(bad, True)
-        held = self._held()
-        if was_held and not held:
+        if rest:
+            self.handle.registerTimer(min(ms for ms, _ in rest))
+        return [row for ms, row in rows if ms <= mark]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        mark, before = timerValues.getCurrentWatermarkInMs(), self.hold.get()
+        last, new, out = before, [], []
+        for r in rows:
+            if r.at_ms is None:
+                yield Row(_row=r.body, _rejected=True)
+                continue
+            seq = None if r.seq is None or r.seq != r.seq else int(r.seq)
+            if r.busy is not None and (last is None or seq is None or seq >= last[0]):
+                last = (-(1 << 63) if seq is None else seq, bool(r.busy))
+            if r.body is not None:
+                new.append((r.at_ms, r.body))
+        if last is not None and last != before:
+            self.hold.update(last)
+        held = last is not None and last[1]
+        if before is not None and before[1] and not held:
             out = self._release(mark)
         out += [row for ms, row in new if ms <= mark and not held]
         keep = [(ms, row) for ms, row in new if ms > mark or held]
         if keep:
             self.waiting.appendList(keep)
-            for ms in {ms for ms, _ in keep if ms > mark}:
-                self.handle.registerTimer(ms)
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        mark = timerValues.getCurrentWatermarkInMs()
-        if self._held() or (self.done.exists() and self.done.get()[0] == mark):
-            return  # the other timers of this batch find nothing left
-        self.done.update((mark,))
-        out = self._release(mark)
-        if out:
-            yield self._frame(out)
+            if not held:
+                self.handle.registerTimer(min(ms for ms, _ in keep))
+        for row in out:
+            yield Row(_row=row, _rejected=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        hold = self.hold.get()
+        if hold is not None and hold[1]:
+            return  # the timer is set again when the key is free
+        for row in self._release(timerValues.getCurrentWatermarkInMs()):
+            yield Row(_row=row, _rejected=False)
 
     def close(self) -> None:
         pass
@@ -115,13 +108,13 @@ def settled_changes(changes: DataFrame, keys: Sequence[str], ts_col: str, settle
     event = F.when(ts <= F.current_timestamp(), ts).otherwise(F.timestamp_seconds(F.lit(0)))
     marked = changes.select(
         *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
-        F.when(ok, F.unix_millis(ts)).cast("double").alias("at_ms"), F.col(seq_col).cast("double").alias("seq"),
+        F.when(ok, F.unix_millis(ts)).alias("at_ms"), F.col(seq_col).cast("double").alias("seq"),
         (F.col(busy_col) if busy_col else F.lit(None)).cast("boolean").alias("busy"),
         (F.when(~F.coalesce(F.col(marker), F.lit(False)), row) if marker else row).alias("body"),
         F.coalesce(event, F.timestamp_seconds(F.lit(0))).alias("_event"))
     # The event time only moves the watermark; kept in the rows, Spark would drop the late ones.
     timed = marked.withWatermark("_event", f"{int(settle_seconds * 1000)} milliseconds").drop("_event")
-    out = timed.groupBy(*[f"k{i}" for i in range(len(keys))]).transformWithStateInPandas(
+    out = timed.groupBy(*[f"k{i}" for i in range(len(keys))]).transformWithState(
         SettleProcessor(), outputStructType=T._parse_datatype_string(_OUT), outputMode="Append", timeMode="EventTime")
     return out.select(F.from_json("_row", schema, _JSON).alias("_r"), "_rejected").select("_r.*", "_rejected")
 

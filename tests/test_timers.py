@@ -60,3 +60,43 @@ def test_timed_queries_equal_the_pending_tables(spark):
     for a, b in ((q.j1, q.j1b), (q.j2, q.j2b)):
         x, y = a(spark, SF_SMALL), b(spark, SF_SMALL)
         assert sorted(map(str, x.collect())) == sorted(map(str, y.select(*x.columns).collect()))
+
+
+def test_a_key_has_one_timer_and_its_hold_is_written_once():
+    from collections import Counter, namedtuple
+    from types import SimpleNamespace
+
+    from retailops.streaming.timers import SettleProcessor
+    R = namedtuple("R", "at_ms seq busy body")
+    calls, timers = Counter(), []
+
+    class Value:
+        now = None
+
+        def get(self):
+            calls["get"] += 1
+            return self.now
+
+        def update(self, v):
+            calls["update"] += 1
+            self.now = v
+
+    class List(list):
+        get = list.copy
+        appendList = list.extend
+
+        def put(self, rows):
+            self[:] = rows
+
+    waiting, hold = List(), Value()
+    p = SettleProcessor()
+    p.init(SimpleNamespace(getListState=lambda *_: waiting, getValueState=lambda *_: hold, registerTimer=timers.append))
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert [*p.handleInputRows((1,), iter([R(ms, ms, None, str(ms)) for ms in (30, 10, 20, 40)]), at(0))] == []
+    assert timers == [10] and calls == {"get": 1}
+    assert [r._row for r in p.handleExpiredTimer((1,), at(25), None)] == ["10", "20"] and timers == [10, 30]
+    assert [*p.handleInputRows((1,), iter([R(ms, ms, True, str(ms)) for ms in (50, 60, 70)]), at(25))] == []
+    assert timers == [10, 30] and calls["update"] == 1  # in progress: no timer
+    assert [*p.handleExpiredTimer((1,), at(35), None)] == []
+    assert [r._row for r in p.handleInputRows((1,), iter([R(55, 80, False, None)]), at(55))] == ["30", "40", "50"]
+    assert timers == [10, 30, 60] and sorted(waiting) == [(60, "60"), (70, "70")]
