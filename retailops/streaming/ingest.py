@@ -203,16 +203,17 @@ def ingest_changes(spark: SparkSession, source_dir: str, schema, target: DataFra
     return read_state(spark, work_dir, keys, target.schema)
 
 
-def write_change_files(df: DataFrame, dest: str, ts_col: str, n_files: int) -> None:
+def write_change_files(df: DataFrame, dest: str, ts_col: str, n_files: int) -> int:
     """Split a change table into ``n_files`` time slices written one after another
     (so file modification order follows time, as an upstream feed would deliver).
 
-    A slice has as many files as its tasks wrote. Rows without a time go with the first slice."""
+    A slice has as many files as its tasks wrote; returns the most files of a slice, by which a stream takes about a slice
+    at a time (``max_files_per_trigger``). Rows without a time go with the first slice."""
     bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
         df.write.mode("overwrite").parquet(f"{dest}/slice=0000")
-        return
+        return _most_files(df.sparkSession, dest)
     ntz = isinstance(df.schema[ts_col].dataType, T.TimestampNTZType)
     step = (hi - lo) / n_files
     for i in range(n_files):
@@ -222,3 +223,10 @@ def write_change_files(df: DataFrame, dest: str, ts_col: str, n_files: int) -> N
         if i == 0:
             cond = cond | F.col(ts_col).isNull()
         df.where(cond).write.mode("overwrite").parquet(f"{dest}/slice={i:04d}")
+    return _most_files(df.sparkSession, dest)
+
+
+def _most_files(spark: SparkSession, root: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max(sum(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(s.getPath())) for s in fs.listStatus(path))

@@ -1,7 +1,7 @@
 """Streaming queries (J1, J2): the events table replayed as a change feed.
 
-Events are split into time-ordered files, streamed with ``availableNow`` one file
-per micro-batch, and applied to the user state as in ``i25`` (signup = insert,
+Events are split into time-ordered slices, streamed with ``availableNow`` about a slice
+per micro-batch, however many files it has, and applied to the user state as in ``i25`` (signup = insert,
 view/click/purchase = update, error = delete). The twins are the batch apply of the rows up to the cut-off, and the rows that
 stay pending.
 """
@@ -27,11 +27,12 @@ def _to_changes(raw):
 def run_stream(spark, d, busy=None, n_files=6):
     cust, ev = tables(spark, d, "customer", "events")
     src = scratch_path(spark, "events-feed")
-    write_change_files(ev, src, "ts", n_files)
+    per_slice = write_change_files(ev, src, "ts", n_files)
     target = cust.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("balance"),
                          F.lit("none").alias("last_type"))
     return ingest_changes(spark, src, ev.schema, target, ["user_id"], scratch_path(spark, "events-ingest"),
-                          ts_col="ts", settle_seconds=SETTLE_SECONDS, busy=busy, to_changes=_to_changes)
+                          ts_col="ts", settle_seconds=SETTLE_SECONDS, busy=busy, to_changes=_to_changes,
+                          max_files_per_trigger=per_slice)
 
 
 _CUT_SQL = f"cut AS (SELECT max(ts) - INTERVAL {SETTLE_SECONDS} SECOND AS c FROM events)"

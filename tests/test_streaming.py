@@ -137,3 +137,18 @@ def test_scratch_of_a_failed_block_goes_too(spark):
             assert not os.path.exists(inner[0].removeprefix("file://")) and os.path.exists(made[0].removeprefix("file://"))
             raise ValueError
     assert not os.path.exists(made[0].removeprefix("file://"))
+
+
+def test_a_slice_of_many_files_is_one_batch(spark):
+    import datetime as dt
+
+    from retailops.session import scratch_path
+    from retailops.streaming.ingest import _batches, ingest_changes, write_change_files
+    rows = [(i, 1, i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, op int, seq long, ts timestamp_ntz, v double").repartition(4)
+    src, work = scratch_path(spark, "slices"), scratch_path(spark, "slices-state")
+    n = write_change_files(df, src, "ts", 2)
+    assert n == 4
+    target = spark.createDataFrame([], "k long, v double")
+    state, pending = ingest_changes(spark, src, df.schema, target, ["k"], work, "ts", 10, max_files_per_trigger=n)
+    assert state.count() == 39 and pending.count() == 1 and len(_batches(spark, f"{work}/log")) == 2
