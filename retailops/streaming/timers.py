@@ -37,7 +37,8 @@ class SettleProcessor(StatefulProcessor):
     """Holds a key's changes until their time has settled and the key is free.
 
     A key has a timer for the earliest of its waiting changes, set anew when that has been released, and none while it is
-    in progress. Each call on the state store is a round trip, so a batch reads and writes a key's hold once.
+    in progress. Each call on the state store is a round trip, so a batch reads and writes a key's hold once. Rows come
+    out after the last call on the store, which goes by the key that is current then.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -57,10 +58,10 @@ class SettleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark, before = timerValues.getCurrentWatermarkInMs(), self.hold.get()
-        last, new, out = before, [], []
+        last, new, bad, out = before, [], [], []
         for r in rows:
             if r.at_ms is None:
-                yield Row(_row=r.body, _rejected=True)
+                bad.append(r.body)
                 continue
             seq = None if r.seq is None or r.seq != r.seq else int(r.seq)
             if r.busy is not None and (last is None or seq is None or seq >= last[0]):
@@ -78,6 +79,8 @@ class SettleProcessor(StatefulProcessor):
             self.waiting.appendList(keep)
             if not held:
                 self.handle.registerTimer(min(ms for ms, _ in keep))
+        for body in bad:
+            yield Row(_row=body, _rejected=True)
         for row in out:
             yield Row(_row=row, _rejected=False)
 

@@ -100,3 +100,5 @@ def test_a_key_has_one_timer_and_its_hold_is_written_once():
     assert [*p.handleExpiredTimer((1,), at(35), None)] == []
     assert [r._row for r in p.handleInputRows((1,), iter([R(55, 80, False, None)]), at(55))] == ["30", "40", "50"]
     assert timers == [10, 30, 60] and sorted(waiting) == [(60, "60"), (70, "70")]
+    got = p.handleInputRows((2,), iter([R(None, 1, None, "bad"), R(99, 2, None, "99")]), at(55))
+    assert next(got) == ("bad", True) and (99, "99") in waiting  # kept before a row comes out and the next key is current
