@@ -35,16 +35,28 @@ BLOCK = ("doc_ids array<bigint>, terms binary, ends binary, docs binary, impacts
 NONE = np.zeros(0, np.int64)
 
 
+# Rows of the index are large: a row group, which is written and read as one, is one block however many a task makes. A
+# dictionary would copy the values of a block, and statistics keep its smallest and largest until the file ends.
+ONE_BLOCK = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false",
+             "parquet.column.statistics.enabled": "false"}
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
-    """Within it, what is written reads Arrow batches of so many rows: texts, and blocks even more, are large rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Within it, what is written reads Arrow batches of so many rows: texts, and blocks even more, are large rows.
+
+    Column chunks are read piece by piece: vectored reads of local files copy whole chunks outside the heap, and each
+    thread keeps the memory of its largest.
+    """
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "parquet.hadoop.vectored.io.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -321,7 +333,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, at_once: int = 1 <<
         wanted = np.unique(np.array([min(a, b) * len(codes) + max(a, b) for _, q in queries for a, b in zip(q, q[1:])],
                                     np.int64))
         with batches_of(docs.sparkSession, 1000):
-            index = stage_table(build_index(held, weights, wanted, documents, total or 1, top, block_docs), "lexical-index")
+            index = stage_table(build_index(held, weights, wanted, documents, total or 1, top, block_docs), "lexical-index",
+                                **ONE_BLOCK)
         with batches_of(docs.sparkSession, 1):
             part = stage_table(search_index(index, queries, weights, top), "lexical-found")
         ranked = part if ranked is None else ranked.unionAll(part)

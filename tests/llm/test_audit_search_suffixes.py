@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,29 @@ def test_search_of_empty_tables(spark):
     assert lexical.search(odd_docs(spark)[0], items.where("false")).count() == 0
 
 
+def test_the_index_is_written_and_read_block_by_block(spark, monkeypatch):
+    files, stage = [], lexical.stage_table
+
+    def spy(df, name, **options):
+        got = stage(df, name, **options)
+        if name == "lexical-index":
+            files.extend(f.removeprefix("file:").replace("//", "") for f in got.inputFiles())
+        return got
+
+    monkeypatch.setattr(lexical, "stage_table", spy)
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "parquet.hadoop.vectored.io.enabled")
+    before = [spark.conf.get(name, None) for name in names]
+    rows = [(i, f"loan w{i % 4} the w{i % 3}") for i in range(40)]
+    asked = [(1, "the loan w1"), (2, "w0 w2 the")]
+    got = lexical.search(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1),
+                         spark.createDataFrame(asked, "item_id long, text string"), 5, block_docs=6)
+    assert rows_of(got) == plain_search(rows, asked, 5)
+    groups = [m.row_group(i) for m in map(pq.read_metadata, files) for i in range(m.num_row_groups)]
+    assert [g.num_rows for g in groups] == [1] * 7
+    assert not any(g.column(c).is_stats_set for g in groups for c in range(g.num_columns))
+    assert [spark.conf.get(name, None) for name in names] == before
+
+
 def test_bounds_skip_but_lose_no_document_and_pairs_skip_more():
     """Terms 2i and 2i + 1 never meet in a document; some terms of a query are not in the block at all."""
     rnd = random.Random(7)
